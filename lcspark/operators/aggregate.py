@@ -91,8 +91,14 @@ def unpivot_feature(wide: DataFrame, feature: str, width: int) -> DataFrame:
                     feature))
 
 
+def tie_fields(tie):
+    """Tie-break columns as private struct fields (a tie column may also be
+    a channel, e.g. flux)."""
+    return [F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)]
+
+
 def _sorted_obs(obs: DataFrame, tie, extra=()):
-    fields = [F.col("mjd")] + [F.col(c) for c in tie] + [F.col(c) for c in extra]
+    fields = [F.col("mjd")] + tie_fields(tie) + [F.col(c) for c in extra]
     return sorted_struct_array(*fields)
 
 
@@ -118,7 +124,7 @@ def hist_struct(obs: DataFrame, tie, fields: dict, carry=()) -> DataFrame:
     payload = {name: spec[0] for name, spec in fields.items()}
     tmp = obs.withColumns({f"_c_{n}": c if not isinstance(c, str) else F.col(c)
                            for n, c in payload.items()})
-    s = sorted_struct_array(F.col("mjd"), *[F.col(c) for c in tie],
+    s = sorted_struct_array(F.col("mjd").alias("_t"), *tie_fields(tie),
                             *[F.col(f"_c_{n}").alias(n) for n in payload])
     agg = tmp.groupBy("object_id").agg(s.alias("_s"), *[F.any_value(c).alias(c) for c in carry])
     hist = F.array(F.struct(*[F.col(f"_s.{n}").cast(f"array<{fields[n][1]}>").alias(n)
