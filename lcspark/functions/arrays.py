@@ -28,14 +28,15 @@ def pad_array(arr, length: int, value=0, dtype: str = "float") -> Column:
 
 
 def forward_diff(arr) -> Column:
-    """ediff1d(to_begin=0): [0, a1-a0, a2-a1, ...]."""
+    """ediff1d(to_begin=0): [0, a1-a0, a2-a1, ...].  Pass a column
+    (not an array expression): the array is indexed once per element."""
     a = col_of(arr)
     return F.transform(
         a, lambda x, i: F.when(i > 0, x - F.try_element_at(a, i)).otherwise(F.lit(0)))
 
 
 def backward_diff(arr) -> Column:
-    """ediff1d(to_end=0): [a1-a0, a2-a1, ..., 0]."""
+    """ediff1d(to_end=0): [a1-a0, a2-a1, ..., 0].  Pass a column."""
     a = col_of(arr)
     return F.transform(
         a, lambda x, i: F.when(i + 1 < F.size(a), F.try_element_at(a, i + 2) - x)
@@ -90,7 +91,8 @@ def slice_features(arr, meta_len: int = 10, seq_len: int = 256,
 
 def hist_matrix(channels) -> Column:
     """channel arrays (c x n) -> per-time rows (n x c), i.e. the
-    reshape + permute of a channel-major block."""
+    reshape + permute of a channel-major block.  Pass columns (each array
+    is indexed once per element)."""
     cols = [col_of(c) for c in channels]
     return F.transform(cols[0], lambda _x, i: F.array(*[c[i] for c in cols]))
 

@@ -230,8 +230,9 @@ def vectors_padded(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
     else:
         photoz = z
     df = df.withColumn("_z", photoz)
+    df = df.withColumn("_mjd", F.col("_q.mjd"))
     q = F.col("_q")
-    mjd = F.col("_q.mjd")
+    mjd = F.col("_mjd")
     first = q.getItem(0).getField("mjd")
     last = q.getItem(L - 1).getField("mjd")
     df = df.withColumns({"_z1": F.col("_z") + F.lit(1.0), "_first": first, "_last": last})
@@ -304,7 +305,10 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
         F.transform(s, lambda x: F.try_divide(nm_of(x["passband"]), z1) / F.lit(1000.0)),
         F.transform(s, lambda x: nm_of(x["passband"]) / F.lit(1000.0)),
     ]
-    hist = hist_matrix([F.transform(c, lambda x: x.cast("float")) for c in channels])
+    # materialise the channel arrays: the matrix transform indexes each one
+    # per element, so they must be columns, not expressions
+    df = df.withColumns({f"_h{k}": F.transform(c, lambda x: x.cast("float")) for k, c in enumerate(channels)})
+    hist = hist_matrix([F.col(f"_h{k}") for k in range(len(channels))])
     meta_arr = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0),
                        F.col("ddf").cast("double"), z.cast("double"), zerr.cast("double"),
                        F.col("mwebv").cast("double"), photoz_positive("hostgal_photoz").cast("double"),

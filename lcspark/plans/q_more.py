@@ -469,10 +469,11 @@ def _assembled(spark, sf):
     v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
     L = _L8
     pad_f = lambda c: FA.pad_array(c, L, 0, "float")
+    v = v.withColumns({"_fwd": F.transform(pad_f("fwd_int"), lambda x: x.cast("double")),
+                       "_bwd": F.transform(pad_f("bwd_int"), lambda x: x.cast("double"))})
     parts = [F.col("meta"), FA.pad_array("band", L, 0, "int"), pad_f("mjd"), pad_f("flux"),
              pad_f("flux_err"), FA.pad_array("detected", L, 0, "int"),
-             FA.forward_diff(F.transform(pad_f("fwd_int"), lambda x: x.cast("double"))),
-             FA.backward_diff(F.transform(pad_f("bwd_int"), lambda x: x.cast("double"))),
+             FA.forward_diff("_fwd"), FA.backward_diff("_bwd"),
              pad_f("source_wavelength"), pad_f("received_wavelength")]
     return v.select("object_id", FA.to_vector(FA.concat_features(*parts)).alias("features"))
 

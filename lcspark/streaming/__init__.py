@@ -1,0 +1,7 @@
+"""Streaming operators: none.
+
+The reference has no streaming, watermark, session or stateful operator;
+every table is built in batch.  The batch operators are plain DataFrame
+transformations, so they also apply to a ``readStream`` source inside
+``foreachBatch`` when a caller needs incremental loads.
+"""
