@@ -144,7 +144,7 @@ def q_galactic_gal(spark, sf):
 
 
 @register("use_specz", with_binding(P, f"""
-    SELECT object_id, {r6s('hostgal_specz')} AS hostgal_photoz, 0.0 AS hostgal_photoz_err
+    SELECT object_id, {r6s('hostgal_specz')} AS hostgal_photoz, CAST(0.0 AS DOUBLE) AS hostgal_photoz_err
     FROM meta""", meta=True))
 def q_use_specz(spark, sf):
     m = C.use_specz(meta(spark, sf))

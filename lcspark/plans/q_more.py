@@ -168,11 +168,11 @@ def _g7_sql():
                {r6s('ddf')} AS m4, {r6s('specz')} AS m5, {r6s('zm')} AS m6, {r6s('mwebv')} AS m7,
                {r6s('CASE WHEN zm > 0 THEN 1.0 ELSE 0.0 END')} AS m8, {r6s('meta_val')} AS m9,
                CAST(p - 1 AS BIGINT) AS pos, CAST(passband AS BIGINT) AS band,
-               0.0 AS mjd, {f6s('fluxj / hm')} AS flux, {f6s('flux_err / hm')} AS flux_err,
+               CAST(0.0 AS DOUBLE) AS mjd, {f6s('fluxj / hm')} AS flux, {f6s('flux_err / hm')} AS flux_err,
                CAST(0 AS BIGINT) AS detected,
                {f6s('(mjdj - first_value(mjdj) OVER w) / (zm + 1.0)')} AS fwd_int,
                {f6s('(mjdj - first_value(mjdj) OVER w) / (zm + 1.0)')} AS bwd_int,
-               {f6s(nm + ' / (zm + 1.0) / 1000.0')} AS source_wavelength, 0.0 AS received_wavelength
+               {f6s(nm + ' / (zm + 1.0) / 1000.0')} AS source_wavelength, CAST(0.0 AS DOUBLE) AS received_wavelength
         FROM (
             SELECT *, row_number() OVER (PARTITION BY object_id, k ORDER BY mjdj, rn) AS p
             FROM (
@@ -364,6 +364,37 @@ def q_standard_scale(spark, sf):
     return ex.select("object_id", "pos", r6("value").alias("value"))
 
 
+@register("standard_scale_groups", with_binding(P, f"""
+    SELECT object_id, grp, CAST(pos AS BIGINT) AS pos,
+           {r6s('CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (v - mu) / sd END')} AS value
+    FROM (SELECT object_id, grp, pos, v, avg(v) OVER (PARTITION BY grp, pos) AS mu,
+                 stddev_samp(v) OVER (PARTITION BY grp, pos) AS sd
+          FROM (SELECT m.object_id, 'meta' AS grp,
+                       UNNEST([0.0, 0.0, 0.0, 0.0, CAST(m.ddf AS DOUBLE), m.hostgal_specz, m.hostgal_photoz,
+                               m.mwebv, CASE WHEN m.hostgal_photoz > 0 THEN 1.0 ELSE 0.0 END, d.meta_val]) AS v,
+                       generate_subscripts([0, 0, 0, 0, 0, 0, 0, 0, 0, 0], 1) - 1 AS pos
+                FROM meta m JOIN mods d ON m.object_id = d.object_id
+                WHERE m.object_id IN (SELECT object_id FROM obs)
+                UNION ALL
+                SELECT g.object_id, 'flux', COALESCE({_ff('t.flux / d.hist_modifier')}, 0.0), g.pos
+                FROM (SELECT o.object_id, p.pos FROM (SELECT DISTINCT object_id FROM obs) o, range(0, 32) p(pos)) g
+                JOIN mods d ON d.object_id = g.object_id
+                LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P).replace(', ', ' DESC, ')} DESC) AS rnd
+                           FROM obs) t
+                  ON t.object_id = g.object_id AND t.rnd = 32 - g.pos) a) b""", meta=True, extra=_MODS_SQL))
+def q_standard_scale_groups(spark, sf):
+    v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
+    v = v.select("object_id", FA.to_vector("meta").alias("mv"),
+                 FA.to_vector(FA.pad_array("flux", 32, 0, "float")).alias("fv"))
+    scaled = M.standard_scale_groups(v, {"mv": "meta_s", "fv": "flux_s"})
+    a = scaled.select("object_id", FA.vector_array("meta_s").alias("m"), FA.vector_array("flux_s").alias("f"))
+    parts = []
+    for grp, col in (("meta", "m"), ("flux", "f")):
+        ex = explode_arrays(a, ["object_id"], {"value": F.col(col)})
+        parts.append(ex.select("object_id", F.lit(grp).alias("grp"), "pos", r6("value").alias("value")))
+    return parts[0].unionByName(parts[1])
+
+
 @register("index_labels", with_binding(P, """
     SELECT m.object_id, CAST(ix.idx AS BIGINT) AS label_index FROM meta m JOIN
       (SELECT label, row_number() OVER (ORDER BY n DESC, label ASC) - 1 AS idx
@@ -376,7 +407,7 @@ def q_index_labels(spark, sf):
 
 @register("encode_labels", with_binding(P, f"""
     SELECT m.object_id, CAST(p.pos AS BIGINT) AS pos,
-           CASE WHEN {map_target_sql('m.target')} = p.pos THEN 1.0 ELSE 0.0 END AS value
+           CASE WHEN {map_target_sql('m.target')} = p.pos THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS value
     FROM meta m, (SELECT UNNEST(range(0, (SELECT max({map_target_sql('target')}) FROM meta))) AS pos) p""",
     meta=True))
 def q_encode_labels(spark, sf):

@@ -207,7 +207,7 @@ def q_backward_diff(spark, sf):
 def _one_hot_query(offset):
     sql = with_binding(P, f"""
         SELECT m.object_id, CAST(c.i AS BIGINT) AS pos,
-               CASE WHEN c.i + {offset} = {map_target_sql('m.target')} THEN 1.0 ELSE 0.0 END AS value
+               CASE WHEN c.i + {offset} = {map_target_sql('m.target')} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS value
         FROM meta m, range(0, 15) c(i)""", meta=True)
 
     @register(f"one_hot_offset{offset}", sql)
@@ -251,6 +251,24 @@ _pad_query("pad_observations_relational", P, 32, True)
 _pad_query("pad_observations_supp", "obs_supp", 256, False)
 
 
+@register("join_pivot_metadata", with_binding(P, f"""
+    SELECT o.object_id, CAST(m.target AS BIGINT) AS target,
+           {r6s('m.ddf')} AS m0, {r6s('m.hostgal_specz')} AS m1, {r6s('m.hostgal_photoz')} AS m2,
+           {r6s('m.hostgal_photoz_err')} AS m3, {r6s('m.mwebv')} AS m4, {r6s('m.distmod')} AS m5,
+           CAST(o.rn - 1 AS BIGINT) AS pos, {', '.join(_float_or_int_sql(f, 'o.' + f) for f in FEATS)}
+    FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS rn FROM obs) o
+    JOIN meta m ON o.object_id = m.object_id""", meta=True))
+def q_join_pivot_metadata(spark, sf):
+    arr = V.vectors_raw(obs(spark, sf), TIE[P])
+    m = meta(spark, sf).select("object_id", "target", C.meta_vector("raw6").alias("meta"))
+    j = J.join_pivot_metadata(arr, m, ["target", "meta"])
+    j = j.select("object_id", "target", *[F.col("meta")[i].alias(f"m{i}") for i in range(6)],
+                 *[F.col(f)[0].alias(f) for f in FEATS])
+    ex = explode_arrays(j, ["object_id", "target"] + [f"m{i}" for i in range(6)], {f: F.col(f) for f in FEATS})
+    return ex.select("object_id", i64("target").alias("target"), *[r6(f"m{i}").alias(f"m{i}") for i in range(6)],
+                     "pos", *[_float_or_int_spark(f) for f in FEATS])
+
+
 # ---------------------------------------------------------- V3 / V4 / V6 ---
 
 @register("vectors_meta", with_binding(P, f"""
@@ -283,12 +301,12 @@ def _calc_sql(b, train=True):
                {r6s('m.mwebv')} AS m7, {r6s('CASE WHEN m.hostgal_photoz > 0 THEN 1.0 ELSE 0.0 END')} AS m8,
                {r6s('d.meta_val')} AS m9,
                CAST(o.rn - 1 AS BIGINT) AS pos, CAST(o.passband AS BIGINT) AS band,
-               0.0 AS mjd, {f6s('o.flux / d.hist_modifier')} AS flux,
+               CAST(0.0 AS DOUBLE) AS mjd, {f6s('o.flux / d.hist_modifier')} AS flux,
                {f6s('o.flux_err / d.hist_modifier')} AS flux_err, CAST(0 AS BIGINT) AS detected,
                {f6s('(o.mjd - first_value(o.mjd) OVER (PARTITION BY o.object_id ORDER BY o.rn)) / (m.hostgal_photoz + 1.0)')} AS fwd_int,
                {f6s('(o.mjd - first_value(o.mjd) OVER (PARTITION BY o.object_id ORDER BY o.rn)) / (m.hostgal_photoz + 1.0)')} AS bwd_int,
                {f6s(wavelength_nm_sql('o.passband') + ' / (m.hostgal_photoz + 1.0) / 1000.0')} AS source_wavelength,
-               0.0 AS received_wavelength
+               CAST(0.0 AS DOUBLE) AS received_wavelength
         FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(b)}) AS rn FROM obs) o
         JOIN meta m ON o.object_id = m.object_id
         JOIN mods d ON o.object_id = d.object_id""", meta=True, extra=_MODS_SQL)
@@ -426,20 +444,24 @@ _v5_query("vectors_padded_augmented_object", P, 32, augment=True, scope="object"
 
 # -------------------------------------------------------------- V7 / V8 ---
 
-def _v7_rows_cte(b):
+def _v7_rows_cte(b, extragalactic=None, use_specz=False):
     nm = wavelength_nm_sql("passband")
+    z = "m.hostgal_specz" if use_specz else "m.hostgal_photoz"
+    zerr = "0.0" if use_specz else "m.hostgal_photoz_err"
+    cond = {None: "TRUE", True: "m.hostgal_photoz <> 0", False: "NOT (m.hostgal_photoz > 0)"}[extragalactic]
     return f"""{_MODS_SQL},
         base AS (
-            SELECT o.*, m.hostgal_photoz AS z, m.hostgal_photoz_err AS zerr, m.ddf, m.mwebv, m.hostgal_specz,
-                   m.target, d.hist_modifier, d.meta_val,
+            SELECT o.*, {z} AS z, CAST({zerr} AS DOUBLE) AS zerr, m.ddf, m.mwebv, m.hostgal_specz,
+                   m.hostgal_photoz AS photoz, m.target, d.hist_modifier, d.meta_val,
                    row_number() OVER (PARTITION BY o.object_id ORDER BY {order_sql(b).replace('mjd', 'o.mjd')}) AS rn,
                    count(*) OVER (PARTITION BY o.object_id) AS n
-            FROM obs o JOIN meta m ON o.object_id = m.object_id JOIN mods d ON o.object_id = d.object_id),
+            FROM obs o JOIN meta m ON o.object_id = m.object_id JOIN mods d ON o.object_id = d.object_id
+            WHERE {cond}),
         timed AS (
             SELECT *, (mjd - first_value(mjd) OVER (PARTITION BY object_id ORDER BY rn)) / 100.0 / (z + 1.0) AS t
             FROM base),
         samples AS (
-            SELECT object_id, rn, n, passband + 1 AS band, z, zerr, ddf, mwebv, hostgal_specz, target, meta_val,
+            SELECT object_id, rn, n, passband + 1 AS band, z, zerr, photoz, ddf, mwebv, hostgal_specz, target, meta_val,
                    t AS h0, flux / hist_modifier AS h1, flux_err / hist_modifier AS h2,
                    CAST(detected AS DOUBLE) AS h3,
                    COALESCE(t - lag(t) OVER w, 0.0) AS h4, COALESCE(lead(t) OVER w - t, 0.0) AS h5,
@@ -447,15 +469,17 @@ def _v7_rows_cte(b):
             FROM timed WINDOW w AS (PARTITION BY object_id ORDER BY rn))"""
 
 
-@register("samples_baseline", with_binding(P, f"""
+def _v7_out_sql():
+    return f"""
     SELECT object_id, CAST(rn - 1 AS BIGINT) AS pos, CAST(band AS BIGINT) AS band,
            {', '.join(f'{f6s(f"h{i}")} AS h{i}' for i in range(8))},
            CAST({map_target_sql('target')} AS BIGINT) AS target, {r6s('hostgal_specz')} AS specz,
            {f6s('ddf')} AS m4, {f6s('z')} AS m5, {f6s('zerr')} AS m6, {f6s('mwebv')} AS m7,
-           {f6s('CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END')} AS m8, {f6s('meta_val')} AS m9
-    FROM samples""", meta=True, extra=_v7_rows_cte(P)))
-def q_samples_baseline(spark, sf):
-    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
+           {f6s('CASE WHEN photoz > 0 THEN 1.0 ELSE 0.0 END')} AS m8, {f6s('meta_val')} AS m9
+    FROM samples"""
+
+
+def _v7_explode(s):
     s = s.select("object_id", "target", "specz", "band", "hist",
                  *[F.col("meta")[i].alias(f"m{i}") for i in range(4, 10)])
     ex = explode_arrays(s, ["object_id", "target", "specz"] + [f"m{i}" for i in range(4, 10)],
@@ -466,10 +490,29 @@ def q_samples_baseline(spark, sf):
                      *[f6(f"m{i}").alias(f"m{i}") for i in range(4, 10)])
 
 
+@register("samples_baseline_specz_extragalactic",
+          with_binding(P, _v7_out_sql(), meta=True, extra=_v7_rows_cte(P, extragalactic=True, use_specz=True)))
+def q_samples_baseline_specz(spark, sf):
+    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P], extragalactic=True, use_specz=True)
+    return _v7_explode(s)
+
+
+@register("samples_baseline_galactic",
+          with_binding(P, _v7_out_sql(), meta=True, extra=_v7_rows_cte(P, extragalactic=False)))
+def q_samples_baseline_galactic(spark, sf):
+    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P], extragalactic=False)
+    return _v7_explode(s)
+
+
+@register("samples_baseline", with_binding(P, _v7_out_sql(), meta=True, extra=_v7_rows_cte(P)))
+def q_samples_baseline(spark, sf):
+    return _v7_explode(V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P]))
+
+
 def _v8_sql_simple(b, length):
     L = length
     h = ", ".join(
-        (f"{f6s('COALESCE(s.h' + str(i) + ', 0.0)')} AS h{i}" if i not in (0, 3, 7) else f"0.0 AS h{i}")
+        (f"{f6s('COALESCE(s.h' + str(i) + ', 0.0)')} AS h{i}" if i not in (0, 3, 7) else f"CAST(0.0 AS DOUBLE) AS h{i}")
         for i in range(8))
     return with_binding(b, f"""
         SELECT g.object_id, CAST(g.pos AS BIGINT) AS pos, CAST(COALESCE(s.band, 0) AS BIGINT) AS band, {h},
@@ -494,7 +537,7 @@ def q_network_input(spark, sf):
 
 @register("zero_channels", with_binding(P, f"""
     SELECT object_id, CAST(rn - 1 AS BIGINT) AS pos,
-           {', '.join((f'{f6s(f"h{i}")} AS h{i}' if i not in (0, 3, 7) else f'0.0 AS h{i}') for i in range(8))}
+           {', '.join((f'{f6s(f"h{i}")} AS h{i}' if i not in (0, 3, 7) else f'CAST(0.0 AS DOUBLE) AS h{i}') for i in range(8))}
     FROM samples""", meta=True, extra=_v7_rows_cte(P)))
 def q_zero_channels(spark, sf):
     s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
