@@ -97,26 +97,69 @@ def tie_fields(tie):
     return [F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)]
 
 
-def _sorted_obs(obs: DataFrame, tie, extra=()):
-    fields = [F.col("mjd")] + tie_fields(tie) + [F.col(c) for c in extra]
-    return sorted_struct_array(*fields)
-
-
-def collect_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES) -> DataFrame:
-    """Flat arrays per object in time order (float / int elements)."""
-    s = _sorted_obs(obs, tie, [f for f in features if f != "mjd"])
-    agg = obs.groupBy("object_id").agg(s.alias("_s"))
-    return agg.select("object_id", *[
-        F.col(f"_s.{f}").cast(f"array<{types[f]}>").alias(f) for f in features])
-
-
-def nested_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES) -> DataFrame:
+# Longest array a row may hold.  An object with more observations is
+# stored as several rows (``chunk`` 0, 1, ...), so no task ever collects an
+# unbounded group; every light curve of a survey fits in chunk 0.
+MAX_ARRAY_LEN = 1 << 16
+
+
+def series_chunks(obs: DataFrame, tie, payload, max_len: int = MAX_ARRAY_LEN,
+                  stats: bool = False, neighbours: bool = False, carry=()) -> DataFrame:
+    """Per (object_id, chunk): ``s`` = time-sorted array of structs
+    (mjd, tie..., payload...) of at most ``max_len`` observations.
+
+    Object-level values are computed on rows, before the collect, with
+    windows over one sort per object (streaming or spillable, never an
+    in-memory group): the rank, and with ``stats`` the first time and the
+    flux max / min over the whole object; with ``neighbours`` each row's
+    previous and next time.  The collect then groups by (object_id, chunk),
+    which the window's hash partitioning on object_id already satisfies, so
+    the observations are shuffled once.  ``carry`` are per-object columns
+    (functionally dependent on the object)."""
+    w = object_window_asc(tie)
+    w_obj = Window.partitionBy("object_id")
+    payload = [p for p in payload if p != "mjd"]
+    base = list(dict.fromkeys(["object_id", "mjd", *tie, *payload, *carry]))
+    extra = [F.row_number().over(w).alias("_rn")]
+    if stats:
+        extra += [F.first("mjd").over(w).alias("_first"),
+                  F.max("flux").over(w_obj).alias("_fmax"), F.min("flux").over(w_obj).alias("_fmin")]
+    if neighbours:
+        extra += [F.lag("mjd").over(w).alias("_prev"), F.lead("mjd").over(w).alias("_next")]
+    ranked = obs.select(*base, *extra).withColumn(
+        "chunk", F.floor((F.col("_rn") - F.lit(1)) / F.lit(max_len)).cast("int"))
+    fields = [F.col("mjd")] + tie_fields(tie) + [F.col(c) for c in payload]
+    if neighbours:
+        fields += [F.col("_prev"), F.col("_next")]
+    aggs = [sorted_struct_array(*fields).alias("s")]
+    if stats:
+        aggs += [F.min("_first").alias("first_mjd"), F.max("_fmax").alias("fmax"),
+                 F.min("_fmin").alias("fmin")]
+    aggs += [F.any_value(c).alias(c) for c in carry]
+    return ranked.groupBy("object_id", "chunk").agg(*aggs)
+
+
+def object_window_asc(tie):
+    from lcspark.operators.window import object_window
+    return object_window(tie)
+
+
+def collect_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES,
+                   max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+    """Flat arrays per object (per chunk) in time order."""
+    agg = series_chunks(obs, tie, features, max_len)
+    return agg.select("object_id", "chunk", *[
+        F.col(f"s.{f}").cast(f"array<{types[f]}>").alias(f) for f in features])
+
+
+def nested_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES,
+                  max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """array<array<...>> per feature (one inner array per object)."""
-    flat = collect_arrays(obs, tie, features, types)
-    return flat.select("object_id", *[F.array(F.col(f)).alias(f) for f in features])
+    flat = collect_arrays(obs, tie, features, types, max_len)
+    return flat.select("object_id", "chunk", *[F.array(F.col(f)).alias(f) for f in features])
 
 
-def hist_struct(obs: DataFrame, tie, fields: dict, carry=()) -> DataFrame:
+def hist_struct(obs: DataFrame, tie, fields: dict, carry=(), max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """Array of one struct of channel arrays, ``fields`` maps the
     channel name to (column, element type).  ``carry`` are per-object
     columns kept with ``any_value`` (they are functionally dependent on the
@@ -124,12 +167,10 @@ def hist_struct(obs: DataFrame, tie, fields: dict, carry=()) -> DataFrame:
     payload = {name: spec[0] for name, spec in fields.items()}
     tmp = obs.withColumns({f"_c_{n}": c if not isinstance(c, str) else F.col(c)
                            for n, c in payload.items()})
-    s = sorted_struct_array(F.col("mjd").alias("_t"), *tie_fields(tie),
-                            *[F.col(f"_c_{n}").alias(n) for n in payload])
-    agg = tmp.groupBy("object_id").agg(s.alias("_s"), *[F.any_value(c).alias(c) for c in carry])
-    hist = F.array(F.struct(*[F.col(f"_s.{n}").cast(f"array<{fields[n][1]}>").alias(n)
+    agg = series_chunks(tmp, tie, [f"_c_{n}" for n in payload], max_len, carry=carry)
+    hist = F.array(F.struct(*[F.col(f"s._c_{n}").cast(f"array<{fields[n][1]}>").alias(n)
                               for n in fields]))
-    return agg.select("object_id", *carry, hist.alias("hist"))
+    return agg.select("object_id", "chunk", *carry, hist.alias("hist"))
 
 
 def distinct_objects(obs: DataFrame, pads: dict | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lcspark.functions.arrays import backward_diff, forward_diff
 from lcspark.functions.expr import clip, map_target, photoz_positive, log2_pow
 from lcspark.functions.rng import keyed_normal, keyed_uniform
-from lcspark.operators.aggregate import class_shares
+from lcspark.operators.aggregate import MAX_ARRAY_LEN, class_shares
 from lcspark.operators.vectors import FLAT_CHANNELS, _with_meta, collect_series, nm_of
 from lcspark.schema import CLASS_CODES, DROP_RATE, Z_MAX, Z_MIN
 
@@ -118,6 +118,9 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
     df = df.withColumn("_zn", zn).withColumn("_dt", (F.lit(1.0) + z) / (F.lit(1.0) + F.col("_zn")))
     rows = F.arrays_zip(F.col("band").alias("band"), F.col("hist").alias("h"))
     indexed = F.transform(rows, lambda r, i: F.struct(i.alias("i"), r["band"].alias("band"), r["h"].alias("h")))
+    # position in the whole object (chunks count MAX_ARRAY_LEN positions)
+    base = (F.col("chunk") * F.lit(MAX_ARRAY_LEN)) if "chunk" in samples.columns else F.lit(0)
+    indexed = F.transform(indexed, lambda r: r.withField("i", r["i"] + base))
     kept = F.filter(indexed, lambda r: keyed_uniform(seed, "drop", oid, r["i"], rep) >= F.lit(rate))
     df = df.withColumn("_k", kept)
     t = F.transform(F.col("_k"), lambda r: r["h"][0].cast("double"))
@@ -136,8 +139,9 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
         return F.array(*[v.cast("float") for v in vals])
 
     meta = F.transform(F.col("meta"), lambda x, i: F.when(i == 5, F.col("_zn").cast("float")).otherwise(x))
+    chunk = [c for c in ("chunk",) if c in samples.columns]
     return df.select(
-        "object_id", replica, "target", meta.alias("meta"), "specz",
+        "object_id", *chunk, replica, "target", meta.alias("meta"), "specz",
         F.transform(F.col("_k"), lambda r: r["band"]).alias("band"),
         F.transform(F.col("_k"), new_row).alias("hist"),
     )
@@ -152,7 +156,9 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
     loop.  A copy draws a new photoz per object for its metadata, a new
     flux per observation (uniform), and a per-observation time dilation
     against the original photoz; the flux is still divided by the range of
-    the *original* flux (as the reference does)."""
+    the *original* flux (as the reference does).  Re-ordering by the new
+    time happens inside a row, so for an object longer than MAX_ARRAY_LEN
+    (stored as several chunks) it is per chunk."""
     df = _with_meta(collect_series(obs, tie), meta)
     df = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n))))
     oid, rep = F.col("object_id"), F.col("replica")
@@ -162,7 +168,8 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
     df = df.withColumns({"_zm": zm, "_hm": log2_pow(F.col("fmax") - F.col("fmin"))})
 
     def elem(x, i):
-        rank = i + F.lit(1)
+        # rank in the whole object (chunks count MAX_ARRAY_LEN positions)
+        rank = i + F.lit(1) + F.col("chunk") * F.lit(MAX_ARRAY_LEN)
         flux = F.when(orig, x["flux"]).otherwise(
             uniform_jitter(x["flux"], x["flux_err"], keyed_uniform(seed, "flux", oid, rank, rep)))
         zn = uniform_jitter(z, ze, keyed_uniform(seed, "dt", oid, rank, rep))
@@ -181,7 +188,8 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
                        F.col("mwebv").cast("double"), photoz_positive("_zm").cast("double"),
                        fp / F.lit(10.0))
     return df.select(
-        "replica", "object_id", map_target("target").cast("int").alias("target"), meta_arr.alias("meta"),
+        "replica", "object_id", "chunk", map_target("target").cast("int").alias("target"),
+        meta_arr.alias("meta"),
         F.col("_q.passband").cast("array<int>").alias("band"),
         zeros.cast("array<float>").alias("mjd"),
         F.transform(q, lambda x: x["flux"] / hm).cast("array<float>").alias("flux"),
@@ -195,7 +203,7 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
     )
 
 
-AUGMENTED_COLUMNS = ["replica", "object_id", "target", "meta", "band"] + FLAT_CHANNELS
+AUGMENTED_COLUMNS = ["replica", "object_id", "chunk", "target", "meta", "band"] + FLAT_CHANNELS
 
 
 # ------------------------------------------------------------------ G8 ---

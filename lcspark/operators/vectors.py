@@ -15,17 +15,17 @@ both give the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcspark.functions.arrays import (backward_diff, forward_diff, hist_matrix,
                                       keep_last_elements, pad_array, sorted_struct_array)
 from lcspark.functions.expr import (band_index, log2_pow, map_target, photoz_positive)
 from lcspark.functions.rng import keyed_uniform
-from lcspark.operators.aggregate import tie_fields
+from lcspark.operators.aggregate import MAX_ARRAY_LEN, series_chunks, tie_fields
 from lcspark.operators.join import grid_left_join, padding_grid
 from lcspark.operators.project import meta_vector
-from lcspark.operators.window import keep_last
+from lcspark.operators.window import keep_last, object_window
 from lcspark.schema import PASSBAND_NM, UNKNOWN_CLASS_INDEX
 
 CHANNELS = ["mjd", "passband", "flux", "flux_err", "detected"]
@@ -45,13 +45,46 @@ def nm_of(pb):
     return F.element_at(nm_array(), idx.cast("int"))
 
 
-def collect_series(obs: DataFrame, tie, extra_aggs=()) -> DataFrame:
-    """One row per object: ``s`` = time-sorted array of observation
-    structs, plus the object's flux max and min (over all observations)."""
-    s = sorted_struct_array(F.col("mjd"), *tie_fields(tie),
-                            *[F.col(c) for c in CHANNELS if c != "mjd"])
-    return obs.groupBy("object_id").agg(
-        s.alias("s"), F.max("flux").alias("fmax"), F.min("flux").alias("fmin"), *extra_aggs)
+def collect_series(obs: DataFrame, tie, max_len: int = MAX_ARRAY_LEN,
+                   neighbours: bool = False) -> DataFrame:
+    """One row per object (per chunk of ``max_len`` observations): ``s`` =
+    time-sorted array of observation structs, with the object's first time
+    and flux max / min over all its observations (see ``series_chunks``)."""
+    return series_chunks(obs, tie, CHANNELS, max_len, stats=True, neighbours=neighbours)
+
+
+def collect_last_series(obs: DataFrame, tie, length: int, neighbours: bool = False) -> DataFrame:
+    """Like ``collect_series`` but bounded: one row per object with the
+    latest ``length`` observations (time-sorted), the flux max / min and the
+    first time over *all* observations, and with ``neighbours`` each kept
+    observation's previous and next time in the whole object.
+
+    Plan: one hash exchange on object_id, one sort (object, time desc),
+    window aggregates over the object (a spillable buffer), a streaming
+    row_number, a filter, then ``collect_list`` of at most ``length``
+    structs.  A very long object therefore never sits in an aggregation
+    buffer; the collected array is bounded by ``length``."""
+    w_obj = Window.partitionBy("object_id")
+    w_desc = object_window(tie, desc=True)
+    extra = []
+    if neighbours:
+        # descending order: lead is the previous time, lag the next one
+        extra = [F.lead("mjd").over(w_desc).alias("_prev"), F.lag("mjd").over(w_desc).alias("_next")]
+    ranked = obs.select(
+        "object_id", "mjd", *[F.col(c) for c in tie if c not in CHANNELS],
+        *[c for c in CHANNELS if c != "mjd"],
+        F.row_number().over(w_desc).alias("_rd"),
+        F.max("flux").over(w_obj).alias("_fmax"),
+        F.min("flux").over(w_obj).alias("_fmin"),
+        F.min("mjd").over(w_obj).alias("_first"),
+        *extra,
+    ).filter(F.col("_rd") <= F.lit(length))
+    fields = [F.col("mjd"), *tie_fields(tie), *[F.col(c) for c in CHANNELS if c != "mjd"]]
+    if neighbours:
+        fields += [F.col("_prev"), F.col("_next")]
+    return ranked.groupBy("object_id").agg(
+        sorted_struct_array(*fields).alias("s"), F.max("_fmax").alias("fmax"),
+        F.min("_fmin").alias("fmin"), F.min("_first").alias("first_mjd"))
 
 
 def _fill(value):
@@ -70,7 +103,7 @@ def pad_observations(obs: DataFrame, tie, length: int) -> DataFrame:
     arrays, zeros in front, the latest ``length`` observations kept.
     Missing values inside a kept observation take the pad value, as the
     relational CASE WHEN ... IS NULL does."""
-    series = collect_series(obs, tie)
+    series = collect_last_series(obs, tie, length)
     kept = keep_last_elements(F.col("s"), length)
     ch = _padded_channels(kept, length)
     return series.select("object_id", *[ch[c].alias(c) for c in CHANNELS])
@@ -87,12 +120,12 @@ def pad_observations_relational(obs: DataFrame, tie, length: int) -> DataFrame:
 
 # ------------------------------------------------------------------ V2 ---
 
-def vectors_raw(obs: DataFrame, tie) -> DataFrame:
+def vectors_raw(obs: DataFrame, tie, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """V2 (second model): array<array<>> per feature, time-sorted."""
-    series = collect_series(obs, tie)
+    series = collect_series(obs, tie, max_len)
     types = {"mjd": "float", "passband": "int", "flux": "float", "flux_err": "float",
              "detected": "int"}
-    return series.select("object_id", *[
+    return series.select("object_id", "chunk", *[
         F.array(F.col(f"s.{c}").cast(f"array<{types[c]}>")).alias(c) for c in CHANNELS])
 
 
@@ -107,13 +140,13 @@ def _with_meta(series: DataFrame, meta: DataFrame, cols=META_COLS) -> DataFrame:
     return series.join(meta.select("object_id", *cols), "object_id", "inner")
 
 
-def vectors_meta(obs: DataFrame, meta: DataFrame, tie) -> DataFrame:
+def vectors_meta(obs: DataFrame, meta: DataFrame, tie, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """V3 (third model): raw target, 5-field meta, specz, band and a
     4-channel history struct (mjd, flux, flux_err, detected as floats)."""
-    df = _with_meta(collect_series(obs, tie), meta)
+    df = _with_meta(collect_series(obs, tie, max_len), meta)
     hist = F.array(F.struct(*[F.col(f"s.{c}").cast("array<float>").alias(c)
                               for c in ("mjd", "flux", "flux_err", "detected")]))
-    return df.select("object_id", F.col("target"), meta_vector("raw5").alias("meta"),
+    return df.select("object_id", "chunk", F.col("target"), meta_vector("raw5").alias("meta"),
                      F.col("hostgal_specz").cast("double").alias("specz"),
                      F.col("s.passband").cast("array<int>").alias("band"), hist.alias("hist"))
 
@@ -125,23 +158,22 @@ FLAT_CHANNELS = ["mjd", "flux", "flux_err", "detected", "fwd_int", "bwd_int",
 
 
 def _calculated_arrays(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
-                       default_target: int = 0) -> DataFrame:
+                       default_target: int = 0, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """Fourth-model / flat-table channels: mjd, detected and received
     wavelength zeroed; flux and flux_err divided by the range modifier;
     fwd_int = bwd_int = time since first / (1 + z); source wavelength."""
-    df = _with_meta(collect_series(obs, tie), meta).withColumns({
+    df = _with_meta(collect_series(obs, tie, max_len), meta).withColumns({
         "_hm": log2_pow(F.col("fmax") - F.col("fmin")),
         "_z1": F.col("hostgal_photoz") + F.lit(1.0),
-        "_first": F.col("s").getItem(0).getField("mjd"),
     })
     fp = F.log2(F.col("fmax") - F.col("fmin"))
-    hm, z1, first = F.col("_hm"), F.col("_z1"), F.col("_first")
+    hm, z1, first = F.col("_hm"), F.col("_z1"), F.col("first_mjd")
     s = F.col("s")
     zeros = F.transform(s, lambda x: F.lit(0.0))
     since = F.transform(s, lambda x: F.try_divide(x["mjd"] - first, z1))
     target = map_target("target") if (train and "target" in meta.columns) else F.lit(default_target)
     return df.select(
-        "object_id",
+        "object_id", "chunk",
         target.cast("int").alias("target"),
         F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("ddf").cast("double"),
                 F.col("hostgal_specz").cast("double"), F.col("hostgal_photoz").cast("double"),
@@ -161,19 +193,20 @@ def _calculated_arrays(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
     )
 
 
-def vectors_calculated(obs: DataFrame, meta: DataFrame, tie) -> DataFrame:
+def vectors_calculated(obs: DataFrame, meta: DataFrame, tie, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """V4 (fourth model): target, 10-slot meta, band and an 8-channel
     history struct."""
-    flat = _calculated_arrays(obs, meta, tie)
-    return flat.select("object_id", "target", "meta", "band",
+    flat = _calculated_arrays(obs, meta, tie, max_len=max_len)
+    return flat.select("object_id", "chunk", "target", "meta", "band",
                        F.array(F.struct(*[F.col(c) for c in FLAT_CHANNELS])).alias("hist"))
 
 
-def vectors_flat(obs: DataFrame, meta: DataFrame, tie, train: bool = True) -> DataFrame:
+def vectors_flat(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
+                 max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """V6 (flat-array table, train or test set): the same channels as V4
     as eight flat array columns.  The test set has class 0."""
-    flat = _calculated_arrays(obs, meta, tie, train=train)
-    return flat.select("object_id", "target", "meta", "band", *FLAT_CHANNELS)
+    flat = _calculated_arrays(obs, meta, tie, train=train, max_len=max_len)
+    return flat.select("object_id", "chunk", "target", "meta", "band", *FLAT_CHANNELS)
 
 
 # ------------------------------------------------------------------ V5 ---
@@ -199,7 +232,7 @@ def vectors_padded(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
     Random draws are keyed by (object_id, descending grid rank, replica),
     so pads are keyed too and nothing depends on partitioning."""
     L = length
-    df = _with_meta(collect_series(obs, tie), meta)
+    df = _with_meta(collect_last_series(obs, tie, L), meta)
     kept = keep_last_elements(F.col("s"), L)
     df = df.withColumns({f"_p_{c}": e for c, e in _padded_channels(kept, L).items()})
     df = df.withColumn("_hm", log2_pow(F.col("fmax") - F.col("fmin")))
@@ -272,7 +305,8 @@ def vectors_padded(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
 # ------------------------------------------------------------------ V7 ---
 
 def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
-                     use_specz: bool = False, scale: float = 100.0) -> DataFrame:
+                     use_specz: bool = False, scale: float = 100.0,
+                     last: int | None = None, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
     """V7: the baseline program's per-object samples as one set operation.
 
     Per object: target index (14 without a class column), 10-slot meta in
@@ -280,28 +314,46 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
     and 6 from specz when ``use_specz``), specz, band = passband + 1, and
     an n x 8 history: time since first / scale / (1 + z), flux and flux_err
     divided by pow(2, log2(range)), detected, forward and backward
-    intervals of the scaled time, source and received wavelength / 1000."""
+    intervals of the scaled time, source and received wavelength / 1000.
+
+    With ``last`` only the latest ``last`` observations are kept (bounded,
+    for the network input); the first time, flux range and intervals still
+    come from the whole object."""
     from lcspark.operators.project import galactic_meta
     m = galactic_meta(meta, extragalactic)
-    df = _with_meta(collect_series(obs, tie), m)
+    if last:
+        series = collect_last_series(obs, tie, last, neighbours=True).withColumn("chunk", F.lit(0))
+    else:
+        series = collect_series(obs, tie, max_len, neighbours=True)
+    df = _with_meta(series, m)
     z = F.col("hostgal_specz") if use_specz else F.col("hostgal_photoz")
     zerr = F.lit(0.0) if use_specz else F.col("hostgal_photoz_err")
     fp = F.log2(F.col("fmax") - F.col("fmin"))
     df = df.withColumns({"_hm": log2_pow(F.col("fmax") - F.col("fmin")),
-                         "_first": F.col("s").getItem(0).getField("mjd"),
                          "_z1": z + F.lit(1.0)})
-    hm, first, z1 = F.col("_hm"), F.col("_first"), F.col("_z1")
+    hm, first, z1 = F.col("_hm"), F.col("first_mjd"), F.col("_z1")
     s = F.col("s")
-    t = F.transform(s, lambda x: F.try_divide((x["mjd"] - first) / F.lit(float(scale)), z1))
-    df = df.withColumn("_t", t)
+
+    def scaled(m):
+        return F.try_divide((m - first) / F.lit(float(scale)), z1)
+
+    # intervals use each observation's neighbours in the whole object (taken
+    # on rows before the collect), so they are right in every chunk
+    df = df.withColumns({
+        "_t": F.transform(s, lambda x: scaled(x["mjd"])),
+        "_fwd": F.transform(s, lambda x: F.when(x["_prev"].isNull(), F.lit(0.0))
+                            .otherwise(scaled(x["mjd"]) - scaled(x["_prev"]))),
+        "_bwd": F.transform(s, lambda x: F.when(x["_next"].isNull(), F.lit(0.0))
+                            .otherwise(scaled(x["_next"]) - scaled(x["mjd"]))),
+    })
     tt = F.col("_t")
     channels = [
         tt,
         F.transform(s, lambda x: x["flux"] / hm),
         F.transform(s, lambda x: x["flux_err"] / hm),
         F.transform(s, lambda x: x["detected"].cast("double")),
-        forward_diff(tt),
-        backward_diff(tt),
+        F.col("_fwd"),
+        F.col("_bwd"),
         F.transform(s, lambda x: F.try_divide(nm_of(x["passband"]), z1) / F.lit(1000.0)),
         F.transform(s, lambda x: nm_of(x["passband"]) / F.lit(1000.0)),
     ]
@@ -315,7 +367,7 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
                        fp / F.lit(10.0)).cast("array<float>")
     target = map_target("target") if "target" in df.columns else F.lit(UNKNOWN_CLASS_INDEX)
     return df.select(
-        "object_id", target.cast("int").alias("target"), meta_arr.alias("meta"),
+        "object_id", "chunk", target.cast("int").alias("target"), meta_arr.alias("meta"),
         F.col("hostgal_specz").cast("double").alias("specz"),
         F.transform(F.col("s.passband"), lambda x: band_index(x)).cast("array<int>").alias("band"),
         hist.alias("hist"),
@@ -328,7 +380,9 @@ def network_input(samples: DataFrame, length: int = 256, zeroed=(0, 3, 7),
                   n_classes: int = 15, offset: int = 0) -> DataFrame:
     """V8: per object, the network's input: meta, band padded / truncated
     to ``length`` (front), history padded the same way with channels 0, 3
-    and 7 zeroed, and the one-hot class.  Row by row, never collected."""
+    and 7 zeroed, and the one-hot class.  Row by row, never collected.
+    Build ``samples`` with ``samples_baseline(..., last=length)`` so that
+    each object is one bounded row (``network_input_from_obs``)."""
     from lcspark.functions.arrays import one_hot
     zero_row = F.array_repeat(F.lit(0.0).cast("float"), F.lit(8))
     h = F.col("hist")
@@ -342,3 +396,9 @@ def network_input(samples: DataFrame, length: int = 256, zeroed=(0, 3, 7),
         cleaned.alias("hist"),
         one_hot("target", n_classes, offset).alias("target_onehot"),
     )
+
+
+def network_input_from_obs(obs: DataFrame, meta: DataFrame, tie, length: int = 256, **kw) -> DataFrame:
+    """V8 from the observations with a bounded collect (latest ``length``
+    observations per object)."""
+    return network_input(samples_baseline(obs, meta, tie, last=length), length, **kw)

@@ -145,7 +145,7 @@ _G6_SEED, _G6_N = 3, 2
 def q_augment(spark, sf):
     s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
     a = G.augment(s, _G6_N, _G6_SEED)
-    a = a.select("object_id", "replica", "band", "hist", F.col("meta")[5].alias("m5"))
+    a = a.select("object_id", "chunk", "replica", "band", "hist", F.col("meta")[5].alias("m5"))
     ex = explode_arrays(a, ["object_id", "replica", "m5"], {"band": F.col("band"), "row": F.col("hist")})
     return ex.select("object_id", i64("replica").alias("replica"), "pos", i64("band").alias("band"),
                      *[f6(F.col("row")[i]).alias(f"h{i}") for i in range(8)], f6("m5").alias("m5"))
@@ -190,7 +190,7 @@ _FLAT = V.FLAT_CHANNELS
 @register("augmented_vectors", _g7_sql())
 def q_augmented_vectors(spark, sf):
     v = G.augmented_vectors(obs(spark, sf), meta(spark, sf), TIE[P], _G7_N, _G7_SEED)
-    v = v.select("replica", "object_id", "target", "band", *_FLAT,
+    v = v.select("replica", "object_id", "chunk", "target", "band", *_FLAT,
                  *[F.col("meta")[i].alias(f"m{i}") for i in range(4, 10)])
     ex = explode_arrays(v, ["replica", "object_id", "target"] + [f"m{i}" for i in range(4, 10)],
                         {"band": F.col("band"), **{c: F.col(c) for c in _FLAT}})

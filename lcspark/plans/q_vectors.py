@@ -262,7 +262,7 @@ def q_join_pivot_metadata(spark, sf):
     arr = V.vectors_raw(obs(spark, sf), TIE[P])
     m = meta(spark, sf).select("object_id", "target", C.meta_vector("raw6").alias("meta"))
     j = J.join_pivot_metadata(arr, m, ["target", "meta"])
-    j = j.select("object_id", "target", *[F.col("meta")[i].alias(f"m{i}") for i in range(6)],
+    j = j.select("object_id", "chunk", "target", *[F.col("meta")[i].alias(f"m{i}") for i in range(6)],
                  *[F.col(f)[0].alias(f) for f in FEATS])
     ex = explode_arrays(j, ["object_id", "target"] + [f"m{i}" for i in range(6)], {f: F.col(f) for f in FEATS})
     return ex.select("object_id", i64("target").alias("target"), *[r6(f"m{i}").alias(f"m{i}") for i in range(6)],
@@ -283,7 +283,7 @@ def q_join_pivot_metadata(spark, sf):
 def q_vectors_meta(spark, sf):
     v = V.vectors_meta(obs(spark, sf), meta(spark, sf), TIE[P])
     h = F.col("hist")[0]
-    v = v.select("object_id", "target", "specz", "band", "hist",
+    v = v.select("object_id", "chunk", "target", "specz", "band", "hist",
                  *[F.col("meta")[i].alias(f"m{i}") for i in range(5)])
     ex = explode_arrays(v, ["object_id", "target", "specz"] + [f"m{i}" for i in range(5)],
                         {"band": F.col("band"), "mjd": h["mjd"], "flux": h["flux"],
@@ -317,7 +317,8 @@ _CALC_OUT = ["mjd", "flux", "flux_err", "detected", "fwd_int", "bwd_int", "sourc
 
 
 def _calc_explode(v, channels):
-    v = v.select("object_id", "target", "band", *[F.col("meta")[i].alias(f"m{i}") for i in range(4, 10)],
+    v = v.select("object_id", "chunk", "target", "band",
+                 *[F.col("meta")[i].alias(f"m{i}") for i in range(4, 10)],
                  *[channels[c].alias(c) for c in _CALC_OUT])
     ex = explode_arrays(v, ["object_id", "target"] + [f"m{i}" for i in range(4, 10)],
                         {"band": F.col("band"), **{c: F.col(c) for c in _CALC_OUT}})
@@ -480,7 +481,7 @@ def _v7_out_sql():
 
 
 def _v7_explode(s):
-    s = s.select("object_id", "target", "specz", "band", "hist",
+    s = s.select("object_id", "chunk", "target", "specz", "band", "hist",
                  *[F.col("meta")[i].alias(f"m{i}") for i in range(4, 10)])
     ex = explode_arrays(s, ["object_id", "target", "specz"] + [f"m{i}" for i in range(4, 10)],
                         {"band": F.col("band"), "row": F.col("hist")})
@@ -525,8 +526,7 @@ def _v8_sql_simple(b, length):
 
 @register("network_input", _v8_sql_simple(P, 32))
 def q_network_input(spark, sf):
-    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
-    n = V.network_input(s, 32)
+    n = V.network_input_from_obs(obs(spark, sf), meta(spark, sf), TIE[P], 32)
     n = n.select("object_id", "band", "hist",
                  (F.array_position("target_onehot", F.lit(1.0)) - F.lit(1)).alias("onehot_index"))
     ex = explode_arrays(n, ["object_id", "onehot_index"], {"band": F.col("band"), "row": F.col("hist")})
@@ -541,7 +541,7 @@ def q_network_input(spark, sf):
     FROM samples""", meta=True, extra=_v7_rows_cte(P)))
 def q_zero_channels(spark, sf):
     s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
-    z = s.select("object_id", C.zero_channels_matrix("hist").alias("hist"))
+    z = s.select("object_id", "chunk", C.zero_channels_matrix("hist").alias("hist"))
     ex = explode_arrays(z, ["object_id"], {"row": F.col("hist")})
     return ex.select("object_id", "pos", *[f6(F.col("row")[i]).alias(f"h{i}") for i in range(8)])
 
@@ -550,7 +550,7 @@ def q_zero_channels(spark, sf):
 def q_hist_matrix(spark, sf):
     v = V.vectors_calculated(obs(spark, sf), meta(spark, sf), TIE[P])
     h = F.col("hist")[0]
-    m = v.select("object_id", "target", "band", "meta",
+    m = v.select("object_id", "chunk", "target", "band", "meta",
                  FA.hist_matrix([h[c].cast("array<double>") for c in _CALC_OUT]).alias("mx"))
     return _calc_explode(m, {c: F.transform("mx", _nth(i)) for i, c in enumerate(_CALC_OUT)})
 

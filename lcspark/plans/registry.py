@@ -40,8 +40,14 @@ def i64(c) -> Column:
 
 
 def explode_arrays(df, keys, arrays: dict, pos: str = "pos"):
-    """Exploded form of aligned arrays: keys, pos (0-based), one column per
-    array.  Used only to compare array results with row-wise oracles."""
+    """Exploded form of aligned arrays: keys, pos (0-based position in the
+    object; a ``chunk`` column, when present, counts MAX_ARRAY_LEN
+    positions), one column per array.  Used only to compare array results
+    with row-wise oracles."""
+    from lcspark.operators.aggregate import MAX_ARRAY_LEN
+    has_chunk = "chunk" in df.columns and "chunk" not in keys
+    ks = list(keys) + (["chunk"] if has_chunk else [])
     zipped = F.arrays_zip(*[_c(c).alias(n) for n, c in arrays.items()])
-    return (df.select(*keys, F.posexplode(zipped).alias(pos, "_z"))
-            .select(*keys, i64(pos).alias(pos), *[F.col(f"_z.{n}").alias(n) for n in arrays]))
+    out = df.select(*ks, F.posexplode(zipped).alias(pos, "_z"))
+    p = (F.col("chunk").cast("bigint") * F.lit(MAX_ARRAY_LEN) + F.col(pos)) if has_chunk else F.col(pos)
+    return out.select(*keys, i64(p).alias(pos), *[F.col(f"_z.{n}").alias(n) for n in arrays])
