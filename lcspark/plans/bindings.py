@@ -53,13 +53,27 @@ def obs_supp(spark, sf_dir) -> DataFrame:
     return _lineitem_obs(spark, sf_dir, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+def epoch_micros(df: DataFrame, col: str):
+    """Microseconds since 1970-01-01 of a timestamp column, independent of
+    the session time zone: a wall-clock (NTZ) value is read as UTC from its
+    date and time parts; an instant (LTZ) value is its epoch already."""
+    from pyspark.sql.types import TimestampNTZType
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+        minutes = F.hour(c).cast("bigint") * F.lit(60) + F.minute(c).cast("bigint")
+        micros_in_minute = (F.date_part(F.lit("SECOND"), c) * F.lit(1000000)).cast("bigint")
+        return days * F.lit(86400000000) + minutes * F.lit(60000000) + micros_in_minute
+    return F.unix_micros(c)
+
+
 def obs_event(spark, sf_dir) -> DataFrame:
     """Objects = users of the event stream: no time ties."""
     ev = _read(spark, sf_dir, "events")
     types = F.array(*[F.lit(t) for t in EVENT_TYPES])
     return ev.select(
         F.col("user_id").cast("bigint").alias("object_id"),
-        (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / F.lit(86400e6)
+        (epoch_micros(ev, "ts").cast("double") / F.lit(86400e6)
          + F.lit(float(UNIX_EPOCH_MJD))).alias("mjd"),
         (F.array_position(types, F.col("event_type")) - 1).cast("int").alias("passband"),
         F.col("value").cast("double").alias("flux"),

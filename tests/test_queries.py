@@ -61,3 +61,16 @@ def test_same_result_for_any_partition_count(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+@pytest.mark.parametrize("name", ["rank_asc_event", "typed_features", "vectors_flat_test", "source_wavelength"])
+def test_session_time_zone_does_not_matter(spark, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append(rows_of(entry.queries()[name](spark, SF).toPandas()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got[0] == got[1] == got[2]
