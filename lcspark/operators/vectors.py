@@ -306,7 +306,8 @@ def vectors_padded(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
 
 def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
                      use_specz: bool = False, scale: float = 100.0,
-                     last: int | None = None, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+                     last: int | None = None, max_len: int = MAX_ARRAY_LEN,
+                     limit: int | None = None) -> DataFrame:
     """V7: the baseline program's per-object samples as one set operation.
 
     Per object: target index (14 without a class column), 10-slot meta in
@@ -318,9 +319,14 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
 
     With ``last`` only the latest ``last`` observations are kept (bounded,
     for the network input); the first time, flux range and intervals still
-    come from the whole object."""
-    from lcspark.operators.project import galactic_meta
+    come from the whole object.
+
+    ``limit`` keeps the first ``limit`` objects by id among those that pass
+    the galactic filter (1,000,000 in the reference)."""
+    from lcspark.operators.project import galactic_meta, limit_objects
     m = galactic_meta(meta, extragalactic)
+    if limit:
+        obs = limit_objects(obs.join(m.select("object_id"), "object_id", "left_semi"), limit)
     if last:
         series = collect_last_series(obs, tie, last, neighbours=True).withColumn("chunk", F.lit(0))
     else:

@@ -646,10 +646,8 @@ def q_log_run(spark, sf):
     path = S.scratch_dir(spark, "runs")
     timer = S.StageTimer()
     with timer.stage("dataframe"):
-        n = obs(spark, sf).select("object_id").distinct()
-    with timer.stage("samples"):
-        pass
-    S.log_run(spark, {"program": "lcspark", "model": "vectors_padded", "data_source": sf, **timer.metrics}, path)
+        n_objects = obs(spark, sf).select("object_id").distinct().count()
+    S.log_run(spark, {"program": "lcspark", "model": "vectors_padded", "data_source": sf,
+                      "run_id": f"objects={n_objects}", **timer.metrics}, path)
     S.log_run(spark, {"program": "lcspark", "model": "vectors_flat", "data_source": sf, **timer.metrics}, path)
-    _ = n
     return S.read_table(spark, path)

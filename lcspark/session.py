@@ -49,3 +49,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="lcspark-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run, sized from the input: enough initial
+    shuffle partitions that each holds about ``target_partition_bytes``
+    (AQE then coalesces small ones and splits skewed join partitions),
+    scan splits of 256 MB, and windows that spill long objects early."""
+    parts = max(2 * total_cores, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.windowExec.buffer.spill.threshold": str(1 << 16),
+        "spark.sql.session.timeZone": "UTC",
+    }

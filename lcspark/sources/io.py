@@ -11,7 +11,6 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 
 from lcspark.schema import METADATA_SCHEMA, OBSERVATION_SCHEMA, RUN_METRICS_SCHEMA
 from lcspark.session import ensure_checkpoint_dir
@@ -152,5 +151,3 @@ class StageTimer:
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
-
-_ = F  # keep the functions import for callers using ``from io import *``

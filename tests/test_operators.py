@@ -239,3 +239,16 @@ def test_bounded_network_input_equals_full(spark, ragged):
     assert full.keys() == bounded.keys()
     for k in full:
         assert full[k].hist == bounded[k].hist and full[k].band == bounded[k].band
+
+
+def test_baseline_limit_counts_after_filter(spark, ragged):
+    meta = spark.createDataFrame([meta_row(1, photoz=0.0), meta_row(2), meta_row(3)], META)
+    got = [r.object_id for r in V.samples_baseline(ragged, meta, TIE, extragalactic=True, limit=1).collect()]
+    assert got == [2]
+
+
+def test_scale_conf_sizes_partitions():
+    from lcspark.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, 4000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(1, 8)["spark.sql.shuffle.partitions"]) == 16
