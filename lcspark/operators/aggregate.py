@@ -104,7 +104,8 @@ MAX_ARRAY_LEN = 1 << 16
 
 
 def series_chunks(obs: DataFrame, tie, payload, max_len: int = MAX_ARRAY_LEN,
-                  stats: bool = False, neighbours: bool = False, carry=()) -> DataFrame:
+                  stats: bool = False, neighbours: bool = False, carry=(),
+                  hot_threshold=None) -> DataFrame:
     """Per (object_id, chunk): ``s`` = time-sorted array of structs
     (mjd, tie..., payload...) of at most ``max_len`` observations.
 
@@ -115,7 +116,18 @@ def series_chunks(obs: DataFrame, tie, payload, max_len: int = MAX_ARRAY_LEN,
     previous and next time.  The collect then groups by (object_id, chunk),
     which the window's hash partitioning on object_id already satisfies, so
     the observations are shuffled once.  ``carry`` are per-object columns
-    (functionally dependent on the object)."""
+    (functionally dependent on the object).
+
+    Hot objects (see ``skew``) are numbered by the distributed global rank
+    instead of a per-object window, so their work is split across tasks."""
+    from lcspark.operators import skew
+    if hot_threshold is not False:
+        normal, hot, counts = skew.split_hot(obs, hot_threshold)
+        if hot is not None:
+            cold = series_chunks(normal, tie, payload, max_len, stats, neighbours, carry, False)
+            heavy = skew.hot_series_chunks(hot, counts, tie, [p for p in payload if p != "mjd"],
+                                           max_len, stats, neighbours, list(carry), hot_threshold)
+            return cold.unionByName(heavy.select(*cold.columns))
     w = object_window_asc(tie)
     w_obj = Window.partitionBy("object_id")
     payload = [p for p in payload if p != "mjd"]

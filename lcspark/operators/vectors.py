@@ -53,7 +53,8 @@ def collect_series(obs: DataFrame, tie, max_len: int = MAX_ARRAY_LEN,
     return series_chunks(obs, tie, CHANNELS, max_len, stats=True, neighbours=neighbours)
 
 
-def collect_last_series(obs: DataFrame, tie, length: int, neighbours: bool = False) -> DataFrame:
+def collect_last_series(obs: DataFrame, tie, length: int, neighbours: bool = False,
+                        hot_threshold=None) -> DataFrame:
     """Like ``collect_series`` but bounded: one row per object with the
     latest ``length`` observations (time-sorted), the flux max / min and the
     first time over *all* observations, and with ``neighbours`` each kept
@@ -63,7 +64,15 @@ def collect_last_series(obs: DataFrame, tie, length: int, neighbours: bool = Fal
     window aggregates over the object (a spillable buffer), a streaming
     row_number, a filter, then ``collect_list`` of at most ``length``
     structs.  A very long object therefore never sits in an aggregation
-    buffer; the collected array is bounded by ``length``."""
+    buffer; the collected array is bounded by ``length``.  Hot objects (see
+    ``skew``) take an exact salted two-stage top-L instead."""
+    from lcspark.operators import skew
+    if hot_threshold is not False:
+        normal, hot, counts = skew.split_hot(obs, hot_threshold)
+        if hot is not None:
+            cold = collect_last_series(normal, tie, length, neighbours, False)
+            heavy = skew.hot_last_series(hot, counts, tie, CHANNELS, length, neighbours, hot_threshold)
+            return cold.unionByName(heavy.select(*cold.columns))
     w_obj = Window.partitionBy("object_id")
     w_desc = object_window(tie, desc=True)
     extra = []

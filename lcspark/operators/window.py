@@ -37,16 +37,22 @@ def global_rank(df: DataFrame, order_cols, name: str = "global_rownum",
                 num_partitions: int | None = None) -> DataFrame:
     """Row number over the whole table without a one-partition window.
 
-    Rows are range-partitioned on the (total) order, each partition counts
-    its rows, the per-partition offsets are a running sum over one row per
-    partition (bounded by the partition count, so it is broadcast), and a
-    row's number is offset + its position inside the sorted partition.
-    Both branches read the same range exchange (Spark reuses it), so the
-    counts and the positions see the same partitioning.
+    Rows are range-partitioned on the (total) order and sorted inside each
+    partition; that layout is written once with ``checkpoint()`` to the
+    shared checkpoint folder (range bounds come from sampling, so the two
+    reads below must see one materialised layout, also after an executor
+    is lost).  Each partition counts its rows, the per-partition offsets are
+    a running sum over one row per partition (bounded by the partition
+    count, so it is broadcast), and a row's number is offset + its position
+    inside its partition.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    from lcspark.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or spark.sparkContext.defaultParallelism
     ordered = (df.repartitionByRange(n, *[F.col(c) for c in order_cols])
                .sortWithinPartitions(*order_cols)
+               .checkpoint(eager=True)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
