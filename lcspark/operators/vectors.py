@@ -417,3 +417,70 @@ def network_input_from_obs(obs: DataFrame, meta: DataFrame, tie, length: int = 2
     """V8 from the observations with a bounded collect (latest ``length``
     observations per object)."""
     return network_input(samples_baseline(obs, meta, tie, last=length), length, **kw)
+
+
+def vectors_padded_relational(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
+                              augment: bool = False, seed: int = 0, replica: int = 0,
+                              scope: str = "obs") -> DataFrame:
+    """V5 in relational form, step by step as the fifth-model SQL: flux
+    modifiers (A3), latest-L ranks (W9), grid x rank left join with pad
+    values (J4, J5, C8), normalisation, augmentation per row, the ascending
+    and descending interval windows (W8, W7) joined on equal rank (J6),
+    the jittered metadata, then one collect per object.  Same rows as
+    ``vectors_padded``; kept as the readable definition and for plan
+    comparison (it needs several shuffles where the array path needs one)."""
+    from lcspark.operators.aggregate import flux_modifiers
+    from lcspark.operators.join import grid_left_join, padding_grid
+    L = length
+    mods = flux_modifiers(obs)
+    ranked = keep_last(obs, tie, L).select("object_id", "rownum_desc", *CHANNELS)
+    objects = obs.select("object_id").distinct()
+    padded = grid_left_join(padding_grid(objects, L, "r"), ranked, "rownum_desc", "r", PAD)
+    padded = padded.join(mods.select("object_id", "hist_modifier"), "object_id").withColumns({
+        "flux": F.col("flux") / F.col("hist_modifier"),
+        "flux_err": F.col("flux_err") / F.col("hist_modifier")})
+    m = meta.select("object_id", "hostgal_photoz", "hostgal_photoz_err")
+    rows = padded.join(m, "object_id")
+    z, ze, oid, rep = (F.col("hostgal_photoz"), F.col("hostgal_photoz_err"), F.col("object_id"),
+                       F.lit(replica))
+    if augment:
+        ukey = (oid, F.col("r"), rep) if scope == "obs" else (oid, rep)
+        zn = _uniform_jitter(z, ze, keyed_uniform(seed, "dt", *ukey))
+        rows = rows.withColumns({
+            "mjd": F.col("mjd") * ((F.lit(1.0) + z) / (F.lit(1.0) + zn)),
+            "flux": _uniform_jitter(F.col("flux"), F.col("flux_err"),
+                                    keyed_uniform(seed, "flux", oid, F.col("r"), rep))})
+    w = Window.partitionBy("object_id").orderBy(F.col("mjd").asc(), F.col("r").desc())
+    wd = Window.partitionBy("object_id").orderBy(F.col("mjd").desc(), F.col("r").asc())
+    c1 = rows.select("object_id", "mjd", "passband", "flux", "flux_err", "detected",
+                     (F.col("mjd") - F.first("mjd").over(w)).alias("interval"),
+                     F.coalesce(F.col("mjd") - F.lag("mjd").over(w), F.lit(0.0)).alias("deltaMjd"),
+                     F.row_number().over(w).alias("rownum"))
+    c2 = rows.select("object_id", (F.first("mjd").over(wd) - F.col("mjd")).alias("rval"),
+                     F.row_number().over(wd).alias("rownum"))
+    j = c1.join(c2, ["object_id", "rownum"])
+    mm = meta.join(mods.select("object_id", "meta_val"), "object_id")
+    if augment:
+        mm = mm.withColumn("_z", _uniform_jitter(z, ze, keyed_uniform(seed, "photoz", oid, rep)))
+    else:
+        mm = mm.withColumn("_z", z)
+    mm = mm.select("object_id", "_z", "ddf", "hostgal_specz", "hostgal_photoz", "mwebv", "meta_val",
+                   *[c for c in ("target",) if c in meta.columns])
+    j = j.join(mm, "object_id").withColumns({
+        "source_wavelength": F.try_divide(nm_of(F.col("passband")), F.col("_z") + F.lit(1.0)) / F.lit(1000.0),
+        "received_wavelength": nm_of(F.col("passband")) / F.lit(1000.0)})
+    chans = ["interval", "deltaMjd", "rval", "flux", "flux_err", "detected", "source_wavelength",
+             "received_wavelength"]
+    s = sorted_struct_array(F.col("rownum"), F.col("passband"), *[F.col(c) for c in chans])
+    meta_arr = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("ddf").cast("double"),
+                       F.col("hostgal_specz").cast("double"), F.col("_z").cast("double"),
+                       F.col("mwebv").cast("double"), photoz_positive("hostgal_photoz").cast("double"),
+                       F.col("meta_val"))
+    target = (map_target("target") if "target" in meta.columns else F.lit(UNKNOWN_CLASS_INDEX)).cast("int")
+    g = j.groupBy("object_id").agg(
+        s.alias("s"), F.any_value(meta_arr).alias("meta"), F.any_value(target).alias("target"),
+        F.any_value(F.col("hostgal_specz").cast("double")).alias("specz"))
+    hist = F.struct(*[F.col(f"s.{c}").cast("array<int>" if c == "detected" else "array<float>").alias(c)
+                      for c in chans])
+    return g.select("object_id", "meta", "target", "specz",
+                    F.col("s.passband").cast("array<int>").alias("band"), F.array(hist).alias("hist"))

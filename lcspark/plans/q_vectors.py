@@ -438,6 +438,17 @@ def _v5_query(name, b, length, augment=False, scope="obs", seed=0):
 
 
 _v5_query("vectors_padded", P, 32)
+
+
+@register("vectors_padded_relational", _v5_sql(P, 32))
+def q_vectors_padded_relational(spark, sf):
+    return _v5_explode(V.vectors_padded_relational(obs(spark, sf), meta(spark, sf), TIE[P], 32))
+
+
+@register("vectors_padded_augmented_relational", _v5_sql(P, 32, True, "obs", 7))
+def q_vectors_padded_augmented_relational(spark, sf):
+    return _v5_explode(V.vectors_padded_relational(obs(spark, sf), meta(spark, sf), TIE[P], 32,
+                                                   augment=True, seed=7))
 _v5_query("vectors_padded_supp", "obs_supp", 256)
 _v5_query("vectors_padded_augmented", P, 32, augment=True, scope="obs", seed=7)
 _v5_query("vectors_padded_augmented_object", P, 32, augment=True, scope="object", seed=7)

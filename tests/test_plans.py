@@ -62,3 +62,9 @@ def test_global_rank_has_no_single_partition_window(spark):
     assert "ExistingRDD" in plan
     assert kinds.count("SinglePartition") <= 1
     assert "Window [row_number()" not in plan
+
+
+def test_relational_padded_needs_many_more_shuffles(spark):
+    fast = shuffles(executed(entry.queries()["vectors_padded"](spark, SF)))
+    slow = shuffles(executed(entry.queries()["vectors_padded_relational"](spark, SF)))
+    assert len(fast) <= 2 and len(slow) >= 4 * len(fast)
