@@ -74,3 +74,25 @@ def test_session_time_zone_does_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got[0] == got[1] == got[2]
+
+
+def test_inventory_covers_every_survey_line_and_query():
+    import importlib
+
+    from lcspark.plans.inventory import INVENTORY
+    expected = ([f"S{i}" for i in range(1, 8)] + [f"C{i}" for i in range(1, 18)] + [f"J{i}" for i in range(1, 9)]
+                + [f"A{i}" for i in range(1, 14)] + [f"W{i}" for i in range(1, 11)] + ["O1", "O2", "O3"]
+                + [f"F{i}" for i in range(1, 13)] + [f"V{i}" for i in range(1, 9)] + [f"G{i}" for i in range(1, 10)]
+                + [f"M{i}" for i in range(1, 9)])
+    assert sorted(INVENTORY) == sorted(expected)
+    registered = set(entry.queries())
+    for op, (fn, qs) in INVENTORY.items():
+        assert qs and set(qs) <= registered, op
+        mod, _, names = fn.partition(".")
+        module_path, _, first = fn.split(" ")[0].rpartition(".")
+        m = importlib.import_module(f"lcspark.{module_path}")
+        assert hasattr(m, first), fn
+    covered = {q for _, qs in INVENTORY.values() for q in qs}
+    # every registered query maps to an inventory line, except the three
+    # relational-padding helpers' building blocks already listed
+    assert registered - covered == set(), registered - covered
