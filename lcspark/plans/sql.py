@@ -7,7 +7,7 @@ keyed random numbers from md5 in the same way.
 
 from __future__ import annotations
 
-from lcspark.schema import CLASS_CODES
+from lcspark.schema import CLASS_CODES, PASSBAND_NM
 
 CLASS_LIST = "[" + ", ".join(str(c) for c in CLASS_CODES) + "]"
 
@@ -123,5 +123,6 @@ def f6(expr: str) -> str:
 
 
 def wavelength_nm_sql(pb: str) -> str:
-    return (f"(CASE WHEN {pb} = 0 THEN 357.0 WHEN {pb} = 1 THEN 477.0 WHEN {pb} = 2 THEN 621.0 "
-            f"WHEN {pb} = 3 THEN 754.0 WHEN {pb} = 4 THEN 871.0 ELSE 1004.0 END)")
+    """Passband -> nm as a CASE chain; other values take the last band."""
+    whens = " ".join(f"WHEN {pb} = {i} THEN {float(nm)}" for i, nm in enumerate(PASSBAND_NM[:-1]))
+    return f"(CASE {whens} ELSE {float(PASSBAND_NM[-1])} END)"
