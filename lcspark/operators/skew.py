@@ -129,3 +129,41 @@ def hot_last_series(hot: DataFrame, hot_counts, tie, channels, length: int, neig
             "_prev", F.when(i + off >= F.lit(1), a[i + off - F.lit(1)]["mjd"])).withField(
             "_next", F.when(i + off + F.lit(1) < F.size(a), a[i + off + F.lit(1)]["mjd"])))
     return df.select("object_id", s.alias("s"), "fmax", "fmin", "first_mjd")
+
+
+def object_ranks(obs: DataFrame, tie, neighbours: bool = False, threshold: int | None = None) -> DataFrame:
+    """Rows of ``obs`` with their place in the object: ``_rank`` (1..n in
+    (time, tie) order), ``_n`` (rows in the object), ``_first`` and
+    ``_last`` (first and last time) and, with ``neighbours``, ``_prev`` and
+    ``_next`` (the previous and next time, null at the ends).
+
+    Normal objects: one window pass (one sort per object).  Hot objects:
+    the distributed global rank minus the object's first number; counts
+    and first/last times are partial aggregates broadcast per hot object;
+    neighbours are a self-join on the global number."""
+    from lcspark.operators.window import global_rank, object_window
+    normal, hot, counts = split_hot(obs, threshold)
+    w = object_window(tie)
+    w_obj = Window.partitionBy("object_id")
+    cols = {"_rank": F.row_number().over(w), "_n": F.count(F.lit(1)).over(w_obj),
+            "_first": F.min("mjd").over(w_obj), "_last": F.max("mjd").over(w_obj)}
+    if neighbours:
+        cols.update({"_prev": F.lag("mjd").over(w), "_next": F.lead("mjd").over(w)})
+    out = normal.withColumns(cols)
+    if hot is None:
+        return out
+    threshold = HOT_OBJECT_ROWS if threshold is None else threshold
+    parts = max(1, math.ceil(sum(n for _, n in counts) / threshold))
+    g = global_rank(hot, ["object_id", "mjd", *tie], "_g", num_partitions=parts)
+    per = g.groupBy("object_id").agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"),
+                                     F.min("mjd").alias("_first"), F.max("mjd").alias("_last"))
+    rows = g.join(F.broadcast(per), "object_id").withColumn("_rank", F.col("_g") - F.col("_g0") + F.lit(1))
+    if neighbours:
+        prev = rows.select((F.col("_g") + F.lit(1)).alias("_g"), F.col("mjd").alias("_prev"),
+                           F.col("object_id").alias("_po"))
+        nxt = rows.select((F.col("_g") - F.lit(1)).alias("_g"), F.col("mjd").alias("_next"),
+                          F.col("object_id").alias("_no"))
+        rows = (rows.join(prev, "_g", "left").join(nxt, "_g", "left")
+                .withColumn("_prev", F.when(F.col("_po") == F.col("object_id"), F.col("_prev")))
+                .withColumn("_next", F.when(F.col("_no") == F.col("object_id"), F.col("_next"))))
+    return out.unionByName(rows.select(*out.columns))

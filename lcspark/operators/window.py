@@ -23,14 +23,28 @@ def object_window(tie, desc: bool = False, time: str = "mjd", key: str = "object
     return Window.partitionBy(key).orderBy(*order_keys(tie, desc, time))
 
 
+def _ranks(obs: DataFrame, tie, neighbours: bool = False) -> DataFrame:
+    from lcspark.operators.skew import object_ranks
+    return object_ranks(obs, tie, neighbours)
+
+
+_PLACE = ["_rank", "_n", "_first", "_last", "_prev", "_next"]
+
+
+def _drop_place(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in _PLACE if c in df.columns])
+
+
 def rank_asc(obs: DataFrame, tie, name: str = "rownum") -> DataFrame:
     """row_number per object by ascending time."""
-    return obs.withColumn(name, F.row_number().over(object_window(tie)))
+    return _drop_place(_ranks(obs, tie).withColumn(name, F.col("_rank")))
 
 
 def rank_desc(obs: DataFrame, tie, name: str = "rownum_desc") -> DataFrame:
-    """row_number per object by descending time."""
-    return obs.withColumn(name, F.row_number().over(object_window(tie, desc=True)))
+    """row_number per object by descending time (n + 1 - ascending
+    rank: descending order is the exact reverse)."""
+    r = _ranks(obs, tie)
+    return _drop_place(r.withColumn(name, F.col("_n") - F.col("_rank") + F.lit(1)))
 
 
 def global_rank(df: DataFrame, order_cols, name: str = "global_rownum",
@@ -70,24 +84,24 @@ def elapsed_time(obs: DataFrame, tie, name: str = "elapsed", scale: float = 1.0,
                  redshift: str | None = None) -> DataFrame:
     """Time since the first observation, optionally divided by
     ``scale`` (100 in the baseline) and by (1 + z)."""
-    t = F.col("mjd") - F.first("mjd").over(object_window(tie))
+    t = F.col("mjd") - F.col("_first")
     if scale != 1.0:
         t = t / F.lit(float(scale))
     if redshift is not None:
         t = F.try_divide(t, col_of(redshift) + F.lit(1.0))
-    return obs.withColumn(name, t)
+    return _drop_place(_ranks(obs, tie).withColumn(name, t))
 
 
 def delta_time(obs: DataFrame, tie, name: str = "delta_mjd") -> DataFrame:
     """Mjd - previous mjd, 0 for the first observation."""
-    w = object_window(tie)
-    return obs.withColumn(name, F.coalesce(F.col("mjd") - F.lag("mjd").over(w), F.lit(0.0)))
+    r = _ranks(obs, tie, neighbours=True)
+    return _drop_place(r.withColumn(name, F.coalesce(F.col("mjd") - F.col("_prev"), F.lit(0.0))))
 
 
 def lead_time(obs: DataFrame, tie, name: str = "lead_mjd") -> DataFrame:
     """Next mjd - mjd, 0 for the last observation."""
-    w = object_window(tie)
-    return obs.withColumn(name, F.coalesce(F.lead("mjd").over(w) - F.col("mjd"), F.lit(0.0)))
+    r = _ranks(obs, tie, neighbours=True)
+    return _drop_place(r.withColumn(name, F.coalesce(F.col("_next") - F.col("mjd"), F.lit(0.0))))
 
 
 def reverse_elapsed(obs: DataFrame, tie, mode: str = "aligned", name: str = "rval") -> DataFrame:
@@ -98,35 +112,32 @@ def reverse_elapsed(obs: DataFrame, tie, mode: str = "aligned", name: str = "rva
     ascending numbers on equal rank, so row k gets the value of row n+1-k
     (the relational form of the padded-table query; see ``rank_join``).
     """
+    r = _ranks(obs, tie)
     if mode == "aligned":
-        last = F.max("mjd").over(Window.partitionBy("object_id"))
-        return obs.withColumn(name, last - F.col("mjd"))
+        return _drop_place(r.withColumn(name, F.col("_last") - F.col("mjd")))
     if mode == "mirrored":
         from lcspark.operators.join import rank_join
-        wd = object_window(tie, desc=True)
-        desc = obs.select("object_id",
-                          (F.first("mjd").over(wd) - F.col("mjd")).alias(name),
-                          F.row_number().over(wd).alias("rownum"))
-        asc = rank_asc(obs, tie, "rownum")
+        desc = r.select("object_id", (F.col("_last") - F.col("mjd")).alias(name),
+                        (F.col("_n") - F.col("_rank") + F.lit(1)).alias("rownum"))
+        asc = _drop_place(r.withColumn("rownum", F.col("_rank")))
         return rank_join(asc, desc).drop("rownum")
     raise ValueError(f"unknown mode {mode!r}")
 
 
 def interval_features(obs: DataFrame, tie) -> DataFrame:
-    """Interval since first, delta to previous and the row number with
-    one named window (one sort)."""
-    w = object_window(tie)
-    return obs.withColumns({
-        "interval": F.col("mjd") - F.first("mjd").over(w),
-        "delta_mjd": F.coalesce(F.col("mjd") - F.lag("mjd").over(w), F.lit(0.0)),
-        "rownum": F.row_number().over(w),
-    })
+    """Interval since first, delta to previous and the row number
+    from one pass over the object's rows (one sort)."""
+    r = _ranks(obs, tie, neighbours=True)
+    return _drop_place(r.withColumns({
+        "interval": F.col("mjd") - F.col("_first"),
+        "delta_mjd": F.coalesce(F.col("mjd") - F.col("_prev"), F.lit(0.0)),
+        "rownum": F.col("_rank"),
+    }))
 
 
 def keep_last(obs: DataFrame, tie, length: int, name: str = "rownum_desc") -> DataFrame:
     """The latest ``length`` observations of each object, with their
-    descending rank.  row_number streams over the sorted partition, so a
-    long object is never held in memory."""
+    descending rank."""
     return rank_desc(obs, tie, name).filter(F.col(name) <= F.lit(length))
 
 

@@ -66,3 +66,25 @@ def test_hot_plan_spreads_the_object(spark, hot_threshold):
     # an RDD scan) and their chunks are hashed by (object_id, chunk)
     assert "ExistingRDD" in plan
     assert "hashpartitioning(object_id" in plan and "chunk" in plan
+
+
+@pytest.mark.parametrize("binding,threshold", [("obs_supp", 400), ("obs_part", 5)])
+def test_hot_window_operators_equal_normal(spark, hot_threshold, binding, threshold):
+    from lcspark.operators import window as W
+    o, tie = B.OBS[binding](spark, SF), B.TIE[binding]
+
+    def all_ops():
+        return {
+            "asc": W.rank_asc(o, tie), "desc": W.rank_desc(o, tie),
+            "elapsed": W.elapsed_time(o, tie, scale=100.0),
+            "delta": W.delta_time(o, tie), "lead": W.lead_time(o, tie),
+            "aligned": W.reverse_elapsed(o, tie, "aligned"), "mirrored": W.reverse_elapsed(o, tie, "mirrored"),
+            "intervals": W.interval_features(o, tie), "last": W.keep_last(o, tie, 50),
+        }
+    hot_threshold(1 << 40)
+    ref = {k: rows(v) for k, v in all_ops().items()}
+    hot_threshold(threshold)
+    assert skew.hot_object_counts(o) != []
+    got = {k: rows(v) for k, v in all_ops().items()}
+    for k in ref:
+        assert got[k] == ref[k], k
