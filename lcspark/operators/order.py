@@ -10,13 +10,14 @@ from lcspark.operators.window import order_keys
 
 def order_observations(obs: DataFrame, tie, desc: bool = False,
                        num_partitions: int | None = None) -> DataFrame:
-    """O1: rows of an object together and in time order, without a global
-    sort: hash-partition on object_id, then sort inside each partition.
-    (A global ``orderBy`` range-partitions the whole table; use it only
-    for the final output order.)"""
+    """O1: rows of an object together and in time order: range partitions
+    on (object_id, time, tie) with a sort inside each partition.  Unlike a
+    hash partitioning on object_id, a range partitioning splits an object
+    with very many rows over consecutive partitions (each in order), so no
+    task sorts a whole hot object."""
     parts = [num_partitions] if num_partitions else []
-    return (obs.repartition(*parts, "object_id")
-            .sortWithinPartitions(F.col("object_id"), *order_keys(tie, desc)))
+    keys = [F.col("object_id")] + order_keys(tie, desc)
+    return obs.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys)
 
 
 def preview(df: DataFrame, n: int, order_cols) -> DataFrame:
