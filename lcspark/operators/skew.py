@@ -23,13 +23,26 @@ HOT_OBJECT_ROWS = 1 << 22
 _INLIST_MAX = 1000
 
 
+# Sampled rows a hot object contributes on average to the detection.
+_DETECT_ROWS = 2000
+
+
 def hot_object_counts(obs: DataFrame, threshold: int | None = None) -> list[tuple[int, int]]:
-    """(object_id, rows) of the hot objects.  A bounded list: at most
-    rows(obs) / threshold entries."""
+    """(object_id, estimated rows) of the hot objects.  A bounded list: at
+    most rows(obs) / threshold entries.
+
+    The decision only picks which (equivalent) path an object takes, so it
+    counts a Bernoulli sample of fraction min(1, 2000 / threshold): a hot
+    object still shows about 2000 sampled rows, and the shuffle carries the
+    sample instead of one row per object.  Small thresholds count exactly."""
     threshold = HOT_OBJECT_ROWS if threshold is None else threshold
-    rows = (obs.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > F.lit(threshold)).collect())
-    return [(r["object_id"], r["n"]) for r in rows]
+    fraction = min(1.0, _DETECT_ROWS / float(threshold))
+    src = obs.select("object_id")
+    if fraction < 1.0:
+        src = src.sample(withReplacement=False, fraction=fraction, seed=17)
+    rows = (src.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > F.lit(threshold * fraction)).collect())
+    return [(r["object_id"], int(round(r["n"] / fraction))) for r in rows]
 
 
 def split_hot(obs: DataFrame, threshold: int | None = None):

@@ -88,3 +88,12 @@ def test_hot_window_operators_equal_normal(spark, hot_threshold, binding, thresh
     got = {k: rows(v) for k, v in all_ops().items()}
     for k in ref:
         assert got[k] == ref[k], k
+
+
+def test_sampled_detection_finds_large_objects(spark):
+    # 30 objects of 20 rows and one of 60,000: with threshold 20,000 the
+    # detection samples 10% and still finds only the large one
+    df = spark.range(60600).select(
+        F.when(F.col("id") < 60000, F.lit(999)).otherwise(F.col("id") % 30).cast("bigint").alias("object_id"))
+    hot = skew.hot_object_counts(df, 20000)
+    assert [h[0] for h in hot] == [999] and 50000 < hot[0][1] < 70000
