@@ -1,9 +1,11 @@
 """Windows and time features.
 
-All per-object windows partition by ``object_id`` and order by
-``(mjd, *tie)``; the descending order is the exact reverse, so the
-descending rank of a row is ``n + 1 -`` its ascending rank.  Several
-features over one WindowSpec share one sort.
+All per-object order is ``(mjd, *tie)``; the descending order is the exact
+reverse, so the descending rank of a row is ``n + 1 -`` its ascending rank.
+The operators take a row's place in its object (rank, count, first and
+last time, neighbours) from ``skew.object_ranks``: one window pass over one
+sort per object for normal objects, the distributed global rank for hot
+objects, so no task orders a very large object alone.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def global_rank(df: DataFrame, order_cols, name: str = "global_rownum",
     from lcspark.session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or spark.sparkContext.defaultParallelism
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (df.repartitionByRange(n, *[F.col(c) for c in order_cols])
                .sortWithinPartitions(*order_cols)
                .checkpoint(eager=True)
