@@ -116,22 +116,26 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
     ze = F.col("meta")[6].cast("double")
     zn = clip(normal_jitter(z, ze, keyed_normal(seed, "z", oid, rep)), Z_MIN, Z_MAX)
     df = df.withColumn("_zn", zn).withColumn("_dt", (F.lit(1.0) + z) / (F.lit(1.0) + F.col("_zn")))
-    rows = F.arrays_zip(F.col("band").alias("band"), F.col("hist").alias("h"))
-    indexed = F.transform(rows, lambda r, i: F.struct(i.alias("i"), r["band"].alias("band"), r["h"].alias("h")))
     # position in the whole object (chunks count MAX_ARRAY_LEN positions)
     base = (F.col("chunk") * F.lit(MAX_ARRAY_LEN)) if "chunk" in samples.columns else F.lit(0)
-    indexed = F.transform(indexed, lambda r: r.withField("i", r["i"] + base))
-    kept = F.filter(indexed, lambda r: keyed_uniform(seed, "drop", oid, r["i"], rep) >= F.lit(rate))
-    df = df.withColumn("_k", kept)
-    t = F.transform(F.col("_k"), lambda r: r["h"][0].cast("double"))
-    df = df.withColumns({"_t": t})
+    df = df.withColumn("_base", base.cast("bigint"))
+    # one keep flag per position, then index-based filters of the kept
+    # positions, bands and history rows (no per-row structs are built)
+    df = df.withColumn("_keep", F.transform(
+        F.col("band"), lambda _b, i: keyed_uniform(seed, "drop", oid, i + F.col("_base"), rep) >= F.lit(rate)))
+    keep = F.col("_keep")
+    df = df.withColumns({
+        "_ki": F.filter(F.transform(F.col("band"), lambda _b, i: i + F.col("_base")), lambda _x, i: keep[i]),
+        "_kb": F.filter(F.col("band"), lambda _x, i: keep[i]),
+        "_kh": F.filter(F.col("hist"), lambda _x, i: keep[i]),
+    })
+    df = df.withColumn("_t", F.transform(F.col("_kh"), lambda h: h[0].cast("double")))
     df = df.withColumns({"_fwd": forward_diff("_t"), "_bwd": backward_diff("_t")})
     dt = F.col("_dt")
 
-    def new_row(r, j):
-        h = r["h"]
+    def new_row(h, j):
         flux = normal_jitter(h[1].cast("double"), h[2].cast("double"),
-                             keyed_normal(seed, "flux", oid, r["i"], rep))
+                             keyed_normal(seed, "flux", oid, F.col("_ki")[j], rep))
         vals = [
             F.col("_t")[j] * dt, flux, h[2].cast("double"), h[3].cast("double"),
             F.col("_fwd")[j] * dt, F.col("_bwd")[j] * dt, h[6].cast("double") * dt, h[7].cast("double"),
@@ -142,8 +146,8 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
     chunk = [c for c in ("chunk",) if c in samples.columns]
     return df.select(
         "object_id", *chunk, replica, "target", meta.alias("meta"), "specz",
-        F.transform(F.col("_k"), lambda r: r["band"]).alias("band"),
-        F.transform(F.col("_k"), new_row).alias("hist"),
+        F.col("_kb").alias("band"),
+        F.transform(F.col("_kh"), new_row).alias("hist"),
     )
 
 
