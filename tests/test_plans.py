@@ -68,3 +68,22 @@ def test_relational_padded_needs_many_more_shuffles(spark):
     fast = shuffles(executed(entry.queries()["vectors_padded"](spark, SF)))
     slow = shuffles(executed(entry.queries()["vectors_padded_relational"](spark, SF)))
     assert len(fast) <= 2 and len(slow) >= 4 * len(fast)
+
+
+@pytest.mark.parametrize("name", ["vectors_calculated", "vectors_padded_supp", "samples_baseline", "network_input"])
+def test_large_metadata_is_shuffled_once_without_reshuffling_observations(spark, name):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        plan = executed(entry.queries()[name](spark, SF))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    ex = shuffles(plan)
+    assert len(ex) == 2 and all(k == "hashpartitioning" and a.startswith("object_id") for k, a in ex), ex
+    assert "Broadcast" not in plan
