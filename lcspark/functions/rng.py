@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["keyed_uniform", "keyed_normal", "keyed_hash_string"]
+__all__ = ["keyed_uniform", "keyed_normal", "keyed_hash_string", "round6"]
 
 
 def _as_col(k) -> Column:
@@ -33,10 +33,18 @@ def keyed_uniform(seed: int, tag: str, *keys) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def round6(x: Column) -> Column:
+    """floor(x * 1e6 + 0.5) / 1e6: rounding to 6 places by plain IEEE
+    arithmetic, so every engine gets the same double (engines' own round()
+    functions break ties differently)."""
+    return F.floor(x * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
+
+
 def keyed_normal(seed: int, tag: str, *keys) -> Column:
     """Standard normal draw by Box-Muller from two keyed uniforms, rounded
-    to 6 places so that the draw is the same in every engine."""
+    to 6 places so that the draw is the same in every engine (the libm
+    results of log, sqrt and cos may differ in the last bit)."""
     u1 = keyed_uniform(seed, f"{tag}.a", *keys)
     u2 = keyed_uniform(seed, f"{tag}.b", *keys)
     z = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-    return F.round(z, 6)
+    return round6(z)

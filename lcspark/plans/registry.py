@@ -26,13 +26,16 @@ def _c(c) -> Column:
 
 
 def r6(c) -> Column:
-    """double rounded to 6 places (oracle parity)."""
-    return F.round(_c(c).cast("double"), 6)
+    """double rounded to 6 places by floor(x * 1e6 + 0.5) / 1e6 (oracle
+    parity: the same IEEE operations in Spark and in the SQL oracle)."""
+    from lcspark.functions.rng import round6
+    return round6(_c(c).cast("double"))
 
 
 def f6(c) -> Column:
     """float32 storage read back as double, rounded to 6 places."""
-    return F.round(_c(c).cast("float").cast("double"), 6)
+    from lcspark.functions.rng import round6
+    return round6(_c(c).cast("float").cast("double"))
 
 
 def i64(c) -> Column:

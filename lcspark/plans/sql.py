@@ -106,7 +106,12 @@ def keyed_uniform_sql(seed: int, tag: str, *keys: str) -> str:
 def keyed_normal_sql(seed: int, tag: str, *keys: str) -> str:
     u1 = keyed_uniform_sql(seed, f"{tag}.a", *keys)
     u2 = keyed_uniform_sql(seed, f"{tag}.b", *keys)
-    return f"round(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2}), 6)"
+    return round6_sql(f"sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2})")
+
+
+def round6_sql(expr: str) -> str:
+    """floor(x * 1e6 + 0.5) / 1e6 in plain double arithmetic."""
+    return f"(floor(({expr}) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1e6 AS DOUBLE))"
 
 
 def map_target_sql(col: str) -> str:
@@ -114,12 +119,12 @@ def map_target_sql(col: str) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    return round6_sql(f"CAST({expr} AS DOUBLE)")
 
 
 def f6(expr: str) -> str:
     """float32 storage, read back as double and rounded."""
-    return f"round(CAST(CAST({expr} AS FLOAT) AS DOUBLE), 6)"
+    return round6_sql(f"CAST(CAST({expr} AS FLOAT) AS DOUBLE)")
 
 
 def wavelength_nm_sql(pb: str) -> str:
