@@ -113,3 +113,15 @@ def test_keyed_normal_moments(spark):
     mean = sum(zs) / len(zs)
     var = sum((z - mean) ** 2 for z in zs) / len(zs)
     assert abs(mean) < 0.05 and abs(math.sqrt(var) - 1) < 0.05
+
+
+def test_round6_is_identical_in_spark_and_duckdb(spark):
+    import duckdb
+
+    from lcspark.plans.registry import r6
+    from lcspark.plans.sql import r6 as r6s
+    vals = [51871.4158355, 0.0000005, -0.0000005, 1.2345665, 2.5e-7, 123456.7890125, -3.1415925, 0.1 + 0.2]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x double").select(r6("x")).collect()]
+    con = duckdb.connect()
+    exp = [con.execute(f"SELECT {r6s('x')} FROM (SELECT CAST(? AS DOUBLE) AS x)", [v]).fetchone()[0] for v in vals]
+    assert got == exp
