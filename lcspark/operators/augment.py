@@ -109,7 +109,10 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
     [0, 5], dt = (1 + z) / (1 + z'), flux ~ N(flux, flux_err / 1.5), and
     multiply time, intervals and source wavelength by dt; meta slot 5
     becomes z'.  ``n`` may be a column (e.g. by galactic flag).  Keys:
-    (object_id, original position, replica) and (object_id, replica)."""
+    (object_id, original position, replica) and (object_id, replica).
+    Intervals after the drop are recomputed inside a row, so for an object
+    stored as several chunks (over MAX_ARRAY_LEN observations) the first
+    kept observation of each chunk starts at interval 0."""
     df = replicate(samples, n, replica)
     oid, rep = F.col("object_id"), F.col(replica)
     z = F.col("meta")[5].cast("double")
