@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lcspark.functions.arrays import (backward_diff, forward_diff, hist_matrix,
+from lcspark.functions.arrays import (forward_diff, hist_matrix,
                                       keep_last_elements, pad_array, sorted_struct_array)
 from lcspark.functions.expr import (band_index, log2_pow, map_target, photoz_positive)
 from lcspark.functions.rng import keyed_uniform

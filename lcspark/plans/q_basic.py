@@ -10,7 +10,7 @@ from lcspark.operators import join as J
 from lcspark.operators import project as C
 from lcspark.operators import window as W
 from lcspark.plans import bindings as B
-from lcspark.plans.registry import f6, i64, r6, register
+from lcspark.plans.registry import i64, r6, register
 from lcspark.plans.sql import (TIE_SQL, f6 as f6s, map_target_sql, r6 as r6s,
                                wavelength_nm_sql, with_binding)
 from lcspark.sources import io as S

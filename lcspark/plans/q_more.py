@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lcspark.functions import arrays as FA
 from lcspark.functions.expr import clip, map_target
-from lcspark.functions.rng import keyed_uniform
 from lcspark.operators import aggregate as A
 from lcspark.operators import augment as G
 from lcspark.operators import ml as M
@@ -17,10 +16,10 @@ from lcspark.operators import vectors as V
 from lcspark.operators import window as W
 from lcspark.operators.order import append_replicas, order_observations, preview
 from lcspark.plans import bindings as B
-from lcspark.plans.q_basic import KEYS, TIE, P, keys, keys_sql, meta, obs, order_sql, _MODS_SQL
+from lcspark.plans.q_basic import TIE, P, keys, keys_sql, meta, obs, order_sql, _MODS_SQL
 from lcspark.plans.q_vectors import _v7_rows_cte
 from lcspark.plans.registry import ORACLES, explode_arrays, f6, i64, r6, register
-from lcspark.plans.sql import (CLASS_LIST, f6 as f6s, keyed_normal_sql, keyed_uniform_sql,
+from lcspark.plans.sql import (f6 as f6s, keyed_normal_sql, keyed_uniform_sql,
                                map_target_sql, r6 as r6s, wavelength_nm_sql, with_binding)
 from lcspark.schema import CLASS_CODES, CLASS_WEIGHTS
 from lcspark.sources import io as S

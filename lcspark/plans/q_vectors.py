@@ -11,7 +11,7 @@ from lcspark.operators import aggregate as A
 from lcspark.operators import join as J
 from lcspark.operators import project as C
 from lcspark.operators import vectors as V
-from lcspark.plans.q_basic import KEYS, TIE, P, keys, keys_sql, meta, obs, order_desc_sql, order_sql
+from lcspark.plans.q_basic import TIE, P, meta, obs, order_desc_sql, order_sql
 from lcspark.plans.q_basic import _MODS_SQL
 from lcspark.plans.registry import explode_arrays, f6, i64, r6, register
 from lcspark.plans.sql import f6 as f6s, map_target_sql, r6 as r6s, wavelength_nm_sql, with_binding

@@ -7,7 +7,6 @@ from lcspark.operators import aggregate as A
 from lcspark.operators import skew
 from lcspark.operators import vectors as V
 from lcspark.plans import bindings as B
-from lcspark.plans.registry import explode_arrays
 
 SF = "/root/testdata/sf0.001"
 
