@@ -61,12 +61,20 @@ def pivot_feature(obs: DataFrame, feature: str, width: int, tie) -> DataFrame:
                                       for i in range(1, width + 1)])
 
 
-def pivot_all_features(obs: DataFrame, width: int, tie, features=FEATURES) -> dict:
+def pivot_all_features(obs: DataFrame, width: int, tie, features=FEATURES,
+                       materialize: bool = True) -> dict:
     """A5: the five pivots of one ranked input, each its own wide table
-    (one table per feature, as stored)."""
+    (one table per feature, as stored).  With ``materialize`` the shared
+    wide pivot is written once with ``checkpoint()`` (to the shared
+    checkpoint folder), so the five tables read it instead of re-running
+    the scan, shuffle and aggregation once each."""
     ranked = rank_asc(obs, tie, "rownum")
     wide = ranked.groupBy("object_id").pivot("rownum", list(range(1, width + 1))).agg(
         *[F.max(f).alias(f) for f in features])
+    if materialize:
+        from lcspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(obs.sparkSession)
+        wide = wide.checkpoint(eager=True)
     return {f: wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}")
                                            for i in range(1, width + 1)])
             for f in features}
