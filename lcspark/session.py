@@ -38,8 +38,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) pick a
-    fresh scratch folder."""
+    ``spark.checkpoint.dir`` (or the one already set on the context).  Only
+    a local-mode session (tests, the bench) may fall back to a fresh local
+    scratch folder; on a cluster a machine-local folder would not be
+    shared, so the setting is required."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
@@ -47,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                           "(lcspark writes checkpoints and stage tables there)")
     local = tempfile.mkdtemp(prefix="lcspark-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
