@@ -27,7 +27,25 @@ _INLIST_MAX = 1000
 _DETECT_ROWS = 2000
 
 
+_CACHE: dict = {}
+_CACHE_MAX = 256
+
+
 def hot_object_counts(obs: DataFrame, threshold: int | None = None) -> list[tuple[int, int]]:
+    """Cached ``detect_hot_objects`` per input plan (semantic hash) and
+    threshold.  The list only picks between two paths that give the same
+    rows, so a stale entry (the data under a path changed) can cost speed,
+    never correctness."""
+    threshold = HOT_OBJECT_ROWS if threshold is None else threshold
+    key = (obs.semanticHash(), threshold)
+    if key not in _CACHE:
+        if len(_CACHE) >= _CACHE_MAX:
+            _CACHE.pop(next(iter(_CACHE)))
+        _CACHE[key] = detect_hot_objects(obs, threshold)
+    return _CACHE[key]
+
+
+def detect_hot_objects(obs: DataFrame, threshold: int | None = None) -> list[tuple[int, int]]:
     """(object_id, estimated rows) of the hot objects.  A bounded list: at
     most rows(obs) / threshold entries.
 
