@@ -87,3 +87,18 @@ def test_large_metadata_is_shuffled_once_without_reshuffling_observations(spark,
     ex = shuffles(plan)
     assert len(ex) == 2 and all(k == "hashpartitioning" and a.startswith("object_id") for k, a in ex), ex
     assert "Broadcast" not in plan
+
+
+def test_every_scan_reads_only_needed_columns(spark):
+    unused = ["l_tax", "l_discount", "l_linestatus", "props", "p_name", "p_brand", "p_type", "s_name", "c_name",
+              "c_mktsegment", "s_acctbal", "c_acctbal"]
+    for name, q in entry.queries().items():
+        if name in ("fit_classifier", "score", "log_run", "read_observations_csv", "read_metadata_csv",
+                    "read_delimited", "write_table", "create_if_absent", "compact_files"):
+            continue
+        plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        schemas = re.findall(r"ReadSchema: (struct<[^\n]*)", plan)
+        # a plan over a checkpoint (global rank) has no file scan left
+        assert schemas or "ExistingRDD" in plan, name
+        for sch in schemas:
+            assert not any(f"{c}:" in sch for c in unused), (name, sch)
