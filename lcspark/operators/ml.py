@@ -8,7 +8,7 @@ constant class table; nothing is collected to the driver.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +76,18 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
     return Pipeline(stages=[lr]).fit(train)
 
 
+def fit_network(train: DataFrame, n_features: int, hidden=(64, 32), features: str = "features",
+                label: str = "label", max_iter: int = 50, seed: int = 42):
+    """M4, network form: a feed-forward network (Spark ML multilayer
+    perceptron, softmax over the 15 classes) fitted in a distributed way.
+    It takes no row weights, so train it on class-balanced data
+    (``augment.balance_classes``)."""
+    layers = [int(n_features), *[int(h) for h in hidden], N_CLASSES]
+    mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers,
+                                         maxIter=max_iter, seed=seed)
+    return Pipeline(stages=[mlp]).fit(train)
+
+
 def score(model, df: DataFrame) -> DataFrame:
     """M5: predictions of a fitted model (``prediction``, ``probability``)."""
     return model.transform(df)

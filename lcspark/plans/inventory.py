@@ -110,7 +110,7 @@ INVENTORY = {
     "M1": ("operators.ml.standard_scale / standard_scale_groups", ["standard_scale", "standard_scale_groups"]),
     "M2": ("operators.ml.index_labels", ["index_labels"]),
     "M3": ("operators.ml.encode_labels", ["encode_labels"]),
-    "M4": ("operators.ml.fit_classifier", ["fit_classifier"]),
+    "M4": ("operators.ml.fit_classifier / fit_network", ["fit_classifier", "fit_network"]),
     "M5": ("operators.ml.score", ["score"]),
     "M6": ("operators.ml.precision", ["precision"]),
     "M7": ("operators.ml.weighted_log_loss", ["weighted_log_loss"]),

@@ -436,6 +436,17 @@ def q_fit_classifier(spark, sf):
     return M.score(model, train).select("object_id", "label", i64("prediction").alias("prediction"))
 
 
+@register("fit_network")
+def q_fit_network(spark, sf):
+    df = _training_frame(spark, sf)
+    train = df.filter(F.col("split") == "train")
+    # balance the classes by plain copies (the network takes no weights)
+    counts = G.balance_counts(train, "label")
+    bal = G.replicate(train.join(F.broadcast(counts), train["label"] == counts["class_index"]), F.col("extra") + 1)
+    model = M.fit_network(bal.select("object_id", "label", "features"), n_features=10 + 32 + 32, max_iter=20)
+    return M.score(model, train).select("object_id", "label", i64("prediction").alias("prediction"))
+
+
 @register("score")
 def q_score(spark, sf):
     df = _training_frame(spark, sf)

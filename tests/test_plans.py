@@ -36,7 +36,7 @@ def test_vector_builds_shuffle_observations_once(spark, name):
 
 def test_no_python_in_any_plan(spark):
     for name, q in entry.queries().items():
-        if name in ("fit_classifier", "score", "log_run"):
+        if name in ("fit_classifier", "fit_network", "score", "log_run"):
             continue
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
@@ -93,7 +93,7 @@ def test_every_scan_reads_only_needed_columns(spark):
     unused = ["l_tax", "l_discount", "l_linestatus", "props", "p_name", "p_brand", "p_type", "s_name", "c_name",
               "c_mktsegment", "s_acctbal", "c_acctbal"]
     for name, q in entry.queries().items():
-        if name in ("fit_classifier", "score", "log_run", "read_observations_csv", "read_metadata_csv",
+        if name in ("fit_classifier", "fit_network", "score", "log_run", "read_observations_csv", "read_metadata_csv",
                     "read_delimited", "write_table", "create_if_absent", "compact_files"):
             continue
         plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()

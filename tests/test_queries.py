@@ -26,7 +26,7 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_known_non_sql():
-    assert set(NAMES) - set(WITH_ORACLE) == {"fit_classifier", "score", "log_run"}
+    assert set(NAMES) - set(WITH_ORACLE) == {"fit_classifier", "fit_network", "score", "log_run"}
     assert set(WITH_ORACLE) <= set(NAMES)
 
 
@@ -39,7 +39,7 @@ def test_query_matches_oracle(spark, con, name):
     assert rows_of(sdf) == rows_of(odf)
 
 
-@pytest.mark.parametrize("name", ["fit_classifier", "score", "log_run"])
+@pytest.mark.parametrize("name", ["fit_classifier", "fit_network", "score", "log_run"])
 def test_non_sql_queries_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
