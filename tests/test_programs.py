@@ -45,3 +45,16 @@ def test_baseline_program(spark):
     v = S.read_table(spark, paths["valid_input"])
     assert v.count() == samples.count() - n_train
     assert v.filter(F.size("hist") != 32).count() == 0
+
+
+def test_compact_files_merges_small_files(spark):
+    import os
+    src, dst = S.scratch_dir(spark, "small"), S.scratch_dir(spark, "big")
+    obs = B.obs_part(spark, SF).select("object_id", "mjd", "flux")
+    obs.repartition(24).write.option("header", False).csv(src)
+    parts = lambda d: [f for f in os.listdir(d.replace("file:", "")) if f.startswith("part-")]
+    assert len(parts(src)) == 24
+    S.compact_files(spark, src, dst, target_bytes=64 << 20)
+    out = parts(dst)
+    assert len(out) < 24 and all(f.endswith(".gz") for f in out)
+    assert spark.read.text(dst).count() == obs.count()
