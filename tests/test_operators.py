@@ -252,3 +252,20 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 1024 ** 4, 4000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(1, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+@pytest.mark.parametrize("binding", ["obs_part", "obs_supp", "obs_event"])
+def test_relational_equals_array_on_every_binding(spark, binding):
+    from lcspark.plans import bindings as B
+    sf = "/root/testdata/sf0.001"
+    o, m, tie = B.OBS[binding](spark, sf), B.META[binding](spark, sf), B.TIE[binding]
+    length = 32
+    arr = V.pad_observations(o, tie, length).select(
+        "object_id", F.posexplode(F.arrays_zip(*V.CHANNELS)).alias("pos", "z")).select(
+        "object_id", "pos", *[F.col(f"z.{c}").alias(c) for c in V.CHANNELS])
+    rel = V.pad_observations_relational(o, tie, length).select("object_id", "pos", *V.CHANNELS)
+    assert sorted(map(tuple, arr.collect())) == sorted(map(tuple, rel.collect()))
+    for aug in (False, True):
+        a = V.vectors_padded(o, m, tie, length, augment=aug, seed=5)
+        r = V.vectors_padded_relational(o, m, tie, length, augment=aug, seed=5)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, r.select(*a.columns).collect()))
