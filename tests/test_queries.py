@@ -50,7 +50,8 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("name", ["vectors_padded_augmented", "augment", "augmented_vectors",
-                                  "global_rank", "split_811"])
+                                  "global_rank", "split_811", "vectors_calculated", "samples_baseline",
+                                  "network_input", "pivot_all_features", "limit_objects"])
 def test_same_result_for_any_partition_count(spark, name):
     results = []
     old = spark.conf.get("spark.sql.shuffle.partitions")
