@@ -10,9 +10,11 @@ import pytest
 import __spark_entry__ as entry
 from check_oracles import TABLES, rows_of
 
+from lcspark.plans.registry import ORACLES, QUERIES
+
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
-WITH_ORACLE = sorted(entry.oracle_sql())
+NAMES = sorted(QUERIES)
+WITH_ORACLE = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +46,11 @@ def test_non_sql_queries_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_entry_has_every_query():
+    assert set(NAMES) <= set(entry.queries())
+    assert set(WITH_ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "object_id" in df.columns
@@ -86,7 +93,7 @@ def test_inventory_covers_every_survey_line_and_query():
                 + [f"F{i}" for i in range(1, 13)] + [f"V{i}" for i in range(1, 9)] + [f"G{i}" for i in range(1, 10)]
                 + [f"M{i}" for i in range(1, 9)])
     assert sorted(INVENTORY) == sorted(expected)
-    registered = set(entry.queries())
+    registered = set(NAMES)
     for op, (fn, qs) in INVENTORY.items():
         assert qs and set(qs) <= registered, op
         mod, _, names = fn.partition(".")
