@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lcspark.sources.io import scratch_dir
 
@@ -24,6 +32,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors' Python workers (once per
+    application), so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(SparkFiles.getRootDirectory(), "lcspark_modules.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,3 +73,22 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Words of a text in order (null text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+
+
+def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list], list]) -> DataFrame:
+    """All columns of ``df`` (those named as new ones are replaced), then the
+    new ``fields`` (DDL).  ``compute`` gets the texts of an Arrow batch (null:
+    empty) and returns one sequence per field, in their order."""
+    ship_package(df.sparkSession)
+    new = StructType.fromDDL(fields)
+    kept = df.drop(*[f.name for f in new])
+    if text_col not in kept.columns:
+        raise ValueError(f"{text_col} is not a column or would be replaced")
+    types = [to_arrow_type(f.dataType) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            made = [pa.array(values, kind) for values, kind in zip(compute(texts), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *[f.name for f in new]])
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))
