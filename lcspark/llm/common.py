@@ -92,3 +92,23 @@ def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[li
             made = [pa.array(values, kind) for values, kind in zip(compute(texts), types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *[f.name for f in new]])
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))
+
+
+# A key with more than total / HOT_PARTS rows is hot; there can be at most
+# HOT_PARTS of them, so the list of hot keys can be broadcast.
+HOT_PARTS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Give each row its group's columns; ``groups`` has one row per key and
+    ``group_size``, the rows of the key.  Both are stored and read twice.
+    Rows of hot keys (a bounded list) are joined by broadcast and stay where
+    they are; the rest by sort-merge."""
+    most = F.lit(rows.count()) / HOT_PARTS
+    hot = F.col("group_size") > most
+    listed = F.broadcast(groups.where(hot).select(key, F.struct(*[c for c in groups.columns if c != key]).alias("_hot")))
+    marked = rows.join(listed, key, "left")
+    is_hot = F.col("_hot").isNotNull()
+    of_hot = marked.where(is_hot).select(*rows.columns, "_hot.*")
+    of_rest = marked.where(~is_hot).drop("_hot").join(groups.where(~hot).hint("merge"), key)
+    return of_hot.unionByName(of_rest.select(*of_hot.columns))

@@ -17,13 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import ascii_lower, partitions, staged
+from lcspark.llm.common import ascii_lower, join_groups, partitions, staged
 from lcspark.sources.io import scratch_dir
 
-# A digest with more than total / HOT_PARTS rows is hot; there can be at most
-# HOT_PARTS of them, so the list of hot digests can be broadcast.
-HOT_PARTS = 1000
-
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest (32 bytes): SHA-256 of the text in UTF-8 after lower-casing A-Z."""
@@ -65,27 +61,8 @@ class DigestIndex:
         if self.exists():
             fresh = groups.join(self.read().hint("merge"), "digest", "left_anti")
         self.append(fresh)
-        verdicts = (groups.drop("keep_id").hint("merge")
-                    .join(self.read(), "digest"))
-        return _verdict_of_rows(rows, verdicts)
-
-
-def _verdict_of_rows(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Join each row with its digest's verdict.  Hot digests (a bounded
-    list) are joined by broadcast, so their rows stay where they are; the
-    rest by sort-merge."""
-    total = rows.count()
-    verdicts = staged(verdicts, "digest-verdicts")
-    hot = verdicts.where(F.col("group_size") > F.lit(total) / HOT_PARTS)
-    known = F.broadcast(hot.withColumnRenamed("keep_id", "hot_id").withColumnRenamed("group_size", "hot_size"))
-    marked = rows.join(known, "digest", "left")
-    is_hot = F.col("hot_size").isNotNull()
-    columns = ("id", "digest", "keep_id", "group_size")
-    of_hot = marked.where(is_hot).select("id", "digest", F.col("hot_id").alias("keep_id"),
-                                         F.col("hot_size").alias("group_size"))
-    of_rest = (marked.where(~is_hot).select("id", "digest")
-               .join(verdicts.where(F.col("group_size") <= F.lit(total) / HOT_PARTS).hint("merge"), "digest"))
-    return of_hot.select(*columns).unionByName(of_rest.select(*columns))
+        verdicts = staged(groups.drop("keep_id").hint("merge").join(self.read(), "digest"), "digest-verdicts")
+        return join_groups(rows, verdicts, "digest")
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
