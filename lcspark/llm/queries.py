@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lcspark.llm import bpe, chat, exactdedup, fingerprints, langid, neardup, packing, sharding
+from lcspark.llm import bpe, chat, exactdedup, fingerprints, langid, neardup, packing, sharding, toxicity
 from lcspark.llm.common import table
 
 QUERIES: dict = {}
@@ -139,6 +139,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"),
+                      (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 SHARDS = 24
 
 
