@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.llm.common import ascii_lower, join_groups, partitions, staged
@@ -72,3 +72,15 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", path=scratch_dir(spark, "digest-index"))
     out = index.add(df, id_col, text_col)
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+
+
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, all columns; of rows that repeat both id
+    and text one stays."""
+    dropped = (exact_duplicates(df, id_col, text_col).where(~F.col("kept"))
+               .select(F.col("id").alias("_id"), F.col("digest").alias("_text")).distinct())
+    own = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    marked = df.withColumn("_digest", own)
+    left = marked.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_text")), "left_anti")
+    once = Window.partitionBy(id_col, "_digest").orderBy(text_col)
+    return left.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_digest")

@@ -284,3 +284,12 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         return F.when(c != F.lit(_NULL_ID), c)
     return out.select(as_id(F.col("node")).alias("id"), "n_shingles", as_id(root).alias("component_id"),
                       (F.col("node") == root).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, without the documents of each
+    component other than the one of least id."""
+    dropped = (near_duplicates(df, shingle, percent, id_col, text_col).where(~F.col("kept"))
+               .select(F.col("id").alias("_id")).distinct())
+    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")

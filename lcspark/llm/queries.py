@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lcspark.llm import bpe, chat, exactdedup, fingerprints, langid, neardup, packing, sharding, toxicity
+from lcspark.llm import bpe, chat, exactdedup, fingerprints, langid, neardup, packing, pii, sharding, toxicity
 from lcspark.llm.common import table
 
 QUERIES: dict = {}
@@ -114,6 +114,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@register("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii_base").cast("binary"), 256).alias("base_sha256"),
+                        listed("pii_spans").alias("spans"))
+
+
 @register("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
