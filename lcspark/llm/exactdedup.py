@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import ascii_lower, join_groups, partitions, staged
+from lcspark.llm.common import ascii_lower, fresh, join_groups, partitions, staged
 from lcspark.sources.io import scratch_dir
 
 
@@ -77,10 +77,11 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, all columns; of rows that repeat both id
     and text one stays."""
+    gone, gone_text, digest, nth = (fresh(df, x) for x in ("_gone", "_gone_text", "_digest", "_nth"))
     dropped = (exact_duplicates(df, id_col, text_col).where(~F.col("kept"))
-               .select(F.col("id").alias("_id"), F.col("digest").alias("_text")).distinct())
+               .select(F.col("id").alias(gone), F.col("digest").alias(gone_text)).distinct())
     own = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    marked = df.withColumn("_digest", own)
-    left = marked.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_text")), "left_anti")
-    once = Window.partitionBy(id_col, "_digest").orderBy(text_col)
-    return left.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_digest")
+    marked = df.withColumn(digest, own)
+    left = marked.join(dropped, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(digest) == F.col(gone_text)), "left_anti")
+    once = Window.partitionBy(id_col, digest).orderBy(text_col)
+    return left.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth, digest)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import join_groups, ship_package, staged
+from lcspark.llm.common import fresh, join_groups, ship_package, staged
 from lcspark.llm.components import components
 from lcspark.llm.textvec import mix, segment_hash, slices
 
@@ -290,6 +290,7 @@ def drop_near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = P
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without the documents of each
     component other than the one of least id."""
+    gone = fresh(df, "_gone")
     dropped = (near_duplicates(df, shingle, percent, id_col, text_col).where(~F.col("kept"))
-               .select(F.col("id").alias("_id")).distinct())
-    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+               .select(F.col("id").alias(gone)).distinct())
+    return df.join(dropped, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import add_columns, ship_package
+from lcspark.llm.common import add_columns, fresh, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -181,7 +181,7 @@ class SkipChainCRF:
         out[:, 0] += PRIOR_O
         for i, n in enumerate(nodes):
             if n.label is not None:
-                out[i] = -30.0
+                out[i] = -1e9      # no number of messages moves an observed node
                 out[i, n.label] = 0.0
         return out
 
@@ -349,7 +349,8 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(df: DataFrame, model: SkipChainCRF, text_col: str = "text") -> DataFrame:
     """``df`` with personal data in its texts replaced; a null text stays null."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    made = add_columns(df, text_col, "_redacted string", lambda texts: [
+    name = fresh(df, "_redacted")
+    made = add_columns(df, text_col, f"{name} string", lambda texts: [
         [redact_text(t, find_spans(t, shared.value)[1]) for t in texts]])
-    text = F.when(F.col(text_col).isNotNull(), F.col("_redacted"))
+    text = F.when(F.col(text_col).isNotNull(), F.col(name))
     return made.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])

@@ -159,17 +159,25 @@ def fit(lists: list, labels: np.ndarray, gained: list, lost: list, fairness: flo
     swaps = max(len(gained), 1)
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
     w, b, ahead, ahead_b, t = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0, 1.0
-    per_row = max(np.bincount(row, minlength=n).max(), 1)
-    step = 4.0 / np.sqrt(per_row) if not len(swap_row) else 4.0 / (np.sqrt(per_row) + 8 * fairness)
+
+    def fairness_gradient(w):
+        change = np.bincount(swap_row, sign * w[swap_col], swaps)
+        return 2 * fairness / swaps * np.bincount(swap_col, sign * change[swap_row], len(w))
+
+    # the step is the inverse of the loss's greatest curvature, by power iteration
+    probe, probe_b, most = np.ones(len(kept)), 1.0, 1.0
+    for _ in range(30):
+        size_ = np.sqrt(probe @ probe + probe_b * probe_b)
+        probe, probe_b = probe / size_, probe_b / size_
+        r = 0.25 * weight * (probe_b + np.bincount(row, probe[col], n))
+        probe, probe_b = np.bincount(col, r[row], len(kept)) + fairness_gradient(probe), r.sum()
+        most = np.sqrt(probe @ probe + probe_b * probe_b)
+    step = 0.9 / max(most, 1e-9)
 
     def gradient(w, b):
         z = b + np.bincount(row, w[col], n)
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        g = np.bincount(col, r[row], len(w))
-        if len(swap_row):
-            change = np.bincount(swap_row, sign * w[swap_col], swaps)
-            g += 2 * fairness / swaps * np.bincount(swap_col, sign * change[swap_row], len(w))
-        return g, r.sum()
+        return np.bincount(col, r[row], len(w)) + fairness_gradient(w), r.sum()
     for _ in range(steps):
         g, gb = gradient(ahead, ahead_b)
         moved = ahead - step * g
