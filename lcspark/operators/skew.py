@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 # Rows above which one object is split across tasks.
 HOT_OBJECT_ROWS = 1 << 22
-# Above this many hot ids, use a broadcast join instead of an IN list.
-_INLIST_MAX = 1000
-
-
 # Sampled rows a hot object contributes on average to the detection.
 _DETECT_ROWS = 2000
 
@@ -63,18 +59,22 @@ def detect_hot_objects(obs: DataFrame, threshold: int | None = None) -> list[tup
     return [(r["object_id"], int(round(r["n"] / fraction))) for r in rows]
 
 
+def join_object(df: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a bounded per-object table (one row per hot object, broadcast) on
+    ``object_id``; a null id matches a null id."""
+    keyed = F.broadcast(small.withColumnRenamed("object_id", "_joined_id"))
+    out = df.join(keyed, F.col("object_id").eqNullSafe(F.col("_joined_id")), how)
+    return out if how in ("left_semi", "left_anti") else out.drop("_joined_id")
+
+
 def split_hot(obs: DataFrame, threshold: int | None = None):
-    """(normal rows, hot rows or None, hot counts)."""
+    """(normal rows, hot rows or None, hot counts).  Rows without an object
+    id are an object like any other: every row is in exactly one branch."""
     hot = hot_object_counts(obs, threshold)
     if not hot:
         return obs, None, []
-    ids = [h[0] for h in hot]
-    if len(ids) <= _INLIST_MAX:
-        cond = F.col("object_id").isin(ids)
-        return obs.filter(~cond), obs.filter(cond), hot
-    spark = obs.sparkSession
-    ids_df = F.broadcast(spark.createDataFrame([(i,) for i in ids], "object_id bigint"))
-    return (obs.join(ids_df, "object_id", "left_anti"), obs.join(ids_df, "object_id", "left_semi"), hot)
+    ids = obs.sparkSession.createDataFrame([(h[0],) for h in hot], "object_id bigint")
+    return join_object(obs, ids, "left_anti"), join_object(obs, ids, "left_semi"), hot
 
 
 def _counts_df(spark, hot, threshold):
@@ -102,7 +102,7 @@ def hot_series_chunks(hot: DataFrame, hot_counts, tie, payload, max_len: int, st
     per = g.groupBy("object_id").agg(
         F.min("_g").alias("_g0"), F.min("mjd").alias("_first"), F.max("flux").alias("_fmax"),
         F.min("flux").alias("_fmin"), *[F.any_value(c).alias(f"_c_{c}") for c in carry])
-    ranked = g.drop(*carry).join(F.broadcast(per), "object_id").withColumn(
+    ranked = join_object(g.drop(*carry), per).withColumn(
         "chunk", F.floor((F.col("_g") - F.col("_g0")) / F.lit(max_len)).cast("int"))
     if neighbours:
         prev = ranked.select((F.col("_g") + F.lit(1)).alias("_g"), F.col("mjd").alias("_prev"),
@@ -110,8 +110,8 @@ def hot_series_chunks(hot: DataFrame, hot_counts, tie, payload, max_len: int, st
         nxt = ranked.select((F.col("_g") - F.lit(1)).alias("_g"), F.col("mjd").alias("_next"),
                             F.col("object_id").alias("_no"))
         ranked = (ranked.join(prev, "_g", "left").join(nxt, "_g", "left")
-                  .withColumn("_prev", F.when(F.col("_po") == F.col("object_id"), F.col("_prev")))
-                  .withColumn("_next", F.when(F.col("_no") == F.col("object_id"), F.col("_next"))))
+                  .withColumn("_prev", F.when(F.col("_po").eqNullSafe(F.col("object_id")), F.col("_prev")))
+                  .withColumn("_next", F.when(F.col("_no").eqNullSafe(F.col("object_id")), F.col("_next"))))
     fields = [F.col("mjd")] + tie_fields(tie) + [F.col(c) for c in payload]
     if neighbours:
         fields += [F.col("_prev"), F.col("_next")]
@@ -123,6 +123,18 @@ def hot_series_chunks(hot: DataFrame, hot_counts, tie, payload, max_len: int, st
     return ranked.groupBy("object_id", "chunk").agg(*aggs)
 
 
+def salted_last(hot: DataFrame, hot_counts, tie, keep: int, threshold: int | None = None) -> DataFrame:
+    """The latest ``keep`` rows of each (object, salt), about ``threshold``
+    rows to a salt: at most salts x ``keep`` rows of an object remain."""
+    from lcspark.operators.window import order_keys
+    threshold = HOT_OBJECT_ROWS if threshold is None else threshold
+    salts = _counts_df(hot.sparkSession, hot_counts, threshold).select("object_id", "_salts")
+    salt = F.pmod(F.xxhash64("object_id", "mjd", *tie), F.col("_salts").cast("long"))
+    w = Window.partitionBy("object_id", "_salt").orderBy(*order_keys(tie, desc=True))
+    return (join_object(hot, salts).withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w))
+            .filter(F.col("_r1") <= F.lit(keep)).drop("_salts", "_salt", "_r1"))
+
+
 def hot_last_series(hot: DataFrame, hot_counts, tie, channels, length: int, neighbours: bool,
                     threshold: int | None = None) -> DataFrame:
     """``collect_last_series`` for hot objects: an exact two-stage top-L.
@@ -132,24 +144,17 @@ def hot_last_series(hot: DataFrame, hot_counts, tie, channels, length: int, neig
     observation its previous time.  Flux range and first time are partial
     aggregates over all rows, broadcast (one row per hot object)."""
     from lcspark.operators.aggregate import sorted_struct_array, tie_fields
-    from lcspark.operators.window import object_window, order_keys
-    threshold = HOT_OBJECT_ROWS if threshold is None else threshold
-    spark = hot.sparkSession
+    from lcspark.operators.window import object_window
     keep = length + 1
-    salts = F.broadcast(_counts_df(spark, hot_counts, threshold))
     cols = list(dict.fromkeys(["object_id", "mjd", *tie, *channels]))
-    rows = hot.select(*cols).join(salts.select("object_id", "_salts"), "object_id")
-    salt = F.pmod(F.xxhash64("object_id", "mjd", *tie), F.col("_salts").cast("long"))
-    rows = rows.withColumn("_salt", salt)
-    w1 = Window.partitionBy("object_id", "_salt").orderBy(*order_keys(tie, desc=True))
-    stage1 = rows.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= F.lit(keep))
+    stage1 = salted_last(hot.select(*cols), hot_counts, tie, keep, threshold)
     stage2 = stage1.withColumn("_rd", F.row_number().over(object_window(tie, desc=True))) \
         .filter(F.col("_rd") <= F.lit(keep))
     fields = [F.col("mjd"), *tie_fields(tie), *[F.col(c) for c in channels if c != "mjd"]]
     arr = stage2.groupBy("object_id").agg(sorted_struct_array(*fields).alias("_a"))
     stats = hot.groupBy("object_id").agg(F.max("flux").alias("fmax"), F.min("flux").alias("fmin"),
                                          F.min("mjd").alias("first_mjd"))
-    df = arr.join(F.broadcast(stats), "object_id")
+    df = join_object(arr, stats)
     a = F.col("_a")
     # when the object has more than L rows the oldest element is the extra
     # one: it only supplies the previous time of the oldest kept row
@@ -162,39 +167,46 @@ def hot_last_series(hot: DataFrame, hot_counts, tie, channels, length: int, neig
     return df.select("object_id", s.alias("s"), "fmax", "fmin", "first_mjd")
 
 
-def object_ranks(obs: DataFrame, tie, neighbours: bool = False, threshold: int | None = None) -> DataFrame:
+def object_ranks(obs: DataFrame, tie, neighbours: bool = False, threshold: int | None = None,
+                 flux_range: bool = False) -> DataFrame:
     """Rows of ``obs`` with their place in the object: ``_rank`` (1..n in
     (time, tie) order), ``_n`` (rows in the object), ``_first`` and
     ``_last`` (first and last time) and, with ``neighbours``, ``_prev`` and
-    ``_next`` (the previous and next time, null at the ends).
+    ``_next`` (the previous and next time, null at the ends), and with
+    ``flux_range`` ``_fmax`` and ``_fmin``.
 
     Normal objects: one window pass (one sort per object).  Hot objects:
     the distributed global rank minus the object's first number; counts
     and first/last times are partial aggregates broadcast per hot object;
-    neighbours are a self-join on the global number."""
+    neighbours are a self-join on the global number.  ``threshold`` False:
+    the caller knows that no object is hot (``obs`` derives from rows in
+    which none is), so none is looked for."""
     from lcspark.operators.window import global_rank, object_window
-    normal, hot, counts = split_hot(obs, threshold)
+    normal, hot, counts = (obs, None, []) if threshold is False else split_hot(obs, threshold)
     w = object_window(tie)
     w_obj = Window.partitionBy("object_id")
     cols = {"_rank": F.row_number().over(w), "_n": F.count(F.lit(1)).over(w_obj),
             "_first": F.min("mjd").over(w_obj), "_last": F.max("mjd").over(w_obj)}
     if neighbours:
         cols.update({"_prev": F.lag("mjd").over(w), "_next": F.lead("mjd").over(w)})
+    if flux_range:
+        cols.update({"_fmax": F.max("flux").over(w_obj), "_fmin": F.min("flux").over(w_obj)})
     out = normal.withColumns(cols)
     if hot is None:
         return out
     threshold = HOT_OBJECT_ROWS if threshold is None else threshold
     parts = max(1, math.ceil(sum(n for _, n in counts) / threshold))
     g = global_rank(hot, ["object_id", "mjd", *tie], "_g", num_partitions=parts)
+    ranges = [F.max("flux").alias("_fmax"), F.min("flux").alias("_fmin")] if flux_range else []
     per = g.groupBy("object_id").agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"),
-                                     F.min("mjd").alias("_first"), F.max("mjd").alias("_last"))
-    rows = g.join(F.broadcast(per), "object_id").withColumn("_rank", F.col("_g") - F.col("_g0") + F.lit(1))
+                                     F.min("mjd").alias("_first"), F.max("mjd").alias("_last"), *ranges)
+    rows = join_object(g, per).withColumn("_rank", F.col("_g") - F.col("_g0") + F.lit(1))
     if neighbours:
         prev = rows.select((F.col("_g") + F.lit(1)).alias("_g"), F.col("mjd").alias("_prev"),
                            F.col("object_id").alias("_po"))
         nxt = rows.select((F.col("_g") - F.lit(1)).alias("_g"), F.col("mjd").alias("_next"),
                           F.col("object_id").alias("_no"))
         rows = (rows.join(prev, "_g", "left").join(nxt, "_g", "left")
-                .withColumn("_prev", F.when(F.col("_po") == F.col("object_id"), F.col("_prev")))
-                .withColumn("_next", F.when(F.col("_no") == F.col("object_id"), F.col("_next"))))
+                .withColumn("_prev", F.when(F.col("_po").eqNullSafe(F.col("object_id")), F.col("_prev")))
+                .withColumn("_next", F.when(F.col("_no").eqNullSafe(F.col("object_id")), F.col("_next"))))
     return out.unionByName(rows.select(*out.columns))

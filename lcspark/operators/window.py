@@ -25,9 +25,9 @@ def object_window(tie, desc: bool = False, time: str = "mjd", key: str = "object
     return Window.partitionBy(key).orderBy(*order_keys(tie, desc, time))
 
 
-def _ranks(obs: DataFrame, tie, neighbours: bool = False) -> DataFrame:
+def _ranks(obs: DataFrame, tie, neighbours: bool = False, hot_threshold=None) -> DataFrame:
     from lcspark.operators.skew import object_ranks
-    return object_ranks(obs, tie, neighbours)
+    return object_ranks(obs, tie, neighbours, hot_threshold)
 
 
 _PLACE = ["_rank", "_n", "_first", "_last", "_prev", "_next"]
@@ -94,15 +94,15 @@ def elapsed_time(obs: DataFrame, tie, name: str = "elapsed", scale: float = 1.0,
     return _drop_place(_ranks(obs, tie).withColumn(name, t))
 
 
-def delta_time(obs: DataFrame, tie, name: str = "delta_mjd") -> DataFrame:
+def delta_time(obs: DataFrame, tie, name: str = "delta_mjd", hot_threshold=None) -> DataFrame:
     """Mjd - previous mjd, 0 for the first observation."""
-    r = _ranks(obs, tie, neighbours=True)
+    r = _ranks(obs, tie, neighbours=True, hot_threshold=hot_threshold)
     return _drop_place(r.withColumn(name, F.coalesce(F.col("mjd") - F.col("_prev"), F.lit(0.0))))
 
 
-def lead_time(obs: DataFrame, tie, name: str = "lead_mjd") -> DataFrame:
+def lead_time(obs: DataFrame, tie, name: str = "lead_mjd", hot_threshold=None) -> DataFrame:
     """Next mjd - mjd, 0 for the last observation."""
-    r = _ranks(obs, tie, neighbours=True)
+    r = _ranks(obs, tie, neighbours=True, hot_threshold=hot_threshold)
     return _drop_place(r.withColumn(name, F.coalesce(F.col("_next") - F.col("mjd"), F.lit(0.0))))
 
 
@@ -137,17 +137,34 @@ def interval_features(obs: DataFrame, tie) -> DataFrame:
     }))
 
 
-def keep_last(obs: DataFrame, tie, length: int, name: str = "rownum_desc") -> DataFrame:
+def keep_last(obs: DataFrame, tie, length: int, name: str = "rownum_desc", hot_threshold=None) -> DataFrame:
     """The latest ``length`` observations of each object, with their
-    descending rank."""
-    return rank_desc(obs, tie, name).filter(F.col(name) <= F.lit(length))
-
-
-def range_normalise(obs: DataFrame, cols=("flux", "flux_err")) -> DataFrame:
+    descending rank.  The rank is a plain descending row number under a
+    limit, so Spark cuts each object to ``length`` rows in every task before
+    the shuffle; a hot object is cut per salt first."""
+    from lcspark.operators.skew import salted_last, split_hot
+    normal, hot, counts = (obs, None, []) if hot_threshold is False else split_hot(obs, hot_threshold)
+    w = object_window(tie, desc=True)
+    out = normal.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= F.lit(length))
+    if hot is None:
+        return out
+    few = salted_last(hot, counts, tie, length, hot_threshold)
+    return out.unionByName(few.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= F.lit(length)))
+
+
+def range_normalise(obs: DataFrame, cols=("flux", "flux_err"), hot_threshold=None) -> DataFrame:
     """Divide flux and flux_err by pow(2, log2(max(flux) - min(flux)))
     of the object, computed over the object's partition (no join).  A zero
-    range gives null."""
+    range gives null.  A hot object's range is a partial aggregate, joined
+    by broadcast (one row per hot object), so its rows stay where they are."""
+    from lcspark.operators.skew import join_object, split_hot
+    normal, hot, _ = (obs, None, []) if hot_threshold is False else split_hot(obs, hot_threshold)
     w = Window.partitionBy("object_id")
-    modifier = log2_pow(F.max("flux").over(w) - F.min("flux").over(w))
-    return obs.withColumn("_hm", modifier).withColumns(
-        {c: F.col(c) / F.col("_hm") for c in cols}).drop("_hm")
+
+    def divided(df):
+        return df.withColumns({c: F.col(c) / F.col("_hm") for c in cols}).drop("_hm")
+    out = divided(normal.withColumn("_hm", log2_pow(F.max("flux").over(w) - F.min("flux").over(w))))
+    if hot is None:
+        return out
+    ranges = hot.groupBy("object_id").agg(log2_pow(F.max("flux") - F.min("flux")).alias("_hm"))
+    return out.unionByName(divided(join_object(hot, ranges)))

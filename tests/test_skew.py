@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lcspark.operators import aggregate as A
 from lcspark.operators import skew
 from lcspark.operators import vectors as V
+from lcspark.operators import window as W
 from lcspark.plans import bindings as B
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +97,48 @@ def test_sampled_detection_finds_large_objects(spark):
         F.when(F.col("id") < 60000, F.lit(999)).otherwise(F.col("id") % 30).cast("bigint").alias("object_id"))
     hot = skew.hot_object_counts(df, 20000)
     assert [h[0] for h in hot] == [999] and 50000 < hot[0][1] < 70000
+
+
+# ----------------------------------------------------- objects without an id
+
+OPERATORS = {
+    "rank_asc": lambda o, t: W.rank_asc(o, t), "rank_desc": lambda o, t: W.rank_desc(o, t),
+    "elapsed": lambda o, t: W.elapsed_time(o, t), "delta": lambda o, t: W.delta_time(o, t), "lead": lambda o, t: W.lead_time(o, t),
+    "reverse": lambda o, t: W.reverse_elapsed(o, t), "interval": lambda o, t: W.interval_features(o, t),
+    "keep_last": lambda o, t: W.keep_last(o, t, 7), "normalise": lambda o, t: W.range_normalise(o),
+    "arrays": lambda o, t: A.collect_arrays(o, t), "nested": lambda o, t: A.nested_arrays(o, t),
+    "hist": lambda o, t: A.hist_struct(o, t, {"flux": ("flux", "double")}),
+    "pad": lambda o, t: V.pad_observations(o, t, 9), "raw": lambda o, t: V.vectors_raw(o, t),
+    "pivot": lambda o, t: A.pivot_feature(o, "flux", tie=t)}
+
+
+@pytest.mark.parametrize("null_is_hot", [True, False])
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_rows_without_object_id_are_kept(spark, hot_threshold, name, null_is_hot):
+    """Null ids are an object like any other, hot or not, beside hot and normal objects."""
+    n_null = 60 if null_is_hot else 6
+    rows_ = [(k, float(i * 7 % 13), i % 6, float(i), 1.0, i % 2, i)
+             for k, n in ((None, n_null), (1, 50), (2, 5), (3, 1)) for i in range(n)]
+    o = spark.createDataFrame(rows_, "object_id bigint, mjd double, passband int, flux double, flux_err double, detected int, e int")
+    hot_threshold(1 << 40)
+    ref = sorted(map(repr, OPERATORS[name](o, ["e"]).collect()))
+    hot_threshold(20)
+    assert {k for k, _ in skew.hot_object_counts(o)} == ({None, 1} if null_is_hot else {1})
+    assert sorted(map(repr, OPERATORS[name](o, ["e"]).collect())) == ref
+
+
+def test_group_limit_before_the_shuffle(spark):
+    o, tie = B.obs_supp(spark, SF), B.TIE["obs_supp"]
+    plan = W.keep_last(o, tie, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_one_detection_per_source(spark, monkeypatch):
+    from lcspark.plans.registry import QUERIES
+    from lcspark.plans import queries  # noqa: F401
+    calls = []
+    detect = skew.detect_hot_objects
+    monkeypatch.setattr(skew, "detect_hot_objects", lambda *a: calls.append(1) or detect(*a))
+    skew._CACHE.clear()
+    QUERIES["drop_observations"](spark, SF).collect()
+    assert len(calls) == 1
