@@ -1,8 +1,10 @@
 """Array and vector functions.
 
-These replace the reference's row-at-a-time Python UDFs with Spark's
-higher-order array functions, so they stay inside whole-stage codegen and
-no Python worker is started.
+Spark's own array functions, so no Python worker is started.  Functions with
+a lambda are interpreted (they are not part of generated code), but each of
+these passes over its arrays a fixed number of times: none looks an element
+of another array up inside a lambda, where the optimiser may rebuild that
+array for every element.
 """
 
 from __future__ import annotations
@@ -27,20 +29,32 @@ def pad_array(arr, length: int, value=0, dtype: str = "float") -> Column:
                    -length, length)
 
 
-def forward_diff(arr) -> Column:
-    """ediff1d(to_begin=0): [0, a1-a0, a2-a1, ...].  Pass a column
-    (not an array expression): the array is indexed once per element."""
+def _pairwise(a: Column) -> Column:
+    """[a1-a0, a2-a1, ...], one shorter than the array."""
+    n = F.greatest(F.size(a) - F.lit(1), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(2), n), F.slice(a, F.lit(1), n), lambda x, p: x - p)
+
+
+def _end(element: Column, difference) -> Column:
+    """One-element array (none where ``element`` is none): the difference
+    across the array's end if given and not null, else 0."""
+    zero = lambda x: F.coalesce(F.nullif(x, x), F.lit(0))  # noqa: E731  0 of the element's type
+    return F.transform(element, zero if difference is None else lambda x: F.coalesce(difference(x), zero(x)))
+
+
+def forward_diff(arr, before=None) -> Column:
+    """ediff1d(to_begin=0): [0, a1-a0, a2-a1, ...].  ``before`` is the
+    value before the array, if it is part of a longer series."""
     a = col_of(arr)
-    return F.transform(
-        a, lambda x, i: F.when(i > 0, x - F.try_element_at(a, i)).otherwise(F.lit(0)))
+    return F.concat(_end(F.slice(a, 1, 1), None if before is None else lambda x: x - before), _pairwise(a))
 
 
-def backward_diff(arr) -> Column:
-    """ediff1d(to_end=0): [a1-a0, a2-a1, ..., 0].  Pass a column."""
+def backward_diff(arr, after=None) -> Column:
+    """ediff1d(to_end=0): [a1-a0, a2-a1, ..., 0].  ``after`` is the value
+    after the array, if it is part of a longer series."""
     a = col_of(arr)
-    return F.transform(
-        a, lambda x, i: F.when(i + 1 < F.size(a), F.try_element_at(a, i + 2) - x)
-        .otherwise(F.lit(0)))
+    last = F.slice(a, F.greatest(F.size(a), F.lit(1)), F.lit(1))
+    return F.concat(_pairwise(a), _end(last, None if after is None else lambda x: after - x))
 
 
 def one_hot(idx, n: int = 15, offset: int = 0) -> Column:
@@ -91,10 +105,10 @@ def slice_features(arr, meta_len: int = 10, seq_len: int = 256,
 
 def hist_matrix(channels) -> Column:
     """channel arrays (c x n) -> per-time rows (n x c), i.e. the
-    reshape + permute of a channel-major block.  Pass columns (each array
-    is indexed once per element)."""
-    cols = [col_of(c) for c in channels]
-    return F.transform(cols[0], lambda _x, i: F.array(*[c[i] for c in cols]))
+    reshape + permute of a channel-major block."""
+    names = [f"c{k}" for k in range(len(channels))]
+    zipped = F.arrays_zip(*[col_of(c).alias(n) for c, n in zip(channels, names)])
+    return F.transform(zipped, lambda z: F.array(*[z[n] for n in names]))
 
 
 def argmax(arr) -> Column:
@@ -107,7 +121,7 @@ def sorted_struct_array(*fields) -> Column:
     """``collect_list`` of structs sorted by their fields in order; used as
     an aggregate.  Put the order keys first (time, then tie-breaks) so the
     array has a defined order after any shuffle."""
-    return F.array_sort(F.collect_list(F.struct(*fields)))
+    return F.sort_array(F.collect_list(F.struct(*fields)))
 
 
 def keep_last_elements(arr, length: int) -> Column:

@@ -16,7 +16,7 @@ from lcspark.functions.arrays import sorted_struct_array
 from lcspark.functions.expr import flux_pow as _flux_pow
 from lcspark.functions.expr import log2_pow
 from lcspark.operators.window import rank_asc
-from lcspark.schema import CLASS_CODES, N_CLASSES
+from lcspark.schema import N_CLASSES
 
 FEATURES = ["mjd", "passband", "flux", "flux_err", "detected"]
 FEATURE_TYPES = {"mjd": "float", "passband": "int", "flux": "float",
@@ -50,41 +50,62 @@ def modifiers_from_range(df: DataFrame, fmax: str, fmin: str) -> DataFrame:
     })
 
 
-def pivot_feature(obs: DataFrame, feature: str, width: int, tie) -> DataFrame:
+def pivot_width(obs: DataFrame) -> int:
+    """The pivot's width from the data: the longest object (A2), one number."""
+    return int(max_observation_count(obs).first()["max_n_obs"] or 0)
+
+
+def _pivot(obs: DataFrame, width: int, tie, features) -> DataFrame:
+    """One wide row per object, columns <rank>_<feature>; an object longer
+    than ``width`` raises instead of losing observations."""
+    fits = F.when(F.col("rownum") <= F.lit(width), F.col("rownum")).otherwise(F.raise_error(F.concat(
+        F.lit(f"pivot width {width} is too small: an object has an observation of rank "), F.col("rownum").cast("string"))).cast("int"))
+    ranked = rank_asc(obs, tie, "rownum").withColumn("rownum", fits)
+    # the extra feature keeps the names <rank>_<feature> for a single one
+    return ranked.groupBy("object_id").pivot("rownum", list(range(1, width + 1))).agg(
+        *[F.max(f).alias(f) for f in features], F.count(F.lit(1)).alias("_n"))
+
+
+def pivot_feature(obs: DataFrame, feature: str, width: int | None = None, tie=()) -> DataFrame:
     """A4: wide table object_id, <feature>1..<feature>width: the value at
-    ascending rank i (null after the last observation).  The pivot values
-    are passed explicitly so Spark runs no job to find them."""
-    ranked = rank_asc(obs, tie, "rownum")
-    wide = ranked.groupBy("object_id").pivot("rownum", list(range(1, width + 1))).agg(
-        F.max(feature))
-    return wide.select("object_id", *[F.col(str(i)).alias(f"{feature}{i}")
-                                      for i in range(1, width + 1)])
-
-
-def pivot_all_features(obs: DataFrame, width: int, tie, features=FEATURES,
-                       materialize: bool = True) -> dict:
-    """A5: the five pivots of one ranked input, each its own wide table
-    (one table per feature, as stored).  With ``materialize`` the shared
-    wide pivot is written once with ``checkpoint()`` (to the shared
-    checkpoint folder), so the five tables read it instead of re-running
-    the scan, shuffle and aggregation once each."""
-    ranked = rank_asc(obs, tie, "rownum")
-    wide = ranked.groupBy("object_id").pivot("rownum", list(range(1, width + 1))).agg(
-        *[F.max(f).alias(f) for f in features])
-    if materialize:
-        from lcspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(obs.sparkSession)
-        wide = wide.checkpoint(eager=True)
-    return {f: wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}")
-                                           for i in range(1, width + 1)])
-            for f in features}
-
-
-def pivot_all_wide(obs: DataFrame, width: int, tie, features=FEATURES) -> DataFrame:
+    ascending rank i (null after the last observation).  ``width`` defaults
+    to the longest object; the pivot values are passed explicitly."""
+    width = pivot_width(obs) if width is None else width
+    wide = _pivot(obs, width, tie, [feature])
+    return wide.select("object_id", *[F.col(f"{i}_{feature}").alias(f"{feature}{i}") for i in range(1, width + 1)])
+
+
+def pivot_all_features(obs: DataFrame, width: int | None = None, tie=(), features=FEATURES,
+                       path: str | None = None) -> dict:
+    """A5: the five pivots of one ranked input, each a stored table of its
+    own (one table per feature, as the reference keeps them): the shared
+    wide pivot is written once, and every feature's table from it, bucketed
+    and sorted by object_id, so joins of them (J8) read only their own
+    columns and shuffle nothing.  The tables lie below ``path`` (default: a
+    scratch folder)."""
+    import uuid
+
+    from lcspark.sources.io import scratch_dir
+    spark = obs.sparkSession
+    width = pivot_width(obs) if width is None else width
+    path = path or scratch_dir(spark, "pivots")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _pivot(obs, width, tie, features).repartition(buckets, "object_id").write.parquet(f"{path}/wide")
+    wide = spark.read.parquet(f"{path}/wide")
+    out = {}
+    for f in features:
+        name = f"pivot_{f}_{uuid.uuid4().hex[:12]}"
+        table = wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}") for i in range(1, width + 1)])
+        (table.repartition(buckets, "object_id").write.bucketBy(buckets, "object_id").sortBy("object_id")
+         .option("path", f"{path}/{f}").saveAsTable(name))
+        out[f] = spark.table(name)
+    return out
+
+
+def pivot_all_wide(obs: DataFrame, width: int | None = None, tie=(), features=FEATURES) -> DataFrame:
     """A5 as one wide table with all five feature blocks (one shuffle)."""
-    ranked = rank_asc(obs, tie, "rownum")
-    wide = ranked.groupBy("object_id").pivot("rownum", list(range(1, width + 1))).agg(
-        *[F.max(f).alias(f) for f in features])
+    width = pivot_width(obs) if width is None else width
+    wide = _pivot(obs, width, tie, features)
     return wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}")
                                       for f in features for i in range(1, width + 1)])
 
@@ -111,7 +132,7 @@ def tie_fields(tie):
 MAX_ARRAY_LEN = 1 << 16
 
 
-def series_chunks(obs: DataFrame, tie, payload, max_len: int = MAX_ARRAY_LEN,
+def series_chunks(obs: DataFrame, tie, payload, max_len: int | None = None,
                   stats: bool = False, neighbours: bool = False, carry=(),
                   hot_threshold=None) -> DataFrame:
     """Per (object_id, chunk): ``s`` = time-sorted array of structs
@@ -129,6 +150,7 @@ def series_chunks(obs: DataFrame, tie, payload, max_len: int = MAX_ARRAY_LEN,
     Hot objects (see ``skew``) are numbered by the distributed global rank
     instead of a per-object window, so their work is split across tasks."""
     from lcspark.operators import skew
+    max_len = max_len or MAX_ARRAY_LEN
     if hot_threshold is not False:
         normal, hot, counts = skew.split_hot(obs, hot_threshold)
         if hot is not None:
@@ -165,7 +187,7 @@ def object_window_asc(tie):
 
 
 def collect_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES,
-                   max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+                   max_len: int | None = None) -> DataFrame:
     """Flat arrays per object (per chunk) in time order."""
     agg = series_chunks(obs, tie, features, max_len)
     return agg.select("object_id", "chunk", *[
@@ -173,13 +195,13 @@ def collect_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES,
 
 
 def nested_arrays(obs: DataFrame, tie, features=FEATURES, types=FEATURE_TYPES,
-                  max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+                  max_len: int | None = None) -> DataFrame:
     """array<array<...>> per feature (one inner array per object)."""
     flat = collect_arrays(obs, tie, features, types, max_len)
     return flat.select("object_id", "chunk", *[F.array(F.col(f)).alias(f) for f in features])
 
 
-def hist_struct(obs: DataFrame, tie, fields: dict, carry=(), max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+def hist_struct(obs: DataFrame, tie, fields: dict, carry=(), max_len: int | None = None) -> DataFrame:
     """Array of one struct of channel arrays, ``fields`` maps the
     channel name to (column, element type).  ``carry`` are per-object
     columns kept with ``any_value`` (they are functionally dependent on the
@@ -202,12 +224,11 @@ def distinct_objects(obs: DataFrame, pads: dict | None = None) -> DataFrame:
 
 
 def group_by_meta(df: DataFrame, keys, aggs) -> DataFrame:
-    """Grouping on scalar and array keys (as the reference groups by
-    object_id, meta array, target, specz).  The keys are functionally
-    dependent on object_id, so we shuffle on object_id alone and carry the
-    rest with ``any_value`` - a smaller shuffle key and the same groups."""
-    carried = [k for k in keys if k != "object_id"]
-    return df.groupBy("object_id").agg(*aggs, *[F.any_value(k).alias(k) for k in carried])
+    """Grouping on all of the keys, scalars and arrays alike (as the
+    reference groups by object_id, meta array, target, specz): rows of one
+    object with different metadata are different groups.  Input that is
+    hashed by object_id already (after a join on it) is not shuffled again."""
+    return df.groupBy(*keys).agg(*aggs)
 
 
 def class_shares(df: DataFrame, target: str = "target") -> DataFrame:
@@ -216,6 +237,8 @@ def class_shares(df: DataFrame, target: str = "target") -> DataFrame:
     a window over the per-class counts (at most 15 rows), so no row of the
     input meets a single task."""
     spark = df.sparkSession
+    if "chunk" in df.columns:
+        df = df.filter(F.col("chunk") == F.lit(0))     # an object counts once, in however many chunks it is stored
     counts = df.groupBy(F.col(target).alias("class_index")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
     classes = spark.range(N_CLASSES).select(F.col("id").cast("int").alias("class_index"))
@@ -226,11 +249,6 @@ def class_shares(df: DataFrame, target: str = "target") -> DataFrame:
                          share.alias("share"))
 
 
-def class_code_table(spark):
-    return spark.createDataFrame([(i, c) for i, c in enumerate(CLASS_CODES)],
-                                 "class_index int, class_code int")
-
-
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
     """Rows per split."""
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))

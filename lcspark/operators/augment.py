@@ -8,15 +8,16 @@ one row, not one row per observation, until the caller explodes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lcspark.functions.arrays import backward_diff, forward_diff
+from lcspark.functions.arrays import sorted_struct_array
 from lcspark.functions.expr import clip, map_target, photoz_positive, log2_pow
 from lcspark.functions.rng import keyed_normal, keyed_uniform
-from lcspark.operators.aggregate import MAX_ARRAY_LEN, class_shares
-from lcspark.operators.vectors import FLAT_CHANNELS, _with_meta, collect_series, nm_of
-from lcspark.schema import CLASS_CODES, DROP_RATE, Z_MAX, Z_MIN
+from lcspark.operators import aggregate
+from lcspark.operators.aggregate import class_shares
+from lcspark.operators.vectors import _with_meta, nm_of
+from lcspark.schema import DROP_RATE, Z_MAX, Z_MIN
 
 
 def _col(c) -> Column:
@@ -102,56 +103,55 @@ def drop_observations(obs: DataFrame, seed: int, keys, rate: float = DROP_RATE)
 
 def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
             replica: str = "replica") -> DataFrame:
-    """The baseline program's copies of a sample, as array functions
-    on the baseline samples (``vectors.samples_baseline``): per copy, drop
-    observations (keep if draw >= rate), recompute forward and backward
-    intervals of the kept times, draw z' ~ N(z, z_err / 1.5) clamped to
-    [0, 5], dt = (1 + z) / (1 + z'), flux ~ N(flux, flux_err / 1.5), and
-    multiply time, intervals and source wavelength by dt; meta slot 5
-    becomes z'.  ``n`` may be a column (e.g. by galactic flag).  Keys:
-    (object_id, original position, replica) and (object_id, replica).
-    Intervals after the drop are recomputed inside a row, so for an object
-    stored as several chunks (over MAX_ARRAY_LEN observations) the first
-    kept observation of each chunk starts at interval 0."""
+    """The baseline program's copies of the baseline samples
+    (``vectors.samples_baseline``): per copy, drop observations (keep if
+    draw >= rate), recompute forward and backward intervals of the kept
+    times, draw z' ~ N(z, z_err / 1.5) clamped to [0, 5], dt = (1 + z) /
+    (1 + z'), flux ~ N(flux, flux_err / 1.5), and multiply time, intervals
+    and source wavelength by dt; meta slot 5 becomes z'.  ``n`` may be a
+    column (e.g. by galactic flag).  Keys: (object_id, original position,
+    replica) and (object_id, replica).  A copy that keeps no observation has
+    no row.
+
+    The arrays are taken apart into rows, so drop and intervals are a filter
+    and a window over (object, replica) in the whole object, however many
+    chunks it is stored in; samples are hashed by object_id already, which
+    serves the window and the collect."""
+    has_chunk = "chunk" in samples.columns
     df = replicate(samples, n, replica)
     oid, rep = F.col("object_id"), F.col(replica)
-    z = F.col("meta")[5].cast("double")
-    ze = F.col("meta")[6].cast("double")
+    z, ze = F.col("meta")[5].cast("double"), F.col("meta")[6].cast("double")
     zn = clip(normal_jitter(z, ze, keyed_normal(seed, "z", oid, rep)), Z_MIN, Z_MAX)
     df = df.withColumn("_zn", zn).withColumn("_dt", (F.lit(1.0) + z) / (F.lit(1.0) + F.col("_zn")))
-    # position in the whole object (chunks count MAX_ARRAY_LEN positions)
-    base = (F.col("chunk") * F.lit(MAX_ARRAY_LEN)) if "chunk" in samples.columns else F.lit(0)
-    df = df.withColumn("_base", base.cast("bigint"))
-    # one keep flag per position, then index-based filters of the kept
-    # positions, bands and history rows (no per-row structs are built)
-    df = df.withColumn("_keep", F.transform(
-        F.col("band"), lambda _b, i: keyed_uniform(seed, "drop", oid, i + F.col("_base"), rep) >= F.lit(rate)))
-    keep = F.col("_keep")
-    df = df.withColumns({
-        "_ki": F.filter(F.transform(F.col("band"), lambda _b, i: i + F.col("_base")), lambda _x, i: keep[i]),
-        "_kb": F.filter(F.col("band"), lambda _x, i: keep[i]),
-        "_kh": F.filter(F.col("hist"), lambda _x, i: keep[i]),
-    })
-    df = df.withColumn("_t", F.transform(F.col("_kh"), lambda h: h[0].cast("double")))
-    df = df.withColumns({"_fwd": forward_diff("_t"), "_bwd": backward_diff("_t")})
-    dt = F.col("_dt")
-
-    def new_row(h, j):
-        flux = normal_jitter(h[1].cast("double"), h[2].cast("double"),
-                             keyed_normal(seed, "flux", oid, F.col("_ki")[j], rep))
-        vals = [
-            F.col("_t")[j] * dt, flux, h[2].cast("double"), h[3].cast("double"),
-            F.col("_fwd")[j] * dt, F.col("_bwd")[j] * dt, h[6].cast("double") * dt, h[7].cast("double"),
-        ]
-        return F.array(*[v.cast("float") for v in vals])
-
     meta = F.transform(F.col("meta"), lambda x, i: F.when(i == 5, F.col("_zn").cast("float")).otherwise(x))
-    chunk = [c for c in ("chunk",) if c in samples.columns]
-    return df.select(
-        "object_id", *chunk, replica, "target", meta.alias("meta"), "specz",
-        F.col("_kb").alias("band"),
-        F.transform(F.col("_kh"), new_row).alias("hist"),
-    )
+    # position in the whole object (a chunk counts MAX_ARRAY_LEN positions)
+    base = (F.col("chunk") * F.lit(aggregate.MAX_ARRAY_LEN)) if has_chunk else F.lit(0)
+    rows = (df.select("object_id", replica, F.struct("target", meta.alias("meta"), "specz").alias("_object"), "_dt",
+                      base.cast("bigint").alias("_base"),
+                      F.arrays_zip(F.col("band").alias("b"), F.col("hist").alias("h")).alias("_rows"))
+            .select("object_id", replica, "_object", "_dt", "_base", F.posexplode("_rows").alias("_p", "_x"))
+            .select("object_id", replica, "_object", "_dt", (F.col("_base") + F.col("_p")).alias("_i"),
+                    F.col("_x.b").alias("_b"), F.col("_x.h").alias("_h")))
+    kept = rows.filter(keyed_uniform(seed, "drop", oid, F.col("_i"), rep) >= F.lit(rate))
+    t = F.col("_h")[0].cast("double")
+    w = Window.partitionBy("object_id", replica).orderBy("_i")
+    place = F.row_number().over(w)
+    placed = kept.withColumn("_t", t).withColumns({
+        "_n": place,
+        "_fwd": F.when(place == 1, F.lit(0.0)).otherwise(F.col("_t") - F.lag("_t").over(w)),
+        "_bwd": F.when(F.lead("_i").over(w).isNull(), F.lit(0.0)).otherwise(F.lead("_t").over(w) - F.col("_t"))})
+    h, dt = F.col("_h"), F.col("_dt")
+    flux = normal_jitter(h[1].cast("double"), h[2].cast("double"), keyed_normal(seed, "flux", oid, F.col("_i"), rep))
+    row = F.array(*[v.cast("float") for v in (
+        F.col("_t") * dt, flux, h[2].cast("double"), h[3].cast("double"), F.col("_fwd") * dt, F.col("_bwd") * dt,
+        h[6].cast("double") * dt, h[7].cast("double"))])
+    keys = ["object_id", *(["chunk"] if has_chunk else []), replica]
+    chunk = F.floor((F.col("_n") - F.lit(1)) / F.lit(aggregate.MAX_ARRAY_LEN)).cast("int")
+    grouped = (placed.withColumn("chunk", chunk).withColumn("_row", row)
+               .groupBy(*keys).agg(sorted_struct_array(F.col("_i"), F.col("_b").alias("b"), F.col("_row").alias("h")).alias("_s"),
+                                   F.any_value("_object").alias("_object")))
+    return grouped.select(*keys, "_object.target", "_object.meta", "_object.specz",
+                          F.col("_s.b").alias("band"), F.col("_s.h").alias("hist"))
 
 
 # ------------------------------------------------------------------ G7 ---
@@ -163,54 +163,50 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
     loop.  A copy draws a new photoz per object for its metadata, a new
     flux per observation (uniform), and a per-observation time dilation
     against the original photoz; the flux is still divided by the range of
-    the *original* flux (as the reference does).  Re-ordering by the new
-    time happens inside a row, so for an object longer than MAX_ARRAY_LEN
-    (stored as several chunks) it is per chunk."""
-    df = _with_meta(collect_series(obs, tie), meta)
+    the *original* flux (as the reference does).
+
+    Ranks, draws and the re-ordering by the new time are on rows, over the
+    whole object; an object longer than MAX_ARRAY_LEN is stored as several
+    chunks afterwards.  One exchange on object_id serves the ranks, the
+    order of each copy and the collect."""
+    from lcspark.operators.skew import object_ranks
+    ranked = object_ranks(obs.select(*dict.fromkeys(["object_id", "mjd", *tie, "passband", "flux", "flux_err"])), tie, flux_range=True)
+    df = _with_meta(ranked, meta)
     df = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    oid, rep = F.col("object_id"), F.col("replica")
+    oid, rep, rank = F.col("object_id"), F.col("replica"), F.col("_rank")
     z, ze = F.col("hostgal_photoz"), F.col("hostgal_photoz_err")
     orig = rep == F.lit(0)
     zm = F.when(orig, z).otherwise(uniform_jitter(z, ze, keyed_uniform(seed, "photoz", oid, rep)))
-    df = df.withColumns({"_zm": zm, "_hm": log2_pow(F.col("fmax") - F.col("fmin"))})
-
-    def elem(x, i):
-        # rank in the whole object (chunks count MAX_ARRAY_LEN positions)
-        rank = i + F.lit(1) + F.col("chunk") * F.lit(MAX_ARRAY_LEN)
-        flux = F.when(orig, x["flux"]).otherwise(
-            uniform_jitter(x["flux"], x["flux_err"], keyed_uniform(seed, "flux", oid, rank, rep)))
-        zn = uniform_jitter(z, ze, keyed_uniform(seed, "dt", oid, rank, rep))
-        mjd = F.when(orig, x["mjd"]).otherwise(x["mjd"] * ((F.lit(1.0) + z) / (F.lit(1.0) + zn)))
-        return F.struct(mjd.alias("mjd"), i.alias("i"), x["passband"].alias("passband"),
-                        flux.alias("flux"), x["flux_err"].alias("flux_err"))
-
-    df = df.withColumn("_q", F.array_sort(F.transform(F.col("s"), elem)))
-    df = df.withColumns({"_first": F.col("_q")[0]["mjd"], "_z1": F.col("_zm") + F.lit(1.0)})
-    q, hm, first, z1 = F.col("_q"), F.col("_hm"), F.col("_first"), F.col("_z1")
-    since = F.transform(q, lambda x: F.try_divide(x["mjd"] - first, z1))
-    zeros = F.transform(q, lambda x: F.lit(0.0))
-    fp = F.log2(F.col("fmax") - F.col("fmin"))
+    flux = F.when(orig, F.col("flux")).otherwise(
+        uniform_jitter("flux", "flux_err", keyed_uniform(seed, "flux", oid, rank, rep)))
+    zn = uniform_jitter(z, ze, keyed_uniform(seed, "dt", oid, rank, rep))
+    mjd = F.when(orig, F.col("mjd")).otherwise(F.col("mjd") * ((F.lit(1.0) + z) / (F.lit(1.0) + zn)))
+    df = df.withColumns({"_zm": zm, "_mjd": mjd, "_flux": flux, "_hm": log2_pow(F.col("_fmax") - F.col("_fmin"))})
+    w = Window.partitionBy("object_id", "replica").orderBy("_mjd", "_rank")
+    z1 = F.col("_zm") + F.lit(1.0)
+    placed = df.withColumns({"_n": F.row_number().over(w), "_t0": F.first("_mjd").over(w)})
+    fp = F.log2(F.col("_fmax") - F.col("_fmin"))
     meta_arr = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("ddf").cast("double"),
                        F.col("hostgal_specz").cast("double"), F.col("_zm").cast("double"),
                        F.col("mwebv").cast("double"), photoz_positive("_zm").cast("double"),
                        fp / F.lit(10.0))
-    return df.select(
-        "replica", "object_id", "chunk", map_target("target").cast("int").alias("target"),
-        meta_arr.alias("meta"),
-        F.col("_q.passband").cast("array<int>").alias("band"),
-        zeros.cast("array<float>").alias("mjd"),
-        F.transform(q, lambda x: x["flux"] / hm).cast("array<float>").alias("flux"),
-        F.transform(q, lambda x: x["flux_err"] / hm).cast("array<float>").alias("flux_err"),
-        F.transform(q, lambda x: F.lit(0)).cast("array<int>").alias("detected"),
-        since.cast("array<float>").alias("fwd_int"),
-        since.cast("array<float>").alias("bwd_int"),
-        F.transform(q, lambda x: F.try_divide(nm_of(x["passband"]), z1) / F.lit(1000.0))
-        .cast("array<float>").alias("source_wavelength"),
-        zeros.cast("array<float>").alias("received_wavelength"),
-    )
-
-
-AUGMENTED_COLUMNS = ["replica", "object_id", "chunk", "target", "meta", "band"] + FLAT_CHANNELS
+    rows = placed.select(
+        "replica", "object_id", F.floor((F.col("_n") - F.lit(1)) / F.lit(aggregate.MAX_ARRAY_LEN)).cast("int").alias("chunk"),
+        F.struct(map_target("target").cast("int").alias("target"), meta_arr.alias("meta")).alias("_object"),
+        F.struct(F.col("_n"), F.col("passband").cast("int").alias("band"),
+                 (F.col("_flux") / F.col("_hm")).cast("float").alias("flux"),
+                 (F.col("flux_err") / F.col("_hm")).cast("float").alias("flux_err"),
+                 F.try_divide(F.col("_mjd") - F.col("_t0"), z1).cast("float").alias("since"),
+                 (F.try_divide(nm_of(F.col("passband")), z1) / F.lit(1000.0)).cast("float").alias("source")).alias("_x"))
+    grouped = rows.groupBy("replica", "object_id", "chunk").agg(
+        F.sort_array(F.collect_list("_x")).alias("s"), F.any_value("_object").alias("_object"))
+    zeros = F.transform("s", lambda x: F.lit(0.0).cast("float"))
+    return grouped.select(
+        "replica", "object_id", "chunk", "_object.target", "_object.meta", F.col("s.band").alias("band"),
+        zeros.alias("mjd"), F.col("s.flux").alias("flux"), F.col("s.flux_err").alias("flux_err"),
+        F.transform("s", lambda x: F.lit(0)).alias("detected"), F.col("s.since").alias("fwd_int"),
+        F.col("s.since").alias("bwd_int"), F.col("s.source").alias("source_wavelength"),
+        zeros.alias("received_wavelength"))
 
 
 # ------------------------------------------------------------------ G8 ---
@@ -219,7 +215,6 @@ def balance_counts(df: DataFrame, target: str = "target") -> DataFrame:
     """Extra copies per class index: int(3 * max(share) / share) - 1 (15
     rows; absent classes have share 1)."""
     shares = class_shares(df, target)
-    from pyspark.sql import Window
     mx = F.max("share").over(Window.partitionBy())
     return shares.select("class_index", (F.floor(F.lit(3.0) * mx / F.col("share")) - F.lit(1))
                          .cast("int").alias("extra"))
@@ -235,7 +230,7 @@ def balance_classes(samples: DataFrame, seed: int, augmentate: bool = True,
         .drop("class_index").fillna({"extra": 0})
     originals = samples.withColumn("replica", F.lit(0))
     if augmentate:
-        copies = augment(with_n, F.col("extra"), seed)
+        copies = augment(with_n, F.col("extra"), seed)     # by the object's own count
     else:
         copies = replicate(with_n, F.col("extra")).drop("extra")
     return originals.unionByName(copies.select(*originals.columns))
@@ -262,6 +257,3 @@ def split(df: DataFrame, weights, seed: int, names=None, key: str = "object_id",
     for b, nm in reversed(list(zip(bounds, names[:-1]))):
         expr = F.when(u < F.lit(b), F.lit(nm)).otherwise(expr)
     return df.withColumn(name, expr)
-
-
-CLASS_INDEX_CODES = list(enumerate(CLASS_CODES))

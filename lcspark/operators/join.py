@@ -62,15 +62,18 @@ def join_pivot_metadata(pivot: DataFrame, meta: DataFrame, meta_cols) -> DataFra
     return pivot.join(meta.select("object_id", *meta_cols), "object_id", "inner")
 
 
-def align_pivots(pivots: dict, width: int) -> DataFrame:
+def align_pivots(pivots: dict, width: int | None = None) -> DataFrame:
     """Five wide tables (one per feature, columns <feature>1..<feature>W)
     joined on object_id and turned back into aligned long rows, dropping the
-    null tail.  The unpivot is row-local (inline of an array of structs)."""
+    null tail.  The unpivot is row-local (inline of an array of structs).
+    Tables bucketed by object_id (``pivot_all_features``) are merged bucket
+    by bucket without a shuffle."""
     names = list(pivots)
+    width = len(pivots[names[0]].columns) - 1 if width is None else width
     joined = None
     for n in names:
         p = pivots[n]
-        joined = p if joined is None else joined.join(p, "object_id", "inner")
+        joined = p if joined is None else joined.hint("merge").join(p, "object_id", "inner")
     rows = F.array(*[
         F.struct(F.lit(i).alias("rownum"),
                  *[F.col(f"{n}{i}").alias(n) for n in names])

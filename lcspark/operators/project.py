@@ -77,7 +77,8 @@ def object_lookup(obs: DataFrame, object_id: int) -> DataFrame:
 def hist_channel(vectors: DataFrame, name: str, hist: str = "hist") -> DataFrame:
     """One channel out of array<struct<channel arrays>>: ``hist.flux``
     gives an array of arrays, element 0 is the channel array."""
-    return vectors.select("object_id", F.col(f"{hist}.{name}")[0].alias(name))
+    chunk = [c for c in ("chunk",) if c in vectors.columns]
+    return vectors.select("object_id", *chunk, F.col(f"{hist}.{name}")[0].alias(name))
 
 
 def zero_channels_matrix(hist, channels=ZEROED_CHANNELS):
@@ -89,15 +90,6 @@ def zero_channels_matrix(hist, channels=ZEROED_CHANNELS):
         (F.lit(0.0).cast("float") if c in zeroed else row[c]) for c in range(len(HIST_CHANNELS))]))
 
 
-def zero_struct_fields(struct_col, names):
-    """C14 on a struct of channel arrays: the named arrays become zeros of
-    the same length."""
-    s = col_of(struct_col)
-    for n in names:
-        s = s.withField(n, F.transform(s.getField(n), lambda x: F.lit(0).cast("float")))
-    return s
-
-
 def kv_observation(obs: DataFrame, keep=()) -> DataFrame:
     """Each observation as a string -> double map (all values widen
     to double, as a SQL MAP of mixed numbers does)."""

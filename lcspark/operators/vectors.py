@@ -22,7 +22,8 @@ from lcspark.functions.arrays import (forward_diff, hist_matrix,
                                       keep_last_elements, pad_array, sorted_struct_array)
 from lcspark.functions.expr import (band_index, log2_pow, map_target, photoz_positive)
 from lcspark.functions.rng import keyed_uniform
-from lcspark.operators.aggregate import MAX_ARRAY_LEN, series_chunks, tie_fields
+from lcspark.operators import aggregate
+from lcspark.operators.aggregate import series_chunks, tie_fields
 from lcspark.operators.join import grid_left_join, padding_grid
 from lcspark.operators.project import meta_vector
 from lcspark.operators.window import keep_last, object_window
@@ -45,7 +46,7 @@ def nm_of(pb):
     return F.element_at(nm_array(), idx.cast("int"))
 
 
-def collect_series(obs: DataFrame, tie, max_len: int = MAX_ARRAY_LEN,
+def collect_series(obs: DataFrame, tie, max_len: int | None = None,
                    neighbours: bool = False) -> DataFrame:
     """One row per object (per chunk of ``max_len`` observations): ``s`` =
     time-sorted array of observation structs, with the object's first time
@@ -129,7 +130,7 @@ def pad_observations_relational(obs: DataFrame, tie, length: int) -> DataFrame:
 
 # ------------------------------------------------------------------ V2 ---
 
-def vectors_raw(obs: DataFrame, tie, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+def vectors_raw(obs: DataFrame, tie, max_len: int | None = None) -> DataFrame:
     """V2 (second model): array<array<>> per feature, time-sorted."""
     series = collect_series(obs, tie, max_len)
     types = {"mjd": "float", "passband": "int", "flux": "float", "flux_err": "float",
@@ -149,7 +150,7 @@ def _with_meta(series: DataFrame, meta: DataFrame, cols=META_COLS) -> DataFrame:
     return series.join(meta.select("object_id", *cols), "object_id", "inner")
 
 
-def vectors_meta(obs: DataFrame, meta: DataFrame, tie, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+def vectors_meta(obs: DataFrame, meta: DataFrame, tie, max_len: int | None = None) -> DataFrame:
     """V3 (third model): raw target, 5-field meta, specz, band and a
     4-channel history struct (mjd, flux, flux_err, detected as floats)."""
     df = _with_meta(collect_series(obs, tie, max_len), meta)
@@ -167,11 +168,15 @@ FLAT_CHANNELS = ["mjd", "flux", "flux_err", "detected", "fwd_int", "bwd_int",
 
 
 def _calculated_arrays(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
-                       default_target: int = 0, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+                       default_target: int = 0, max_len: int | None = None, last: int | None = None) -> DataFrame:
     """Fourth-model / flat-table channels: mjd, detected and received
     wavelength zeroed; flux and flux_err divided by the range modifier;
-    fwd_int = bwd_int = time since first / (1 + z); source wavelength."""
-    df = _with_meta(collect_series(obs, tie, max_len), meta).withColumns({
+    fwd_int = bwd_int = time since first / (1 + z); source wavelength.
+    With ``last`` one bounded row per object with the latest observations;
+    the first time and the flux range are still the whole object's."""
+    series = (collect_last_series(obs, tie, last).withColumn("chunk", F.lit(0)) if last
+              else collect_series(obs, tie, max_len))
+    df = _with_meta(series, meta).withColumns({
         "_hm": log2_pow(F.col("fmax") - F.col("fmin")),
         "_z1": F.col("hostgal_photoz") + F.lit(1.0),
     })
@@ -202,7 +207,7 @@ def _calculated_arrays(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
     )
 
 
-def vectors_calculated(obs: DataFrame, meta: DataFrame, tie, max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+def vectors_calculated(obs: DataFrame, meta: DataFrame, tie, max_len: int | None = None) -> DataFrame:
     """V4 (fourth model): target, 10-slot meta, band and an 8-channel
     history struct."""
     flat = _calculated_arrays(obs, meta, tie, max_len=max_len)
@@ -211,10 +216,11 @@ def vectors_calculated(obs: DataFrame, meta: DataFrame, tie, max_len: int = MAX_
 
 
 def vectors_flat(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
-                 max_len: int = MAX_ARRAY_LEN) -> DataFrame:
+                 max_len: int | None = None, last: int | None = None) -> DataFrame:
     """V6 (flat-array table, train or test set): the same channels as V4
-    as eight flat array columns.  The test set has class 0."""
-    flat = _calculated_arrays(obs, meta, tie, train=train, max_len=max_len)
+    as eight flat array columns.  The test set has class 0.  With ``last``
+    only the latest observations, one row per object (to be padded)."""
+    flat = _calculated_arrays(obs, meta, tie, train=train, max_len=max_len, last=last)
     return flat.select("object_id", "chunk", "target", "meta", "band", *FLAT_CHANNELS)
 
 
@@ -252,40 +258,35 @@ def vectors_padded(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
     rep = F.lit(replica)
 
     # per-position struct: (mjd, p, passband, flux, flux_err, detected)
-    def elem(i):
-        mjd = ch["mjd"][i]
-        flux = ch["flux"][i] / hm
-        ferr = ch["flux_err"][i] / hm
+    def elem(x, i):
+        mjd = x["mjd"]
+        flux = x["flux"] / hm
+        ferr = x["flux_err"] / hm
         if augment:
             r = F.lit(L) - i
             flux = _uniform_jitter(flux, ferr, keyed_uniform(seed, "flux", oid, r, rep))
             ukey = (oid, r, rep) if scope == "obs" else (oid, rep)
             zn = _uniform_jitter(z, ze, keyed_uniform(seed, "dt", *ukey))
             mjd = mjd * ((F.lit(1.0) + z) / (F.lit(1.0) + zn))
-        return F.struct(mjd.alias("mjd"), i.alias("p"), ch["passband"][i].alias("passband"),
-                        flux.alias("flux"), ferr.alias("flux_err"), ch["detected"][i].alias("detected"))
+        return F.struct(mjd.alias("mjd"), i.alias("p"), x["passband"].alias("passband"),
+                        flux.alias("flux"), ferr.alias("flux_err"), x["detected"].alias("detected"))
 
-    seq = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), elem))
-    df = df.withColumn("_q", seq)
+    padded = F.arrays_zip(*[ch[c].alias(c) for c in CHANNELS])
+    df = df.withColumn("_q", F.sort_array(F.transform(padded, elem)))
     if augment:
         photoz = _uniform_jitter(z, ze, keyed_uniform(seed, "photoz", oid, rep))
     else:
         photoz = z
     df = df.withColumn("_z", photoz)
-    df = df.withColumn("_mjd", F.col("_q.mjd"))
     q = F.col("_q")
-    mjd = F.col("_mjd")
     first = q.getItem(0).getField("mjd")
     last = q.getItem(L - 1).getField("mjd")
     df = df.withColumns({"_z1": F.col("_z") + F.lit(1.0), "_first": first, "_last": last})
     z1, first, last = F.col("_z1"), F.col("_first"), F.col("_last")
-    if rval_mode == "mirrored":
-        rval = F.transform(F.reverse(mjd), lambda x: last - x)
-    else:
-        rval = F.transform(mjd, lambda x: last - x)
+    rval = F.transform(F.reverse(q) if rval_mode == "mirrored" else q, lambda x: last - x["mjd"])
     hist = F.struct(
-        F.transform(mjd, lambda x: x - first).cast("array<float>").alias("interval"),
-        forward_diff(mjd).cast("array<float>").alias("deltaMjd"),
+        F.transform(q, lambda x: x["mjd"] - first).cast("array<float>").alias("interval"),
+        forward_diff(F.col("_q.mjd")).cast("array<float>").alias("deltaMjd"),
         rval.cast("array<float>").alias("rval"),
         F.col("_q.flux").cast("array<float>").alias("flux"),
         F.col("_q.flux_err").cast("array<float>").alias("flux_err"),
@@ -315,7 +316,7 @@ def vectors_padded(obs: DataFrame, meta: DataFrame, tie, length: int = 256,
 
 def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
                      use_specz: bool = False, scale: float = 100.0,
-                     last: int | None = None, max_len: int = MAX_ARRAY_LEN,
+                     last: int | None = None, max_len: int | None = None,
                      limit: int | None = None) -> DataFrame:
     """V7: the baseline program's per-object samples as one set operation.
 
@@ -334,8 +335,11 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
     the galactic filter (1,000,000 in the reference)."""
     from lcspark.operators.project import galactic_meta, limit_objects
     m = galactic_meta(meta, extragalactic)
+    if limit or extragalactic is not None:
+        # before the shuffle: rows of objects that are not wanted go no further
+        obs = obs.join(m.select("object_id"), "object_id", "left_semi")
     if limit:
-        obs = limit_objects(obs.join(m.select("object_id"), "object_id", "left_semi"), limit)
+        obs = limit_objects(obs, limit)
     if last:
         series = collect_last_series(obs, tie, last, neighbours=True).withColumn("chunk", F.lit(0))
     else:
@@ -372,8 +376,6 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
         F.transform(s, lambda x: F.try_divide(nm_of(x["passband"]), z1) / F.lit(1000.0)),
         F.transform(s, lambda x: nm_of(x["passband"]) / F.lit(1000.0)),
     ]
-    # materialise the channel arrays: the matrix transform indexes each one
-    # per element, so they must be columns, not expressions
     df = df.withColumns({f"_h{k}": F.transform(c, lambda x: x.cast("float")) for k, c in enumerate(channels)})
     hist = hist_matrix([F.col(f"_h{k}") for k in range(len(channels))])
     meta_arr = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0),
@@ -391,14 +393,32 @@ def samples_baseline(obs: DataFrame, meta: DataFrame, tie, extragalactic=None,
 
 # ------------------------------------------------------------------ V8 ---
 
+def last_observations(vectors: DataFrame, keys, arrays, length: int) -> DataFrame:
+    """One row per key from rows of chunks: ``arrays`` hold the latest
+    ``length`` observations, other columns are the key's own.  All chunks but
+    the last are full, so only the last ones that can hold the latest
+    ``length`` are gathered."""
+    others = [c for c in vectors.columns if c not in (*keys, *arrays, "chunk")]
+    needed = -(-length // aggregate.MAX_ARRAY_LEN)
+    top = F.max("chunk").over(Window.partitionBy(*keys))
+    late = vectors.withColumn("_top", top).filter(F.col("chunk") >= F.col("_top") - F.lit(needed))
+    tails = F.struct("chunk", *[keep_last_elements(F.col(a), length).alias(a) for a in arrays])
+    rows = late.groupBy(*keys).agg(F.sort_array(F.collect_list(tails)).alias("_t"), *[F.any_value(c).alias(c) for c in others])
+    return rows.select(*keys, *others, *[keep_last_elements(F.flatten(F.col(f"_t.{a}")), length).alias(a) for a in arrays])
+
+
 def network_input(samples: DataFrame, length: int = 256, zeroed=(0, 3, 7),
                   n_classes: int = 15, offset: int = 0) -> DataFrame:
     """V8: per object, the network's input: meta, band padded / truncated
     to ``length`` (front), history padded the same way with channels 0, 3
-    and 7 zeroed, and the one-hot class.  Row by row, never collected.
-    Build ``samples`` with ``samples_baseline(..., last=length)`` so that
-    each object is one bounded row (``network_input_from_obs``)."""
+    and 7 zeroed, and the one-hot class; one row per object (and replica).
+    Samples stored in chunks are first cut to their latest ``length``
+    observations; ``samples_baseline(..., last=length)`` without ``chunk``
+    is that already and is taken row by row."""
     from lcspark.functions.arrays import one_hot
+    if "chunk" in samples.columns:
+        keys = [k for k in ("object_id", "replica") if k in samples.columns]
+        samples = last_observations(samples, keys, ["band", "hist"], length)
     zero_row = F.array_repeat(F.lit(0.0).cast("float"), F.lit(8))
     h = F.col("hist")
     padded_hist = F.slice(F.concat(F.array_repeat(zero_row, F.lit(length)), h), -length, length)
@@ -416,7 +436,7 @@ def network_input(samples: DataFrame, length: int = 256, zeroed=(0, 3, 7),
 def network_input_from_obs(obs: DataFrame, meta: DataFrame, tie, length: int = 256, **kw) -> DataFrame:
     """V8 from the observations with a bounded collect (latest ``length``
     observations per object)."""
-    return network_input(samples_baseline(obs, meta, tie, last=length), length, **kw)
+    return network_input(samples_baseline(obs, meta, tie, last=length).drop("chunk"), length, **kw)
 
 
 def vectors_padded_relational(obs: DataFrame, meta: DataFrame, tie, length: int = 256,

@@ -26,7 +26,7 @@ INVENTORY = {
     "C11": ("operators.project.limit_objects", ["limit_objects"]),
     "C12": ("operators.project.object_lookup", ["object_lookup"]),
     "C13": ("operators.project.hist_channel", ["hist_channel"]),
-    "C14": ("operators.project.zero_channels_matrix / zero_struct_fields", ["zero_channels", "network_input"]),
+    "C14": ("operators.project.zero_channels_matrix", ["zero_channels", "network_input"]),
     "C15": ("functions.expr.band_index", ["band_index"]),
     "C16": ("operators.project.kv_observation", ["kv_observation"]),
     "C17": ("operators.project.meta_vector", ["meta_vector_baseline", "meta_vector_sql", "meta_vector_raw5",
@@ -102,9 +102,9 @@ INVENTORY = {
     "G3": ("operators.augment.dilate_time", ["dilate_time_obs", "dilate_time_object", "dilate_time_normal"]),
     "G4": ("operators.augment.jitter_metadata", ["jitter_metadata"]),
     "G5": ("operators.augment.drop_observations", ["drop_observations"]),
-    "G6": ("operators.augment.augment", ["augment"]),
+    "G6": ("operators.augment.augment", ["augment", "augment_by_galactic"]),
     "G7": ("operators.augment.augmented_vectors", ["augmented_vectors"]),
-    "G8": ("operators.augment.balance_classes", ["balance_classes"]),
+    "G8": ("operators.augment.balance_classes", ["balance_classes", "balance_classes_augmented"]),
     "G9": ("operators.augment.split", ["split_811", "split_721", "split_631", "split_91"]),
     # 2.10 ML preparation, scoring and evaluation
     "M1": ("operators.ml.standard_scale / standard_scale_groups", ["standard_scale", "standard_scale_groups"]),

@@ -3,7 +3,10 @@ functions (F6-F12), ordering (O) and sources / sinks (S)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lcspark.functions import arrays as FA
@@ -12,6 +15,7 @@ from lcspark.operators import aggregate as A
 from lcspark.operators import augment as G
 from lcspark.operators import ml as M
 from lcspark.operators import join as J
+from lcspark.operators import skew
 from lcspark.operators import vectors as V
 from lcspark.operators import window as W
 from lcspark.operators.order import append_replicas, order_observations, preview
@@ -21,7 +25,7 @@ from lcspark.plans.q_vectors import _v7_rows_cte
 from lcspark.plans.registry import ORACLES, explode_arrays, f6, i64, r6, register
 from lcspark.plans.sql import (f6 as f6s, keyed_normal_sql, keyed_uniform_sql,
                                map_target_sql, r6 as r6s, wavelength_nm_sql, with_binding)
-from lcspark.schema import CLASS_CODES, CLASS_WEIGHTS
+from lcspark.schema import CLASS_CODES, CLASS_WEIGHTS, SEQUENCE_LEN
 from lcspark.sources import io as S
 
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS rn FROM obs)"
@@ -108,8 +112,10 @@ def q_jitter_metadata(spark, sf):
     FROM (SELECT * FROM ranked WHERE {keyed_uniform_sql(17, 'drop', 'object_id', 'rn')} >= 0.3) k
     WINDOW w AS (PARTITION BY object_id ORDER BY rn)""", extra=_RANKED))
 def q_drop_observations(spark, sf):
-    k = G.drop_observations(ranked(spark, sf), 17, [F.col("object_id"), F.col("rownum")])
-    k = W.lead_time(W.delta_time(k, TIE[P]), TIE[P])
+    o = obs(spark, sf)
+    k = G.drop_observations(W.rank_asc(o, TIE[P], "rownum"), 17, [F.col("object_id"), F.col("rownum")])
+    none_hot = False if not skew.hot_object_counts(o) else None      # then none is hot among the rows kept
+    k = W.lead_time(W.delta_time(k, TIE[P], hot_threshold=none_hot), TIE[P], hot_threshold=none_hot)
     return k.select("object_id", i64("rownum").alias("rownum"), r6("delta_mjd").alias("delta_mjd"),
                     r6("lead_mjd").alias("lead_mjd"))
 
@@ -123,7 +129,9 @@ def _ff(c):
 _G6_SEED, _G6_N = 3, 2
 
 
-@register("augment", with_binding(P, f"""
+def _g6_rows_sql(counts):
+    """Rows of the copies; ``counts`` (object_id, n) says how many of each object."""
+    return f"""
     SELECT object_id, CAST(r AS BIGINT) AS replica, CAST(kpos AS BIGINT) AS pos, CAST(band AS BIGINT) AS band,
            {f6s('t * dt')} AS h0,
            {f6s('hf1 + ' + keyed_normal_sql(_G6_SEED, 'flux', 'object_id', 'i', 'r') + ' * (hf2 / 1.5)')} AS h1,
@@ -138,16 +146,17 @@ _G6_SEED, _G6_N = 3, 2
                 SELECT s.object_id, s.rn - 1 AS i, s.rn, s.band, rr.r,
                        {_ff('s.h0')} AS t, {_ff('s.h1')} AS hf1, {_ff('s.h2')} AS hf2, {_ff('s.h3')} AS hf3,
                        {_ff('s.h6')} AS hf6, {_ff('s.h7')} AS hf7, {_ff('s.z')} AS zf, {_ff('s.zerr')} AS zef
-                FROM samples s, range(1, {_G6_N + 1}) rr(r)) x
+                FROM samples s JOIN (SELECT object_id, UNNEST(range(1, n + 1)) AS r FROM {counts} nn) rr
+                  ON s.object_id = rr.object_id) x
             WHERE {keyed_uniform_sql(_G6_SEED, 'drop', 'object_id', 'i', 'r')} >= 0.3) y
-        WINDOW w AS (PARTITION BY object_id, r ORDER BY rn)) z""", meta=True, extra=_v7_rows_cte(P)))
+        WINDOW w AS (PARTITION BY object_id, r ORDER BY rn)) z"""
+
+
+@register("augment", with_binding(P, _g6_rows_sql(f"(SELECT object_id, {_G6_N} AS n FROM meta)"), meta=True,
+                                  extra=_v7_rows_cte(P)))
 def q_augment(spark, sf):
     s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
-    a = G.augment(s, _G6_N, _G6_SEED)
-    a = a.select("object_id", "chunk", "replica", "band", "hist", F.col("meta")[5].alias("m5"))
-    ex = explode_arrays(a, ["object_id", "replica", "m5"], {"band": F.col("band"), "row": F.col("hist")})
-    return ex.select("object_id", i64("replica").alias("replica"), "pos", i64("band").alias("band"),
-                     *[f6(F.col("row")[i]).alias(f"h{i}") for i in range(8)], f6("m5").alias("m5"))
+    return _copy_rows(G.augment(s, _G6_N, _G6_SEED))
 
 
 # ------------------------------------------------------------------ G7 ---
@@ -219,18 +228,50 @@ def _shares_sql(src, label):
               {_shares_sql('tgt', 'ti')}"""))
 def q_balance_classes(spark, sf):
     s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
-    b = G.balance_classes(s, 1, augmentate=False)
+    b = G.balance_classes(s, 1, augmentate=False).filter(F.col("chunk") == 0)     # one row of each copy
     return b.select("object_id", i64("replica").alias("replica"))
 
 
+# The G6 rows of copies 1..extra of each object's class, as the oracle of G6 with that count per object.
+_BALANCED_SQL = f"""
+    SELECT object_id, CAST(0 AS BIGINT) AS replica, CAST(rn - 1 AS BIGINT) AS pos, CAST(band AS BIGINT) AS band,
+           {', '.join(f"{f6s(f'h{i}')} AS h{i}" for i in range(8))}, {f6s(_ff('z'))} AS m5 FROM samples
+    UNION ALL """ + _g6_rows_sql("(SELECT t.object_id, e.extra AS n FROM tgt t JOIN (SELECT class_index, "
+                                "CAST(floor(3.0 * max(share) OVER () / share) - 1 AS INTEGER) AS extra FROM shares) e ON t.ti = e.class_index)")
+
+
+def _copy_rows(a):
+    a = a.select("object_id", "chunk", "replica", "band", "hist", F.col("meta")[5].alias("m5"))
+    ex = explode_arrays(a, ["object_id", "replica", "m5"], {"band": F.col("band"), "row": F.col("hist")})
+    return ex.select("object_id", i64("replica").alias("replica"), "pos", i64("band").alias("band"),
+                     *[f6(F.col("row")[i]).alias(f"h{i}") for i in range(8)], f6("m5").alias("m5"))
+
+
+@register("balance_classes_augmented", with_binding(P, _BALANCED_SQL, meta=True,
+    extra=f"""{_v7_rows_cte(P)}, tgt AS (SELECT DISTINCT o.object_id, {map_target_sql('m.target')} AS ti
+                      FROM obs o JOIN meta m ON o.object_id = m.object_id), {_shares_sql('tgt', 'ti')}"""))
+def q_balance_classes_augmented(spark, sf):
+    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
+    return _copy_rows(G.balance_classes(s, _G6_SEED))
+
+
+@register("augment_by_galactic", with_binding(P, _g6_rows_sql(
+    "(SELECT object_id, CASE WHEN hostgal_photoz > 0 THEN 1 ELSE 3 END AS n FROM meta)"), meta=True, extra=_v7_rows_cte(P)))
+def q_augment_by_galactic(spark, sf):
+    """Copy counts by the galactic flag: three of a galactic object, one of an extragalactic one."""
+    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
+    n = F.when(F.col("meta")[8] > 0, 1).otherwise(3)
+    return _copy_rows(G.augment(s.withColumn("copies", n), F.col("copies"), _G6_SEED))
+
+
 @register("class_shares", with_binding(P, f"""
     SELECT CAST(class_index AS BIGINT) AS class_index, n, {r6s('share')} AS share FROM shares""", meta=True,
     extra=f"""tgt AS (SELECT DISTINCT o.object_id, {map_target_sql('m.target')} AS ti
                       FROM obs o JOIN meta m ON o.object_id = m.object_id),
               {_shares_sql('tgt', 'ti')}"""))
 def q_class_shares(spark, sf):
-    v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
-    s = A.class_shares(v, "target")
+    classes = J.join_metadata(A.distinct_objects(obs(spark, sf), {}), meta(spark, sf).select("object_id", "target"))
+    s = A.class_shares(classes.withColumn("target", map_target("target")), "target")
     return s.select(i64("class_index").alias("class_index"), "n", r6("share").alias("share"))
 
 
@@ -342,8 +383,8 @@ def q_training_loss(spark, sf):
 
 
 def _meta_slots(spark, sf):
-    v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
-    return v.select("object_id", "target", "meta")
+    from lcspark.operators.project import meta_vector
+    return J.enrich_metadata(meta(spark, sf), A.flux_modifiers(obs(spark, sf))).select("object_id", meta_vector("sql").alias("meta"))
 
 
 @register("standard_scale", with_binding(P, f"""
@@ -363,37 +404,6 @@ def q_standard_scale(spark, sf):
     return ex.select("object_id", "pos", r6("value").alias("value"))
 
 
-@register("standard_scale_groups", with_binding(P, f"""
-    SELECT object_id, grp, CAST(pos AS BIGINT) AS pos,
-           {r6s('CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (v - mu) / sd END')} AS value
-    FROM (SELECT object_id, grp, pos, v, avg(v) OVER (PARTITION BY grp, pos) AS mu,
-                 stddev_samp(v) OVER (PARTITION BY grp, pos) AS sd
-          FROM (SELECT m.object_id, 'meta' AS grp,
-                       UNNEST([0.0, 0.0, 0.0, 0.0, CAST(m.ddf AS DOUBLE), m.hostgal_specz, m.hostgal_photoz,
-                               m.mwebv, CASE WHEN m.hostgal_photoz > 0 THEN 1.0 ELSE 0.0 END, d.meta_val]) AS v,
-                       generate_subscripts([0, 0, 0, 0, 0, 0, 0, 0, 0, 0], 1) - 1 AS pos
-                FROM meta m JOIN mods d ON m.object_id = d.object_id
-                WHERE m.object_id IN (SELECT object_id FROM obs)
-                UNION ALL
-                SELECT g.object_id, 'flux', COALESCE({_ff('t.flux / d.hist_modifier')}, 0.0), g.pos
-                FROM (SELECT o.object_id, p.pos FROM (SELECT DISTINCT object_id FROM obs) o, range(0, 32) p(pos)) g
-                JOIN mods d ON d.object_id = g.object_id
-                LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P).replace(', ', ' DESC, ')} DESC) AS rnd
-                           FROM obs) t
-                  ON t.object_id = g.object_id AND t.rnd = 32 - g.pos) a) b""", meta=True, extra=_MODS_SQL))
-def q_standard_scale_groups(spark, sf):
-    v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
-    v = v.select("object_id", FA.to_vector("meta").alias("mv"),
-                 FA.to_vector(FA.pad_array("flux", 32, 0, "float")).alias("fv"))
-    scaled = M.standard_scale_groups(v, {"mv": "meta_s", "fv": "flux_s"})
-    a = scaled.select("object_id", FA.vector_array("meta_s").alias("m"), FA.vector_array("flux_s").alias("f"))
-    parts = []
-    for grp, col in (("meta", "m"), ("flux", "f")):
-        ex = explode_arrays(a, ["object_id"], {"value": F.col(col)})
-        parts.append(ex.select("object_id", F.lit(grp).alias("grp"), "pos", r6("value").alias("value")))
-    return parts[0].unionByName(parts[1])
-
-
 @register("index_labels", with_binding(P, """
     SELECT m.object_id, CAST(ix.idx AS BIGINT) AS label_index FROM meta m JOIN
       (SELECT label, row_number() OVER (ORDER BY n DESC, label ASC) - 1 AS idx
@@ -416,43 +426,57 @@ def q_encode_labels(spark, sf):
     return ex.select("object_id", "pos", r6("value").alias("value"))
 
 
-def _training_frame(spark, sf, length=32):
-    """Features for the classifier: meta + padded flux + padded band as one
-    vector; label = class index; weight = w_c / share_c."""
-    v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
-    feats = FA.concat_features("meta", FA.pad_array("flux", length, 0, "float"),
-                               FA.pad_array("band", length, 0, "int"))
-    df = v.select("object_id", F.col("target").alias("label"), FA.to_vector(feats).alias("features"))
-    shares = A.class_shares(df, "label")
-    df = M.class_weight_column(df, shares, "label", "weight")
-    return G.split(df, [0.8, 0.1, 0.1], 42)
+_SCORED_SQL = """
+    SELECT object_id, CAST(label AS BIGINT) AS label, true AS scored
+    FROM (SELECT m.object_id, {label} AS label, {split} AS split FROM meta m
+          WHERE m.object_id IN (SELECT object_id FROM obs)) t WHERE split = '{part}'"""
+
+
+def _scored_sql(part):
+    """Ids and labels of a split; which class is predicted is the fit's own."""
+    return with_binding(P, _SCORED_SQL.format(label=map_target_sql("m.target"), part=part,
+                                              split=_split_sql([0.8, 0.1, 0.1], 42, G.SPLIT_NAMES[3]).replace("object_id", "m.object_id")),
+                        meta=True)
+
+
+def _training_frame(spark, sf):
+    """The whole feature vector of the reference (10 metadata slots, band and
+    eight channels of 256), stored once for the iterative fit; label = class
+    index; weight = w_c / share_c; split by object."""
+    from lcspark.plans.programs import feature_frame
+    df = feature_frame(V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P], last=SEQUENCE_LEN))
+    df = G.split(M.class_weight_column(df, A.class_shares(df, "label"), "label", "weight"), [0.8, 0.1, 0.1], 42)
+    path = S.scratch_dir(spark, "features")
+    S.write_table(df, path)
+    return S.read_table(spark, path)
 
 
-@register("fit_classifier")
+def _scored(pred):
+    known = F.coalesce(F.col("prediction").between(0, 14), F.lit(False))
+    return pred.select("object_id", i64("label").alias("label"), known.alias("scored"))
+
+
+@register("fit_classifier", _scored_sql("train"))
 def q_fit_classifier(spark, sf):
-    df = _training_frame(spark, sf)
-    train = df.filter(F.col("split") == "train")
-    model = M.fit_classifier(train, max_iter=10)
-    return M.score(model, train).select("object_id", "label", i64("prediction").alias("prediction"))
+    train = _training_frame(spark, sf).filter(F.col("split") == "train")
+    return _scored(M.score(M.fit_classifier(train, max_iter=10), train))
 
 
-@register("fit_network")
+@register("fit_network", _scored_sql("train"))
 def q_fit_network(spark, sf):
-    df = _training_frame(spark, sf)
-    train = df.filter(F.col("split") == "train")
+    train = _training_frame(spark, sf).filter(F.col("split") == "train")
     # balance the classes by plain copies (the network takes no weights)
     counts = G.balance_counts(train, "label")
     bal = G.replicate(train.join(F.broadcast(counts), train["label"] == counts["class_index"]), F.col("extra") + 1)
-    model = M.fit_network(bal.select("object_id", "label", "features"), n_features=10 + 32 + 32, max_iter=20)
-    return M.score(model, train).select("object_id", "label", i64("prediction").alias("prediction"))
+    model = M.fit_network(bal.select("object_id", "label", "features"), n_features=10 + 9 * SEQUENCE_LEN, max_iter=10)
+    return _scored(M.score(model, train))
 
 
-@register("score")
+@register("score", _scored_sql("validation"))
 def q_score(spark, sf):
     df = _training_frame(spark, sf)
     model = M.fit_classifier(df.filter(F.col("split") == "train"), max_iter=10)
-    held = df.filter(F.col("split") == "validation")
-    return M.score(model, held).select("object_id", "label", i64("prediction").alias("prediction"))
+    return _scored(M.score(model, df.filter(F.col("split") == "validation")))
 
 
 # ------------------------------------------------------------- F6 - F10 ---
@@ -460,7 +484,7 @@ def q_score(spark, sf):
 @register("to_vector", ORACLES["hist_channel"])
 def q_to_vector(spark, sf):
     v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
-    a = v.select("object_id", FA.vector_array(FA.to_vector("flux")).alias("flux"))
+    a = v.select("object_id", "chunk", FA.vector_array(FA.to_vector("flux")).alias("flux"))
     ex = explode_arrays(a, ["object_id"], {"flux": F.col("flux")})
     return ex.select("object_id", "pos", f6("flux").alias("flux"))
 
@@ -507,16 +531,8 @@ def _assembled_rows_sql(final):
 
 
 def _assembled(spark, sf):
-    v = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P])
-    L = _L8
-    pad_f = lambda c: FA.pad_array(c, L, 0, "float")
-    v = v.withColumns({"_fwd": F.transform(pad_f("fwd_int"), lambda x: x.cast("double")),
-                       "_bwd": F.transform(pad_f("bwd_int"), lambda x: x.cast("double"))})
-    parts = [F.col("meta"), FA.pad_array("band", L, 0, "int"), pad_f("mjd"), pad_f("flux"),
-             pad_f("flux_err"), FA.pad_array("detected", L, 0, "int"),
-             FA.forward_diff("_fwd"), FA.backward_diff("_bwd"),
-             pad_f("source_wavelength"), pad_f("received_wavelength")]
-    return v.select("object_id", FA.to_vector(FA.concat_features(*parts)).alias("features"))
+    from lcspark.plans.programs import feature_frame
+    return feature_frame(V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P], last=_L8), _L8).select("object_id", "features")
 
 
 _META_ROWS = f"""
@@ -540,6 +556,31 @@ def q_assemble_features(spark, sf):
     return ex.select("object_id", "pos", r6("value").alias("value"))
 
 
+_GROUPS = {"meta": (0, 10), "band": (10, _L8), "hist": (10 + _L8, 8 * _L8)}
+
+
+@register("standard_scale_groups", _assembled_rows_sql(f"""
+    SELECT object_id, grp, pos, {r6s('CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (v - mu) / sd END')} AS value
+    FROM (SELECT object_id, grp, pos, v, avg(v) OVER (PARTITION BY grp, pos) AS mu,
+                 stddev_samp(v) OVER (PARTITION BY grp, pos) AS sd
+          FROM (SELECT object_id, 'meta' AS grp, pos, value AS v FROM ({_META_ROWS}) mr
+                UNION ALL SELECT object_id, 'band', CAST(j AS BIGINT), band FROM hrows
+                {''.join(f" UNION ALL SELECT object_id, 'hist', CAST({_L8 * c} + j AS BIGINT), h{c} FROM hrows" for c in range(8))}
+               ) a) b"""))
+def q_standard_scale_groups(spark, sf):
+    """The reference's three groups, each scaled by itself, then assembled again."""
+    v = _assembled(spark, sf).select("object_id", FA.vector_array("features").alias("v"))
+    parts = {g: FA.to_vector(F.slice("v", first + 1, n)).alias(g) for g, (first, n) in _GROUPS.items()}
+    scaled = M.standard_scale_groups(v.select("object_id", *parts.values()), {g: f"{g}_s" for g in _GROUPS})
+    whole = VectorAssembler(inputCols=[f"{g}_s" for g in _GROUPS], outputCol="scaled").transform(scaled)
+    ex = explode_arrays(whole.select("object_id", FA.vector_array("scaled").alias("s")), ["object_id"], {"value": F.col("s")})
+    group, first = F.lit("hist"), F.lit(10 + _L8)
+    for g in ("band", "meta"):
+        inside = F.col("pos") < _GROUPS[g][0] + _GROUPS[g][1]
+        group, first = F.when(inside, g).otherwise(group), F.when(inside, _GROUPS[g][0]).otherwise(first)
+    return ex.select("object_id", group.alias("grp"), (F.col("pos") - first).alias("pos"), r6("value").alias("value"))
+
+
 @register("slice_features", _assembled_rows_sql(f"""
     SELECT object_id, CAST(j AS BIGINT) AS pos, {', '.join(f"{r6s(f'h{c}')} AS h{c}" for c in range(8))} FROM hrows"""))
 def q_slice_features(spark, sf):
@@ -551,9 +592,14 @@ def q_slice_features(spark, sf):
 
 # ------------------------------------------------------------------- O ---
 
-@register("order_observations", with_binding(P, f"SELECT {keys_sql()}, mjd FROM obs"))
+@register("order_observations", with_binding(P, f"""
+    SELECT {keys_sql()}, mjd, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS position FROM obs"""))
 def q_order_observations(spark, sf):
-    return order_observations(obs(spark, sf), TIE[P]).select(*keys(), "mjd")
+    """The place a row has in the output: its number as the ordered
+    partitions deliver it, counted from the object's first."""
+    placed = order_observations(obs(spark, sf), TIE[P]).withColumn("_at", F.monotonically_increasing_id())
+    w = Window.partitionBy("object_id").orderBy("_at")
+    return placed.select(*keys(), "mjd", i64(F.row_number().over(w)).alias("position"))
 
 
 @register("preview", with_binding(P, f"""
@@ -646,18 +692,27 @@ def q_compact_files(spark, sf):
     from lcspark.schema import OBSERVATION_SCHEMA
     src, dst = S.scratch_dir(spark, "small"), S.scratch_dir(spark, "compact")
     obs(spark, sf).select(*_OBS_ROWS).repartition(16).write.option("header", False).csv(src)
-    S.compact_files(spark, src, dst, target_bytes=1 << 20)
-    back = spark.read.schema(OBSERVATION_SCHEMA).csv(dst)
+    back = spark.read.schema(OBSERVATION_SCHEMA).csv(S.compact_files(spark, src, dst, target_bytes=1 << 20, swap=True))
     return _obs_rows(back)
 
 
-@register("log_run")
+@register("log_run", with_binding(P, """
+    SELECT 'lcspark' AS program, model, 'objects=' || n AS run_id, 32 AS columns_, true AS settings, true AS timed
+    FROM (SELECT count(DISTINCT object_id) AS n FROM obs) c, (VALUES ('vectors_padded'), ('vectors_flat')) m(model)"""))
 def q_log_run(spark, sf):
+    """Two runs are logged with real stage times; what is stable in the log
+    is compared: its shape, the settings that any session has, and that a
+    timed stage took time."""
     path = S.scratch_dir(spark, "runs")
     timer = S.StageTimer()
-    with timer.stage("dataframe"):
+    with timer.stage("total"), timer.stage("dataframe"):
         n_objects = obs(spark, sf).select("object_id").distinct().count()
-    S.log_run(spark, {"program": "lcspark", "model": "vectors_padded", "data_source": sf,
-                      "run_id": f"objects={n_objects}", **timer.metrics}, path)
-    S.log_run(spark, {"program": "lcspark", "model": "vectors_flat", "data_source": sf, **timer.metrics}, path)
-    return S.read_table(spark, path)
+    for model in ("vectors_padded", "vectors_flat"):
+        S.log_run(spark, {"program": "lcspark", "model": model, "data_source": sf, "run_id": f"objects={n_objects}",
+                          **timer.metrics}, path)
+    log = S.read_table(spark, path)
+    settings = [F.col(c).isNotNull() for c in ("app_id", "app_name", "spark_master", "driver_memory", "driver_cores",
+                                               "deploy_mode", "executor_instances", "default_parallelism")]
+    timed = (F.col("dataframe_elapsed") > 0) & (F.col("total_elapsed") >= F.col("dataframe_elapsed"))
+    return log.select("program", "model", "run_id", F.lit(len(log.columns)).alias("columns_"),
+                      reduce(lambda a, b: a & b, settings).alias("settings"), timed.alias("timed"))

@@ -17,7 +17,6 @@ from lcspark.plans.registry import explode_arrays, f6, i64, r6, register
 from lcspark.plans.sql import f6 as f6s, map_target_sql, r6 as r6s, wavelength_nm_sql, with_binding
 from lcspark.plans.sql import keyed_uniform_sql
 
-PIVOT_WIDTH = 64
 FEATS = ["mjd", "passband", "flux", "flux_err", "detected"]
 INT_FEATS = {"passband", "detected"}
 
@@ -40,40 +39,41 @@ def _feat_out_sql(f, e=None):
 
 # ------------------------------------------------------------- pivots ---
 
-@register("pivot_feature", with_binding(P, f"""
-    SELECT object_id, {', '.join(f'max(CASE WHEN rn = {i} THEN mjd END) AS mjd{i}' for i in range(1, PIVOT_WIDTH + 1))}
-    FROM (SELECT object_id, mjd, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS rn FROM obs) t
-    GROUP BY object_id"""))
-def q_pivot_feature(spark, sf):
-    return A.pivot_feature(obs(spark, sf), "mjd", PIVOT_WIDTH, TIE[P])
+# The width of a pivot comes from the data, so wide rows are compared cell by
+# cell, the null tails included.
+
+_CELLS = f"""
+    FROM (SELECT o.object_id, i.i FROM (SELECT DISTINCT object_id FROM obs) o,
+                 range(1, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM obs GROUP BY object_id) c) AS BIGINT) + 1) i(i)) g
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS rn FROM obs) t
+      ON t.object_id = g.object_id AND t.rn = g.i"""
 
 
-def _pivot_all_cols_sql():
-    out = []
-    for f in FEATS:
-        for i in range(1, PIVOT_WIDTH + 1):
-            e = f"max(CASE WHEN rn = {i} THEN {f} END)"
-            out.append(f"CAST({e} AS BIGINT) AS {f}{i}" if f in INT_FEATS else f"{e} AS {f}{i}")
-    return ", ".join(out)
+def _cells(wide, feats):
+    width = (len(wide.columns) - 1) // len(feats)
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("rownum"), *[F.col(f"{f}{i}").alias(f) for f in feats])
+                     for i in range(1, width + 1)])
+    return wide.select("object_id", F.inline(rows))
+
+
+@register("pivot_feature", with_binding(P, f"SELECT g.object_id, CAST(g.i AS BIGINT) AS rownum, t.mjd {_CELLS}"))
+def q_pivot_feature(spark, sf):
+    return _cells(A.pivot_feature(obs(spark, sf), "mjd", tie=TIE[P]), ["mjd"])
 
 
 @register("pivot_all_features", with_binding(P, f"""
-    SELECT object_id, {_pivot_all_cols_sql()}
-    FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS rn FROM obs) t
-    GROUP BY object_id"""))
+    SELECT g.object_id, CAST(g.i AS BIGINT) AS rownum, {', '.join(_feat_out_sql(f, 't.' + f) for f in FEATS)} {_CELLS}"""))
 def q_pivot_all_features(spark, sf):
-    wide = A.pivot_all_wide(obs(spark, sf), PIVOT_WIDTH, TIE[P])
-    return wide.select("object_id", *[
-        (i64(f"{f}{i}") if f in INT_FEATS else F.col(f"{f}{i}")).alias(f"{f}{i}")
-        for f in FEATS for i in range(1, PIVOT_WIDTH + 1)])
+    cells = _cells(A.pivot_all_wide(obs(spark, sf), tie=TIE[P]), FEATS)
+    return cells.select("object_id", "rownum", *[_feat_out_spark(f) for f in FEATS])
 
 
 @register("unpivot_feature", with_binding(P, f"""
     SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS BIGINT) AS rownum,
            flux FROM obs"""))
 def q_unpivot_feature(spark, sf):
-    wide = A.pivot_feature(obs(spark, sf), "flux", PIVOT_WIDTH, TIE[P])
-    long = A.unpivot_feature(wide, "flux", PIVOT_WIDTH)
+    wide = A.pivot_feature(obs(spark, sf), "flux", tie=TIE[P])
+    long = A.unpivot_feature(wide, "flux", len(wide.columns) - 1)
     return long.select("object_id", i64("rownum").alias("rownum"), "flux")
 
 
@@ -81,8 +81,8 @@ def q_unpivot_feature(spark, sf):
     SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS BIGINT) AS rownum,
            {', '.join(_feat_out_sql(f) for f in FEATS)} FROM obs"""))
 def q_align_pivots(spark, sf):
-    pivots = A.pivot_all_features(obs(spark, sf), PIVOT_WIDTH, TIE[P])
-    aligned = J.align_pivots(pivots, PIVOT_WIDTH)
+    pivots = A.pivot_all_features(obs(spark, sf), tie=TIE[P])
+    aligned = J.align_pivots(pivots)
     return aligned.select("object_id", i64("rownum").alias("rownum"), *[_feat_out_spark(f) for f in FEATS])
 
 
@@ -166,20 +166,14 @@ def q_group_by_meta(spark, sf):
 
 # ------------------------------------------------------- array functions ---
 
-def _collected(spark, sf, b=P):
-    return A.collect_arrays(obs(spark, sf, b), TIE[b],
-                            types={"mjd": "double", "passband": "int", "flux": "double",
-                                   "flux_err": "double", "detected": "int"})
-
-
 @register("pad_array", with_binding(P, f"""
     SELECT g.object_id, CAST(g.pos AS BIGINT) AS pos, {f6s('COALESCE(t.flux, 0.0)')} AS flux
     FROM (SELECT o.object_id, p.pos FROM (SELECT DISTINCT object_id FROM obs) o, range(0, 32) p(pos)) g
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_desc_sql(P)}) AS rnd FROM obs) t
       ON t.object_id = g.object_id AND t.rnd = 32 - g.pos"""))
 def q_pad_array(spark, sf):
-    arr = _collected(spark, sf)
-    p = arr.select("object_id", FA.pad_array("flux", 32, 0, "float").alias("flux"))
+    arr = V.collect_last_series(obs(spark, sf), TIE[P], 32)
+    p = arr.select("object_id", FA.pad_array(F.col("s.flux"), 32, 0, "float").alias("flux"))
     ex = explode_arrays(p, ["object_id"], {"flux": F.col("flux")})
     return ex.select("object_id", "pos", f6("flux").alias("flux"))
 
@@ -189,7 +183,8 @@ def q_pad_array(spark, sf):
            {r6s('COALESCE(mjd - lag(mjd) OVER w, 0.0)')} AS fwd
     FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY {order_sql(P)})"""))
 def q_forward_diff(spark, sf):
-    arr = _collected(spark, sf).select("object_id", FA.forward_diff("mjd").alias("fwd"))
+    arr = V.collect_series(obs(spark, sf), TIE[P], neighbours=True)
+    arr = arr.select("object_id", "chunk", FA.forward_diff(F.col("s.mjd"), before=F.col("s")[0]["_prev"]).alias("fwd"))
     ex = explode_arrays(arr, ["object_id"], {"fwd": F.col("fwd")})
     return ex.select("object_id", "pos", r6("fwd").alias("fwd"))
 
@@ -199,7 +194,9 @@ def q_forward_diff(spark, sf):
            {r6s('COALESCE(lead(mjd) OVER w - mjd, 0.0)')} AS bwd
     FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY {order_sql(P)})"""))
 def q_backward_diff(spark, sf):
-    arr = _collected(spark, sf).select("object_id", FA.backward_diff("mjd").alias("bwd"))
+    arr = V.collect_series(obs(spark, sf), TIE[P], neighbours=True)
+    arr = arr.select("object_id", "chunk",
+                     FA.backward_diff(F.col("s.mjd"), after=F.element_at("s", -1)["_next"]).alias("bwd"))
     ex = explode_arrays(arr, ["object_id"], {"bwd": F.col("bwd")})
     return ex.select("object_id", "pos", r6("bwd").alias("bwd"))
 

@@ -36,9 +36,6 @@ HIST_CHANNELS = ["mjd", "flux", "flux_err", "detected", "fwd_int", "bwd_int",
 # Channels the baseline network input zeroes (absolute time, detected,
 # received wavelength).
 ZEROED_CHANNELS = [0, 3, 7]
-# Channels of the fifth model's history struct, in order.
-PADDED_CHANNELS = ["interval", "deltaMjd", "rval", "flux", "flux_err",
-                   "detected", "source_wavelength", "received_wavelength"]
 # ---------------------------------------------------------------------------
 
 OBS_COLUMNS = ["object_id", "mjd", "passband", "flux", "flux_err", "detected"]
@@ -75,9 +72,11 @@ TEST_METADATA_SCHEMA = T.StructType(METADATA_SCHEMA.fields[:-1])
 
 RUN_METRICS_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType(), True) for n in (
+        # what ran
         "run_id", "program", "model", "data_source", "spark_master",
-        "executor_memory", "executor_cores", "default_parallelism",
-        "shuffle_partitions")]
+        # the settings it ran with
+        "app_id", "executor_memory", "executor_cores", "driver_memory", "driver_cores", "default_parallelism",
+        "deploy_mode", "executor_instances", "app_name")]
     + [T.StructField(f"{stage}_{kind}", T.DoubleType(), True)
        for stage in ("dataframe", "samples", "augment", "train_vectors",
                      "validation_vectors", "build_model", "train_model",

@@ -11,6 +11,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from lcspark.schema import METADATA_SCHEMA, OBSERVATION_SCHEMA, RUN_METRICS_SCHEMA
 from lcspark.session import ensure_checkpoint_dir
@@ -25,9 +26,13 @@ def _is_path(name: str) -> bool:
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A new folder under the shared checkpoint folder."""
+    """A new folder under the shared checkpoint folder, removed when the
+    application ends (its tables may be read until then)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/lcspark-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/lcspark-{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def read_table(spark: SparkSession, name: str, columns=None, fmt: str = "parquet") -> DataFrame:
@@ -89,34 +94,52 @@ def create_if_absent(df: DataFrame, name: str, fmt: str = "parquet") -> None:
     write_table(df, name, mode="ignore", fmt=fmt)
 
 
-def compact_files(spark: SparkSession, src: str, dst: str,
-                  target_bytes: int = int(2.68 * 1024 ** 3), codec: str = "gzip") -> None:
-    """Merge many small text files into splits of about ``target_bytes``
-    and compress them.  The file scan already packs small files into
-    partitions of at most ``spark.sql.files.maxPartitionBytes``, so setting
-    it to the target for this one read gives one output file per packed
-    split without a shuffle; the result goes to a new folder ``dst``."""
-    key = "spark.sql.files.maxPartitionBytes"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(target_bytes))
-    try:
-        spark.read.text(src).write.mode("errorifexists").option("compression", codec).text(dst)
-    finally:
-        spark.conf.set(key, old)
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path`` (from the listing; no content is read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return int(files.agg(F.sum("length")).first()[0] or 0)
+
+
+def compact_files(spark: SparkSession, src: str, dst: str, target_bytes: int = 2_684_354_560,
+                  codec: str = "gzip", swap: bool = False) -> str:
+    """Merge many small text files into ceil(bytes / ``target_bytes``)
+    files and compress them.  The number comes from the input's size alone,
+    not from the cluster's cores or the scan's splits, and the splits are
+    joined without a shuffle.  The result goes to a new folder ``dst``; with
+    ``swap`` it then takes the place of ``src``, whose old files move to
+    ``dst``.  Returns the folder that holds the result."""
+    files = max(1, -(-input_bytes(spark, src) // int(target_bytes)))
+    spark.read.text(src).coalesce(files).write.mode("errorifexists").option("compression", codec).text(dst)
+    if not swap:
+        return dst
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, made, aside = (hadoop.Path(p) for p in (src, dst, f"{dst.rstrip('/')}-old-{uuid.uuid4().hex[:8]}"))
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    for a, b in ((source, aside), (made, source), (aside, made)):
+        if not fs.rename(a, b):
+            raise OSError(f"could not rename {a} to {b}")
+    return src
 
 
 def log_run(spark: SparkSession, metrics: dict, name: str) -> DataFrame:
-    """Append one row of run settings and stage timings (27 columns:
-    9 of configuration, 18 of elapsed and CPU seconds)."""
+    """Append one row: what ran, the nine settings of the session, and
+    18 columns of elapsed and CPU seconds."""
     row = {f.name: None for f in RUN_METRICS_SCHEMA.fields}
-    conf = spark.sparkContext.getConf()
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    dynamic = conf.get("spark.dynamicAllocation.enabled", "false") == "true"
     row.update({
         "run_id": metrics.get("run_id", uuid.uuid4().hex),
-        "spark_master": spark.sparkContext.master,
-        "executor_memory": conf.get("spark.executor.memory", None),
+        "spark_master": sc.master,
+        "app_id": sc.applicationId,
+        "app_name": sc.appName,
+        "executor_memory": conf.get("spark.executor.memory", "1g"),
         "executor_cores": conf.get("spark.executor.cores", None),
-        "default_parallelism": str(spark.sparkContext.defaultParallelism),
-        "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "driver_memory": conf.get("spark.driver.memory", "1g"),
+        "driver_cores": conf.get("spark.driver.cores", "1"),
+        "default_parallelism": str(sc.defaultParallelism),
+        "deploy_mode": conf.get("spark.submit.deployMode", "client"),
+        "executor_instances": conf.get("spark.executor.instances", "dynamic" if dynamic else "1"),
     })
     for k, v in metrics.items():
         if k in row:
@@ -146,8 +169,3 @@ class StageTimer:
                 return False
 
         return _Ctx()
-
-
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-

@@ -269,3 +269,46 @@ def test_relational_equals_array_on_every_binding(spark, binding):
         a = V.vectors_padded(o, m, tie, length, augment=aug, seed=5)
         r = V.vectors_padded_relational(o, m, tie, length, augment=aug, seed=5)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, r.select(*a.columns).collect()))
+
+
+def test_pivot_width_comes_from_the_data(spark):
+    rows_ = [(k, float(i), 0, float(i), 1.0, 0) for k, n in ((1, 90), (2, 3)) for i in range(n)]
+    o = spark.createDataFrame(rows_, "object_id bigint, mjd double, passband int, flux double, flux_err double, detected int")
+    wide = A.pivot_feature(o, "flux")
+    assert len(wide.columns) == 91
+    assert A.unpivot_feature(wide, "flux", 90).count() == 93
+    assert A.pivot_feature(o, "flux", 120).columns[-1] == "flux120"
+    with pytest.raises(Exception, match="pivot width 64 is too small"):
+        A.pivot_feature(o, "flux", 64).collect()
+
+
+def test_aligned_pivots_read_their_columns_and_shuffle_nothing(spark):
+    from lcspark.operators import join as J
+    rows_ = [(k, float(i), 0, float(i), 1.0, 0) for k in range(20) for i in range(5)]
+    o = spark.createDataFrame(rows_, "object_id bigint, mjd double, passband int, flux double, flux_err double, detected int")
+    aligned = J.align_pivots(A.pivot_all_features(o))
+    plan = aligned._jdf.queryExecution().executedPlan().toString()
+    assert aligned.count() == 100 and "Exchange" not in plan
+
+
+def test_groups_of_different_metadata_stay_apart(spark):
+    df = spark.createDataFrame([(1, [1.0], 5), (1, [1.0], 6), (1, [2.0], 7)], "object_id bigint, meta array<double>, v int")
+    got = A.group_by_meta(df, ["object_id", "meta"], [F.count("v").alias("n")]).collect()
+    assert sorted((r["object_id"], r["meta"], r["n"]) for r in got) == [(1, [1.0], 2), (1, [2.0], 1)]
+
+
+@pytest.mark.parametrize("name", ["forward_diff", "backward_diff", "hist_matrix"])
+def test_array_functions_do_not_index_inside_lambdas(spark, name):
+    """An array expression, not a column, is still passed over a fixed number of times."""
+    import time
+    from lcspark.functions import arrays as FA
+    seconds = []
+    for n in (20_000, 80_000):
+        a = F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: x.cast("double") * 2)
+        made = FA.hist_matrix([a, a]) if name == "hist_matrix" else getattr(FA, name)(a)
+        df = spark.range(1).select(F.lit(n).alias("n")).select(F.size(made).alias("s"))
+        df.collect()
+        t0 = time.perf_counter()
+        assert df.first()["s"] == n
+        seconds.append(time.perf_counter() - t0)
+    assert seconds[1] < 8 * seconds[0] + 2
