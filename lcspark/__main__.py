@@ -56,8 +56,12 @@ def main(argv=None) -> int:
     args = p.parse_args(argv)
 
     from lcspark.plans import programs
-    from lcspark.session import build_session
-    spark = build_session(app_name=f"lcspark-{args.cmd}")
+    from lcspark.session import program_session, size_session
+    from lcspark.sources.io import input_bytes
+    spark = program_session(f"lcspark-{args.cmd}")
+    source = args.table if args.cmd == "train" else args.obs
+    if "/" in source:
+        size_session(spark, input_bytes(spark, source))
     out: dict = {"command": args.cmd}
     if args.cmd == "train":
         out["precision"] = programs.distributed_training(spark, args.table, args.runs, args.length).first()[0]

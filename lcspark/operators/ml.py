@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.functions.arrays import argmax
@@ -109,34 +109,39 @@ def _class_table(spark: SparkSession) -> DataFrame:
         [(i, float(CLASS_WEIGHTS[c])) for i, c in enumerate(CLASS_CODES)], "class_index int, w double")
 
 
-def _per_class_log(pred: DataFrame, label: str, probs: str) -> DataFrame:
-    """Sum over rows of ln(clip(p[label])) per true class, and the row count."""
+def _per_class(pred: DataFrame, shares: DataFrame | None, label: str, probs: str) -> DataFrame:
+    """One row per class: sum over its rows of ln(clip(p[label])), their
+    count, the class weight and share.  Without ``shares`` they are those of
+    the rows themselves, from the same aggregation (one scan, one shuffle of
+    at most 15 rows a task)."""
     p = clip(F.element_at(F.col(probs), F.col(label) + F.lit(1)), CLIP_EPS, 1.0 - CLIP_EPS)
-    return pred.groupBy(F.col(label).alias("class_index")).agg(
+    per = pred.groupBy(F.col(label).alias("class_index")).agg(
         F.sum(F.log(p)).alias("log_sum"), F.count(F.lit(1)).alias("n"))
+    table = _class_table(pred.sparkSession)
+    if shares is None:
+        total = F.sum("n").over(Window.partitionBy())            # over the 15 rows
+        share = F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(F.col("n").cast("double") / total)
+        joined = F.broadcast(table).join(per, "class_index", "left").withColumn("share", share)
+    else:
+        joined = F.broadcast(table.join(shares.select("class_index", "share"), "class_index")).join(per, "class_index", "left")
+    return joined.fillna({"log_sum": 0.0, "n": 0})
 
 
-def weighted_log_loss(pred: DataFrame, shares: DataFrame, label: str = "label",
+def weighted_log_loss(pred: DataFrame, shares: DataFrame | None = None, label: str = "label",
                       probs: str = "probs") -> DataFrame:
     """M7: -sum_c(w_c / share_c * sum_i y_ic ln clip(p_ic)) / sum_c w_c / N,
     with w = 2 for classes 15 and 64 and 1 otherwise, and the class shares
-    of the training labels (absent classes have share 1)."""
-    spark = pred.sparkSession
-    per = _per_class_log(pred, label, probs)
-    tab = F.broadcast(_class_table(spark).join(shares.select("class_index", "share"), "class_index"))
-    j = tab.join(per, "class_index", "left").fillna({"log_sum": 0.0, "n": 0})
-    return j.agg((-F.sum(F.col("log_sum") * F.col("w") / F.col("share")) / F.sum("w")
-                  / F.sum("n").cast("double")).alias("weighted_log_loss"))
+    of the training labels (absent classes have share 1), by default those
+    of ``pred``."""
+    return _per_class(pred, shares, label, probs).agg(
+        (-F.sum(F.col("log_sum") * F.col("w") / F.col("share")) / F.sum("w")
+         / F.sum("n").cast("double")).alias("weighted_log_loss"))
 
 
-def training_loss(pred: DataFrame, shares: DataFrame, label: str = "label",
+def training_loss(pred: DataFrame, shares: DataFrame | None = None, label: str = "label",
                   probs: str = "probs") -> DataFrame:
     """M8: -mean_c(mean_i(y_ic ln clip(p_ic)) / share_c), the loss the
     network trains with."""
-    spark = pred.sparkSession
-    per = _per_class_log(pred, label, probs)
-    tab = F.broadcast(_class_table(spark).join(shares.select("class_index", "share"), "class_index"))
-    j = tab.join(per, "class_index", "left").fillna({"log_sum": 0.0, "n": 0})
     total = F.sum("n").cast("double")
-    return j.agg((-F.sum(F.col("log_sum") / F.col("share")) / total / F.lit(float(N_CLASSES)))
-                 .alias("training_loss"))
+    return _per_class(pred, shares, label, probs).agg(
+        (-F.sum(F.col("log_sum") / F.col("share")) / total / F.lit(float(N_CLASSES))).alias("training_loss"))

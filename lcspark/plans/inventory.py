@@ -5,7 +5,7 @@
 
 INVENTORY = {
     # 2.1 scans, sources, sinks
-    "S1": ("sources.io.read_table", ["scan_projection"]),
+    "S1": ("sources.io.read_table", ["scan_projection", "scan_filter"]),
     "S2": ("sources.io.read_observations_csv / read_metadata_csv", ["read_observations_csv", "read_metadata_csv"]),
     "S3": ("sources.io.read_delimited", ["read_delimited"]),
     "S4": ("sources.io.write_table", ["write_table"]),

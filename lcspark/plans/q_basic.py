@@ -54,11 +54,16 @@ def order_desc_sql(b):
 
 # ---------------------------------------------------------------- S1 / C ---
 
-@register("scan_projection", """
-    SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 10""")
+@register("scan_projection", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 def q_scan_projection(spark, sf):
-    df = S.read_table(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_quantity"])
-    return df.filter(F.col("l_quantity") > 10)
+    return S.read_table(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_quantity"])
+
+
+@register("scan_filter", """
+    SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 10""")
+def q_scan_filter(spark, sf):
+    """A scan with a predicate, which reaches the Parquet reader."""
+    return q_scan_projection(spark, sf).filter(F.col("l_quantity") > 10)
 
 
 @register("typed_features", with_binding("obs_event", f"""

@@ -368,8 +368,7 @@ _PER_CLASS = """per AS (SELECT label AS ci, sum(ln(LEAST(GREATEST(probs[label +
     extra=f"{_shares_sql('preds', 'label')}, {_W_SQL}, {_PER_CLASS}"))
 def q_weighted_log_loss(spark, sf):
     p = B.preds_synth(spark, sf)
-    shares = A.class_shares(p, "label")
-    return M.weighted_log_loss(p, shares).select(r6("weighted_log_loss").alias("weighted_log_loss"))
+    return M.weighted_log_loss(p).select(r6("weighted_log_loss").alias("weighted_log_loss"))
 
 
 @register("training_loss", _preds_with(f"""
@@ -378,8 +377,7 @@ def q_weighted_log_loss(spark, sf):
     extra=f"{_shares_sql('preds', 'label')}, {_PER_CLASS}"))
 def q_training_loss(spark, sf):
     p = B.preds_synth(spark, sf)
-    shares = A.class_shares(p, "label")
-    return M.training_loss(p, shares).select(r6("training_loss").alias("training_loss"))
+    return M.training_loss(p).select(r6("training_loss").alias("training_loss"))
 
 
 def _meta_slots(spark, sf):

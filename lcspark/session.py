@@ -36,6 +36,27 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def program_session(app_name: str) -> SparkSession:
+    """The session of a submitted program: master, cores and memory are the
+    submit command's (local only if it names none); set here is only what
+    the operators rely on."""
+    spark = (SparkSession.builder.appName(app_name)
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.sql.ansi.enabled", "true")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+             .getOrCreate())
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def size_session(spark: SparkSession, input_bytes: int) -> None:
+    """Apply ``scale_conf`` for an input of that size to the session's SQL
+    settings (the static ones are the submit command's)."""
+    for key, value in scale_conf(input_bytes, spark.sparkContext.defaultParallelism).items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in
     ``spark.checkpoint.dir`` (or the one already set on the context).  Only
