@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,12 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lcspark.llm.common import add_columns, ship_package
+from lcspark.llm.common import add_columns, parts, ship_package
 
 LONG_PIECE = 512
-CACHE_PIECES = 400_000
-# Texts whose unseen pieces are encoded together.
-_TEXTS_AT_ONCE = 500
+CACHE_PIECES = 250_000
+_INNER_BLANK = re.compile(r"\s \s|\s \Z")
 _NONE = np.int32(2 ** 31 - 1)
 
 
@@ -95,18 +95,18 @@ class BytePairCodec:
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.cache_pieces = cache_pieces
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}      # ids of a blank and a chunk
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}     # ids of a match of the pattern
 
     # -- merging ---------------------------------------------------------
-    def _merge_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of similar length."""
-        width = max(map(len, pieces))
-        ids = np.full((len(pieces), width), -1, np.int32)
-        for i, p in enumerate(pieces):
-            ids[i, :len(p)] = self.byte_rank[np.frombuffer(p, np.uint8)]
+    def _merge_matrix(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (32-bit, native) of pieces of similar length."""
+        lengths = np.array([len(p) for p in pieces])
+        ids = np.full((len(pieces), lengths.max()), -1, np.int32)
+        ids[np.arange(ids.shape[1]) < lengths[:, None]] = self.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
         rank = self.pairs.lookup(ids[:, :-1], ids[:, 1:])
-        rows, done = np.arange(len(pieces)), [None] * len(pieces)
+        rows, done = np.arange(len(pieces)), [b""] * len(pieces)
         while len(rows):
             if not rank.shape[1]:
                 merging = np.zeros(len(rows), bool)
@@ -114,8 +114,10 @@ class BytePairCodec:
                 at = rank.argmin(axis=1)               # argmin takes the leftmost of equals
                 least = rank[np.arange(len(rows)), at]
                 merging = least != _NONE
-            for i in np.flatnonzero(~merging):
-                done[rows[i]] = ids[i][ids[i] >= 0]
+            ended = ids[~merging]
+            blob, ends = ended[ended >= 0].tobytes(), (np.cumsum((ended >= 0).sum(axis=1)) * 4).tolist()
+            for row, start, end in zip(rows[~merging].tolist(), [0, *ends], ends):
+                done[row] = blob[start:end]
             if not merging.any():
                 break
             rows, ids, rank, at, least = rows[merging], ids[merging], rank[merging], at[merging], least[merging]
@@ -131,7 +133,7 @@ class BytePairCodec:
                 rank[ok, left[ok]] = self.pairs.lookup(ids[ok, left[ok]], ids[ok, left[ok] + 1])
         return done
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
+    def _merge_long(self, piece: bytes) -> bytes:
         """The same merges from a heap of (rank, place) over a linked list."""
         ids = self.byte_rank[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
@@ -152,15 +154,15 @@ class BytePairCodec:
                     heapq.heappush(heap, (new, i, r, ids[after[i]]))
             if before[i] >= 0 and (new := rank_of(ids[before[i]], r)) is not None:
                 heapq.heappush(heap, (new, before[i], ids[before[i]], r))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: Iterable[bytes]) -> list[bytes]:
         pieces = list(pieces)
-        out: list = [None] * len(pieces)
+        out = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
-                out[i] = np.array([whole], np.int32)
+                out[i] = np.int32(whole).tobytes()
             elif len(p) > LONG_PIECE:
                 out[i] = self._merge_long(p)
             else:                                      # widths 1-16 by themselves, then in steps of a quarter
@@ -172,32 +174,38 @@ class BytePairCodec:
         return out
 
     # -- texts -----------------------------------------------------------
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) + len(pieces) > self.cache_pieces:
+    def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces, from the cache or by merging."""
+        new = [p for p in pieces if p not in self.pieces]
+        if len(self.pieces) + len(new) > self.cache_pieces:
+            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        self.pieces.update(zip(new, self.encode_pieces(p.encode("utf-8") for p in new)))
+        return self.pieces
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.young) + len(chunks) > self.cache_pieces:
             self.old, self.young = self.young, {}
-        new = []
-        for p in pieces:
-            known = self.old.get(p)
-            if known is None:
-                new.append(p)
-            else:
-                self.young[p] = known
-        for p, ids in zip(new, self.encode_pieces(p.encode("utf-8") for p in new)):
-            self.young[p] = ids.tobytes()
+        known = self.old.keys() & chunks
+        self.young.update((c, self.old[c]) for c in known)
+        split = [(c, self.pattern.findall(" " + c)) for c in chunks - known]
+        ids = self._ids_of({p for _, pieces in split for p in pieces})
+        self.young.update((c, b"".join(map(ids.__getitem__, pieces))) for c, pieces in split)
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for a in range(0, len(texts), _TEXTS_AT_ONCE):
-            split = [self.pattern.findall(t) for t in texts[a:a + _TEXTS_AT_ONCE]]
-            unseen = set().union(*split).difference(self.young)
-            if unseen:
+        """Ids of each text.  No match of the pattern has a blank but at its
+        start or in a run of white space, so a text is cut before each blank
+        and its chunks, which recur, are looked up; a text where a blank
+        stands inside or at the end of a longer run is matched whole."""
+        whole = [bool(_INNER_BLANK.search(t)) for t in texts]
+        split = [([], self.pattern.findall(t)) if w else (t.split(" "), []) for t, w in zip(texts, whole)]
+        first = [self.pattern.findall(chunks[0]) if chunks else pieces for chunks, pieces in split]
+        chunks = [c[1:] for c, _ in split]
+        for _ in range(2):                            # twice: a change of generation may drop some
+            if unseen := set().union(*chunks).difference(self.young):
                 self._learn(unseen)
-                unseen = set().union(*split).difference(self.young)   # after a change of generation
-                if unseen:
-                    self._learn(unseen)
-            get = self.young.__getitem__
-            out.extend(np.frombuffer(b"".join(map(get, pieces)), np.int32) for pieces in split)
-        return out
+        ids, get = self._ids_of(set().union(*first)), self.young.__getitem__
+        return [np.frombuffer(b"".join([*map(ids.__getitem__, head), *map(get, rest)]), np.int32)
+                for head, rest in zip(first, chunks)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -227,8 +235,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str =
     kept = df.drop("decoded")
 
     def run(batches):
-        for batch in batches:
-            codec = _codec(shared)
-            made = pa.array([codec.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "decoded"])
+        codec = _codec(shared)
+        for part in parts(batches):
+            made = pa.array([codec.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in part.column(ids_col)],
+                            pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "decoded"])
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))

@@ -83,9 +83,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows`` rows: what a task holds as
+    Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list], list]) -> DataFrame:
     """All columns of ``df`` (those named as new ones are replaced), then the
-    new ``fields`` (DDL).  ``compute`` gets the texts of an Arrow batch (null:
+    new ``fields`` (DDL).  ``compute`` gets the texts of some rows (null:
     empty) and returns one sequence per field, in their order."""
     ship_package(df.sparkSession)
     new = StructType.fromDDL(fields)
@@ -95,10 +103,10 @@ def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[li
     types = [to_arrow_type(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+        for part in parts(batches):
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
             made = [pa.array(values, kind) for values, kind in zip(compute(texts), types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *[f.name for f in new]])
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *[f.name for f in new]])
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))
 
 

@@ -111,6 +111,12 @@ def test_bpe_round_trip_and_ids(codec, encoding, text):
     assert ids == encoding.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("aB \n\t.,'s1é\u00a0\x1c", max_size=30))
+def test_bpe_white_space(codec, encoding, text):
+    assert codec.encode_texts([text])[0].tolist() == encoding.encode_ordinary(text)
+
+
 def test_bpe_long_pieces(codec, encoding):
     rng = random.Random(5)
     for text in ("a" * 700, "ab" * 900, "\n" * 600, "あいう" * 300, "".join(rng.choice("abcdefgh") for _ in range(3000)),
