@@ -7,9 +7,9 @@ swapped for others of their group, over all training sentences that have
 such terms, plus an L1 term that leaves most features out.  So words that
 only go along with a group don't raise the score.
 
-Labelled rows may be many; the model is fitted on a sample of at most about
-``SAMPLE_PER_LABEL`` of each label (kept by hash of the id, so it is the same
-in every run).  Counterfactual sentences come from the same sample.
+Labelled rows may be many; the model is fitted on a sample of at most
+``SAMPLE_PER_LABEL`` ids of each label (those of least hash, so it is the
+same in every run).  Counterfactual sentences come from the same sample.
 
 Defined cases: null and empty texts have no feature and the score of the
 intercept; rows without a label or with labels other than 0 and 1 are passed
@@ -100,17 +100,20 @@ def _rows(docs: np.ndarray, found: np.ndarray, n: int) -> list[list[int]]:
     return [found[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def sample_features(labelled: DataFrame, terms: Sequence[Sequence[str]], per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """label, features, gained, lost of a bounded sample of (id, text, label);
-    per counterfactual sentence a row with label null and the features that
-    the swap adds and removes."""
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}   # two rows
-    rate = F.lit(0.0)
-    for label, n in counts.items():
-        rate = F.when(F.col("label") == label, F.lit(min(1.0, per_label / n))).otherwise(rate)
-    unit = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
-    chosen = labelled.where(unit < rate).select("label", "text")
-    ship_package(labelled.sparkSession)
+def sample_labels(marks: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """(id, label) of at most ``per_label`` ids of each label, those of least
+    hash.  An id that is marked both ways counts as 1."""
+    once = marks.groupBy("id").agg(F.max("label").alias("label"))
+    chosen = [once.where(F.col("label") == label).orderBy(F.xxhash64("id", F.lit("toxicity")), "id").limit(per_label)
+              for label in (0, 1)]
+    return chosen[0].unionByName(chosen[1])
+
+
+def sample_features(chosen: DataFrame, terms: Sequence[Sequence[str]]) -> DataFrame:
+    """label, features, gained, lost of (label, text) rows; per counterfactual
+    sentence a row with label null and the features that the swap adds and
+    removes."""
+    ship_package(chosen.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           terms: Sequence[Sequence[str]] = IDENTITY_TERMS, per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """Fit on the documents that ``labels`` marks 0 or 1."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
-    rows = sample_features(joined, terms, per_label).toPandas()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # at most two times ``per_label`` ids: they go to the texts, not the texts to them
+    chosen = texts.join(F.broadcast(sample_labels(marks, per_label)), "id").select("label", "text")
+    rows = sample_features(chosen, terms).toPandas()
     of_text = rows[rows["label"].notna()]
     swaps = rows[rows["label"].isna()]
     return fit(of_text["features"].tolist(), of_text["label"].to_numpy(float), swaps["gained"].tolist(), swaps["lost"].tolist())
