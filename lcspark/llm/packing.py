@@ -27,20 +27,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lcspark.llm.common import ship_package, staged
+from lcspark.llm.common import parts, ship_package, staged
 
 CAPACITY = 4096
 END_TOKEN = 1
 # Pieces of one length that are ranked in one group.
 CELL_ROWS = 50_000
-CACHE_CHUNKS = 400_000
-_TEXTS_AT_ONCE = 500
+CACHE_CHUNKS = 500_000
+# Marks that end a word; the tokenizer takes a run of them by itself.
+_MARKS = ".,;:!?"
 
 
 class ChunkTokenizer:
     """Ids of whole texts.  The tokenizer never joins across a blank or a
-    line feed, so a text's ids are those of its chunks between them; chunks
-    recur and are kept in a cache of bounded size."""
+    line feed, so a text's ids are those of its chunks between them.  Nor
+    does it join letters with the marks after them, and it lower-cases, so a
+    chunk's ids are those of its letters, in lower case, and of its marks.
+    Chunks and their parts recur and are kept in caches of bounded size."""
 
     def __init__(self, definition: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,36 +53,46 @@ class ChunkTokenizer:
         self.cache_chunks = cache_chunks
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode_parts(self, parts: set[str]) -> None:
+        new = list(parts)
+        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(made.ids, "<u4"), np.array([-1 if w is None else w for w in made.word_ids], np.int64)
+        blob, cuts = ids.tobytes(), (np.searchsorted(of, np.arange(len(new) + 1)) * 4).tolist()
+        self.parts.update(zip(new, map(blob.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.young) + len(chunks) > self.cache_chunks:
             self.old, self.young = self.young, {"": b""}
-        new = []
-        for c in chunks:
-            known = self.old.get(c)
-            if known is None:
-                new.append(c)
-            else:
-                self.young[c] = known
-        if not new:
-            return
-        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(made.ids, "<u4"), np.array([-1 if w is None else w for w in made.word_ids], np.int64)
-        cuts = np.searchsorted(of, np.arange(len(new) + 1))
-        blob, cuts = ids.tobytes(), (cuts * 4).tolist()
-        for i, c in enumerate(new):
-            self.young[c] = blob[cuts[i]:cuts[i + 1]]
+        old = self.old.keys() & chunks
+        self.young.update((c, self.old[c]) for c in old)
+        split = []
+        for c in chunks - old:
+            letters = c.rstrip(_MARKS)
+            if letters.isascii():
+                letters = letters.lower() if letters.isalpha() else c
+            elif not letters.isalpha():
+                letters = c                           # anything else is taken whole
+            marks = c[len(letters):]
+            split.append((c, letters, marks))
+        if len(self.parts) > self.cache_chunks:
+            self.parts = {"": b""}
+        parts = self.parts
+        if unseen := {x for _, a, b in split for x in (a, b) if x not in parts}:
+            self._encode_parts(unseen)
+        self.young.update((c, parts[a] + parts[b]) for c, a, b in split)
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for a in range(0, len(texts), _TEXTS_AT_ONCE):
-            split = [t.replace("\n", " ").split(" ") for t in texts[a:a + _TEXTS_AT_ONCE]]
-            for _ in range(2):                        # twice: a change of generation may drop some
-                if unseen := set().union(*split).difference(self.young):
-                    self._learn(unseen)
-            get = self.young.__getitem__
-            for chunks in split:
-                yield b"".join(map(get, chunks))
+        """Little-endian unsigned 32-bit ids of each text; the texts' unseen
+        chunks are encoded together."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        for _ in range(2):                            # twice: a change of generation may drop some
+            if unseen := set().union(*split).difference(self.young):
+                self._learn(unseen)
+        get = self.young.__getitem__
+        for chunks in split:
+            yield b"".join(map(get, chunks))
 
 
 _TOKENIZERS: dict = {}
@@ -106,10 +119,10 @@ def tokenize(df: DataFrame, definition: str, capacity: int = CAPACITY, end_token
     end, width = np.array([end_token], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for part in parts(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
             made: list[tuple] = []
-            for key, ids in zip(batch.column("id").to_pylist(), _tokenizer(shared).encode_texts(texts)):
+            for key, ids in zip(part.column("id").to_pylist(), _tokenizer(shared).encode_texts(texts)):
                 ids += end
                 for at in range(0, len(ids), width):
                     cut = ids[at:at + width]
