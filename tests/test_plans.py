@@ -51,6 +51,7 @@ def test_lookup_filter_reaches_scan(spark):
 def test_projection_reaches_scan(spark):
     plan = entry.queries()["scan_projection"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>", plan)
+    plan = entry.queries()["scan_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,10.0)" in plan
 
 
