@@ -5,7 +5,7 @@ neither edges nor components are collected."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lcspark.llm.common import staged
@@ -25,19 +25,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return smaller.union(least.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written and read again, and their number and hash sum as
+    observed by the write."""
+    seen = Observation()
+    out = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")),
+                 "stars")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of an edge; ``edges`` has a and b (bigint,
     a <> b), root is the component's least node.  An empty table gives none."""
     ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    stars = staged(ordered, "stars")
-    state = _state(stars)
+    stars, state = _stored(ordered)
     while state[0]:
-        stars = staged(_small_star(_large_star(stars)), "stars")
-        before, state = state, _state(stars)
+        before = state
+        stars, state = _stored(_small_star(_large_star(stars)))
         if state == before:
             break
     pairs = stars.select(F.col("b").alias("node"), F.col("a").alias("root"))

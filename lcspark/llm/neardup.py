@@ -10,11 +10,12 @@ corrected for chance agreement (1 in 16); a pair is verified on its full
 sets unless the estimate is over four standard errors below the threshold.
 
 Equal sets are one class, and only its representative goes on, so copies
-never meet.  Round one compares each band group with a few of its members
-(hubs) and joins what verifies into components.  Round two compares, within
-each band group, the members of different components, once per pair (in the
-first band that they share), so no link is left out, while pairs that are
-already connected are never listed.
+never meet.  In the first rounds each document is compared with one member
+(the hub) of each of its band groups by the estimate, and with the likeliest
+of these on full sets; what verifies is joined into components.  The last
+round compares, within each band group, all members of different components,
+once per pair (in the first band that they share), so no link is left out,
+while pairs that are already connected are never listed.
 
 Defined cases: a null or empty text has an empty set and is linked with
 nothing; a text shorter than a shingle is one shingle, all its words; rows
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import fresh, join_groups, ship_package, staged
+from lcspark.llm.common import fresh, join_groups, parts, ship_package, staged
 from lcspark.llm.components import components
 from lcspark.llm.textvec import mix, segment_hash, slices
 
@@ -42,8 +43,10 @@ BUCKET_BITS = 9
 MANTISSA_BITS = 10
 ROWS, BANDS = 7, 73
 REGISTERS = ROWS * BANDS
-# Random orders of the members from which a band group's hub is taken.
-HUB_ORDERS = 4
+# Rounds with hubs before the last, each with another order of the members,
+# and the hubs that a document is verified with in each.
+HUB_ROUNDS = 1
+HUBS_VERIFIED = 3
 # Disagreeing 4-bit registers up to which a pair is verified.  At similarity
 # 0.8, 96 of 511 disagree; the error of the estimate (buckets that hold
 # several shingles, filled buckets, chance agreement) is 10 at most.
@@ -152,49 +155,47 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
     rows = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("node"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], shingle)
-                regs = registers(sets)
-                keys = band_keys(regs)
-                empty = np.array([not len(s) for s in sets])
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-                         for x in (keys, sketches(regs, keys))]
-                lists = [pa.compute.if_else(pa.array(~empty), x, pa.scalar(None, x.type)) for x in lists]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), *lists],
-                    ["node", "n_shingles", "set_key", "bands", "sketch"])
+        for part in parts(batches):
+            sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], shingle)
+            regs = registers(sets)
+            keys = band_keys(regs)
+            empty = np.array([not len(s) for s in sets])
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+                     for x in (keys, sketches(regs, keys))]
+            lists = [pa.compute.if_else(pa.array(~empty), x, pa.scalar(None, x.type)) for x in lists]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), *lists],
+                ["node", "n_shingles", "set_key", "bands", "sketch"])
     return rows.mapInArrow(run, "node bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
 
 
 # -- candidates ------------------------------------------------------------
-def _differing(a: str, b: str) -> list[str]:
-    return [f"(get({a}, {i}) ^ get({b}, {i}))" for i in range(SKETCH_LONGS)]
+def _differing(a: str, b: str) -> Column:
+    """The sketches' longs, exclusive or; short expressions keep the plans small."""
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def may_be_similar(a: str = "a_sketch", b: str = "b_sketch") -> Column:
-    """The estimate from the sketches does not rule the threshold out."""
-    ors = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {_LOW_BITS}L)"
-           for x in _differing(a, b)]
-    return F.expr(f"({' + '.join(ors)}) <= {MOST_DISAGREE}")
+def disagreeing(a: str = "a_sketch", b: str = "b_sketch") -> Column:
+    """Number of 4-bit registers in which two sketches differ."""
+    def of_long(x):
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(_LOW_BITS)))
+    return F.aggregate(_differing(a, b), F.lit(0), lambda n, x: n + of_long(x))
 
 
 def estimate(a: str = "a_sketch", b: str = "b_sketch") -> Column:
     """Similarity from the share of agreeing 4-bit registers, less chance agreement."""
-    ors = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {_LOW_BITS}L)"
-           for x in _differing(a, b)]
-    agree = 1 - F.expr(" + ".join(ors)) / F.lit(float(REGISTERS))
+    agree = 1 - disagreeing(a, b) / F.lit(float(REGISTERS))
     return F.greatest(F.lit(0.0), (agree - 1 / 16) / (15 / 16))
 
 
 def _no_earlier_band(a: str, b: str, band: str) -> Column:
     """No band before ``band`` is shared."""
-    tests = []
-    for i, x in enumerate(_differing(a, b)):
-        tests.append(f"({band} <= {2 * i} OR ({x} & 4294967295L) <> 0)")
-        tests.append(f"({band} <= {2 * i + 1} OR shiftrightunsigned({x}, 32) <> 0)")
-    return F.expr(" AND ".join(tests))
+    def shared(x, i):
+        first, second = x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)
+        return ((first == 0) & (2 * i < F.col(band))) | ((second == 0) & (2 * i + 1 < F.col(band)))
+    return ~F.exists(F.transform(_differing(a, b), shared), lambda found: found)
 
 
 def _sizes_allow(percent: int) -> Column:
@@ -205,50 +206,55 @@ def _side(reps: DataFrame, name: str) -> DataFrame:
     return reps.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
 
 
-def _star_candidates(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members with their band group's hub."""
-    order = F.struct(F.xxhash64("node", F.col("band") % HUB_ORDERS).alias("o"), "node")
-    hubs = members.groupBy("key").agg(F.min(order)["node"].alias("hub"))
-    pairs = (members.join(hubs, "key").where("node <> hub")
-             .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    return (pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b")
-            .where(_sizes_allow(percent) & may_be_similar()).select("a", "b").distinct())
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Band members with the root of their component."""
+    if labels is None:
+        return members.withColumn("root", F.col("node"))
+    return staged(members.join(labels, "node", "left")
+                  .select("key", "band", "node", F.coalesce("root", "node").alias("root")), "members")
 
 
-def _cross_candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _hub_candidates(members: DataFrame, reps: DataFrame, percent: int, order: int) -> DataFrame:
+    """(a, b): documents with the likeliest of their band groups' hubs in
+    another component."""
+    first = F.struct(F.xxhash64("node", F.lit(order)).alias("o"), "node", "root")
+    hubs = members.groupBy("key").agg(F.min(first).alias("hub")).select("key", "hub.node", "hub.root").toDF("key", "a", "a_root")
+    pairs = members.join(hubs, "key").where("root <> a_root").select("a", F.col("node").alias("b")).distinct()
+    likely = (pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_sizes_allow(percent))
+              .select("a", "b", disagreeing().alias("d")).where(F.col("d") <= MOST_DISAGREE))
+    best = likely.groupBy("b").agg(F.sort_array(F.collect_set(F.struct("d", "a"))).alias("hubs"))
+    return (best.select("b", F.explode(F.slice("hubs", 1, HUBS_VERIFIED)).alias("hub"))
+            .select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b")).distinct())
+
+
+def _cross_candidates(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of a band group whose components differ."""
-    labelled = (members.join(labels, "node", "left")
-                .select("key", "band", "node", F.coalesce("root", "node").alias("root")))
-    labelled = staged(labelled, "members")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rows = staged(labelled.join(mixed, "key").join(reps.select("node", "n_shingles", "sketch"), "node"), "mixed")
+    mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    rows = staged(members.join(mixed, "key").join(reps.select("node", "n_shingles", "sketch"), "node"), "mixed")
     a = rows.select("key", "band", *[F.col(x).alias(y) for x, y in (
         ("node", "a"), ("root", "a_root"), ("n_shingles", "a_n"), ("sketch", "a_sketch"))])
     b = rows.select(F.col("key").alias("b_key"), *[F.col(x).alias(y) for x, y in (
         ("node", "b"), ("root", "b_root"), ("n_shingles", "b_n"), ("sketch", "b_sketch"))])
     condition = (F.expr("key = b_key AND a < b AND a_root <> b_root") & _sizes_allow(percent)
-                 & may_be_similar() & _no_earlier_band("a_sketch", "b_sketch", "band"))
+                 & (disagreeing() <= MOST_DISAGREE) & _no_earlier_band("a_sketch", "b_sketch", "band"))
     return a.join(b.hint("merge"), condition).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = staged(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = staged(texts.join(wanted, "node", "left_semi"), "candidate-texts")
-    both = (pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-            .join(needed.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"))
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                left = shingle_sets([t or "" for t in part.column("a_text").to_pylist()], shingle)
-                right = shingle_sets([t or "" for t in part.column("b_text").to_pylist()], shingle)
-                linked = []
-                for x, y in zip(left, right):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(bool(len(x)) and 100 * shared >= percent * (len(x) + len(y) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        for part in parts(batches):
+            left = shingle_sets([t or "" for t in part.column("a_text").to_pylist()], shingle)
+            right = shingle_sets([t or "" for t in part.column("b_text").to_pylist()], shingle)
+            linked = []
+            for x, y in zip(left, right):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(bool(len(x)) and 100 * shared >= percent * (len(x) + len(y) - shared))
+            yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
     return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
@@ -271,10 +277,18 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     members = staged(banded.join(shared, "key").select("key", "band", "node"), "band-members")
 
-    links = _verified(_star_candidates(members, reps, percent), texts, shingle, percent)
-    labels = components(links)
-    more = _verified(_cross_candidates(members, reps, labels, percent), texts, shingle, percent)
-    roots = components(links.union(more)).withColumnRenamed("node", "class")
+    # texts of documents that share a band with another: all that rounds need
+    needed = staged(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "candidate-texts")
+
+    links, labels = None, None
+    for order in range(HUB_ROUNDS + 1):
+        labelled = _labelled(members, labels)
+        candidates = (_hub_candidates(labelled, reps, percent, order) if order < HUB_ROUNDS
+                      else _cross_candidates(labelled, reps, percent))
+        found = _verified(candidates, needed, shingle, percent)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    roots = labels.withColumnRenamed("node", "class")
     named = staged(classes.join(roots, "class", "left")
                    .select("set_key", "group_size", F.coalesce("root", "class").alias("root")), "class-roots")
     out = join_groups(rows, named, "set_key")
