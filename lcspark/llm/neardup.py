@@ -14,8 +14,9 @@ never meet.  In the first rounds each document is compared with one member
 (the hub) of each of its band groups by the estimate, and with the likeliest
 of these on full sets; what verifies is joined into components.  The last
 round compares, within each band group, all members of different components,
-once per pair (in the first band that they share), so no link is left out,
-while pairs that are already connected are never listed.
+once per pair (in the first band whose full key they share), so no pair that
+shares a band is left out but by the estimate, while pairs that are already
+connected are never listed.
 
 Defined cases: a null or empty text has an empty set and is linked with
 nothing; a text shorter than a shingle is one shingle, all its words; rows
@@ -190,12 +191,10 @@ def estimate(a: str = "a_sketch", b: str = "b_sketch") -> Column:
     return F.greatest(F.lit(0.0), (agree - 1 / 16) / (15 / 16))
 
 
-def _no_earlier_band(a: str, b: str, band: str) -> Column:
-    """No band before ``band`` is shared."""
-    def shared(x, i):
-        first, second = x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)
-        return ((first == 0) & (2 * i < F.col(band))) | ((second == 0) & (2 * i + 1 < F.col(band)))
-    return ~F.exists(F.transform(_differing(a, b), shared), lambda found: found)
+def _no_earlier_band(a: str = "a_earlier", b: str = "b_earlier") -> Column:
+    """None of the full keys of the bands before this one is shared, so the
+    pair is listed here and in no other band."""
+    return ~F.exists(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same)
 
 
 def _sizes_allow(percent: int) -> Column:
@@ -230,13 +229,14 @@ def _hub_candidates(members: DataFrame, reps: DataFrame, percent: int, order: in
 def _cross_candidates(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of a band group whose components differ."""
     mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rows = staged(members.join(mixed, "key").join(reps.select("node", "n_shingles", "sketch"), "node"), "mixed")
-    a = rows.select("key", "band", *[F.col(x).alias(y) for x, y in (
-        ("node", "a"), ("root", "a_root"), ("n_shingles", "a_n"), ("sketch", "a_sketch"))])
+    rows = members.join(mixed, "key").join(reps.select("node", "n_shingles", "sketch", "bands"), "node")
+    rows = staged(rows.withColumn("earlier", F.slice("bands", 1, F.col("band"))).drop("band", "bands"), "mixed")
+    a = rows.select("key", *[F.col(x).alias(y) for x, y in (
+        ("node", "a"), ("root", "a_root"), ("n_shingles", "a_n"), ("sketch", "a_sketch"), ("earlier", "a_earlier"))])
     b = rows.select(F.col("key").alias("b_key"), *[F.col(x).alias(y) for x, y in (
-        ("node", "b"), ("root", "b_root"), ("n_shingles", "b_n"), ("sketch", "b_sketch"))])
+        ("node", "b"), ("root", "b_root"), ("n_shingles", "b_n"), ("sketch", "b_sketch"), ("earlier", "b_earlier"))])
     condition = (F.expr("key = b_key AND a < b AND a_root <> b_root") & _sizes_allow(percent)
-                 & (disagreeing() <= MOST_DISAGREE) & _no_earlier_band("a_sketch", "b_sketch", "band"))
+                 & (disagreeing() <= MOST_DISAGREE) & _no_earlier_band())
     return a.join(b.hint("merge"), condition).select("a", "b").distinct()
 
 

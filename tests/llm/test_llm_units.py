@@ -191,6 +191,27 @@ def test_registers_match_as_often_as_sets_are_similar():
         assert abs(np.mean(agree) - 0.8) < 0.04
 
 
+def test_earlier_band_counts_as_shared_only_if_its_key_is(spark):
+    """Band 0 agrees in its sketch field and not in its key: the pair meets in band 1, and once though it shares 72."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 16, (1, 512)).astype(np.uint16)
+    key_a = neardup.band_keys(a)
+    for value in range(1 << 16):
+        b = a.copy()
+        b[0, 0] = value
+        key_b = neardup.band_keys(b)
+        field = [neardup.sketches(x, k)[0, 0] & 0xFFFFFFFF for x, k in ((a, key_a), (b, key_b))]
+        if value != a[0, 0] and field[0] == field[1]:
+            break
+    assert key_a[0, 0] != key_b[0, 0] and (key_a[0, 1:] == key_b[0, 1:]).all()
+    reps = spark.createDataFrame([(n, 100, k[0].tolist(), neardup.sketches(x, k)[0].tolist())
+                                  for n, x, k in ((1, a, key_a), (2, b, key_b))],
+                                 "node long, n_shingles long, bands array<long>, sketch array<long>")
+    members = reps.selectExpr("node", "posexplode(bands) AS (band, key)").selectExpr("key", "band", "node", "node AS root")
+    assert [tuple(r) for r in neardup._cross_candidates(members, reps, 80).collect()] == [(1, 2)]
+    assert neardup._cross_candidates(members.where("band = 2"), reps, 80).count() == 0
+
+
 def test_shingle_sets_across_slices(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abc") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))) for _ in range(60)]
