@@ -183,8 +183,12 @@ class BytePairCodec:
         return self.pieces
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.young) + len(chunks) > self.cache_pieces:
+        """All of ``chunks`` are in the young generation afterwards, however many."""
+        unseen = chunks.difference(self.young)
+        if len(self.young) + len(unseen) > self.cache_pieces:
             self.old, self.young = self.young, {}
+            unseen = chunks                           # a change of generation takes the others along
+        chunks = unseen
         known = self.old.keys() & chunks
         self.young.update((c, self.old[c]) for c in known)
         split = [(c, self.pattern.findall(" " + c)) for c in chunks - known]
@@ -200,9 +204,7 @@ class BytePairCodec:
         split = [([], self.pattern.findall(t)) if w else (t.split(" "), []) for t, w in zip(texts, whole)]
         first = [self.pattern.findall(chunks[0]) if chunks else pieces for chunks, pieces in split]
         chunks = [c[1:] for c, _ in split]
-        for _ in range(2):                            # twice: a change of generation may drop some
-            if unseen := set().union(*chunks).difference(self.young):
-                self._learn(unseen)
+        self._learn(set().union(*chunks))
         ids, get = self._ids_of(set().union(*first)), self.young.__getitem__
         return [np.frombuffer(b"".join([*map(ids.__getitem__, head), *map(get, rest)]), np.int32)
                 for head, rest in zip(first, chunks)]

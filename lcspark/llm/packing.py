@@ -63,8 +63,12 @@ class ChunkTokenizer:
         self.parts.update(zip(new, map(blob.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.young) + len(chunks) > self.cache_chunks:
+        """All of ``chunks`` are in the young generation afterwards, however many."""
+        unseen = chunks.difference(self.young)
+        if len(self.young) + len(unseen) > self.cache_chunks:
             self.old, self.young = self.young, {"": b""}
+            unseen = chunks.difference(self.young)    # a change of generation takes the others along
+        chunks = unseen
         old = self.old.keys() & chunks
         self.young.update((c, self.old[c]) for c in old)
         split = []
@@ -87,9 +91,7 @@ class ChunkTokenizer:
         """Little-endian unsigned 32-bit ids of each text; the texts' unseen
         chunks are encoded together."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        for _ in range(2):                            # twice: a change of generation may drop some
-            if unseen := set().union(*split).difference(self.young):
-                self._learn(unseen)
+        self._learn(set().union(*split))
         get = self.young.__getitem__
         for chunks in split:
             yield b"".join(map(get, chunks))

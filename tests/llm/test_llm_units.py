@@ -131,6 +131,21 @@ def test_bpe_small_cache(encoding):
         assert [x.tolist() for x in small.encode_texts(texts)] == [encoding.encode_ordinary(t) for t in texts]
 
 
+def test_warm_caches_meet_a_larger_slice(encoding):
+    """Some chunks of a slice that exceeds the bound are known already, young or old."""
+    from tokenizers import Tokenizer
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    whole = Tokenizer.from_str(definition)
+    whole.encode_special_tokens = True
+    small = bpe.BytePairCodec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, 20)
+    tokenizer = packing.ChunkTokenizer(definition, 20)
+    for first, last in ((0, 10), (0, 60), (50, 60), (5, 90), (0, 90), (80, 95)):
+        texts = [" ".join(f"word{i}" for i in range(first, last)), f" x{first}"]
+        assert [x.tolist() for x in small.encode_texts(texts)] == [encoding.encode_ordinary(t) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode_texts(texts)] == \
+            [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_unknown_id(codec):
     with pytest.raises(KeyError):
         codec.decode([10 ** 9])
