@@ -16,7 +16,10 @@ their kinds and other candidates as examples of O, and pair potentials from
 how labels meet in neighbouring and in similar mentions.  It is fitted on
 the mentions of about ``SAMPLE_DOCS`` documents (kept by hash of the id).
 
-Defined cases: null and empty texts have no spans; a mention that repeats
+Defined cases: null and empty texts have no spans; whether a plain word that
+equals a local part of its document adds a span depends on the addresses
+trained on: likely where local parts of such a shape are common, unlikely
+where all end in digits; a mention that repeats
 any number of times is linked with its previous occurrence and its first, so
 the graph grows with the text and not with its square; without an example of
 a kind nothing of that kind is added; offsets are code points, end exclusive.
@@ -59,6 +62,7 @@ _ANY = re.compile(r"[0-9@]")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9.])(?:(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}"
                      r"|[0-9]{7,19})(?![A-Za-z0-9])")
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]*[A-Za-z][A-Za-z0-9._%+-]*[0-9_%+](?![A-Za-z0-9_%+@-])")
+_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -108,6 +112,7 @@ class Mention:
     label: int | None      # observed label, None for a candidate
     shape: str             # the text whose shape is scored
     key: str               # equal for similar mentions
+    also: str | None = None   # second key, of a number that is a local part too
 
 
 def _number_key(s: str) -> str:
@@ -115,10 +120,25 @@ def _number_key(s: str) -> str:
     return "#" + digits[-7:]
 
 
+def _handles(text: str, locals_: set[str]) -> Iterator[tuple[int, int]]:
+    """Where one of ``locals_`` stands by itself, but for marks around it (the
+    longest, if they differ in marks only)."""
+    by_core: dict[str, list[str]] = {}
+    for local in sorted(locals_, key=lambda x: (-len(x), x)):
+        by_core.setdefault(local.strip("._%+-"), []).append(local)
+    for m in _RUN.finditer(text):
+        run = m.group().lower()
+        for local in by_core.get(run.strip("._%+-"), ()):
+            if (at := run.find(local)) >= 0:
+                yield m.start() + at, m.start() + at + len(local)
+                break
+
+
 def mentions(text: str, base: list[tuple[int, int, int]], handles: bool = False) -> list[Mention]:
     """Base spans and candidates outside them, by position.  Candidates are
-    numbers and, after an e-mail address, words equal to its local part (all
-    words of such a shape with ``handles``, to train on)."""
+    numbers and, in a text with an e-mail address, all words equal to its
+    local part, whatever their shape and length (with ``handles``, to train
+    on, all words that end in a digit or a mark instead)."""
     nodes = []
     for start, kind, end in base:
         own = text[start:end]
@@ -136,11 +156,17 @@ def mentions(text: str, base: list[tuple[int, int, int]], handles: bool = False)
         return before < 0 or reach[before] <= a
     free = [Mention(m.start(), m.end(), None, m.group().lstrip("+"), _number_key(m.group()))
             for m in _NUMBER.finditer(text) if is_free(m.start(), m.end())]
-    locals_ = {n.key[1:] for n in nodes if n.label == 1 and len(n.key) > 6}
-    if locals_ or handles:
+    if handles:
         for m in _HANDLE.finditer(text):
-            if (handles or m.group().lower() in locals_) and is_free(m.start(), m.end()):
+            if is_free(m.start(), m.end()):
                 free.append(Mention(m.start(), m.end(), None, m.group(), "@" + m.group().lower()))
+    elif locals_ := {n.key[1:] for n in nodes if n.label == 1}:
+        numbers = {(n.start, n.end): n for n in free}
+        for a, b in _handles(text, locals_):
+            if (a, b) in numbers:
+                numbers[a, b].also = "@" + text[a:b].lower()
+            elif is_free(a, b):
+                free.append(Mention(a, b, None, text[a:b], "@" + text[a:b].lower()))
     out: list[Mention] = []
     end = -1
     for n in sorted(free, key=lambda n: (n.start, -n.end)):
@@ -196,9 +222,10 @@ def edges_of(nodes: list[Mention]) -> tuple[list[tuple[int, int]], list[tuple[in
             first.setdefault(n.key, i)
     skip, last = [], {}
     for i, n in enumerate(nodes):
-        linked = {last.get(n.key), first.get(n.key)} - {None, i}
+        keys = [n.key] if n.also is None else [n.key, n.also]
+        linked = {of.get(k) for of in (last, first) for k in keys} - {None, i}
         skip += [(j, i) for j in sorted(linked)]
-        last[n.key] = i
+        last.update(dict.fromkeys(keys, i))
     return chain, skip
 
 

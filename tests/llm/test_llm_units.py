@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -89,6 +90,27 @@ def test_beliefs_on_a_tree_are_exact():
         assert np.allclose(got[i], joint.sum(axis=tuple(j for j in range(4) if j != i)), atol=2e-2)
 
 
+def test_local_parts_of_any_shape_are_found():
+    far = " lorem" * 300
+    seen = ["john.smith", "maria-keller", "bob", "jo", "ann_lee", "k.o-neil", "jsmith42", "12345678"]
+    texts = [f"from {w}@example.org in room12 of code_7 with 50%" for w in seen for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    rows = [tuple(r.values()) for b in pii._examples(iter([batch])) for r in b.to_pylist()]
+    model = pii.fit(sorted(rows))
+    for w in seen:
+        text = f"{w}@example.org wrote{far} {w.upper()}, (_{w}_) and {w}. Not x{w} or {w}s"
+        again = [text[m.start:m.end] for m in pii.mentions(text, pii.base_spans(text)) if m.label is None]
+        assert again == [w.upper(), w, w]
+        assert [s for k, s, is_base in spans_of(text, model) if k == "email" and not is_base] == again
+
+
+def test_a_number_that_is_a_local_part_keeps_its_other_links():
+    text = "+1 743 555 3824, 7435553824@example.org, 7435553824"
+    nodes = pii.mentions(text, pii.base_spans(text))
+    assert [(n.key, n.also) for n in nodes if n.label is None] == [("#5553824", "@7435553824")]
+    assert pii.edges_of(nodes)[1] == [(0, 2), (1, 2)]
+
+
 def test_redaction_joins_overlaps():
     assert pii.redact_text("ab12cd34", [(0, 3, 4), (2, 2, 6)]) == "[PHONE]34"
 
