@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lcspark.llm import bpe, chat, exactdedup, fingerprints, langid, neardup, packing, pii, sharding, toxicity
-from lcspark.llm.common import table
+from lcspark.llm import (
+    bpe,
+    centroids,
+    chat,
+    exactdedup,
+    fingerprints,
+    langid,
+    neardup,
+    packing,
+    periodic,
+    pii,
+    sharding,
+    toxicity,
+    urlfilter,
+)
+from lcspark.llm.common import let, table, words
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -171,3 +185,106 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
                       "grown_shard")
+
+
+# The host rules of the query; they decide before the default patterns.
+HOST_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+              ("net/es/", "block"), ("net/fr/", "block")]
+
+_JUDGED = r"""
+WITH cut AS (
+  SELECT page_id, instr(coalesce(url, ''), '://') AS mark, url FROM pages),
+rest AS (
+  SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM cut),
+place AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(rest, '^[^/?#]*', '') AS tail FROM rest),
+rules(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'),
+                                ('net/es/', 'block'), ('net/fr/', 'block')),
+parts AS (SELECT *, substr(rule, 1, instr(rule, '/') - 1) AS rule_host, substr(rule, instr(rule, '/')) AS rule_path FROM rules),
+places AS (SELECT DISTINCT host, path FROM place),
+found AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM places, parts
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule,
+       CASE WHEN verdict IS NOT NULL THEN verdict
+            WHEN regexp_matches(p.host || tail, '^([^/?#]*\.)?(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\.')
+              OR regexp_matches(p.host || tail, '/wp-login\.php|/wp-admin/|/phpmyadmin/|/cgi-bin/|/\.git/|/xmlrpc\.php$')
+              OR regexp_matches(p.host || tail, '(?s)/checkout/.*/payment([^A-Za-z0-9_.%-]|$)')
+            THEN 'block' ELSE 'allow' END AS verdict
+FROM place AS p LEFT JOIN found AS f ON p.host = f.host AND p.path = f.path
+"""
+
+
+@register("op11_url_filters", _JUDGED)
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = [urlfilter.host_rule(place, verdict, tier=1) for place, verdict in HOST_RULES]
+    out = urlfilter.judge(pages, rules + urlfilter.DEFAULT_RULES)
+    return out.select("page_id", "host", "path", F.when(F.col("rule_tier") == 1, F.col("rule")).alias("rule"), "verdict")
+
+
+def _clustered() -> str:
+    """The rounds written out; all sums in whole numbers."""
+    def nearest(name: str, centroids: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+  SELECT rid, vec_id, v, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+    SELECT rid, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::BIGINT AS d
+    FROM vectors, {centroids}) GROUP BY rid, vec_id, v)"""
+    steps = ["""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", """
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w FROM vectors
+  QUALIFY c < 40)"""]
+    for i in range(5):
+        steps += [nearest(f"a{i}", f"c{i}"), f"""s{i} AS (
+  SELECT c, k, sum(v[k])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i}, range(1, 65) AS t(k) GROUP BY c, k)""", f"""m{i} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k)::BIGINT[] AS w FROM s{i} GROUP BY c)""",
+                  f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.w, o.w) AS w FROM c{i} AS o LEFT JOIN m{i} AS m USING (c))"]
+    steps.append(nearest("last", "c5"))
+    return ",\n".join(steps) + """
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM last JOIN c5 USING (c)
+"""
+
+
+@register("op12_centroid_clustering", _clustered())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def planted(text: Column, doc_id: Column) -> Column:
+    """The text, or, for a tenth of the ids, its words with a repetition:
+    word i >= a is the original word a + (i - a) % p."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (g % 8 + 3)).cast("bigint")
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda at: F.array_join(F.transform(w, lambda x, i: F.when(
+            i < at["a"], x).otherwise(F.element_at(w, (at["a"] + (i - at["a"]) % at["p"] + 1).cast("int")))), " "))
+    chosen = F.coalesce((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return F.when(chosen, let(words(text), repeated)).otherwise(text)
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.with_runs(docs).withColumn("best", periodic.most_periodic(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]),
+                                                                 F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
