@@ -1,27 +1,37 @@
 """Near-duplicate detection by HyperMinHash.
 
 A document's set is its distinct word shingles.  Shingle hashes are dealt to
-512 buckets; a bucket's register holds the leading-zero count (6 bits) and
-the next 10 bits of its least hash.  Empty buckets take the register of the
-first full bucket in an order of their own.  73 bands of 7 registers make
-the candidate keys: a pair of similarity 0.8 shares none with probability
-4e-8.  From 4 bits of each register two documents' similarity is estimated,
-corrected for chance agreement (1 in 16); a pair is verified on its full
-sets unless the estimate is over four standard errors below the threshold.
-
-Equal sets are one class, and only its representative goes on, so copies
-never meet.  In the first rounds each document is compared with one member
-(the hub) of each of its band groups by the estimate, and with the likeliest
-of these on full sets; what verifies is joined into components.  The last
-round compares, within each band group, all members of different components,
-once per pair (in the first band whose full key they share), so no pair that
-shares a band is left out but by the estimate, while pairs that are already
-connected are never listed.
+buckets; a bucket's register holds the leading-zero count (6 bits) and the
+next 10 bits of its least hash.  Two sets of registers are kept:
+
+* 512 buckets for candidates.  Empty ones take the register of the first
+  full bucket in an order of their own; 73 bands of 7 registers make the
+  candidate keys (a pair of similarity 0.8 shares none with probability
+  4e-8), and 4 bits of each register a short sketch that ranks hubs.
+* 2,048 buckets for the estimate, only the full ones.  Registers that agree,
+  less the agreement of different hashes that chance brings (the collision
+  term), over buckets that either set fills estimate the similarity; its
+  error follows from the share of the union's shingles that the buckets
+  show (sets of a few hundred shingles show nearly all of theirs).
+
+Rows with equal sets are one class, and only its representative goes on, so
+copies never meet.  In hub rounds each class is compared with one member
+(the hub) of each of its band groups by the short sketch, and with the
+likeliest of these on full sets; what verifies is joined into components.
+Further rounds look only at band groups that hold several components, with
+other hubs each time, while they settle at least a tenth of them.  What then
+remains is listed: within each band group the members of different components, once per
+pair (in the first band whose full key they share), if the estimate from the
+whole registers isn't over 4.5 standard errors below the threshold.  No other
+filter and no cap leaves a pair out, and pairs that are connected already
+are never listed.  All candidates are verified on full sets.
 
 Defined cases: a null or empty text has an empty set and is linked with
 nothing; a text shorter than a shingle is one shingle, all its words; rows
-that share an id are one document, linked with all that any of them is; a
-null id counts as the least id; an empty table gives no rows.
+are compared by their own texts whatever their ids, so rows without an id,
+or that share one, keep results of their own; a component's id is its least
+id (null if none of its rows has one); an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -44,14 +54,23 @@ BUCKET_BITS = 9
 MANTISSA_BITS = 10
 ROWS, BANDS = 7, 73
 REGISTERS = ROWS * BANDS
-# Rounds with hubs before the last, each with another order of the members,
-# and the hubs that a document is verified with in each.
-HUB_ROUNDS = 1
+# Buckets of the estimate.
+WHOLE_BITS = 11
+# Hub rounds go on while a round leaves no more than this share of the band
+# members open; they only save work, as the listing after them is complete.
+SETTLED = 0.9
+# The hubs that a class is verified with in a round.
 HUBS_VERIFIED = 3
-# Disagreeing 4-bit registers up to which a pair is verified.  At similarity
-# 0.8, 96 of 511 disagree; the error of the estimate (buckets that hold
-# several shingles, filled buckets, chance agreement) is 10 at most.
+# Disagreeing 4-bit registers up to which a hub is likely, and a pair's
+# estimate from the whole registers is looked at.  At similarity 0.8, 96 of
+# 511 disagree; the error of the short sketch (buckets that hold several
+# shingles, filled buckets, chance agreement) is 10 at most.
 MOST_DISAGREE = 140
+# Standard errors below the threshold up to which a pair is verified.
+MOST_ERRORS = 4.5
+# Members of a block of a large band group, of a bin of small ones, and the
+# pairs that are compared at a time.
+BLOCK_MEMBERS, BIN_MEMBERS, STRIP_PAIRS = 512, 8192, 1 << 13
 _PROBES = 64
 _NULL_ID = -(2 ** 63)
 
@@ -93,6 +112,15 @@ def _probe_table() -> np.ndarray:
     return (mix(at + np.uint64(0x51ED2701)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _register(h: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """Leading zeros and mantissa of hashes without their bucket's bits."""
+    rest = (h & np.uint64((1 << (64 - bucket_bits)) - 1)).astype(np.float64)
+    fraction, length = np.frexp(rest)
+    zeros = (64 - bucket_bits) - length
+    mantissa = np.maximum((fraction * 2 - 1) * (1 << MANTISSA_BITS), 0).astype(np.int64) & ((1 << MANTISSA_BITS) - 1)
+    return (np.minimum(zeros, 63) << MANTISSA_BITS) | mantissa
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """[texts, buckets] uint16; rows of empty sets are all ones."""
     n, buckets = len(sets), 1 << BUCKET_BITS
@@ -101,11 +129,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     h = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     cell = doc * buckets + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(cell, prepend=-1))     # hashes are sorted: the first of a bucket is its least
-    rest = (h[first] & np.uint64((1 << (64 - BUCKET_BITS)) - 1)).astype(np.float64)
-    fraction, length = np.frexp(rest)
-    zeros = (64 - BUCKET_BITS) - length
-    mantissa = np.maximum((fraction * 2 - 1) * (1 << MANTISSA_BITS), 0).astype(np.int64) & ((1 << MANTISSA_BITS) - 1)
-    out.ravel()[cell[first]] = (np.minimum(zeros, 63) << MANTISSA_BITS) | mantissa
+    out.ravel()[cell[first]] = _register(h[first], BUCKET_BITS)
     full = out >= 0
     probes = _probe_table()
     row, bucket = np.nonzero(~full & full.any(axis=1)[:, None])
@@ -123,6 +147,34 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.uint16)
 
 
+def whole_registers(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each set: its full buckets with their whole registers, as int32
+    (bucket above 16 bits of register), ascending; and [sets, longs] int64,
+    a bit for each full bucket."""
+    n, buckets = len(sets), 1 << WHOLE_BITS
+    doc = np.repeat(np.arange(n), [len(s) for s in sets])
+    h = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    cell = doc * buckets + (h >> np.uint64(64 - WHOLE_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    there = np.zeros((n, buckets), bool)
+    there.ravel()[cell[first]] = True
+    values = ((cell[first] % buckets) << 16 | _register(h[first], WHOLE_BITS)).astype(np.int32)
+    cuts = np.searchsorted(cell[first], np.arange(1, n) * buckets)
+    return np.split(values, cuts) if n else [], np.packbits(there, axis=1, bitorder="little").view(np.int64)
+
+
+def chance_agreement() -> float:
+    """Probability that the registers of two unrelated least hashes agree:
+    the sum of the squared probabilities of all registers, for hashes that
+    are the least of many (exponentially distributed)."""
+    octave = 2.0 ** np.arange(-40, 8)[:, None]
+    edges = octave * (1 + np.arange((1 << MANTISSA_BITS) + 1) / (1 << MANTISSA_BITS))
+    return float((np.diff(-np.exp(-edges), axis=1) ** 2).sum())
+
+
+CHANCE = chance_agreement()
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """[texts, BANDS] int64."""
     cut = regs[:, :REGISTERS].reshape(-1, ROWS).astype(np.uint64)
@@ -150,51 +202,45 @@ def sketches(regs: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node (the id), n_shingles, set_key (16 bytes, equal for equal sets),
-    bands, sketch (both null for an empty set)."""
+    """id, text_key (16 bytes, of the text), n_shingles, set_key (16 bytes,
+    equal for equal sets), bands, sketch, whole, full (null for an empty set)."""
     ship_package(df.sparkSession)
-    rows = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("node"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], shingle)
             regs = registers(sets)
             keys = band_keys(regs)
-            empty = np.array([not len(s) for s in sets])
+            whole, full = whole_registers(sets)
+            empty = pa.array(np.array([not len(s) for s in sets], bool))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                      for x in (keys, sketches(regs, keys))]
-            lists = [pa.compute.if_else(pa.array(~empty), x, pa.scalar(None, x.type)) for x in lists]
+            lists += [pa.array(whole, pa.list_(pa.int32())),
+                      pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), full.shape[1]).cast(pa.list_(pa.int64()))]
+            lists = [pa.compute.if_else(empty, pa.scalar(None, x.type), x) for x in lists]
             yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                [part.column("id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), *lists],
-                ["node", "n_shingles", "set_key", "bands", "sketch"])
-    return rows.mapInArrow(run, "node bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
-
+                ["id", "text_key", "n_shingles", "set_key", "bands", "sketch", "whole", "full"])
+    return rows.mapInArrow(run, "id bigint, text_key binary, n_shingles bigint, set_key binary, bands array<bigint>, "
+                                "sketch array<bigint>, whole array<int>, full array<bigint>")
 
-# -- candidates ------------------------------------------------------------
-def _differing(a: str, b: str) -> Column:
-    """The sketches' longs, exclusive or; short expressions keep the plans small."""
-    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-def disagreeing(a: str = "a_sketch", b: str = "b_sketch") -> Column:
-    """Number of 4-bit registers in which two sketches differ."""
-    def of_long(x):
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        return F.bit_count(any_bit.bitwiseAND(F.lit(_LOW_BITS)))
-    return F.aggregate(_differing(a, b), F.lit(0), lambda n, x: n + of_long(x))
 
-
-def estimate(a: str = "a_sketch", b: str = "b_sketch") -> Column:
-    """Similarity from the share of agreeing 4-bit registers, less chance agreement."""
-    agree = 1 - disagreeing(a, b) / F.lit(float(REGISTERS))
-    return F.greatest(F.lit(0.0), (agree - 1 / 16) / (15 / 16))
+# -- candidates ------------------------------------------------------------
+def _differing_registers(x: Column) -> Column:
+    """Number of 4-bit registers that are not 0 in a long."""
+    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    return F.bit_count(any_bit.bitwiseAND(F.lit(_LOW_BITS)))
 
 
-def _no_earlier_band(a: str = "a_earlier", b: str = "b_earlier") -> Column:
-    """None of the full keys of the bands before this one is shared, so the
-    pair is listed here and in no other band."""
-    return ~F.exists(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same)
+def disagreeing(a: str = "a_sketch", b: str = "b_sketch") -> Column:
+    """Number of 4-bit registers in which two short sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + _differing_registers(x))
 
 
 def _sizes_allow(percent: int) -> Column:
@@ -205,16 +251,18 @@ def _side(reps: DataFrame, name: str) -> DataFrame:
     return reps.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Band members with the root of their component."""
-    if labels is None:
-        return members.withColumn("root", F.col("node"))
-    return staged(members.join(labels, "node", "left")
-                  .select("key", "band", "node", F.coalesce("root", "node").alias("root")), "members")
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the band groups that hold several components, with the
+    root of theirs and the group's size."""
+    rooted = (members.select("key", "band", "node").join(labels, "node", "left")
+              .select("key", "band", "node", F.coalesce("root", "node").alias("root")))
+    several = (rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+               .where("x < y").select("key", "size"))
+    return staged(rooted.join(several, "key"), "mixed-members")
 
 
 def _hub_candidates(members: DataFrame, reps: DataFrame, percent: int, order: int) -> DataFrame:
-    """(a, b): documents with the likeliest of their band groups' hubs in
+    """(a, b): classes with the likeliest of their band groups' hubs in
     another component."""
     first = F.struct(F.xxhash64("node", F.lit(order)).alias("o"), "node", "root")
     hubs = members.groupBy("key").agg(F.min(first).alias("hub")).select("key", "hub.node", "hub.root").toDF("key", "a", "a_root")
@@ -226,18 +274,105 @@ def _hub_candidates(members: DataFrame, reps: DataFrame, percent: int, order: in
             .select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b")).distinct())
 
 
-def _cross_candidates(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a band group whose components differ."""
-    mixed = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rows = members.join(mixed, "key").join(reps.select("node", "n_shingles", "sketch", "bands"), "node")
-    rows = staged(rows.withColumn("earlier", F.slice("bands", 1, F.col("band"))).drop("band", "bands"), "mixed")
-    a = rows.select("key", *[F.col(x).alias(y) for x, y in (
-        ("node", "a"), ("root", "a_root"), ("n_shingles", "a_n"), ("sketch", "a_sketch"), ("earlier", "a_earlier"))])
-    b = rows.select(F.col("key").alias("b_key"), *[F.col(x).alias(y) for x, y in (
-        ("node", "b"), ("root", "b_root"), ("n_shingles", "b_n"), ("sketch", "b_sketch"), ("earlier", "b_earlier"))])
-    condition = (F.expr("key = b_key AND a < b AND a_root <> b_root") & _sizes_allow(percent)
-                 & (disagreeing() <= MOST_DISAGREE) & _no_earlier_band())
-    return a.join(b.hint("merge"), condition).select("a", "b").distinct()
+def similarity(whole_a: np.ndarray, full_a: np.ndarray, whole_b: np.ndarray, full_b: np.ndarray) -> tuple[float, int]:
+    """From two sets' whole registers: how many agree, corrected for
+    collisions (of the buckets that both fill with different hashes, the
+    share ``CHANCE`` agrees all the same), and the buckets that either fills.
+    The quotient estimates the similarity."""
+    same = len(np.intersect1d(whole_a, whole_b, assume_unique=True))
+    both = int(np.bitwise_count(full_a & full_b).sum())
+    return max(0.0, (same - CHANCE * both) / (1 - CHANCE)), len(whole_a) + len(whole_b) - both
+
+
+def may_be_similar(agree: float, either: int, n_a: int, n_b: int, percent: int) -> bool:
+    """The estimate isn't ``MOST_ERRORS`` standard errors and one register
+    below the threshold t.  At similarity t the union has (n_a + n_b) / (1 + t)
+    shingles; the buckets show ``either`` of them, drawn without replacement."""
+    t = percent / 100
+    unseen = max(0.0, 1 - either * (1 + t) / (n_a + n_b))
+    return agree + MOST_ERRORS * (t * (1 - t) * either * unseen) ** 0.5 + 1 >= t * either
+
+
+class _Members:
+    """Band members of an Arrow table as arrays."""
+
+    def __init__(self, table: pa.Table):
+        def column(name):
+            return table.column(name).combine_chunks()
+
+        def matrix(name):
+            return column(name).flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+
+        def ragged(name):
+            c = column(name)
+            cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(c).to_numpy())])
+            return cuts, c.flatten().to_numpy()
+        self.key, self.node, self.root, self.n, self.mine = (
+            column(c).to_numpy() for c in ("key", "node", "root", "n_shingles", "mine"))
+        self.sketch, self.full = matrix("sketch"), matrix("full")
+        (self.cuts, self.values), (self.earlier_cuts, self.earlier) = ragged("whole"), ragged("earlier")
+
+    def whole(self, i: int) -> np.ndarray:
+        return self.values[self.cuts[i]:self.cuts[i + 1]]
+
+    def pairs(self, left: np.ndarray, right: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+        """Candidates between two blocks of a band group, or within one (no
+        ``right``): other components, sizes and short sketches that allow the
+        threshold, no earlier band in common, and the estimate."""
+        others = left if right is None else right
+        strip = max(1, STRIP_PAIRS // len(others))
+        for at in range(0, len(left), strip):
+            some = left[at:at + strip]
+            ok = self.root[some][:, None] != self.root[others]
+            if right is None:
+                ok &= np.arange(at, at + len(some))[:, None] < np.arange(len(left))
+            n, m = self.n[some][:, None], self.n[others]
+            ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            x, y = np.nonzero(ok)
+            x, y = some[x], others[y]
+            differ = self.sketch[x] ^ self.sketch[y]
+            differ |= differ >> np.uint64(1)
+            differ |= differ >> np.uint64(2)                         # a register's lowest bit: any of its four
+            near = np.bitwise_count(differ & np.uint64(_LOW_BITS)).sum(axis=1) <= MOST_DISAGREE
+            x, y = x[near], y[near]
+            bands = self.earlier_cuts[left[0] + 1] - self.earlier_cuts[left[0]]     # equal within a band group
+            if bands and len(x):
+                place = np.arange(bands)
+                first = (self.earlier[self.earlier_cuts[x][:, None] + place] != self.earlier[self.earlier_cuts[y][:, None] + place]).all(axis=1)
+                x, y = x[first], y[first]
+            for i, j in zip(x.tolist(), y.tolist()):
+                if may_be_similar(*similarity(self.whole(i), self.full[i], self.whole(j), self.full[j]), self.n[i], self.n[j], percent):
+                    yield self.node[i], self.node[j]
+
+
+def _cross_candidates(members: DataFrame, reps: DataFrame, percent: int, total: int) -> DataFrame:
+    """(a, b): the pairs of a band group whose components differ and whose
+    estimate doesn't rule the threshold out.  Small groups are dealt to bins;
+    a large one is cut into blocks of about ``BLOCK_MEMBERS`` members, and
+    each two of its blocks meet in a task of their own."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS))
+    bins = max(1, -(-total // BIN_MEMBERS))
+    facts = members.join(reps.select("node", "n_shingles", "sketch", "whole", "full", "bands"), "node")
+    dealt = (facts.withColumn("earlier", F.slice("bands", 1, F.col("band")))
+             .withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))))
+    place = F.when(blocks == 1, F.struct(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"))).otherwise(
+        F.struct(F.col("key").alias("group"), (F.least("mine", "other") + 1).alias("i"), (F.greatest("mine", "other") + 1).alias("j")))
+
+    def run(table: pa.Table) -> pa.Table:
+        m = _Members(table)
+        i, j = table.column("i")[0].as_py() - 1, table.column("j")[0].as_py() - 1
+        order = np.argsort(m.key, kind="stable")
+        found = []
+        for group in np.split(order, np.flatnonzero(np.diff(m.key[order])) + 1):
+            sides = (group, None) if i == j else (group[m.mine[group] == i], group[m.mine[group] == j])
+            if len(sides[0]) and (sides[1] is None or len(sides[1])):
+                found.extend(m.pairs(*sides, percent))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64))})
+    columns = ["key", "node", "root", "n_shingles", "sketch", "whole", "full", "earlier", "mine"]
+    return (dealt.withColumn("place", place).select(*columns, "place.*").groupBy("group", "i", "j")
+            .applyInArrow(run, "a bigint, b bigint"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -258,53 +393,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def _known_id(c: str = "id") -> Column:
+    return F.coalesce(F.col(c), F.lit(_NULL_ID))
+
+
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the least id reachable over links of
-    similarity >= percent / 100, itself included) and kept, per row."""
+    """Per row: id, text_key, n_shingles, component_id (the least id
+    reachable over links of similarity >= percent / 100, itself included),
+    kept (id = component_id), and stays: true for one text of each component
+    (of the row of least id, then of least text key; without ids of least
+    text key), for every row with that id and text."""
     if not 80 <= percent <= 100:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     ship_package(df.sparkSession)
-    signed = staged(signatures(df, shingle, id_col, text_col), "signatures")
-    texts = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("node"), F.col(text_col).alias("text"))
-    rows = signed.select("node", "n_shingles", "set_key")
-    classes = staged(rows.groupBy("set_key").agg(F.min("node").alias("class"), F.count("*").alias("group_size")), "classes")
-    reps = (signed.where("n_shingles > 0")
-            .join(classes.select("set_key", F.col("class").alias("node")), ["set_key", "node"], "left_semi"))
-    reps = staged(reps.select("node", "n_shingles", "bands", "sketch"), "representatives")
+    # numbered once, when written: a class is known by the least number of its rows
+    signed = staged(signatures(df, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    rows = signed.select("id", "text_key", "n_shingles", "set_key")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
+    classes = staged(signed.groupBy("set_key").agg(F.min("row").alias("node"), least.alias("first"), F.count("*").alias("group_size")),
+                     "classes")
+    reps = (signed.where("n_shingles > 0").withColumnRenamed("row", "node")
+            .join(classes.select("node"), "node", "left_semi"))
+    reps = staged(reps.drop("set_key"), "representatives")
 
     banded = reps.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    members = staged(banded.join(shared, "key").select("key", "band", "node"), "band-members")
-
-    # texts of documents that share a band with another: all that rounds need
-    needed = staged(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "candidate-texts")
-
-    links, labels = None, None
-    for order in range(HUB_ROUNDS + 1):
-        labelled = _labelled(members, labels)
-        candidates = (_hub_candidates(labelled, reps, percent, order) if order < HUB_ROUNDS
-                      else _cross_candidates(labelled, reps, percent))
-        found = _verified(candidates, needed, shingle, percent)
+    members = staged(banded.join(shared, "key").select("key", "band", "node", F.col("node").alias("root")), "band-members")
+
+    # texts of classes that share a band with another: all that rounds need
+    wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", _known_id().alias("_id"), "text_key")
+    texts = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("_id"), text_key(F.col(text_col)).alias("text_key"),
+                      F.col(text_col).alias("text"))
+    needed = texts.join(wanted.hint("merge"), ["_id", "text_key"]).select("node", "text")
+    needed = staged(needed.dropDuplicates(["node"]), "candidate-texts")      # a row may be repeated
+
+    links, labels, order = None, None, 0
+    left = members.count()
+    while True:
+        found = _verified(_hub_candidates(members, reps, percent, order), needed, shingle, percent)
         links = found if links is None else links.union(found)
         labels = components(links)
-    roots = labels.withColumnRenamed("node", "class")
-    named = staged(classes.join(roots, "class", "left")
-                   .select("set_key", "group_size", F.coalesce("root", "class").alias("root")), "class-roots")
-    out = join_groups(rows, named, "set_key")
-    root = F.when(F.col("n_shingles") == 0, F.col("node")).otherwise(F.col("root"))
-
-    def as_id(c):
-        return F.when(c != F.lit(_NULL_ID), c)
-    return out.select(as_id(F.col("node")).alias("id"), "n_shingles", as_id(root).alias("component_id"),
-                      (F.col("node") == root).alias("kept"))
+        members, order = _mixed(members, labels), order + 1
+        before, left = left, members.count()
+        if left == 0 or left > SETTLED * before:
+            break
+    found = _verified(_cross_candidates(members, reps, percent, left), needed, shingle, percent)
+    labels = staged(components(links.union(found)), "labels")
+
+    linked = labels.join(classes.select("node", "first"), "node")
+    of_root = linked.groupBy("root").agg(F.min("first").alias("of_all"), F.count("*").alias("group_size"))
+    labelled = join_groups(labels, staged(of_root, "components"), "root").select("node", "of_all")
+    named = (classes.join(labelled, "node", "left")
+             .select("set_key", "group_size", F.coalesce("of_all", "first").alias("least")))
+    out = join_groups(rows, staged(named, "class-components"), "set_key")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    least = F.when(F.col("n_shingles") == 0, own).otherwise(F.col("least"))
+    return (out.withColumn("least", least)
+            .select("id", "text_key", "n_shingles", F.col("least.id").alias("component_id"),
+                    F.col("id").eqNullSafe(F.col("least.id")).alias("kept"),
+                    (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.text_key"))).alias("stays")))
 
 
 def drop_near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without the documents of each
-    component other than the one of least id."""
-    gone = fresh(df, "_gone")
-    dropped = (near_duplicates(df, shingle, percent, id_col, text_col).where(~F.col("kept"))
-               .select(F.col("id").alias(gone)).distinct())
-    return df.join(dropped, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    """The rows of ``df``, all columns, of each component only those of its
+    one text that stays: rows go by id and text, so a row that merely shares
+    an id with a near copy is left alone."""
+    gone, gone_text, own = (fresh(df, x) for x in ("_gone", "_gone_text", "_text_key"))
+    dropped = (near_duplicates(df, shingle, percent, id_col, text_col).where(~F.col("stays"))
+               .select(_known_id().alias(gone), F.col("text_key").alias(gone_text)).distinct())
+    keyed = df.withColumn(own, text_key(F.col(text_col)))
+    same = (F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)) == F.col(gone)) & (F.col(own) == F.col(gone_text))
+    return keyed.join(dropped, same, "left_anti").drop(own)

@@ -137,6 +137,71 @@ def test_near_duplicates_in_a_family(spark):
     assert got == brute_components({i: shingles(t, 5) for i, t in texts.items()}, 80)
 
 
+def test_near_duplicates_go_by_text_not_id(spark):
+    """A clean text under the id of a near copy stays; near copies without ids are one component, of which one text stays."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (2, near), (2, "a wholly different and clean text of more than five words"),
+            (None, "x " + " ".join(f"v{i}" for i in range(60))), (None, "y " + " ".join(f"v{i}" for i in range(60))),
+            (None, "nothing like the others at all, nor like anything"), (3, None), (None, ""), (4, near), (4, near)]
+    docs = make_docs(spark, [(i, t, None, None, None) for i, t in rows])
+    got = {(r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs).collect()}
+    gone = set(rows) - got
+    assert {(2, near), (4, near)} < gone and len(gone) == 3 and {t[0] for _, t in gone - {(2, near), (4, near)}} <= {"x", "y"}
+    found = [(r["id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()]
+    assert sorted(x for x in found if x[0] is not None) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (4, 1, False), (4, 1, False)]
+    assert [x for x in found if x[0] is None] == [(None, None, True)] * 4
+
+
+def test_near_duplicates_in_a_large_family(spark, monkeypatch):
+    """Two thousand edits of one text, most pairs of similarity 0.7 to 0.85: the links of brute force, each class once."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    base, texts = rng.integers(0, 10 ** 6, 150), []
+    for i in range(2000):
+        words = base.copy()
+        at = rng.choice(150, int(rng.integers(2, 8)), replace=False)
+        words[at] = rng.integers(10 ** 7, 10 ** 8, len(at))
+        texts.append(" ".join(map(str, words)))
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 100)
+    docs = make_docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    sets = neardup.shingle_sets(texts)
+    u, place = np.unique(np.concatenate(sets), return_inverse=True)
+    there = np.zeros((len(sets), len(u)), np.float32)
+    there[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = 1
+    shared, n = there @ there.T, there.sum(axis=1)
+    linked = 100 * shared >= 80 * (n[:, None] + n - shared)
+    want = np.arange(len(sets))
+    while True:                                              # the least number over links, until it settles
+        new = np.where(linked, want, len(sets)).min(axis=1)
+        new = new[new]
+        if (new == want).all():
+            break
+        want = new
+    assert 2 < len(set(want)) < 1500 and (np.triu(shared / (n[:, None] + n - shared), 1) > 0.7).sum() > 150_000
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_estimates_from_whole_registers():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n, errors in ((40, 0.02), (400, 0.06), (20_000, 0.06)):
+        for share in (0.5, 0.8, 0.95):
+            pool = rng.integers(0, 2 ** 63, 2 * n, dtype=np.uint64)
+            both = int(n * 2 * share / (1 + share))
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n:2 * n - both]]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            (wa, wb), full = neardup.whole_registers([a, b])
+            agree, either = neardup.similarity(wa, full[0], wb, full[1])
+            assert abs(agree / either - true) < errors, (n, share)
+            if true >= 0.8:
+                assert neardup.may_be_similar(agree, either, len(a), len(b), 80)
+            if true < 0.6:
+                assert not neardup.may_be_similar(agree, either, len(a), len(b), 80)
+    assert 1 / 6 < neardup.CHANCE * 2 ** neardup.MANTISSA_BITS < 1 / 2       # the chance of equal leading zeros, about a third
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (100, 90)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
