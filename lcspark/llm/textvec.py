@@ -32,19 +32,19 @@ class Words(NamedTuple):
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it part of a word (letter or mark), and its
-    lower case where that is one code point."""
-    is_letter = np.zeros(sys.maxunicode + 1, bool)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: is it part of a word (letter or mark), is it a
+    mark, and its lower case where that is one code point."""
+    is_letter, is_mark = np.zeros(sys.maxunicode + 1, bool), np.zeros(sys.maxunicode + 1, bool)
     lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
     for i in range(sys.maxunicode + 1):
         c = chr(i)
-        if unicodedata.category(c)[0] in "LM":
-            is_letter[i] = True
+        if (kind := unicodedata.category(c)[0]) in "LM":
+            is_letter[i], is_mark[i] = True, kind == "M"
             small = c.lower()
             if len(small) == 1:
                 lower[i] = ord(small)
-    return is_letter, lower
+    return is_letter, is_mark, lower
 
 
 def slices(texts: Sequence[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -60,12 +60,20 @@ def slices(texts: Sequence[str], most: int = SLICE_CHARS) -> Iterator[tuple[int,
 
 
 def letter_words(texts: Sequence[str]) -> Words:
-    is_letter, lower = _tables()
+    """Runs of letters and marks with one letter at least (the marks of an
+    emoji or a keycap are no word)."""
+    is_letter, is_mark, lower = _tables()
     joined = "\0" + "\0".join(texts) + "\0"
     chars = lower[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
     text_at = np.cumsum([1, *[len(t) + 1 for t in texts]])[:-1]
     letters = np.flatnonzero(is_letter[chars])
     starts = np.flatnonzero(np.diff(letters, prepend=-2) > 1)
+    marks = is_mark[chars[letters]]
+    if marks.any():
+        lengths = np.diff(np.append(starts, len(letters)))
+        words = ~np.logical_and.reduceat(marks, starts)
+        letters, lengths = letters[np.repeat(words, lengths)], lengths[words]
+        starts = np.cumsum(lengths) - lengths
     doc = np.searchsorted(text_at, letters[starts], "right") - 1
     return Words(chars, letters, starts, doc, text_at)
 
