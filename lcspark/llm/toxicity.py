@@ -9,7 +9,9 @@ only go along with a group don't raise the score.
 
 Labelled rows may be many; the model is fitted on a sample of at most
 ``SAMPLE_PER_LABEL`` ids of each label (those of least hash, so it is the
-same in every run).  Counterfactual sentences come from the same sample.
+same in every run; ids without a document aren't counted).  All sentences of
+those texts that have identity terms are counterfactuals; those whose swap
+changes the same features come to the driver as one row with their number.
 
 Defined cases: null and empty texts have no feature and the score of the
 intercept; rows without a label or with labels other than 0 and 1 are passed
@@ -34,8 +36,6 @@ from lcspark.llm.textvec import letter_words, mix, segment_hash, slices
 FEATURE_BITS = 18
 STEM_LETTERS = (4, 5)
 SAMPLE_PER_LABEL = 4000
-# Counterfactual sentences kept per labelled text.
-SENTENCES_PER_TEXT = 20
 FAIRNESS = 5.0
 L1 = 5e-4
 STEPS = 200
@@ -92,7 +92,7 @@ def counterfactuals(text: str, terms: Sequence[Sequence[str]] = IDENTITY_TERMS)
     if pattern is None or not pattern.search(text):
         return []
     sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if pattern.search(s)]
-    return [(s, pattern.sub(lambda m: following[m.group().lower()], s)) for s in sentences[:SENTENCES_PER_TEXT]]
+    return [(s, pattern.sub(lambda m: following[m.group().lower()], s)) for s in sentences]
 
 
 def _rows(docs: np.ndarray, found: np.ndarray, n: int) -> list[list[int]]:
@@ -110,9 +110,9 @@ def sample_labels(marks: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFr
 
 
 def sample_features(chosen: DataFrame, terms: Sequence[Sequence[str]]) -> DataFrame:
-    """label, features, gained, lost of (label, text) rows; per counterfactual
-    sentence a row with label null and the features that the swap adds and
-    removes."""
+    """label, features, gained, lost, times of (label, text) rows; for
+    counterfactual sentences rows with label null, the features that the swap
+    adds and removes, and the number of sentences where it does."""
     ship_package(chosen.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,10 @@ def sample_features(chosen: DataFrame, terms: Sequence[Sequence[str]]) -> DataFr
                  pa.array(some + [sorted(set(y) - set(x)) for x, y in zip(before, after)], pa.list_(pa.int32())),
                  pa.array(some + [sorted(set(x) - set(y)) for x, y in zip(before, after)], pa.list_(pa.int32()))],
                 ["label", "features", "gained", "lost"])
-    return chosen.mapInArrow(run, "label int, features array<int>, gained array<int>, lost array<int>")
+    rows = chosen.mapInArrow(run, "label int, features array<int>, gained array<int>, lost array<int>")
+    one = F.lit(1).cast("bigint").alias("times")
+    swaps = rows.where("label IS NULL").groupBy("label", "features", "gained", "lost").agg(F.count("*").alias("times"))
+    return rows.where("label IS NOT NULL").select("label", "features", "gained", "lost", one).unionByName(swaps)
 
 
 def _sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +140,10 @@ def _sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), lengths), (np.concatenate(lists) if sum(lengths) else np.zeros(0)).astype(np.int64)
 
 
-def fit(lists: list, labels: np.ndarray, gained: list, lost: list, fairness: float = FAIRNESS, l1: float = L1,
-        steps: int = STEPS) -> ToxicityModel:
-    """Accelerated proximal gradient on the penalised loss; both labels weigh the same."""
+def fit(lists: list, labels: np.ndarray, gained: list, lost: list, times: np.ndarray | None = None,
+        fairness: float = FAIRNESS, l1: float = L1, steps: int = STEPS) -> ToxicityModel:
+    """Accelerated proximal gradient on the penalised loss; both labels weigh
+    the same.  ``times``: how often each counterfactual occurs (once)."""
     size, n = 1 << FEATURE_BITS, len(labels)
     share = float(labels.mean()) if n else 0.0
     if share in (0.0, 1.0):
@@ -160,11 +164,12 @@ def fit(lists: list, labels: np.ndarray, gained: list, lost: list, fairness: flo
         sign.append(np.full(known.sum(), s))
     swap_row, swap_col, sign = map(np.concatenate, (swap_row, swap_col, sign))
     swaps = max(len(gained), 1)
+    times = np.ones(swaps) if times is None or not len(times) else times / times.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
     w, b, ahead, ahead_b, t = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0, 1.0
 
     def fairness_gradient(w):
-        change = np.bincount(swap_row, sign * w[swap_col], swaps)
+        change = times * np.bincount(swap_row, sign * w[swap_col], swaps)
         return 2 * fairness / swaps * np.bincount(swap_col, sign * change[swap_row], len(w))
 
     # the step is the inverse of the loss's greatest curvature, by power iteration
@@ -200,11 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most two times ``per_label`` ids: they go to the texts, not the texts to them
+    marks = marks.join(texts.select("id"), "id", "left_semi")
     chosen = texts.join(F.broadcast(sample_labels(marks, per_label)), "id").select("label", "text")
     rows = sample_features(chosen, terms).toPandas()
     of_text = rows[rows["label"].notna()]
     swaps = rows[rows["label"].isna()]
-    return fit(of_text["features"].tolist(), of_text["label"].to_numpy(float), swaps["gained"].tolist(), swaps["lost"].tolist())
+    return fit(of_text["features"].tolist(), of_text["label"].to_numpy(float), swaps["gained"].tolist(), swaps["lost"].tolist(),
+               swaps["times"].to_numpy(float))
 
 
 def scores(texts: list[str], model: ToxicityModel) -> np.ndarray:
