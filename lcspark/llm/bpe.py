@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from lcspark.llm.chunks import SLICE_ROWS, ChunkCache, encode_texts, sliced
 from lcspark.llm.common import add_columns, parts, ship_package
 
 LONG_PIECE = 512
@@ -93,11 +94,11 @@ class BytePairCodec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.pairs = PairTable(ranks)
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.cache_pieces = cache_pieces
-        self.young: dict[str, bytes] = {}      # ids of a blank and a chunk
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}     # ids of a match of the pattern
+        self.tokens = np.full(max(ranks.values()) + 1, None, object)
+        self.tokens[list(ranks.values())] = list(ranks)
+        self.pieces = ChunkCache(lambda new: self.encode_pieces(p.encode("utf-8") for p in new), cache_pieces)
+        self.chunks = ChunkCache(self._encode_chunks, cache_pieces)      # a blank and a chunk
+        self.firsts = ChunkCache(lambda new: self._joined([self.pattern.findall(c) for c in new]), cache_pieces)
 
     # -- merging ---------------------------------------------------------
     def _merge_matrix(self, pieces: list[bytes]) -> list[bytes]:
@@ -174,43 +175,42 @@ class BytePairCodec:
         return out
 
     # -- texts -----------------------------------------------------------
-    def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces, from the cache or by merging."""
-        new = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(new) > self.cache_pieces:
-            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
-        self.pieces.update(zip(new, self.encode_pieces(p.encode("utf-8") for p in new)))
-        return self.pieces
-
-    def _learn(self, chunks: set[str]) -> None:
-        """All of ``chunks`` are in the young generation afterwards, however many."""
-        unseen = chunks.difference(self.young)
-        if len(self.young) + len(unseen) > self.cache_pieces:
-            self.old, self.young = self.young, {}
-            unseen = chunks                           # a change of generation takes the others along
-        chunks = unseen
-        known = self.old.keys() & chunks
-        self.young.update((c, self.old[c]) for c in known)
-        split = [(c, self.pattern.findall(" " + c)) for c in chunks - known]
-        ids = self._ids_of({p for _, pieces in split for p in pieces})
-        self.young.update((c, b"".join(map(ids.__getitem__, pieces))) for c, pieces in split)
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces."""
+        distinct = list(dict.fromkeys(p for pieces in split for p in pieces))
+        ids = dict(zip(distinct, self.pieces.ids(distinct)))
+        return [ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]) for pieces in split]
+
+    def _encode_chunks(self, new: list[str]) -> list[bytes]:
+        """Ids of a blank and a chunk.  Chunks without white space at their
+        ends are matched together: there each begins with the only piece of
+        its own that starts with a blank."""
+        plain = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in new]
+        pieces = self.pattern.findall(" " + " ".join([c for c, p in zip(new, plain) if p])) if any(plain) else []
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        grouped = map(pieces.__getitem__, map(slice, starts, [*starts[1:], len(pieces)]))
+        return self._joined([next(grouped) if p else self.pattern.findall(" " + c) for c, p in zip(new, plain)])
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text.  No match of the pattern has a blank but at its
         start or in a run of white space, so a text is cut before each blank
         and its chunks, which recur, are looked up; a text where a blank
         stands inside or at the end of a longer run is matched whole."""
-        whole = [bool(_INNER_BLANK.search(t)) for t in texts]
-        split = [([], self.pattern.findall(t)) if w else (t.split(" "), []) for t, w in zip(texts, whole)]
-        first = [self.pattern.findall(chunks[0]) if chunks else pieces for chunks, pieces in split]
-        chunks = [c[1:] for c, _ in split]
-        self._learn(set().union(*chunks))
-        ids, get = self._ids_of(set().union(*first)), self.young.__getitem__
-        return [np.frombuffer(b"".join([*map(ids.__getitem__, head), *map(get, rest)]), np.int32)
-                for head, rest in zip(first, chunks)]
+        whole = [i for i, t in enumerate(texts) if _INNER_BLANK.search(t)]
+        cut = dict.fromkeys(whole, "")
+        out = encode_texts([cut.get(i, t) for i, t in enumerate(texts)] if whole else texts, self.chunks.ids, self.firsts.ids)
+        for i in whole:
+            out[i] = np.frombuffer(self._joined([self.pattern.findall(texts[i])])[0], np.int32)
+        return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.tokens)):
+            raise KeyError("an id is outside the vocabulary")
+        found = self.tokens[ids].tolist()
+        if None in found:
+            raise KeyError("an id is not in the vocabulary")
+        return b"".join(found)
 
 
 _CODECS: dict = {}
@@ -227,7 +227,7 @@ def _codec(shared) -> BytePairCodec:
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``ids`` array<int>."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
-    return add_columns(df, text_col, "ids array<int>", lambda texts: [_codec(shared).encode_texts(texts)])
+    return add_columns(df, text_col, "ids array<int>", lambda texts: [sliced(texts, _codec(shared).encode_texts)], SLICE_ROWS)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -239,7 +239,8 @@ def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str =
     def run(batches):
         codec = _codec(shared)
         for part in parts(batches):
-            made = pa.array([codec.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in part.column(ids_col)],
-                            pa.binary())
+            lists = part.column(ids_col).fill_null([])
+            flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
+            made = pa.array([codec.decode(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "decoded"])
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))

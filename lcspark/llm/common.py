@@ -91,10 +91,10 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list], list]) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[list], list], rows: int = 500) -> DataFrame:
     """All columns of ``df`` (those named as new ones are replaced), then the
-    new ``fields`` (DDL).  ``compute`` gets the texts of some rows (null:
-    empty) and returns one sequence per field, in their order."""
+    new ``fields`` (DDL).  ``compute`` gets the texts of at most ``rows`` rows
+    (null: empty) and returns one sequence per field, in their order."""
     ship_package(df.sparkSession)
     new = StructType.fromDDL(fields)
     kept = df.drop(*[f.name for f in new])
@@ -103,7 +103,7 @@ def add_columns(df: DataFrame, text_col: str, fields: str, compute: Callable[[li
     types = [to_arrow_type(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, rows):
             texts = [t or "" for t in part.column(text_col).to_pylist()]
             made = [pa.array(values, kind) for values, kind in zip(compute(texts), types)]
             yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *[f.name for f in new]])

@@ -280,7 +280,7 @@ def similarity(whole_a: np.ndarray, full_a: np.ndarray, whole_b: np.ndarray, ful
     share ``CHANCE`` agrees all the same), and the buckets that either fills.
     The quotient estimates the similarity."""
     same = len(np.intersect1d(whole_a, whole_b, assume_unique=True))
-    both = int(np.bitwise_count(full_a & full_b).sum())
+    both = int(np.bitwise_count((full_a & full_b).view(np.uint64)).sum())
     return max(0.0, (same - CHANCE * both) / (1 - CHANCE)), len(whole_a) + len(whole_b) - both
 
 

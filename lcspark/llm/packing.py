@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lcspark.llm.chunks import SLICE_ROWS, ChunkCache, encode_texts, sliced
 from lcspark.llm.common import parts, ship_package, staged
 
 CAPACITY = 4096
@@ -50,51 +51,31 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
-        self.cache_chunks = cache_chunks
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts = ChunkCache(self._encode_parts, cache_chunks)
+        self.chunks = ChunkCache(self._encode_chunks, cache_chunks)
 
-    def _encode_parts(self, parts: set[str]) -> None:
-        new = list(parts)
+    def _encode_parts(self, new: list[str]) -> list[bytes]:
         made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids, of = np.array(made.ids, "<u4"), np.array([-1 if w is None else w for w in made.word_ids], np.int64)
         blob, cuts = ids.tobytes(), (np.searchsorted(of, np.arange(len(new) + 1)) * 4).tolist()
-        self.parts.update(zip(new, map(blob.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
-
-    def _learn(self, chunks: set[str]) -> None:
-        """All of ``chunks`` are in the young generation afterwards, however many."""
-        unseen = chunks.difference(self.young)
-        if len(self.young) + len(unseen) > self.cache_chunks:
-            self.old, self.young = self.young, {"": b""}
-            unseen = chunks.difference(self.young)    # a change of generation takes the others along
-        chunks = unseen
-        old = self.old.keys() & chunks
-        self.young.update((c, self.old[c]) for c in old)
-        split = []
-        for c in chunks - old:
-            letters = c.rstrip(_MARKS)
-            if letters.isascii():
-                letters = letters.lower() if letters.isalpha() else c
-            elif not letters.isalpha():
-                letters = c                           # anything else is taken whole
-            marks = c[len(letters):]
-            split.append((c, letters, marks))
-        if len(self.parts) > self.cache_chunks:
-            self.parts = {"": b""}
-        parts = self.parts
-        if unseen := {x for _, a, b in split for x in (a, b) if x not in parts}:
-            self._encode_parts(unseen)
-        self.young.update((c, parts[a] + parts[b]) for c, a, b in split)
-
-    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; the texts' unseen
-        chunks are encoded together."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*split))
-        get = self.young.__getitem__
-        for chunks in split:
-            yield b"".join(map(get, chunks))
+        return list(map(blob.__getitem__, map(slice, cuts[:-1], cuts[1:])))
+
+    def _encode_chunks(self, new: list[str]) -> list[bytes]:
+        letters, marks = [], []
+        for c in new:
+            word = c.rstrip(_MARKS)
+            # letters alone are looked up in lower case; other than ASCII they are taken whole, unless all letters
+            if not word.isalpha() and not word.isascii():
+                word = c
+            letters.append(word.lower() if word.isascii() and word.isalpha() else word)
+            marks.append(c[len(word):])
+        distinct = list(dict.fromkeys([*letters, *marks]))
+        ids = dict(zip(distinct, self.parts.ids(distinct)))
+        return [ids[a] + ids[b] if b else ids[a] for a, b in zip(letters, marks)]
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        return encode_texts([t.replace("\n", " ") for t in texts], self.chunks.ids)
 
 
 _TOKENIZERS: dict = {}
@@ -121,11 +102,11 @@ def tokenize(df: DataFrame, definition: str, capacity: int = CAPACITY, end_token
     end, width = np.array([end_token], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, SLICE_ROWS):
             texts = [t or "" for t in part.column("text").to_pylist()]
             made: list[tuple] = []
-            for key, ids in zip(part.column("id").to_pylist(), _tokenizer(shared).encode_texts(texts)):
-                ids += end
+            for key, found in zip(part.column("id").to_pylist(), sliced(texts, _tokenizer(shared).encode_texts)):
+                ids = found.tobytes() + end
                 for at in range(0, len(ids), width):
                     cut = ids[at:at + width]
                     made.append((key, at // width, at // 4, len(cut) // 4, zlib.crc32(cut),

@@ -228,7 +228,7 @@ def test_registers_match_as_often_as_sets_are_similar():
         assert abs(np.mean(agree) - 0.8) < 0.04
 
 
-def test_earlier_band_counts_as_shared_only_if_its_key_is(spark):
+def test_earlier_band_counts_as_shared_only_if_its_key_is(spark, monkeypatch):
     """Band 0 agrees in its sketch field and not in its key: the pair meets in band 1, and once though it shares 72."""
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (1, 512)).astype(np.uint16)
@@ -241,12 +241,16 @@ def test_earlier_band_counts_as_shared_only_if_its_key_is(spark):
         if value != a[0, 0] and field[0] == field[1]:
             break
     assert key_a[0, 0] != key_b[0, 0] and (key_a[0, 1:] == key_b[0, 1:]).all()
-    reps = spark.createDataFrame([(n, 100, k[0].tolist(), neardup.sketches(x, k)[0].tolist())
+    (whole, _), full = neardup.whole_registers([np.arange(1, 100, dtype=np.uint64) << np.uint64(50)] * 2)
+    reps = spark.createDataFrame([(n, 100, k[0].tolist(), neardup.sketches(x, k)[0].tolist(), whole.tolist(), full[0].tolist())
                                   for n, x, k in ((1, a, key_a), (2, b, key_b))],
-                                 "node long, n_shingles long, bands array<long>, sketch array<long>")
-    members = reps.selectExpr("node", "posexplode(bands) AS (band, key)").selectExpr("key", "band", "node", "node AS root")
-    assert [tuple(r) for r in neardup._cross_candidates(members, reps, 80).collect()] == [(1, 2)]
-    assert neardup._cross_candidates(members.where("band = 2"), reps, 80).count() == 0
+                                 "node long, n_shingles long, bands array<long>, sketch array<long>, whole array<int>, full array<long>")
+    members = reps.selectExpr("node", "posexplode(bands) AS (band, key)").selectExpr("key", "band", "node", "node AS root", "2L AS size")
+    assert [tuple(r) for r in neardup._cross_candidates(members, reps, 80, 146).collect()] == [(1, 2)]
+    assert neardup._cross_candidates(members.where("band = 2"), reps, 80, 2).count() == 0
+    # the same from a group cut into blocks, each pair met in one task
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 1)
+    assert [tuple(r) for r in neardup._cross_candidates(members, reps, 80, 146).collect()] == [(1, 2)]
 
 
 def test_shingle_sets_across_slices(monkeypatch):
