@@ -21,7 +21,7 @@ likeliest of these on full sets; what verifies is joined into components.
 Further rounds look only at band groups that hold several components, with
 other hubs each time, while they settle at least a tenth of them.  What then
 remains is listed: within each band group the members of different components, once per
-pair (in the first band whose full key they share), if the estimate from the
+pair (in the first band that they share), if the estimate from the
 whole registers isn't over 4.5 standard errors below the threshold.  No other
 filter and no cap leaves a pair out, and pairs that are connected already
 are never listed.  All candidates are verified on full sets.
@@ -147,20 +147,16 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.uint16)
 
 
-def whole_registers(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+def whole_registers(sets: list[np.ndarray]) -> list[np.ndarray]:
     """Of each set: its full buckets with their whole registers, as int32
-    (bucket above 16 bits of register), ascending; and [sets, longs] int64,
-    a bit for each full bucket."""
+    (bucket above 16 bits of register), ascending."""
     n, buckets = len(sets), 1 << WHOLE_BITS
     doc = np.repeat(np.arange(n), [len(s) for s in sets])
     h = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     cell = doc * buckets + (h >> np.uint64(64 - WHOLE_BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(cell, prepend=-1))
-    there = np.zeros((n, buckets), bool)
-    there.ravel()[cell[first]] = True
     values = ((cell[first] % buckets) << 16 | _register(h[first], WHOLE_BITS)).astype(np.int32)
-    cuts = np.searchsorted(cell[first], np.arange(1, n) * buckets)
-    return np.split(values, cuts) if n else [], np.packbits(there, axis=1, bitorder="little").view(np.int64)
+    return np.split(values, np.searchsorted(cell[first], np.arange(1, n) * buckets)) if n else []
 
 
 def chance_agreement() -> float:
@@ -203,7 +199,7 @@ def sketches(regs: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key (16 bytes, of the text), n_shingles, set_key (16 bytes,
-    equal for equal sets), bands, sketch, whole, full (null for an empty set)."""
+    equal for equal sets), bands, sketch, whole (null for an empty set)."""
     ship_package(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
 
@@ -212,19 +208,17 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
             sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], shingle)
             regs = registers(sets)
             keys = band_keys(regs)
-            whole, full = whole_registers(sets)
             empty = pa.array(np.array([not len(s) for s in sets], bool))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                      for x in (keys, sketches(regs, keys))]
-            lists += [pa.array(whole, pa.list_(pa.int32())),
-                      pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), full.shape[1]).cast(pa.list_(pa.int64()))]
+            lists.append(pa.array(whole_registers(sets), pa.list_(pa.int32())))
             lists = [pa.compute.if_else(empty, pa.scalar(None, x.type), x) for x in lists]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), *lists],
-                ["id", "text_key", "n_shingles", "set_key", "bands", "sketch", "whole", "full"])
+                ["id", "text_key", "n_shingles", "set_key", "bands", "sketch", "whole"])
     return rows.mapInArrow(run, "id bigint, text_key binary, n_shingles bigint, set_key binary, bands array<bigint>, "
-                                "sketch array<bigint>, whole array<int>, full array<bigint>")
+                                "sketch array<bigint>, whole array<int>")
 
 
 def text_key(text: Column) -> Column:
@@ -274,13 +268,13 @@ def _hub_candidates(members: DataFrame, reps: DataFrame, percent: int, order: in
             .select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b")).distinct())
 
 
-def similarity(whole_a: np.ndarray, full_a: np.ndarray, whole_b: np.ndarray, full_b: np.ndarray) -> tuple[float, int]:
+def similarity(whole_a: np.ndarray, whole_b: np.ndarray) -> tuple[float, int]:
     """From two sets' whole registers: how many agree, corrected for
     collisions (of the buckets that both fill with different hashes, the
     share ``CHANCE`` agrees all the same), and the buckets that either fills.
     The quotient estimates the similarity."""
     same = len(np.intersect1d(whole_a, whole_b, assume_unique=True))
-    both = int(np.bitwise_count((full_a & full_b).view(np.uint64)).sum())
+    both = len(np.intersect1d(whole_a >> 16, whole_b >> 16, assume_unique=True))
     return max(0.0, (same - CHANCE * both) / (1 - CHANCE)), len(whole_a) + len(whole_b) - both
 
 
@@ -300,16 +294,13 @@ class _Members:
         def column(name):
             return table.column(name).combine_chunks()
 
-        def matrix(name):
-            return column(name).flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-
         def ragged(name):
             c = column(name)
             cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(c).to_numpy())])
             return cuts, c.flatten().to_numpy()
         self.key, self.node, self.root, self.n, self.mine = (
             column(c).to_numpy() for c in ("key", "node", "root", "n_shingles", "mine"))
-        self.sketch, self.full = matrix("sketch"), matrix("full")
+        self.sketch = column("sketch").flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         (self.cuts, self.values), (self.earlier_cuts, self.earlier) = ragged("whole"), ragged("earlier")
 
     def whole(self, i: int) -> np.ndarray:
@@ -341,18 +332,20 @@ class _Members:
                 first = (self.earlier[self.earlier_cuts[x][:, None] + place] != self.earlier[self.earlier_cuts[y][:, None] + place]).all(axis=1)
                 x, y = x[first], y[first]
             for i, j in zip(x.tolist(), y.tolist()):
-                if may_be_similar(*similarity(self.whole(i), self.full[i], self.whole(j), self.full[j]), self.n[i], self.n[j], percent):
+                if may_be_similar(*similarity(self.whole(i), self.whole(j)), self.n[i], self.n[j], percent):
                     yield self.node[i], self.node[j]
 
 
-def _cross_candidates(members: DataFrame, reps: DataFrame, percent: int, total: int) -> DataFrame:
+def _cross_candidates(members: DataFrame, reps: DataFrame, whole: DataFrame, percent: int, total: int) -> DataFrame:
     """(a, b): the pairs of a band group whose components differ and whose
     estimate doesn't rule the threshold out.  Small groups are dealt to bins;
     a large one is cut into blocks of about ``BLOCK_MEMBERS`` members, and
     each two of its blocks meet in a task of their own."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS))
     bins = max(1, -(-total // BIN_MEMBERS))
-    facts = members.join(reps.select("node", "n_shingles", "sketch", "whole", "full", "bands"), "node")
+    # 32 bits of the earlier bands' keys: two that differ agree in them with a probability of 2e-10
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
+    facts = members.join(reps.select("node", "n_shingles", "sketch", short.alias("bands")).join(whole, "node"), "node")
     dealt = (facts.withColumn("earlier", F.slice("bands", 1, F.col("band")))
              .withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))))
@@ -370,7 +363,7 @@ def _cross_candidates(members: DataFrame, reps: DataFrame, percent: int, total:
                 found.extend(m.pairs(*sides, percent))
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64))})
-    columns = ["key", "node", "root", "n_shingles", "sketch", "whole", "full", "earlier", "mine"]
+    columns = ["key", "node", "root", "n_shingles", "sketch", "whole", "earlier", "mine"]
     return (dealt.withColumn("place", place).select(*columns, "place.*").groupBy("group", "i", "j")
             .applyInArrow(run, "a bigint, b bigint"))
 
@@ -413,9 +406,9 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
     classes = staged(signed.groupBy("set_key").agg(F.min("row").alias("node"), least.alias("first"), F.count("*").alias("group_size")),
                      "classes")
-    reps = (signed.where("n_shingles > 0").withColumnRenamed("row", "node")
+    reps = (signed.where("n_shingles > 0").select(F.col("row").alias("node"), "id", "text_key", "n_shingles", "bands", "sketch")
             .join(classes.select("node"), "node", "left_semi"))
-    reps = staged(reps.drop("set_key"), "representatives")
+    reps = staged(reps, "representatives")
 
     banded = reps.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
@@ -438,7 +431,10 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         before, left = left, members.count()
         if left == 0 or left > SETTLED * before:
             break
-    found = _verified(_cross_candidates(members, reps, percent, left), needed, shingle, percent)
+    open_nodes = members.select("node").distinct()
+    whole = signed.select(F.col("row").alias("node"), "whole").join(open_nodes, "node", "left_semi")
+    facts = reps.join(open_nodes, "node", "left_semi")
+    found = _verified(_cross_candidates(members, facts, whole, percent, left), needed, shingle, percent)
     labels = staged(components(links.union(found)), "labels")
 
     linked = labels.join(classes.select("node", "first"), "node")

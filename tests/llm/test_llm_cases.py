@@ -192,8 +192,7 @@ def test_estimates_from_whole_registers():
             both = int(n * 2 * share / (1 + share))
             a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n:2 * n - both]]))
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            (wa, wb), full = neardup.whole_registers([a, b])
-            agree, either = neardup.similarity(wa, full[0], wb, full[1])
+            agree, either = neardup.similarity(*neardup.whole_registers([a, b]))
             assert abs(agree / either - true) < errors, (n, share)
             if true >= 0.8:
                 assert neardup.may_be_similar(agree, either, len(a), len(b), 80)

@@ -241,16 +241,17 @@ def test_earlier_band_counts_as_shared_only_if_its_key_is(spark, monkeypatch):
         if value != a[0, 0] and field[0] == field[1]:
             break
     assert key_a[0, 0] != key_b[0, 0] and (key_a[0, 1:] == key_b[0, 1:]).all()
-    (whole, _), full = neardup.whole_registers([np.arange(1, 100, dtype=np.uint64) << np.uint64(50)] * 2)
-    reps = spark.createDataFrame([(n, 100, k[0].tolist(), neardup.sketches(x, k)[0].tolist(), whole.tolist(), full[0].tolist())
+    registers = neardup.whole_registers([np.arange(1, 100, dtype=np.uint64) << np.uint64(50)] * 2)
+    reps = spark.createDataFrame([(n, 100, k[0].tolist(), neardup.sketches(x, k)[0].tolist())
                                   for n, x, k in ((1, a, key_a), (2, b, key_b))],
-                                 "node long, n_shingles long, bands array<long>, sketch array<long>, whole array<int>, full array<long>")
+                                 "node long, n_shingles long, bands array<long>, sketch array<long>")
+    whole = spark.createDataFrame([(1, registers[0].tolist()), (2, registers[1].tolist())], "node long, whole array<int>")
     members = reps.selectExpr("node", "posexplode(bands) AS (band, key)").selectExpr("key", "band", "node", "node AS root", "2L AS size")
-    assert [tuple(r) for r in neardup._cross_candidates(members, reps, 80, 146).collect()] == [(1, 2)]
-    assert neardup._cross_candidates(members.where("band = 2"), reps, 80, 2).count() == 0
+    assert [tuple(r) for r in neardup._cross_candidates(members, reps, whole, 80, 146).collect()] == [(1, 2)]
+    assert neardup._cross_candidates(members.where("band = 2"), reps, whole, 80, 2).count() == 0
     # the same from a group cut into blocks, each pair met in one task
     monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 1)
-    assert [tuple(r) for r in neardup._cross_candidates(members, reps, 80, 146).collect()] == [(1, 2)]
+    assert [tuple(r) for r in neardup._cross_candidates(members, reps, whole, 80, 146).collect()] == [(1, 2)]
 
 
 def test_shingle_sets_across_slices(monkeypatch):
