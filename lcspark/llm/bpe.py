@@ -96,7 +96,7 @@ class BytePairCodec:
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = np.full(max(ranks.values()) + 1, None, object)
         self.tokens[list(ranks.values())] = list(ranks)
-        self.pieces = ChunkCache(lambda new: self.encode_pieces(p.encode("utf-8") for p in new), cache_pieces)
+        self.pieces = ChunkCache(lambda new: self.encode_pieces(p.encode("utf-8") for p in new), cache_pieces // 2)
         self.chunks = ChunkCache(self._encode_chunks, cache_pieces)      # a blank and a chunk
         self.firsts = ChunkCache(lambda new: self._joined([self.pattern.findall(c) for c in new]), cache_pieces)
 

@@ -56,7 +56,7 @@ def gathered(blobs: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # Rows of a slice, and its code points (a longer text is a slice by itself):
 # the more texts share a slice, the fewer chunks are looked up twice.
-SLICE_ROWS, SLICE_CHARS = 2000, 8_000_000
+SLICE_ROWS, SLICE_CHARS = 500, 2_000_000
 
 
 def sliced(texts: list[str], encode: Callable[[list[str]], list[np.ndarray]]) -> list[np.ndarray]:
