@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from lcspark.functions.arrays import sorted_struct_array
 from lcspark.functions.expr import clip, map_target, photoz_positive, log2_pow
 from lcspark.functions.rng import keyed_normal, keyed_uniform
-from lcspark.operators import aggregate
+from lcspark.operators import aggregate, skew
 from lcspark.operators.aggregate import class_shares
+from lcspark.operators.ranges import ranged_scan, segmented_scan
 from lcspark.operators.vectors import _with_meta, nm_of
 from lcspark.schema import DROP_RATE, Z_MAX, Z_MIN
 
@@ -39,13 +40,43 @@ def normal_jitter(x, e, n) -> Column:
 
 # ------------------------------------------------------------------ G1 ---
 
-def replicate(df: DataFrame, n, name: str = "replica", start: int = 1) -> DataFrame:
+# Copies that one input row makes in one task.
+COPIES_PER_TASK = 1 << 12
+
+
+def replicate(df: DataFrame, n, name: str = "replica", start: int = 1, most: int | None = None,
+              key: str = "object_id") -> DataFrame:
     """G1: ``n`` copies of every row numbered start..start+n-1; ``n`` may be
-    a column (per-row copy counts).  Rows with n <= 0 produce no copy."""
+    a column (per-row copy counts) that is at most ``most`` (None: unknown).
+    Rows with n <= 0 produce no copy.
+
+    Where a row may have more than ``COPIES_PER_TASK`` copies, it first
+    makes one row per range of that many numbers, the ranges are dealt to
+    all tasks, and each makes its own copies there (of the ranges in turn,
+    should there be too many of them for one task)."""
     n_col = n if isinstance(n, Column) else F.lit(int(n))
-    last = n_col + F.lit(start - 1)
-    seq = F.when(last >= F.lit(start), F.sequence(F.lit(start), last.cast("int")))
-    return df.withColumn(name, F.explode(seq))
+    most = (None if isinstance(n, Column) else int(n)) if most is None else most
+    first = F.lit(start)
+    if most is not None and most <= COPIES_PER_TASK:
+        return df.withColumn(name, F.explode(_numbers(first, n_col.cast("bigint") + first - 1).cast("array<int>")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = F.greatest(n_col.cast("bigint"), F.lit(0))
+    out, size = df.withColumn("_copies", F.struct(F.lit(0).cast("bigint").alias("from"), total.alias("to"))), COPIES_PER_TASK
+    while size < (2 ** 31 if most is None else most):
+        size *= COPIES_PER_TASK
+    while size > COPIES_PER_TASK:
+        size //= COPIES_PER_TASK
+        at = F.explode(_numbers(F.col("_copies.from"), F.col("_copies.to") - 1, size))
+        out = (out.withColumn("_at", at)
+               .withColumn("_copies", F.struct(F.col("_at").alias("from"), F.least(F.col("_at") + size, "_copies.to").alias("to")))
+               .drop("_at").repartition(parts, key, F.col("_copies.from")))
+    own = _numbers(F.col("_copies.from") + first, F.col("_copies.to") + first - 1)
+    return out.withColumn(name, F.explode(own.cast("array<int>"))).drop("_copies")
+
+
+def _numbers(first: Column, last: Column, step: int = 1) -> Column:
+    """first, first + step, ... up to last; null if last is before first."""
+    return F.when(last >= first, F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint")))
 
 
 # ------------------------------------------------------------- G2 - G5 ---
@@ -101,24 +132,50 @@ def drop_observations(obs: DataFrame, seed: int, keys, rate: float = DROP_RATE)
 
 # ------------------------------------------------------------------ G6 ---
 
-def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
-            replica: str = "replica") -> DataFrame:
+def _hot_objects(samples: DataFrame, obs: DataFrame | None, threshold: int) -> list:
+    """Ids of objects with more than ``threshold`` observations (at most
+    rows / threshold): from the observations, whose list is shared with the
+    other operators on them, or from the number of chunks of stored samples."""
+    if obs is not None:
+        return [h[0] for h in skew.hot_object_counts(obs, threshold)]
+    if "chunk" not in samples.columns:
+        return []                                   # one array holds the object
+    last = threshold // aggregate.MAX_ARRAY_LEN
+    return [r[0] for r in samples.where((F.col("chunk") >= last) & (F.col("chunk") > 0)).select("object_id").distinct().collect()]
+
+
+def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE, replica: str = "replica",
+            obs: DataFrame | None = None, most: int | None = None, hot_threshold: int | None = None) -> DataFrame:
     """The baseline program's copies of the baseline samples
     (``vectors.samples_baseline``): per copy, drop observations (keep if
     draw >= rate), recompute forward and backward intervals of the kept
     times, draw z' ~ N(z, z_err / 1.5) clamped to [0, 5], dt = (1 + z) /
     (1 + z'), flux ~ N(flux, flux_err / 1.5), and multiply time, intervals
     and source wavelength by dt; meta slot 5 becomes z'.  ``n`` may be a
-    column (e.g. by galactic flag).  Keys: (object_id, original position,
-    replica) and (object_id, replica).  A copy that keeps no observation has
-    no row.
+    column (e.g. by galactic flag), at most ``most``.  Keys: (object_id,
+    original position, replica) and (object_id, replica).  A copy that keeps
+    no observation has no row.
 
     The arrays are taken apart into rows, so drop and intervals are a filter
     and a window over (object, replica) in the whole object, however many
     chunks it is stored in; samples are hashed by object_id already, which
-    serves the window and the collect."""
+    serves the window and the collect.  Copies of hot objects (``obs`` gives
+    the observations that the samples come from, if at hand) are cut into
+    segments of ``hot_threshold`` positions, each a window of its own; the
+    number of kept observations and the last and first kept times are
+    carried from segment to segment."""
+    threshold = skew.HOT_OBJECT_ROWS if hot_threshold is None else hot_threshold
+    hot = _hot_objects(samples, obs, threshold)
+    if not hot:
+        return _copied(samples, n, seed, rate, replica, most, None)
+    ids = samples.sparkSession.createDataFrame([(h,) for h in hot], "object_id bigint")
+    rest = _copied(skew.join_object(samples, ids, "left_anti"), n, seed, rate, replica, most, None)
+    return rest.unionByName(_copied(skew.join_object(samples, ids, "left_semi"), n, seed, rate, replica, most, threshold))
+
+
+def _copied(samples: DataFrame, n, seed: int, rate: float, replica: str, most: int | None, segment_rows: int | None) -> DataFrame:
     has_chunk = "chunk" in samples.columns
-    df = replicate(samples, n, replica)
+    df = replicate(samples, n, replica, most=most)
     oid, rep = F.col("object_id"), F.col(replica)
     z, ze = F.col("meta")[5].cast("double"), F.col("meta")[6].cast("double")
     zn = clip(normal_jitter(z, ze, keyed_normal(seed, "z", oid, rep)), Z_MIN, Z_MAX)
@@ -132,14 +189,19 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
             .select("object_id", replica, "_object", "_dt", "_base", F.posexplode("_rows").alias("_p", "_x"))
             .select("object_id", replica, "_object", "_dt", (F.col("_base") + F.col("_p")).alias("_i"),
                     F.col("_x.b").alias("_b"), F.col("_x.h").alias("_h")))
-    kept = rows.filter(keyed_uniform(seed, "drop", oid, F.col("_i"), rep) >= F.lit(rate))
-    t = F.col("_h")[0].cast("double")
-    w = Window.partitionBy("object_id", replica).orderBy("_i")
-    place = F.row_number().over(w)
-    placed = kept.withColumn("_t", t).withColumns({
-        "_n": place,
-        "_fwd": F.when(place == 1, F.lit(0.0)).otherwise(F.col("_t") - F.lag("_t").over(w)),
-        "_bwd": F.when(F.lead("_i").over(w).isNull(), F.lit(0.0)).otherwise(F.lead("_t").over(w) - F.col("_t"))})
+    kept = (rows.filter(keyed_uniform(seed, "drop", oid, F.col("_i"), rep) >= F.lit(rate))
+            .withColumn("_t", F.col("_h")[0].cast("double")))
+    if segment_rows is None:
+        w = Window.partitionBy("object_id", replica).orderBy("_i")
+        placed = kept.withColumns({"_n": F.row_number().over(w), "_prev__t": F.lag("_t").over(w), "_next__t": F.lead("_t").over(w),
+                                   "_next__i": F.lead("_i").over(w)})
+    else:
+        cut = kept.withColumns({"_id": F.coalesce("object_id", F.lit(0)), "_none": F.col("object_id").isNull(),
+                                "_segment": F.floor(F.col("_i") / F.lit(segment_rows))})
+        placed = segmented_scan(cut, ["_id", "_none", replica], "_segment", ["_i"], "_n", ["_t", "_i"])
+    placed = placed.withColumns({
+        "_fwd": F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.col("_t") - F.col("_prev__t")),
+        "_bwd": F.when(F.col("_next__i").isNull(), F.lit(0.0)).otherwise(F.col("_next__t") - F.col("_t"))})
     h, dt = F.col("_h"), F.col("_dt")
     flux = normal_jitter(h[1].cast("double"), h[2].cast("double"), keyed_normal(seed, "flux", oid, F.col("_i"), rep))
     row = F.array(*[v.cast("float") for v in (
@@ -156,7 +218,7 @@ def augment(samples: DataFrame, n, seed: int, rate: float = DROP_RATE,
 
 # ------------------------------------------------------------------ G7 ---
 
-def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -> DataFrame:
+def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int, hot_threshold: int | None = None) -> DataFrame:
     """The flat-array training table (V6) for the original data
     (replica 0) and ``n`` jittered copies (replicas 1..n), as the
     reference's loop of temporary tables but in one job with no driver
@@ -168,11 +230,22 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
     Ranks, draws and the re-ordering by the new time are on rows, over the
     whole object; an object longer than MAX_ARRAY_LEN is stored as several
     chunks afterwards.  One exchange on object_id serves the ranks, the
-    order of each copy and the collect."""
-    from lcspark.operators.skew import object_ranks
-    ranked = object_ranks(obs.select(*dict.fromkeys(["object_id", "mjd", *tie, "passband", "flux", "flux_err"])), tie, flux_range=True)
-    df = _with_meta(ranked, meta)
-    df = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    order of each copy and the collect.  Copies of hot objects are ordered
+    by the distributed global rank, in ranges of ``hot_threshold`` rows."""
+    threshold = skew.HOT_OBJECT_ROWS if hot_threshold is None else hot_threshold
+    obs = obs.select(*dict.fromkeys(["object_id", "mjd", *tie, "passband", "flux", "flux_err"]))
+    normal, hot, counts = skew.split_hot(obs, threshold)
+    out = _collected_copies(_placed_copies(skew.object_ranks(normal, tie, threshold=False, flux_range=True), meta, n, seed, None))
+    if hot is None:
+        return out
+    rows = sum(c for _, c in counts) * (n + 1)
+    ranked = skew.hot_ranks(hot, counts, tie, threshold=threshold, flux_range=True)
+    return out.unionByName(_collected_copies(_placed_copies(ranked, meta, n, seed, -(-rows // threshold))))
+
+
+def _placed_copies(ranked: DataFrame, meta: DataFrame, n: int, seed: int, ranges: int | None) -> DataFrame:
+    """Rows of the copies with their new values, place ``_n`` and first time ``_t0``."""
+    df = replicate(_with_meta(ranked, meta), n + 1, start=0)
     oid, rep, rank = F.col("object_id"), F.col("replica"), F.col("_rank")
     z, ze = F.col("hostgal_photoz"), F.col("hostgal_photoz_err")
     orig = rep == F.lit(0)
@@ -182,9 +255,20 @@ def augmented_vectors(obs: DataFrame, meta: DataFrame, tie, n: int, seed: int) -
     zn = uniform_jitter(z, ze, keyed_uniform(seed, "dt", oid, rank, rep))
     mjd = F.when(orig, F.col("mjd")).otherwise(F.col("mjd") * ((F.lit(1.0) + z) / (F.lit(1.0) + zn)))
     df = df.withColumns({"_zm": zm, "_mjd": mjd, "_flux": flux, "_hm": log2_pow(F.col("_fmax") - F.col("_fmin"))})
-    w = Window.partitionBy("object_id", "replica").orderBy("_mjd", "_rank")
+    if ranges is None:
+        w = Window.partitionBy("object_id", "replica").orderBy("_mjd", "_rank")
+        return df.withColumns({"_n": F.row_number().over(w), "_t0": F.first("_mjd").over(w)})
+    order = ["object_id", "replica", "_mjd", "_rank"]
+    numbered = ranged_scan(df, order, "_g", ranges)
+    # one row per copy of a hot object
+    firsts = (numbered.groupBy(oid.alias("_of"), rep.alias("_copy"))
+              .agg(F.min("_g").alias("_g0"), F.min_by("_mjd", "_g").alias("_t0")))
+    return (numbered.join(F.broadcast(firsts), oid.eqNullSafe(F.col("_of")) & (rep == F.col("_copy")))
+            .withColumn("_n", F.col("_g") - F.col("_g0") + F.lit(1)).drop("_of", "_copy", "_g", "_g0"))
+
+
+def _collected_copies(placed: DataFrame) -> DataFrame:
     z1 = F.col("_zm") + F.lit(1.0)
-    placed = df.withColumns({"_n": F.row_number().over(w), "_t0": F.first("_mjd").over(w)})
     fp = F.log2(F.col("_fmax") - F.col("_fmin"))
     meta_arr = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("ddf").cast("double"),
                        F.col("hostgal_specz").cast("double"), F.col("_zm").cast("double"),
@@ -220,19 +304,20 @@ def balance_counts(df: DataFrame, target: str = "target") -> DataFrame:
                          .cast("int").alias("extra"))
 
 
-def balance_classes(samples: DataFrame, seed: int, augmentate: bool = True,
-                    target: str = "target") -> DataFrame:
+def balance_classes(samples: DataFrame, seed: int, augmentate: bool = True, target: str = "target",
+                    obs: DataFrame | None = None) -> DataFrame:
     """Originals plus int(3 * max share / share) - 1 extra copies per
     object of each class (augmented copies by ``augment`` or plain copies).
-    The per-class count table has 15 rows, so it is broadcast."""
-    counts = balance_counts(samples, target)
-    with_n = samples.join(F.broadcast(counts), samples[target] == counts["class_index"], "left") \
-        .drop("class_index").fillna({"extra": 0})
+    The counts of the 15 classes are computed once, and become literals of
+    the plan; a rare class's many copies are made by many tasks."""
+    extras = {r["class_index"]: r["extra"] for r in balance_counts(samples, target).collect()}     # 15 rows
+    extra = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in extras.items() for x in kv]), F.col(target)), F.lit(0))
+    most = max(0, *extras.values())
     originals = samples.withColumn("replica", F.lit(0))
     if augmentate:
-        copies = augment(with_n, F.col("extra"), seed)     # by the object's own count
+        copies = augment(samples, extra, seed, obs=obs, most=most)     # by the object's own count
     else:
-        copies = replicate(with_n, F.col("extra")).drop("extra")
+        copies = replicate(samples, extra, most=most)
     return originals.unionByName(copies.select(*originals.columns))
 
 

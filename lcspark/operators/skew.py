@@ -86,32 +86,19 @@ def _counts_df(spark, hot, threshold):
 def hot_series_chunks(hot: DataFrame, hot_counts, tie, payload, max_len: int, stats: bool,
                       neighbours: bool, carry, threshold: int | None = None) -> DataFrame:
     """``series_chunks`` for hot objects.  The rows are numbered by the
-    distributed global rank over (object_id, time, tie) (range partitions
-    of about ``threshold`` rows each split a hot object by time), the rank
-    in the object is that number minus the object's first number (a
-    partial aggregate, broadcast: one row per hot object), neighbours come
-    from a self-join on the number, and the chunks of one object are hashed
-    to different tasks by (object_id, chunk)."""
+    distributed global rank over (object_id, time, tie) (ranges of about
+    ``threshold`` rows each split a hot object by time), the rank in the
+    object is that number minus the rows of the objects before it (partial
+    aggregates, broadcast: one row per hot object), neighbours come with the
+    rank, and the chunks of one object are hashed to different tasks by
+    (object_id, chunk)."""
     from lcspark.operators.aggregate import sorted_struct_array, tie_fields
-    from lcspark.operators.window import global_rank
     threshold = HOT_OBJECT_ROWS if threshold is None else threshold
-    total = sum(n for _, n in hot_counts)
-    parts = max(1, math.ceil(total / threshold))
     base = list(dict.fromkeys(["object_id", "mjd", *tie, *payload, *carry, "flux"]))
-    g = global_rank(hot.select(*base), ["object_id", "mjd", *tie], "_g", num_partitions=parts)
-    per = g.groupBy("object_id").agg(
-        F.min("_g").alias("_g0"), F.min("mjd").alias("_first"), F.max("flux").alias("_fmax"),
-        F.min("flux").alias("_fmin"), *[F.any_value(c).alias(f"_c_{c}") for c in carry])
-    ranked = join_object(g.drop(*carry), per).withColumn(
-        "chunk", F.floor((F.col("_g") - F.col("_g0")) / F.lit(max_len)).cast("int"))
-    if neighbours:
-        prev = ranked.select((F.col("_g") + F.lit(1)).alias("_g"), F.col("mjd").alias("_prev"),
-                             F.col("object_id").alias("_po"))
-        nxt = ranked.select((F.col("_g") - F.lit(1)).alias("_g"), F.col("mjd").alias("_next"),
-                            F.col("object_id").alias("_no"))
-        ranked = (ranked.join(prev, "_g", "left").join(nxt, "_g", "left")
-                  .withColumn("_prev", F.when(F.col("_po").eqNullSafe(F.col("object_id")), F.col("_prev")))
-                  .withColumn("_next", F.when(F.col("_no").eqNullSafe(F.col("object_id")), F.col("_next"))))
+    per = [F.min("mjd").alias("_first"), F.max("flux").alias("_fmax"), F.min("flux").alias("_fmin"),
+           *[F.any_value(c).alias(f"_c_{c}") for c in carry]]
+    ranked = _hot_numbers(hot.select(*base), hot_counts, tie, neighbours, threshold, per, drop=carry).withColumn(
+        "chunk", F.floor((F.col("_rank") - F.lit(1)) / F.lit(max_len)).cast("int"))
     fields = [F.col("mjd")] + tie_fields(tie) + [F.col(c) for c in payload]
     if neighbours:
         fields += [F.col("_prev"), F.col("_next")]
@@ -176,12 +163,12 @@ def object_ranks(obs: DataFrame, tie, neighbours: bool = False, threshold: int |
     ``flux_range`` ``_fmax`` and ``_fmin``.
 
     Normal objects: one window pass (one sort per object).  Hot objects:
-    the distributed global rank minus the object's first number; counts
-    and first/last times are partial aggregates broadcast per hot object;
-    neighbours are a self-join on the global number.  ``threshold`` False:
-    the caller knows that no object is hot (``obs`` derives from rows in
-    which none is), so none is looked for."""
-    from lcspark.operators.window import global_rank, object_window
+    the distributed global rank minus the rows of the objects before;
+    counts and first/last times are partial aggregates broadcast per hot
+    object; neighbours come with the rank.  ``threshold`` False: the caller
+    knows that no object is hot (``obs`` derives from rows in which none
+    is), so none is looked for."""
+    from lcspark.operators.window import object_window
     normal, hot, counts = (obs, None, []) if threshold is False else split_hot(obs, threshold)
     w = object_window(tie)
     w_obj = Window.partitionBy("object_id")
@@ -194,19 +181,34 @@ def object_ranks(obs: DataFrame, tie, neighbours: bool = False, threshold: int |
     out = normal.withColumns(cols)
     if hot is None:
         return out
-    threshold = HOT_OBJECT_ROWS if threshold is None else threshold
+    return out.unionByName(hot_ranks(hot, counts, tie, neighbours, threshold, flux_range).select(*out.columns))
+
+
+def hot_ranks(hot: DataFrame, counts, tie, neighbours: bool = False, threshold: int | None = None,
+              flux_range: bool = False) -> DataFrame:
+    """``object_ranks`` of hot objects."""
+    per = [F.min("mjd").alias("_first"), F.max("mjd").alias("_last")]
+    if flux_range:
+        per += [F.max("flux").alias("_fmax"), F.min("flux").alias("_fmin")]
+    return _hot_numbers(hot, counts, tie, neighbours, HOT_OBJECT_ROWS if threshold is None else threshold, per)
+
+
+def _hot_numbers(hot: DataFrame, counts, tie, neighbours: bool, threshold: int, per, drop=()) -> DataFrame:
+    """Hot rows with ``_rank`` and ``_n``, with ``neighbours`` ``_prev`` and
+    ``_next``, and the per-object aggregates ``per``.  The objects' numbers
+    of rows and their aggregates are broadcast: one row per hot object."""
+    from lcspark.operators.window import global_rank
     parts = max(1, math.ceil(sum(n for _, n in counts) / threshold))
-    g = global_rank(hot, ["object_id", "mjd", *tie], "_g", num_partitions=parts)
-    ranges = [F.max("flux").alias("_fmax"), F.min("flux").alias("_fmin")] if flux_range else []
-    per = g.groupBy("object_id").agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"),
-                                     F.min("mjd").alias("_first"), F.max("mjd").alias("_last"), *ranges)
-    rows = join_object(g, per).withColumn("_rank", F.col("_g") - F.col("_g0") + F.lit(1))
-    if neighbours:
-        prev = rows.select((F.col("_g") + F.lit(1)).alias("_g"), F.col("mjd").alias("_prev"),
-                           F.col("object_id").alias("_po"))
-        nxt = rows.select((F.col("_g") - F.lit(1)).alias("_g"), F.col("mjd").alias("_next"),
-                          F.col("object_id").alias("_no"))
-        rows = (rows.join(prev, "_g", "left").join(nxt, "_g", "left")
-                .withColumn("_prev", F.when(F.col("_po").eqNullSafe(F.col("object_id")), F.col("_prev")))
-                .withColumn("_next", F.when(F.col("_no").eqNullSafe(F.col("object_id")), F.col("_next"))))
-    return out.unionByName(rows.select(*out.columns))
+    near = ("object_id", "mjd") if neighbours else ()
+    g = global_rank(hot, ["object_id", "mjd", *tie], "_g", num_partitions=parts, neighbours=near)
+    before = Window.orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)     # a bounded list of objects
+    facts = hot.groupBy("object_id").agg(F.count(F.lit(1)).alias("_n"), *per).withColumn(
+        "_g0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rows = join_object(g.drop(*drop), facts).withColumn("_rank", F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+    if not neighbours:
+        return rows
+
+    def own(side):
+        # the neighbour's time if it is of the same object (null ids are one)
+        return F.when(F.col(f"_{side}_mjd").isNotNull() & F.col(f"_{side}_object_id").eqNullSafe(F.col("object_id")), F.col(f"_{side}_mjd"))
+    return rows.withColumns({"_prev": own("prev"), "_next": own("next")})

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcspark.functions.expr import col_of, log2_pow
+from lcspark.operators.ranges import ranged_scan
 
 
 def order_keys(tie, desc: bool = False, time: str = "mjd"):
@@ -50,36 +51,18 @@ def rank_desc(obs: DataFrame, tie, name: str = "rownum_desc") -> DataFrame:
 
 
 def global_rank(df: DataFrame, order_cols, name: str = "global_rownum",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, neighbours=()) -> DataFrame:
     """Row number over the whole table without a one-partition window.
 
-    Rows are range-partitioned on the (total) order and sorted inside each
-    partition; that layout is written once with ``checkpoint()`` to the
-    shared checkpoint folder (range bounds come from sampling, so the two
-    reads below must see one materialised layout, also after an executor
-    is lost).  Each partition counts its rows, the per-partition offsets are
-    a running sum over one row per partition (bounded by the partition
-    count, so it is broadcast), and a row's number is offset + its position
-    inside its partition.
+    The (total) order is cut into ranges by literal bounds (``ranges``); a
+    row's number is the rows of the earlier ranges (a running sum over one
+    row per range, broadcast) plus its number in its own.  Only the bounds
+    are computed while the plan is built.  For the columns in ``neighbours``
+    the values of the rows before and after are added, as ``_prev_<column>``
+    and ``_next_<column>``.
     """
-    from lcspark.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *[F.col(c) for c in order_cols])
-               .sortWithinPartitions(*order_cols)
-               .checkpoint(eager=True)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    pos_in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ordered.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + pos_in_part + F.lit(1))
-            .drop("_pid", "_mid", "_off"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranged_scan(df, order_cols, name, n, neighbours)
 
 
 def elapsed_time(obs: DataFrame, tie, name: str = "elapsed", scale: float = 1.0,

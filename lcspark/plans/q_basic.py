@@ -170,6 +170,13 @@ def q_object_lookup(spark, sf):
     return C.object_lookup(obs(spark, sf), 7).select(*keys(), "mjd", "flux")
 
 
+@register("object_lookup_stored", with_binding(P, f"""
+    SELECT {keys_sql()}, mjd, flux FROM obs WHERE object_id = 7"""))
+def q_object_lookup_stored(spark, sf):
+    stored = C.store_for_lookup(obs(spark, sf), S.scratch_dir(spark, "lookup"))
+    return C.object_lookup(stored, 7).select(*keys(), "mjd", "flux")
+
+
 @register("band_index", with_binding(P, f"""
     SELECT {keys_sql()}, CAST(passband + 1 AS BIGINT) AS band FROM obs"""))
 def q_band_index(spark, sf):
@@ -306,9 +313,7 @@ _MIRROR_SQL = f"""
 @register("rank_join", with_binding(P, _MIRROR_SQL))
 def q_rank_join(spark, sf):
     o = obs(spark, sf)
-    wd = W.object_window(TIE[P], desc=True)
-    desc = o.select("object_id", (F.first("mjd").over(wd) - F.col("mjd")).alias("rval"),
-                    F.row_number().over(wd).alias("rownum"))
+    desc = W.rank_desc(W.reverse_elapsed(o, TIE[P], "aligned"), TIE[P], "rownum").select("object_id", "rval", "rownum")
     asc = W.rank_asc(o, TIE[P], "rownum")
     j = J.rank_join(asc, desc)
     return j.select(*keys(), i64("rownum").alias("rownum"), r6("rval").alias("rval"))

@@ -62,9 +62,8 @@ def test_hot_plan_spreads_the_object(spark, hot_threshold):
     df = A.collect_arrays(o, tie, max_len=64)
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    # hot rows are numbered from a range-partitioned checkpoint (read back as
-    # an RDD scan) and their chunks are hashed by (object_id, chunk)
-    assert "ExistingRDD" in plan
+    # hot rows are numbered in ranges, and their chunks are hashed by (object_id, chunk)
+    assert "hashpartitioning(_range" in plan
     assert "hashpartitioning(object_id" in plan and "chunk" in plan
 
 
