@@ -51,8 +51,9 @@ def modifiers_from_range(df: DataFrame, fmax: str, fmin: str) -> DataFrame:
 
 
 def pivot_width(obs: DataFrame) -> int:
-    """The pivot's width from the data: the longest object (A2), one number."""
-    return int(max_observation_count(obs).first()["max_n_obs"] or 0)
+    """The pivot's width from the data: the longest object (A2), one number;
+    1 for an empty table, so that its pivots have their columns."""
+    return max(1, int(max_observation_count(obs).first()["max_n_obs"] or 0))
 
 
 def _pivot(obs: DataFrame, width: int, tie, features) -> DataFrame:
@@ -77,29 +78,18 @@ def pivot_feature(obs: DataFrame, feature: str, width: int | None = None, tie=()
 
 def pivot_all_features(obs: DataFrame, width: int | None = None, tie=(), features=FEATURES,
                        path: str | None = None) -> dict:
-    """A5: the five pivots of one ranked input, each a stored table of its
-    own (one table per feature, as the reference keeps them): the shared
-    wide pivot is written once, and every feature's table from it, bucketed
-    and sorted by object_id, so joins of them (J8) read only their own
-    columns and shuffle nothing.  The tables lie below ``path`` (default: a
-    scratch folder)."""
-    import uuid
-
-    from lcspark.sources.io import scratch_dir
+    """A5: the five pivots of one ranked input, a table per feature.  The
+    observations are shuffled once: the pivot's groups lie hashed by
+    object_id, and are written as they lie, bucketed and sorted by
+    object_id.  Each feature's table is its own columns of that one stored
+    table (below ``path``; default: a scratch folder), so joins of them (J8)
+    read only what they need and shuffle nothing."""
+    from lcspark.sources.io import bucketed, scratch_dir
     spark = obs.sparkSession
     width = pivot_width(obs) if width is None else width
-    path = path or scratch_dir(spark, "pivots")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _pivot(obs, width, tie, features).repartition(buckets, "object_id").write.parquet(f"{path}/wide")
-    wide = spark.read.parquet(f"{path}/wide")
-    out = {}
-    for f in features:
-        name = f"pivot_{f}_{uuid.uuid4().hex[:12]}"
-        table = wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}") for i in range(1, width + 1)])
-        (table.repartition(buckets, "object_id").write.bucketBy(buckets, "object_id").sortBy("object_id")
-         .option("path", f"{path}/{f}").saveAsTable(name))
-        out[f] = spark.table(name)
-    return out
+    wide = bucketed(_pivot(obs, width, tie, features), path or scratch_dir(spark, "pivots"), ["object_id"], buckets)
+    return {f: wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}") for i in range(1, width + 1)]) for f in features}
 
 
 def pivot_all_wide(obs: DataFrame, width: int | None = None, tie=(), features=FEATURES) -> DataFrame:

@@ -67,16 +67,20 @@ def align_pivots(pivots: dict, width: int | None = None) -> DataFrame:
     joined on object_id and turned back into aligned long rows, dropping the
     null tail.  The unpivot is row-local (inline of an array of structs).
     Tables bucketed by object_id (``pivot_all_features``) are merged bucket
-    by bucket without a shuffle."""
+    by bucket without a shuffle.  Objects without an id are one object: their
+    row of each table (pivots have one row per object) is joined by itself."""
     names = list(pivots)
     width = len(pivots[names[0]].columns) - 1 if width is None else width
-    joined = None
+    joined = none = None
     for n in names:
-        p = pivots[n]
+        p = pivots[n].where("object_id IS NOT NULL")
         joined = p if joined is None else joined.hint("merge").join(p, "object_id", "inner")
+        p = pivots[n].where("object_id IS NULL")
+        none = p if none is None else none.join(
+            F.broadcast(p.withColumnRenamed("object_id", "_id")), F.col("object_id").eqNullSafe(F.col("_id"))).drop("_id")
     rows = F.array(*[
         F.struct(F.lit(i).alias("rownum"),
                  *[F.col(f"{n}{i}").alias(n) for n in names])
         for i in range(1, width + 1)])
-    out = joined.select("object_id", F.inline(rows))
+    out = joined.unionByName(none).select("object_id", F.inline(rows))
     return out.filter(F.col(names[0]).isNotNull())

@@ -74,6 +74,16 @@ def object_lookup(obs: DataFrame, object_id: int) -> DataFrame:
     return obs.filter(F.col("object_id") == F.lit(object_id))
 
 
+def store_for_lookup(obs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """The observations as a table for C12: bucketed and sorted by
+    object_id, with a bloom filter of the ids in each file, so looking up an
+    object opens one bucket and skips its files and row groups without it."""
+    from lcspark.sources.io import bucketed
+    buckets = buckets or int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(obs.repartition(buckets, "object_id"), path, ["object_id"], buckets,
+                    {"parquet.bloom.filter.enabled#object_id": "true"})
+
+
 def hist_channel(vectors: DataFrame, name: str, hist: str = "hist") -> DataFrame:
     """One channel out of array<struct<channel arrays>>: ``hist.flux``
     gives an array of arrays, element 0 is the channel array."""

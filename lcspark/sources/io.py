@@ -10,15 +10,17 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from lcspark.schema import METADATA_SCHEMA, OBSERVATION_SCHEMA, RUN_METRICS_SCHEMA
 from lcspark.session import ensure_checkpoint_dir
 
 __all__ = ["read_table", "read_observations_csv", "read_metadata_csv", "read_delimited",
-           "write_table", "create_if_absent", "compact_files", "log_run", "scratch_dir",
-           "write_delimited", "write_csv"]
+           "write_table", "append_run", "create_if_absent", "compact_files", "recover_compaction", "log_run",
+           "scratch_dir", "bucketed", "write_delimited", "write_csv", "read_with_rejects"]
 
 
 def _is_path(name: str) -> bool:
@@ -35,6 +37,23 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return path
 
 
+def bucketed(df: DataFrame, path: str, keys, buckets: int, options: dict | None = None) -> DataFrame:
+    """Write ``df`` below ``path`` in ``buckets`` buckets by ``keys``, each
+    sorted by them, and read it back: the plan knows the buckets, so joins,
+    groupings and look-ups by the keys need no exchange.  Input that is hashed
+    by the keys into that many partitions already is written as it lies.  The
+    catalog entry that carries the layout is dropped at once; the files
+    stay as long as their folder."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    (df.write.format("parquet").options(**(options or {})).bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def read_table(spark: SparkSession, name: str, columns=None, fmt: str = "parquet") -> DataFrame:
     """A catalog table or a Parquet path; with ``columns`` only those are
     read (column pruning reaches the scan's ReadSchema)."""
@@ -42,17 +61,47 @@ def read_table(spark: SparkSession, name: str, columns=None, fmt: str = "parquet
     return df.select(*columns) if columns else df
 
 
-def read_observations_csv(spark: SparkSession, path: str, schema=OBSERVATION_SCHEMA) -> DataFrame:
-    """Observation CSV with header and a declared schema (no inference)."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("mode", "FAILFAST").csv(path))
+def _csv_reader(spark: SparkSession, schema, options: dict):
+    return spark.read.schema(schema).options(**options)
+
+
+def read_with_rejects(spark: SparkSession, path: str, schema, options: dict, rejects: str) -> DataFrame:
+    """Delimited text whose malformed rows (a value that is not of its
+    column's type, too many or too few fields) go to a side table instead
+    of stopping the job or turning into nulls: ``rejects`` gets one row for
+    each, ``file`` and ``record`` (its text), appended as Parquet.  Rows in
+    the files = rows returned + rows set aside.  The files are parsed whole,
+    whatever columns are selected later, and the rows returned are read
+    from a stored copy, so both sides come from one parse."""
+    corrupt = "_record"
+    wide = StructType([*schema.fields, StructField(corrupt, StringType())])
+    parsed = (_csv_reader(spark, wide, {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt,
+                                        "columnPruning": "false"})
+              .csv(path).withColumn("_file", F.col("_metadata.file_path")))
+    copy = scratch_dir(spark, "parsed")
+    parsed.withColumn("_good", F.col(corrupt).isNull()).write.partitionBy("_good").parquet(copy)
+    stored = spark.read.schema(StructType([*wide.fields, StructField("_file", StringType()), StructField("_good", BooleanType())])).parquet(copy)
+    (stored.where(~F.col("_good")).select(F.col("_file").alias("file"), F.col(corrupt).alias("record"))
+     .write.mode("append").parquet(rejects))
+    return stored.where("_good").select(*[f.name for f in schema.fields])
+
 
+def _read_text(spark: SparkSession, path: str, schema, options: dict, rejects: str | None, mode: str) -> DataFrame:
+    if rejects is not None:
+        return read_with_rejects(spark, path, schema, options, rejects)
+    return _csv_reader(spark, schema, {**options, "mode": mode}).csv(path)
 
-def read_metadata_csv(spark: SparkSession, path: str, schema=METADATA_SCHEMA) -> DataFrame:
+
+def read_observations_csv(spark: SparkSession, path: str, schema=OBSERVATION_SCHEMA, rejects: str | None = None) -> DataFrame:
+    """Observation CSV with header and a declared schema (no inference).
+    A malformed row stops the job, or goes to the side table ``rejects``."""
+    return _read_text(spark, path, schema, {"header": "true"}, rejects, "FAILFAST")
+
+
+def read_metadata_csv(spark: SparkSession, path: str, schema=METADATA_SCHEMA, rejects: str | None = None) -> DataFrame:
     """Metadata CSV; the text ``nan`` (distmod of galactic objects) is
-    read as null."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("nullValue", "nan").option("mode", "FAILFAST").csv(path))
+    read as null.  Malformed rows as in ``read_observations_csv``."""
+    return _read_text(spark, path, schema, {"header": "true", "nullValue": "nan"}, rejects, "FAILFAST")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", null_text: str = "") -> None:
@@ -65,10 +114,10 @@ HIVE_NULL = "\\N"
 
 
 def read_delimited(spark: SparkSession, path: str, schema, sep: str = HIVE_FIELD_SEP,
-                   null_text: str = HIVE_NULL) -> DataFrame:
-    """S3: delimited text as a Hive text table stores it."""
-    return (spark.read.schema(schema).option("sep", sep).option("header", False)
-            .option("nullValue", null_text).csv(path))
+                   null_text: str = HIVE_NULL, rejects: str | None = None) -> DataFrame:
+    """S3: delimited text as a Hive text table stores it.  A malformed row
+    stops the job, or goes to the side table ``rejects``."""
+    return _read_text(spark, path, schema, {"sep": sep, "header": "false", "nullValue": null_text}, rejects, "FAILFAST")
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = HIVE_FIELD_SEP,
@@ -88,10 +137,67 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite", fmt: str = "p
         w.saveAsTable(name)
 
 
-def create_if_absent(df: DataFrame, name: str, fmt: str = "parquet") -> None:
-    """CREATE TABLE IF NOT EXISTS ... AS: a second call leaves the
-    table as it is."""
-    write_table(df, name, mode="ignore", fmt=fmt)
+def append_run(df: DataFrame, name: str, run_id: str, fmt: str = "parquet") -> None:
+    """Append the rows of one run, at most once: the table is partitioned
+    by ``run_id``, and writing a run replaces what an earlier (broken or
+    complete) attempt of the same run wrote and nothing else."""
+    spark = df.sparkSession
+    rows = df.withColumn("run_id", F.lit(run_id))
+    w = rows.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic")
+    if _is_path(name):
+        w.partitionBy("run_id").save(name)
+    elif spark.catalog.tableExists(name):
+        rows.select(*spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+    else:
+        w.partitionBy("run_id").saveAsTable(name)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path.rstrip("/"))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def create_if_absent(df: DataFrame, name: str, fmt: str = "parquet") -> bool:
+    """CREATE TABLE IF NOT EXISTS ... AS: a second call leaves the table
+    as it is.  Returns whether this call made it.
+
+    Of callers that run at the same time one wins: a claim beside the
+    folder, made by a create that fails if it exists, decides before
+    anything is written; the rows go to a folder of the claim's own and
+    appear under the name by one rename, so no reader sees a part of them.
+    A claim whose maker broke off is removed by hand (``<path>.claim``)."""
+    spark = df.sparkSession
+    if not _is_path(name):
+        if spark.catalog.tableExists(name):
+            return False
+        try:
+            df.write.mode("errorifexists").format(fmt).saveAsTable(name)
+        except AnalysisException:
+            if spark.catalog.tableExists(name):
+                return False                         # another caller of this catalog was first
+            raise
+        return True
+    fs, at = _file_system(spark, name)
+    target, claim = at(name.rstrip("/")), at(f"{name.rstrip('/')}.claim")
+    if fs.exists(target):
+        return False
+    try:
+        fs.create(claim, False).close()
+    except Exception as e:                           # noqa: BLE001  any failure but an existing claim is raised
+        if fs.exists(claim) or fs.exists(target):
+            return False
+        raise e
+    try:
+        if fs.exists(target):                        # made and its claim removed since we looked
+            return False
+        made = f"{name.rstrip('/')}.making-{uuid.uuid4().hex[:12]}"
+        df.write.format(fmt).save(made)
+        if not fs.rename(at(made), target):
+            raise OSError(f"could not rename {made} to {name}")
+        return True
+    finally:
+        fs.delete(claim, False)
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -107,18 +213,55 @@ def compact_files(spark: SparkSession, src: str, dst: str, target_bytes: int = 2
     not from the cluster's cores or the scan's splits, and the splits are
     joined without a shuffle.  The result goes to a new folder ``dst``; with
     ``swap`` it then takes the place of ``src``, whose old files move to
-    ``dst``.  Returns the folder that holds the result."""
+    ``dst`` (see ``recover_compaction``).  Returns the folder that holds the
+    result."""
+    recover_compaction(spark, src)
     files = max(1, -(-input_bytes(spark, src) // int(target_bytes)))
     spark.read.text(src).coalesce(files).write.mode("errorifexists").option("compression", codec).text(dst)
     if not swap:
         return dst
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    source, made, aside = (hadoop.Path(p) for p in (src, dst, f"{dst.rstrip('/')}-old-{uuid.uuid4().hex[:8]}"))
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    for a, b in ((source, aside), (made, source), (aside, made)):
+    fs, at = _file_system(spark, src)
+    out = fs.create(at(_swap_marker(src)), False)
+    made = next(f.getPath().getName() for f in fs.listStatus(at(dst)) if f.getPath().getName().startswith("part-"))
+    out.write(bytearray(f"{dst.rstrip('/')}\n{made}".encode()))
+    out.close()
+    recover_compaction(spark, src)
+    return src
+
+
+def _swap_marker(src: str) -> str:
+    return f"{src.rstrip('/')}.swap"
+
+
+def recover_compaction(spark: SparkSession, src: str, step=lambda: None) -> bool:
+    """Carry out, or finish, the swap of a compacted folder with its source:
+    three renames (source aside, result to the source's place, old files to
+    the result's) that a marker beside the source announces.  Which of them
+    are done shows from the folders that exist and from a file of the result
+    that the marker names, so a swap that broke off anywhere is completed by
+    calling this again (``compact_files`` does).  Returns whether there was
+    one.  ``step`` is called after each rename."""
+    fs, at = _file_system(spark, src)
+    marker = at(_swap_marker(src))
+    if not fs.exists(marker):
+        return False
+    stream = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(marker), "UTF-8"))
+    dst, part = stream.readLine(), stream.readLine()
+    stream.close()
+    source, made, aside = at(src.rstrip("/")), at(dst), at(f"{dst}.old")
+
+    def rename(a, b):
         if not fs.rename(a, b):
             raise OSError(f"could not rename {a} to {b}")
-    return src
+        step()
+    if not fs.exists(at(f"{src.rstrip('/')}/{part}")):
+        if fs.exists(source):
+            rename(source, aside)
+        rename(made, source)
+    if fs.exists(aside):
+        rename(aside, made)
+    fs.delete(marker, False)
+    return True
 
 
 def log_run(spark: SparkSession, metrics: dict, name: str) -> DataFrame:
