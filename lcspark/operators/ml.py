@@ -7,14 +7,21 @@ constant class table; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lcspark.functions.arrays import argmax
 from lcspark.functions.expr import clip
+from lcspark.operators import network
+from lcspark.operators.network import NetworkModel
 from lcspark.schema import CLASS_CODES, CLASS_WEIGHTS, CLIP_EPS, N_CLASSES
 
 
@@ -27,12 +34,24 @@ def standard_scale(df: DataFrame, input_col: str, output_col: str, with_mean: bo
     return model.transform(df), model
 
 
-def standard_scale_groups(df: DataFrame, groups: dict, with_mean=True, with_std=True) -> DataFrame:
+def standard_scale_groups(df: DataFrame, groups: dict, with_mean: bool = True, with_std: bool = True) -> DataFrame:
     """M1 per group: each vector column scaled on its own (meta, band,
-    history channels), as one Pipeline."""
-    stages = [StandardScaler(inputCol=c, outputCol=o, withMean=with_mean, withStd=with_std)
-              for c, o in groups.items()]
-    return Pipeline(stages=stages).fit(df).transform(df)
+    history channels): input column -> output column.  The means and sample
+    deviations of all groups come from one pass over ``df`` (a number per
+    slot reaches the driver); a constant slot becomes 0."""
+    found = df.select(*[Summarizer.metrics("mean", "std").summary(F.col(c)).alias(c) for c in groups]).first()
+
+    def numbers(v) -> Column:
+        return F.from_json(F.lit(json.dumps(v.toArray().tolist())), "array<double>")     # folded into a literal
+
+    def scaled(c: str) -> Column:
+        x = vector_to_array(c)
+        if with_mean:
+            x = F.zip_with(x, numbers(found[c]["mean"]), lambda v, m: v - m)
+        if with_std:
+            x = F.zip_with(x, numbers(found[c]["std"]), lambda v, s: F.when(s > 0, v / s).otherwise(0.0))
+        return array_to_vector(x)
+    return df.withColumns({o: scaled(c) for c, o in groups.items()})
 
 
 def index_labels(df: DataFrame, input_col: str = "target", output_col: str = "label_index") -> DataFrame:
@@ -77,15 +96,25 @@ def fit_classifier(train: DataFrame, features: str = "features", label: str = "l
 
 
 def fit_network(train: DataFrame, n_features: int, hidden=(64, 32), features: str = "features",
-                label: str = "label", max_iter: int = 50, seed: int = 42):
-    """M4, network form: a feed-forward network (Spark ML multilayer
-    perceptron, softmax over the 15 classes) fitted in a distributed way.
-    It takes no row weights, so train it on class-balanced data
-    (``augment.balance_classes``)."""
+                label: str = "label", weight: str | None = None, max_iter: int = 50, seed: int = 42) -> NetworkModel:
+    """M4, network form: a feed-forward network (softmax over the 15
+    classes) fitted in a distributed way on weighted rows (``network``):
+    class weights act in the loss, so no rows are copied."""
     layers = [int(n_features), *[int(h) for h in hidden], N_CLASSES]
-    mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers,
-                                         maxIter=max_iter, seed=seed)
-    return Pipeline(stages=[mlp]).fit(train)
+    return network.fit(train, layers, features, label, weight, max_iter, seed)
+
+
+def save_model(model, spark: SparkSession, path: str) -> None:
+    """M5: store a fitted pipeline or network below ``path``."""
+    if isinstance(model, NetworkModel):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str, kind: str = "classifier"):
+    """M5: a stored ``classifier`` (pipeline) or ``network``."""
+    return network.load_network(spark, path) if kind == "network" else PipelineModel.load(path)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -93,6 +122,19 @@ def score(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def model_and_constant_loss(pred: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
+    """One row: the weighted mean log loss of the predictions
+    (``model_loss``) and of the best constant prediction, the classes'
+    shares of the weight (``constant_loss``)."""
+    raw = pred.schema["probability"].dataType
+    probs = vector_to_array("probability") if isinstance(raw, VectorUDT) else F.col("probability")
+    p = clip(F.element_at(probs, (F.col(label) + F.lit(1)).cast("int")), CLIP_EPS, 1.0 - CLIP_EPS)
+    per = pred.groupBy(label).agg(F.sum(F.col(weight) * F.log(p)).alias("_l"), F.sum(weight).alias("_w"))
+    share = F.col("_w") / F.sum("_w").over(Window.partitionBy())                # over the classes
+    return per.withColumn("_c", F.col("_w") * F.log(share)).agg(
+        (-F.sum("_l") / F.sum("_w")).alias("model_loss"), (-F.sum("_c") / F.sum("_w")).alias("constant_loss"))
+
+
 def precision(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """M6: share of rows whose predicted class equals the label (over all
     classes this equals accuracy, as the reference's computation)."""

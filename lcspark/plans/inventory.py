@@ -6,9 +6,10 @@
 INVENTORY = {
     # 2.1 scans, sources, sinks
     "S1": ("sources.io.read_table", ["scan_projection", "scan_filter"]),
-    "S2": ("sources.io.read_observations_csv / read_metadata_csv", ["read_observations_csv", "read_metadata_csv"]),
+    "S2": ("sources.io.read_observations_csv / read_metadata_csv / read_with_rejects",
+           ["read_observations_csv", "read_metadata_csv", "read_with_rejects"]),
     "S3": ("sources.io.read_delimited", ["read_delimited"]),
-    "S4": ("sources.io.write_table", ["write_table"]),
+    "S4": ("sources.io.write_table / append_run", ["write_table", "append_run"]),
     "S5": ("sources.io.create_if_absent", ["create_if_absent"]),
     "S6": ("sources.io.compact_files", ["compact_files"]),
     "S7": ("sources.io.log_run", ["log_run"]),
@@ -24,7 +25,7 @@ INVENTORY = {
     "C9": ("operators.project.galactic_filter", ["galactic_filter_extragalactic", "galactic_filter_galactic"]),
     "C10": ("operators.project.use_specz", ["use_specz", "samples_baseline_specz_extragalactic"]),
     "C11": ("operators.project.limit_objects", ["limit_objects"]),
-    "C12": ("operators.project.object_lookup", ["object_lookup"]),
+    "C12": ("operators.project.object_lookup / store_for_lookup", ["object_lookup", "object_lookup_stored"]),
     "C13": ("operators.project.hist_channel", ["hist_channel"]),
     "C14": ("operators.project.zero_channels_matrix", ["zero_channels", "network_input"]),
     "C15": ("functions.expr.band_index", ["band_index"]),

@@ -25,7 +25,7 @@ from lcspark.plans.q_vectors import _v7_rows_cte
 from lcspark.plans.registry import ORACLES, explode_arrays, f6, i64, r6, register
 from lcspark.plans.sql import (f6 as f6s, keyed_normal_sql, keyed_uniform_sql,
                                map_target_sql, r6 as r6s, wavelength_nm_sql, with_binding)
-from lcspark.schema import CLASS_CODES, CLASS_WEIGHTS, SEQUENCE_LEN
+from lcspark.schema import CLASS_CODES, CLASS_WEIGHTS, OBSERVATION_SCHEMA, SEQUENCE_LEN
 from lcspark.sources import io as S
 
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {order_sql(P)}) AS rn FROM obs)"
@@ -155,8 +155,8 @@ def _g6_rows_sql(counts):
 @register("augment", with_binding(P, _g6_rows_sql(f"(SELECT object_id, {_G6_N} AS n FROM meta)"), meta=True,
                                   extra=_v7_rows_cte(P)))
 def q_augment(spark, sf):
-    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
-    return _copy_rows(G.augment(s, _G6_N, _G6_SEED))
+    o = obs(spark, sf)
+    return _copy_rows(G.augment(V.samples_baseline(o, meta(spark, sf), TIE[P]), _G6_N, _G6_SEED, obs=o))
 
 
 # ------------------------------------------------------------------ G7 ---
@@ -251,17 +251,18 @@ def _copy_rows(a):
     extra=f"""{_v7_rows_cte(P)}, tgt AS (SELECT DISTINCT o.object_id, {map_target_sql('m.target')} AS ti
                       FROM obs o JOIN meta m ON o.object_id = m.object_id), {_shares_sql('tgt', 'ti')}"""))
 def q_balance_classes_augmented(spark, sf):
-    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
-    return _copy_rows(G.balance_classes(s, _G6_SEED))
+    o = obs(spark, sf)
+    return _copy_rows(G.balance_classes(V.samples_baseline(o, meta(spark, sf), TIE[P]), _G6_SEED, obs=o))
 
 
 @register("augment_by_galactic", with_binding(P, _g6_rows_sql(
     "(SELECT object_id, CASE WHEN hostgal_photoz > 0 THEN 1 ELSE 3 END AS n FROM meta)"), meta=True, extra=_v7_rows_cte(P)))
 def q_augment_by_galactic(spark, sf):
     """Copy counts by the galactic flag: three of a galactic object, one of an extragalactic one."""
-    s = V.samples_baseline(obs(spark, sf), meta(spark, sf), TIE[P])
+    o = obs(spark, sf)
+    s = V.samples_baseline(o, meta(spark, sf), TIE[P])
     n = F.when(F.col("meta")[8] > 0, 1).otherwise(3)
-    return _copy_rows(G.augment(s.withColumn("copies", n), F.col("copies"), _G6_SEED))
+    return _copy_rows(G.augment(s.withColumn("copies", n), F.col("copies"), _G6_SEED, obs=o, most=3))
 
 
 @register("class_shares", with_binding(P, f"""
@@ -425,13 +426,14 @@ def q_encode_labels(spark, sf):
 
 
 _SCORED_SQL = """
-    SELECT object_id, CAST(label AS BIGINT) AS label, true AS scored
+    SELECT object_id, CAST(label AS BIGINT) AS label, true AS better_than_constant, true AS as_stored
     FROM (SELECT m.object_id, {label} AS label, {split} AS split FROM meta m
           WHERE m.object_id IN (SELECT object_id FROM obs)) t WHERE split = '{part}'"""
 
 
 def _scored_sql(part):
-    """Ids and labels of a split; which class is predicted is the fit's own."""
+    """Ids and labels of a split; the two flags say that the model is worth
+    its name and that the stored model gives the same predictions."""
     return with_binding(P, _SCORED_SQL.format(label=map_target_sql("m.target"), part=part,
                                               split=_split_sql([0.8, 0.1, 0.1], 42, G.SPLIT_NAMES[3]).replace("object_id", "m.object_id")),
                         meta=True)
@@ -449,32 +451,40 @@ def _training_frame(spark, sf):
     return S.read_table(spark, path)
 
 
-def _scored(pred):
-    known = F.coalesce(F.col("prediction").between(0, 14), F.lit(False))
-    return pred.select("object_id", i64("label").alias("label"), known.alias("scored"))
+def _scored(spark, model, kind, train, rows):
+    """``rows`` scored by the model as it is read back from where it was
+    stored.  ``better_than_constant``: its weighted log loss on the training
+    rows is below that of the best constant prediction; ``as_stored``: the
+    model in memory predicts the same."""
+    path = S.scratch_dir(spark, "model")
+    M.save_model(model, spark, path)
+    stored = M.load_model(spark, path, kind)
+    losses = M.model_and_constant_loss(M.score(stored, train)).first()
+    back = M.score(stored, rows).select("object_id", "label", F.col("prediction").alias("stored"))
+    own = M.score(model, rows).select("object_id", "prediction")
+    return back.join(own, "object_id").select(
+        "object_id", i64("label").alias("label"), F.lit(bool(losses["model_loss"] < losses["constant_loss"])).alias("better_than_constant"),
+        F.col("prediction").eqNullSafe(F.col("stored")).alias("as_stored"))
 
 
 @register("fit_classifier", _scored_sql("train"))
 def q_fit_classifier(spark, sf):
     train = _training_frame(spark, sf).filter(F.col("split") == "train")
-    return _scored(M.score(M.fit_classifier(train, max_iter=10), train))
+    return _scored(spark, M.fit_classifier(train), "classifier", train, train)
 
 
 @register("fit_network", _scored_sql("train"))
 def q_fit_network(spark, sf):
     train = _training_frame(spark, sf).filter(F.col("split") == "train")
-    # balance the classes by plain copies (the network takes no weights)
-    counts = G.balance_counts(train, "label")
-    bal = G.replicate(train.join(F.broadcast(counts), train["label"] == counts["class_index"]), F.col("extra") + 1)
-    model = M.fit_network(bal.select("object_id", "label", "features"), n_features=10 + 9 * SEQUENCE_LEN, max_iter=10)
-    return _scored(M.score(model, train))
+    model = M.fit_network(train, n_features=10 + 9 * SEQUENCE_LEN, weight="weight", max_iter=20)
+    return _scored(spark, model, "network", train, train)
 
 
 @register("score", _scored_sql("validation"))
 def q_score(spark, sf):
     df = _training_frame(spark, sf)
-    model = M.fit_classifier(df.filter(F.col("split") == "train"), max_iter=10)
-    return _scored(M.score(model, df.filter(F.col("split") == "validation")))
+    train = df.filter(F.col("split") == "train")
+    return _scored(spark, M.fit_classifier(train), "classifier", train, df.filter(F.col("split") == "validation"))
 
 
 # ------------------------------------------------------------- F6 - F10 ---
@@ -499,11 +509,11 @@ def q_to_dense(spark, sf):
     return ex.select("object_id", "pos", r6("value").alias("value"))
 
 
-_L8 = 32
+_L8 = SEQUENCE_LEN
 
 
-def _assembled_rows_sql(final):
-    """Padded flat-table rows for the assembled feature vector (L = 32)."""
+def _assembled_rows_sql(final, more):
+    """Padded flat-table rows for the assembled feature vector, as further tables make of them."""
     nm = wavelength_nm_sql("c.passband")
     return with_binding(P, final, meta=True, extra=f"""{_MODS_SQL},
         calc AS (
@@ -525,7 +535,7 @@ def _assembled_rows_sql(final):
                    CASE WHEN j = 0 THEN 0.0 ELSE since - lag(since) OVER w END AS h4,
                    CASE WHEN j = {_L8 - 1} THEN 0.0 ELSE lead(since) OVER w - since END AS h5,
                    src AS h6, 0.0 AS h7
-            FROM padded WINDOW w AS (PARTITION BY object_id ORDER BY j))""")
+            FROM padded WINDOW w AS (PARTITION BY object_id ORDER BY j)), {more}""")
 
 
 def _assembled(spark, sf):
@@ -542,50 +552,71 @@ _META_ROWS = f"""
           WHERE m.object_id IN (SELECT object_id FROM obs)) m"""
 
 
-@register("assemble_features", _assembled_rows_sql(f"""
-    SELECT object_id, pos, {r6s('value')} AS value FROM (
-        {_META_ROWS}
-        UNION ALL SELECT object_id, CAST(10 + j AS BIGINT), band FROM hrows
-        {''.join(f" UNION ALL SELECT object_id, CAST({10 + _L8 * (c + 1)} + j AS BIGINT), h{c} FROM hrows" for c in range(8))}
-    ) u"""))
+# Slots of the whole vector: metadata, band and the eight channels.
+_PARTS = {"meta": (0, 10), "band": (10, _L8), **{f"h{c}": (10 + _L8 * (c + 1), _L8) for c in range(8)}}
+
+
+def _part_rows(places=6):
+    """Of each object and part: its slots, those that aren't 0, the sum of
+    their values in units of 10^-places and the same weighted by the slot's
+    number: whole numbers that any change of a slot, or of the order, alters."""
+    units = f"CAST(floor(value * 1e{places} + 0.5) AS BIGINT)"
+    return f"""
+    SELECT object_id, grp, CAST(count(*) AS BIGINT) AS n_slots, CAST(count(*) FILTER (WHERE units <> 0) AS BIGINT) AS n_filled,
+           CAST(sum(units) AS BIGINT) AS total, CAST(sum(units * (pos + 1)) AS BIGINT) AS weighted
+    FROM (SELECT object_id, grp, pos, {units} AS units FROM slots) u GROUP BY object_id, grp"""
+
+
+_SLOTS_SQL = f"""
+    slots AS (SELECT object_id, 'meta' AS grp, pos, value FROM ({_META_ROWS}) mr
+              UNION ALL SELECT object_id, 'band', CAST(j AS BIGINT), band FROM hrows
+              {''.join(f" UNION ALL SELECT object_id, 'h{c}', CAST(j AS BIGINT), h{c} FROM hrows" for c in range(8))})"""
+
+
+def _summed(df, parts: dict, places=6):
+    """The same of the arrays in ``parts`` (name -> column)."""
+    def facts(name, values):
+        units = F.transform(values, lambda x: F.floor(x * F.lit(10.0 ** places) + F.lit(0.5)))
+        weighted = F.transform(units, lambda x, i: x * (i.cast("bigint") + 1))
+        add = (F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.struct(F.lit(name).alias("grp"), i64(F.size(units)).alias("n_slots"),
+                        i64(F.size(F.filter(units, lambda x: x != 0))).alias("n_filled"),
+                        F.aggregate(units, *add).alias("total"), F.aggregate(weighted, *add).alias("weighted"))
+    return df.select("object_id", F.inline(F.array(*[facts(n, c) for n, c in parts.items()])))
+
+
+@register("assemble_features", _assembled_rows_sql(_part_rows(), _SLOTS_SQL))
 def q_assemble_features(spark, sf):
     a = _assembled(spark, sf).select("object_id", FA.vector_array("features").alias("v"))
-    ex = explode_arrays(a, ["object_id"], {"value": F.col("v")})
-    return ex.select("object_id", "pos", r6("value").alias("value"))
+    return _summed(a, {g: F.slice("v", first + 1, n) for g, (first, n) in _PARTS.items()})
 
 
 _GROUPS = {"meta": (0, 10), "band": (10, _L8), "hist": (10 + _L8, 8 * _L8)}
 
 
-@register("standard_scale_groups", _assembled_rows_sql(f"""
-    SELECT object_id, grp, pos, {r6s('CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (v - mu) / sd END')} AS value
-    FROM (SELECT object_id, grp, pos, v, avg(v) OVER (PARTITION BY grp, pos) AS mu,
-                 stddev_samp(v) OVER (PARTITION BY grp, pos) AS sd
-          FROM (SELECT object_id, 'meta' AS grp, pos, value AS v FROM ({_META_ROWS}) mr
-                UNION ALL SELECT object_id, 'band', CAST(j AS BIGINT), band FROM hrows
-                {''.join(f" UNION ALL SELECT object_id, 'hist', CAST({_L8 * c} + j AS BIGINT), h{c} FROM hrows" for c in range(8))}
-               ) a) b"""))
+@register("standard_scale_groups", _assembled_rows_sql(_part_rows(4), f"""
+    {_SLOTS_SQL.replace('slots AS', 'raw AS')}, slots AS (
+      SELECT object_id, grp, pos, CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (value - mu) / sd END AS value
+      FROM (SELECT object_id, grp, pos, value, avg(value) OVER (PARTITION BY grp, pos) AS mu,
+                   stddev_samp(value) OVER (PARTITION BY grp, pos) AS sd FROM raw) b)"""))
 def q_standard_scale_groups(spark, sf):
     """The reference's three groups, each scaled by itself, then assembled again."""
     v = _assembled(spark, sf).select("object_id", FA.vector_array("features").alias("v"))
     parts = {g: FA.to_vector(F.slice("v", first + 1, n)).alias(g) for g, (first, n) in _GROUPS.items()}
     scaled = M.standard_scale_groups(v.select("object_id", *parts.values()), {g: f"{g}_s" for g in _GROUPS})
     whole = VectorAssembler(inputCols=[f"{g}_s" for g in _GROUPS], outputCol="scaled").transform(scaled)
-    ex = explode_arrays(whole.select("object_id", FA.vector_array("scaled").alias("s")), ["object_id"], {"value": F.col("s")})
-    group, first = F.lit("hist"), F.lit(10 + _L8)
-    for g in ("band", "meta"):
-        inside = F.col("pos") < _GROUPS[g][0] + _GROUPS[g][1]
-        group, first = F.when(inside, g).otherwise(group), F.when(inside, _GROUPS[g][0]).otherwise(first)
-    return ex.select("object_id", group.alias("grp"), (F.col("pos") - first).alias("pos"), r6("value").alias("value"))
+    a = whole.select("object_id", FA.vector_array("scaled").alias("v"))
+    return _summed(a, {g: F.slice("v", first + 1, n) for g, (first, n) in _PARTS.items()}, 4)
 
 
-@register("slice_features", _assembled_rows_sql(f"""
-    SELECT object_id, CAST(j AS BIGINT) AS pos, {', '.join(f"{r6s(f'h{c}')} AS h{c}" for c in range(8))} FROM hrows"""))
+@register("slice_features", _assembled_rows_sql(_part_rows(), _SLOTS_SQL))
 def q_slice_features(spark, sf):
     a = _assembled(spark, sf).select("object_id", FA.vector_array("features").alias("v"))
     s = a.select("object_id", FA.slice_features("v", 10, _L8, 8).alias("parts"))
-    ex = explode_arrays(s, ["object_id"], {"row": F.col("parts.hist")})
-    return ex.select("object_id", "pos", *[r6(F.col("row")[c]).alias(f"h{c}") for c in range(8)])
+
+    def channel(c):
+        return F.transform("parts.hist", lambda row: row[c])
+    return _summed(s, {"meta": F.col("parts.meta"), "band": F.col("parts.band"), **{f"h{c}": channel(c) for c in range(8)}})
 
 
 # ------------------------------------------------------------------- O ---
@@ -661,7 +692,6 @@ def q_read_metadata_csv(spark, sf):
 
 @register("read_delimited", _obs_rows_sql(P))
 def q_read_delimited(spark, sf):
-    from lcspark.schema import OBSERVATION_SCHEMA
     path = S.scratch_dir(spark, "hive")
     S.write_delimited(obs(spark, sf).select(*_OBS_ROWS), path)
     return _obs_rows(S.read_delimited(spark, path, OBSERVATION_SCHEMA))
@@ -676,6 +706,33 @@ def q_write_table(spark, sf):
     return _obs_rows(S.read_table(spark, path))
 
 
+@register("append_run", _obs_rows_sql(P, times=2))
+def q_append_run(spark, sf):
+    """Two runs, the second written twice."""
+    path = S.scratch_dir(spark, "runs-table")
+    o = obs(spark, sf).select(*_OBS_ROWS)
+    for run in ("first", "second", "second"):
+        S.append_run(o, path, run)
+    return _obs_rows(S.read_table(spark, path))
+
+
+@register("read_with_rejects", with_binding(P, f"""
+    SELECT object_id, {r6s('mjd')} AS mjd, {r6s('flux')} AS flux, false AS rejected FROM obs WHERE l_linenumber < 6
+    UNION ALL SELECT object_id, NULL, NULL, true FROM obs WHERE l_linenumber >= 6"""))
+def q_read_with_rejects(spark, sf):
+    """A file whose lines from number 6 on are broken (text for a number, a
+    field too few): rows read and rows set aside, by their object."""
+    path, rejects = S.scratch_dir(spark, "broken"), S.scratch_dir(spark, "rejects")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _OBS_ROWS]
+    whole = F.concat_ws(",", *fields)
+    broken = F.when(F.col("l_linenumber") < 6, whole).when(F.col("l_linenumber") == 6, F.concat_ws(",", fields[0], F.lit("?"), *fields[2:]))
+    obs(spark, sf).select(broken.otherwise(F.concat_ws(",", *fields[:3])).alias("value")).write.text(path)
+    good = S.read_with_rejects(spark, path, OBSERVATION_SCHEMA, {"header": "false"}, rejects)
+    aside = S.read_table(spark, rejects).select(i64(F.substring_index("record", ",", 1)).alias("object_id"))
+    return (good.select("object_id", r6("mjd").alias("mjd"), r6("flux").alias("flux"), F.lit(False).alias("rejected"))
+            .unionByName(aside.withColumn("rejected", F.lit(True)), allowMissingColumns=True))
+
+
 @register("create_if_absent", _obs_rows_sql(P))
 def q_create_if_absent(spark, sf):
     path = S.scratch_dir(spark, "ctas")
@@ -687,7 +744,6 @@ def q_create_if_absent(spark, sf):
 
 @register("compact_files", _obs_rows_sql(P))
 def q_compact_files(spark, sf):
-    from lcspark.schema import OBSERVATION_SCHEMA
     src, dst = S.scratch_dir(spark, "small"), S.scratch_dir(spark, "compact")
     obs(spark, sf).select(*_OBS_ROWS).repartition(16).write.option("header", False).csv(src)
     back = spark.read.schema(OBSERVATION_SCHEMA).csv(S.compact_files(spark, src, dst, target_bytes=1 << 20, swap=True))
