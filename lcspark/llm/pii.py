@@ -2,27 +2,29 @@
 
 Patterns give the base spans (e-mail, IP, card and phone numbers).  They
 miss what looks less plain: a number without its plus sign, one that runs
-into its neighbour, an address's local part by itself.  Such mentions are
-candidate nodes of a CRF over the document's mentions; base spans are
-observed nodes.  Neighbours share chain potentials; mentions that are equal
-or similar (the same last seven digits, the same local part), however far
-apart, share skip potentials, and loopy belief propagation makes their
-labels agree.  A candidate with a label other than O adds a span; base
-spans always stay.
-
-The CRF is trained here: a multinomial logistic model on the shape of a
-mention, with base spans (their plus sign and domain removed) as examples of
-their kinds and other candidates as examples of O, and pair potentials from
-how labels meet in neighbouring and in similar mentions.  It is fitted on
+into its neighbour or has a digit wrong, an address's local part by itself or
+without its dots.  Such mentions are candidate nodes of a CRF over the
+document's mentions; base spans are observed nodes.  Neighbours share chain
+potentials; mentions that are equal (the same last seven digits, the same
+local part) or similar (digits one edit apart, a local part but for its marks),
+however far apart, share skip and near potentials, and loopy belief
+propagation makes their labels agree.  A candidate with a label other than O
+adds a span; base spans always stay.
+
+The CRF is trained here, all its potentials together, by pseudo-likelihood:
+a logistic model of a mention's label given its shape and the labels of its
+neighbours and of the mentions linked with it.  The examples are base spans
+that are hidden (their plus sign and domain removed) and recovered, each also
+as it is found again elsewhere, of the same shape and of any other; other
+numbers and words are examples of O unless they are linked with a base span:
+what those are is for the field to say, not for the examples.  It is fitted on
 the mentions of about ``SAMPLE_DOCS`` documents (kept by hash of the id).
 
-Defined cases: null and empty texts have no spans; whether a plain word that
-equals a local part of its document adds a span depends on the addresses
-trained on: likely where local parts of such a shape are common, unlikely
-where all end in digits; a mention that repeats
-any number of times is linked with its previous occurrence and its first, so
-the graph grows with the text and not with its square; without an example of
-a kind nothing of that kind is added; offsets are code points, end exclusive.
+Defined cases: null and empty texts have no spans; a text without a base span
+keeps what shapes alone make certain; a mention that repeats any number of
+times is linked with its previous occurrence and its first, so the graph grows
+with the text and not with its square; without an example of a kind nothing
+of that kind is added; offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -41,14 +43,18 @@ from lcspark.llm.common import add_columns, fresh, ship_package
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 SAMPLE_DOCS = 20_000
+# Letters and digits of a local part that is known without its marks, digits of similar numbers.
+NEAR_LETTERS, NEAR_DIGITS = 5, 7
 # Code points up to which two mentions are neighbours.
 CHAIN_DISTANCE = 40
 ROUNDS = 10
 DAMPING = 0.5
 # Log-odds by which a candidate is O to begin with: shapes never seen stay so.
 PRIOR_O = 1.5
-# Equal label pairs counted to similar mentions beforehand: they speak of the same thing.
-AGREEMENT = 100.0
+# Bounds of the log-potentials of neighbours and of linked mentions.
+CHAIN_LIMIT, LINK_LIMIT = 1.0, 6.0
+# Weight of an example found again as a similar mention, to one found again as an equal one.
+NEAR_WEIGHT = 0.5
 # Probability from which a candidate's label adds a span.
 CERTAIN = 0.5
 
@@ -113,6 +119,7 @@ class Mention:
     shape: str             # the text whose shape is scored
     key: str               # equal for similar mentions
     also: str | None = None   # second key, of a number that is a local part too
+    near: bool = False     # equal to its key's local part but for marks
 
 
 def _number_key(s: str) -> str:
@@ -120,18 +127,31 @@ def _number_key(s: str) -> str:
     return "#" + digits[-7:]
 
 
-def _handles(text: str, locals_: set[str]) -> Iterator[tuple[int, int]]:
+def _squeezed(s: str) -> str:
+    return re.sub(r"[._%+-]", "", s)
+
+
+def _handles(text: str, locals_: set[str]) -> Iterator[tuple[int, int, str, bool]]:
     """Where one of ``locals_`` stands by itself, but for marks around it (the
-    longest, if they differ in marks only)."""
+    longest, if they differ in marks only); or, of one of ``NEAR_LETTERS`` or
+    more, but for marks inside it.  start, end, local part, is it the latter."""
     by_core: dict[str, list[str]] = {}
+    by_squeezed: dict[str, str] = {}
     for local in sorted(locals_, key=lambda x: (-len(x), x)):
         by_core.setdefault(local.strip("._%+-"), []).append(local)
+        if len(_squeezed(local)) >= NEAR_LETTERS:
+            by_squeezed.setdefault(_squeezed(local), local)
     for m in _RUN.finditer(text):
         run = m.group().lower()
-        for local in by_core.get(run.strip("._%+-"), ()):
+        core = run.strip("._%+-")
+        for local in by_core.get(core, ()):
             if (at := run.find(local)) >= 0:
-                yield m.start() + at, m.start() + at + len(local)
+                yield m.start() + at, m.start() + at + len(local), local, False
                 break
+        else:
+            if (local := by_squeezed.get(_squeezed(core))) is not None and core not in by_core:
+                at = run.find(core)
+                yield m.start() + at, m.start() + at + len(core), local, True
 
 
 def mentions(text: str, base: list[tuple[int, int, int]], handles: bool = False) -> list[Mention]:
@@ -162,11 +182,11 @@ def mentions(text: str, base: list[tuple[int, int, int]], handles: bool = False)
                 free.append(Mention(m.start(), m.end(), None, m.group(), "@" + m.group().lower()))
     elif locals_ := {n.key[1:] for n in nodes if n.label == 1}:
         numbers = {(n.start, n.end): n for n in free}
-        for a, b in _handles(text, locals_):
+        for a, b, local, near in _handles(text, locals_):
             if (a, b) in numbers:
-                numbers[a, b].also = "@" + text[a:b].lower()
+                numbers[a, b].also = numbers[a, b].also or (None if near else "@" + local)
             elif is_free(a, b):
-                free.append(Mention(a, b, None, text[a:b], "@" + text[a:b].lower()))
+                free.append(Mention(a, b, None, text[a:b], "@" + local, near=near))
     out: list[Mention] = []
     end = -1
     for n in sorted(free, key=lambda n: (n.start, -n.end)):
@@ -176,7 +196,10 @@ def mentions(text: str, base: list[tuple[int, int, int]], handles: bool = False)
     return sorted(nodes + out, key=lambda n: (n.start, n.end))
 
 
-N_FEATURES = 64
+# Features of a mention's shape, then one per label for neighbours, equal and similar mentions.
+N_SHAPES = 64
+CHAIN, SKIP, NEAR = (N_SHAPES + i * len(LABELS) for i in range(3))
+N_FEATURES = NEAR + len(LABELS)
 
 
 def shape_features(shape: str) -> list[int]:
@@ -198,9 +221,10 @@ def shape_features(shape: str) -> list[int]:
 # -- the field ---------------------------------------------------------------
 @dataclass
 class SkipChainCRF:
-    weights: np.ndarray    # [N_FEATURES, labels]
+    weights: np.ndarray    # [N_SHAPES, labels]
     chain: np.ndarray      # [labels, labels], log-potentials
     skip: np.ndarray
+    near: np.ndarray
 
     def unary(self, nodes: list[Mention]) -> np.ndarray:
         out = np.array([self.weights[shape_features(n.shape)].sum(axis=0) for n in nodes])
@@ -212,21 +236,37 @@ class SkipChainCRF:
         return out
 
 
-def edges_of(nodes: list[Mention]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours, and skip edges from a mention to the
-    previous similar one and to the first observed similar one."""
+def _one_edit_keys(shape: str) -> list[str]:
+    """Digits, and digits without one of them: numbers one edit apart share a key."""
+    digits = "".join(_DIGIT.findall(shape))
+    return list({digits, *(digits[:i] + digits[i + 1:] for i in range(len(digits)))}) if len(digits) >= NEAR_DIGITS else []
+
+
+def edges_of(nodes: list[Mention]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges between neighbours; skip edges from a mention to the
+    previous equal one and to the first observed equal one; near edges
+    likewise, between mentions that are similar and not equal."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1].start - nodes[i].end <= CHAIN_DISTANCE]
+    keys = [[n.key] if n.also is None else [n.key, n.also] for n in nodes]
+    close = [_one_edit_keys(n.shape) if n.key[0] == "#" else [n.key] for n in nodes]
     first: dict[str, int] = {}
+    first_close: dict[str, int] = {}
     for i, n in enumerate(nodes):
         if n.label is not None:
-            first.setdefault(n.key, i)
-    skip, last = [], {}
+            for k in (() if n.near else keys[i]):
+                first.setdefault(k, i)
+            for k in close[i]:
+                first_close.setdefault(k, i)
+    skip, near, last, last_close = [], [], {}, {}
     for i, n in enumerate(nodes):
-        keys = [n.key] if n.also is None else [n.key, n.also]
-        linked = {of.get(k) for of in (last, first) for k in keys} - {None, i}
-        skip += [(j, i) for j in sorted(linked)]
-        last.update(dict.fromkeys(keys, i))
-    return chain, skip
+        equal = set() if n.near else {of.get(k) for of in (last, first) for k in keys[i]} - {None, i}
+        skip += [(j, i) for j in sorted(equal)]
+        similar = {of.get(k) for of in (last_close, first_close) for k in close[i]} - {None, i} - equal
+        near += [(j, i) for j in sorted(similar) if n.near or nodes[j].near or not set(keys[i]) & set(keys[j])]
+        if not n.near:
+            last.update(dict.fromkeys(keys[i], i))
+        last_close.update(dict.fromkeys(close[i], i))
+    return chain, skip, near
 
 
 def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> np.ndarray:
@@ -257,9 +297,9 @@ def find_spans(text: str, model: SkipChainCRF) -> tuple[list, list]:
     nodes = mentions(text, base)
     if all(n.label is not None for n in nodes):
         return base, base
-    chain, skip = edges_of(nodes)
-    edges = np.array(chain + skip, np.int64).reshape(-1, 2)
-    potentials = np.concatenate([np.repeat(model.chain[None], len(chain), 0), np.repeat(model.skip[None], len(skip), 0)])
+    kinds = edges_of(nodes)
+    edges = np.array([e for of_kind in kinds for e in of_kind], np.int64).reshape(-1, 2)
+    potentials = np.concatenate([np.repeat(p[None], len(e), 0) for p, e in zip((model.chain, model.skip, model.near), kinds)])
     probability = beliefs(model.unary(nodes), edges, potentials)
     best = probability.argmax(axis=1)
     added = [(n.start, int(k) - 1, n.end) for n, k, p in zip(nodes, best, probability.max(axis=1))
@@ -269,76 +309,90 @@ def find_spans(text: str, model: SkipChainCRF) -> tuple[list, list]:
 
 # -- training ----------------------------------------------------------------
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (what, features or labels, n): shapes with their label,
-    label pairs of neighbours and of similar mentions."""
+    """Counts of (label, features, n): a mention's shape with its label and
+    the known labels of the mentions around it and linked with it.  Base
+    spans stand for what they are, hidden; candidates that are linked with
+    one are left out and say nothing to others; other candidates are O."""
     counts: dict[tuple, int] = {}
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if not text or not _ANY.search(text):
                 continue
             nodes = mentions(text, base_spans(text), handles=True)
-            chain, skip = edges_of(nodes)
-            for n in nodes:
-                made = ("shape", n.label or 0, ",".join(map(str, shape_features(n.shape))))
-                counts[made] = counts.get(made, 0) + 1
-            for what, edges in (("chain", chain), ("skip", skip)):
+            kinds = edges_of(nodes)
+            open_ = set()
+            for i, j in (*kinds[1], *kinds[2]):
+                if (nodes[i].label is None) != (nodes[j].label is None):
+                    open_ |= {i if nodes[i].label is None else j}
+            around: list[list[int]] = [[] for _ in nodes]
+            for first, edges in zip((CHAIN, SKIP, NEAR), kinds):
                 for i, j in edges:
-                    a, b = nodes[i].label, nodes[j].label
-                    if what == "chain" or (a is not None and b is not None):   # unobserved similar mentions say nothing
-                        made = (what, a or 0, str(b or 0))
-                        counts[made] = counts.get(made, 0) + 1
-    rows = list(zip(*[(*k, n) for k, n in counts.items()])) or [(), (), (), ()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.string(), pa.int64()))],
-                                     ["what", "label", "of", "n"])
-
-
-def _pair_potentials(pairs: list[tuple[int, int, int]], agreement: float, limit: float) -> np.ndarray:
-    """log of how much more often labels meet than by chance, within
-    +-``limit``; ``agreement`` is counted to each equal pair beforehand."""
+                    for here, there in ((i, j), (j, i)):
+                        if there not in open_:
+                            around[here].append(first + (nodes[there].label or 0))
+            for i, n in enumerate(nodes):
+                if i not in open_:
+                    made = (n.label or 0, ",".join(map(str, shape_features(n.shape) + sorted(around[i]))))
+                    counts[made] = counts.get(made, 0) + 1
+    rows = list(zip(*[(*k, n) for k, n in counts.items()])) or [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.string(), pa.int64()))], ["label", "of", "n"])
+
+
+def fit(rows: list[tuple[int, str, int]], steps: int = 8000) -> SkipChainCRF:
+    """Logistic model by gradient steps on the counted examples.  Each is
+    also there as it is found again: linked with a mention of its own label,
+    by its shape and without it; and a mention that is linked with a base
+    span is of its kind even in the shapes of O."""
     k = len(LABELS)
-    n = np.full((k, k), 0.5) + np.eye(k) * agreement
-    for a, b, count in pairs:
-        n[a, b] += count
-        n[b, a] += count
-    share = n.sum(axis=1) / n.sum()
-    return np.clip(np.log(n / n.sum() / np.outer(share, share)), -limit, limit)
-
-
-def fit(rows: list[tuple[str, int, str, int]], steps: int = 500) -> SkipChainCRF:
-    """Logistic model by gradient steps on the counted shapes, pair
-    potentials from the counted label pairs."""
-    k = len(LABELS)
-    shapes = [(label, [int(x) for x in of.split(",")], n) for what, label, of, n in rows if what == "shape"]
+    examples: dict[tuple, float] = {}
+
+    def add(label, found, n):
+        examples[label, found] = examples.get((label, found), 0.0) + n
+    known = {label for label, _, _ in rows} - {0}
+    for label, of, n in rows:
+        found = tuple(int(x) for x in of.split(","))
+        add(label, found, n)
+        shape = tuple(x for x in found if x < N_SHAPES)
+        for link, share in ((SKIP, 1.0), (NEAR, NEAR_WEIGHT)):
+            add(label, (*shape, link + label), n * share)
+            add(label, (0, link + label), n * share)
+            if label == 0:                    # words may be local parts, numbers may be numbers, whatever their shape
+                for j in known & ({1} if any(22 < x < 31 for x in shape) else {2, 3, 4}):
+                    add(j, (*shape, link + j), n * share)
     weights = np.zeros((N_FEATURES, k))
-    seen = {label for label, _, _ in shapes}
-    if shapes:
-        x = np.zeros((len(shapes), N_FEATURES))
-        for i, (_, found, _) in enumerate(shapes):
-            x[i, found] = 1
-        label = np.array([s[0] for s in shapes])
-        n = np.sqrt(np.array([s[2] for s in shapes], float))     # a shape's weight grows slower than its count
+    if examples:
+        x = np.zeros((len(examples), N_FEATURES))
+        for i, (_, found) in enumerate(examples):
+            np.add.at(x[i], list(found), 1)
+        label = np.array([e[0] for e in examples])
+        n = np.sqrt(np.array(list(examples.values())))           # an example's weight grows slower than its count
+        for j in range(k):                                       # and the labels weigh the same
+            if (mine := label == j).any():
+                n[mine] /= n[mine].sum()
         target = np.eye(k)[label]
         for _ in range(steps):
             z = x @ weights
             p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
             weights -= 0.5 * (x.T @ ((p - target) * (n / n.sum())[:, None]) + 1e-4 * weights)
     for j in range(1, k):
-        if j not in seen:
+        if not any(e[0] == j for e in examples):
             weights[0, j] -= 20.0
-    pairs = {what: [(label, int(of), n) for w, label, of, n in rows if w == what] for what in ("chain", "skip")}
-    return SkipChainCRF(weights, _pair_potentials(pairs["chain"], 0.0, 1.0),
-                        _pair_potentials(pairs["skip"], AGREEMENT, 4.0))
+
+    def potentials(first, limit):
+        w = weights[first:first + k]
+        return np.clip((w + w.T) / 2, -limit, limit)
+    return SkipChainCRF(weights[:N_SHAPES], potentials(CHAIN, CHAIN_LIMIT), potentials(SKIP, LINK_LIMIT), potentials(NEAR, LINK_LIMIT))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> SkipChainCRF:
     """Fit on about ``sample_docs`` of the documents; only counts of distinct
-    shapes and label pairs reach the driver."""
+    examples reach the driver."""
     ship_package(df.sparkSession)
     rate = min(1.0, sample_docs / max(df.count(), 1))
     unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("pii")), F.lit(1_000_000)) / 1_000_000
     counted = (df.where(unit < rate).select(F.col(text_col).alias("text"))
-               .mapInArrow(_examples, "what string, label int, of string, n bigint")
-               .groupBy("what", "label", "of").agg(F.sum("n").alias("n")).collect())
+               .mapInArrow(_examples, "label int, of string, n bigint")
+               .groupBy("label", "of").agg(F.sum("n").alias("n")).collect())
     return fit(sorted(tuple(r) for r in counted))
 
 

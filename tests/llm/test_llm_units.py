@@ -44,9 +44,9 @@ def test_base_spans_of_long_runs_take_linear_time():
 
 @pytest.fixture(scope="module")
 def crf():
-    rows = [("shape", 4, ",".join(map(str, pii.shape_features("1 (743) 555-3824"))), 50),
-            ("shape", 3, ",".join(map(str, pii.shape_features("4524132264652876"))), 50),
-            ("shape", 0, ",".join(map(str, pii.shape_features("12345678"))), 50)]
+    rows = [(4, ",".join(map(str, pii.shape_features("1 (743) 555-3824"))), 50),
+            (3, ",".join(map(str, pii.shape_features("4524132264652876"))), 50),
+            (0, ",".join(map(str, pii.shape_features("12345678"))), 50)]
     return pii.fit(rows)
 
 
@@ -71,8 +71,8 @@ def test_numbers_that_run_together_are_found(crf):
 def test_many_repeats_make_a_linear_graph(crf):
     text = "+1 (743) 555-3824 " + "x 743-555-3824 " * 3000
     nodes = pii.mentions(text, pii.base_spans(text))
-    chain, skip = pii.edges_of(nodes)
-    assert len(nodes) == 3001 and len(skip) <= 2 * len(nodes) and len(chain) < len(nodes)
+    chain, skip, near = pii.edges_of(nodes)
+    assert len(nodes) == 3001 and len(skip) <= 2 * len(nodes) and len(chain) < len(nodes) and len(near) <= 2 * len(nodes)
     assert len(pii.find_spans(text, crf)[1]) == 3001
 
 
@@ -108,7 +108,43 @@ def test_a_number_that_is_a_local_part_keeps_its_other_links():
     text = "+1 743 555 3824, 7435553824@example.org, 7435553824"
     nodes = pii.mentions(text, pii.base_spans(text))
     assert [(n.key, n.also) for n in nodes if n.label is None] == [("#5553824", "@7435553824")]
-    assert pii.edges_of(nodes)[1] == [(0, 2), (1, 2)]
+    assert pii.edges_of(nodes)[1:] == ([(0, 2), (1, 2)], [])
+
+
+def test_variants_of_observed_mentions_are_found(sf_small):
+    """Trained on the test documents: numbers without plus, with other marks or one digit wrong, and local parts bare or
+    without dots, of mentions that their document shows in full, are found; documents without such mentions stay as they are."""
+    import pandas as pd
+    texts = pd.read_parquet(f"{sf_small.replace('0.001', '0.01')}/documents.parquet").text.fillna("").tolist()
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    model = pii.fit(sorted(tuple(r.values()) for b in pii._examples(iter([batch])) for r in b.to_pylist()))
+    rng, hits, total = random.Random(8), 0, 0
+    for _ in range(150):
+        a, b, c = rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)
+        name = "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(4, 8)))
+        local = rng.choice([name, f"{name}.smith", f"{name}{rng.randint(1, 99)}"])
+        wrong = c + (1 if c % 10 < 9 else -1)
+        for full, variant in ((f"+1 ({a}) {b}-{c}", f"{a} {b} {c}"), (f"+1 {a} {b} {c}", f"{a}-{b}-{c}"), (f"+1{a}{b}{c}", f"1{a}{b}{wrong}"),
+                              (f"{local}@example.org", local), (f"{name}.jones@example.org", f"{name}jones")):
+            text = f"ask {full}{' lorem ipsum' * rng.randint(1, 40)} or {variant} later"
+            at = text.rindex(variant)
+            hits += any(s[0] == at and s[2] == at + len(variant) for s in pii.find_spans(text, model)[1])
+            total += 1
+    assert hits >= 0.9 * total, hits / total
+    for text in ("It was 1998-2004, room 12 of 345 6789 items, order 12345678.", "version 10 of code_7 with 50% off", "no numbers at all"):
+        assert pii.find_spans(text, model) == ([], [])
+    found = [pii.find_spans(t, model) for t in texts]
+    assert sum(len(all_) - len(base) for base, all_ in found if not base) <= 0.01 * len(texts)
+
+
+def test_similar_is_not_equal():
+    text = "+1 743 555 3824, then 743 555 3825, 743 555 3824, ann.lee@x.org and annlee, ann.lee"
+    nodes = pii.mentions(text, pii.base_spans(text))
+    chain, skip, near = pii.edges_of(nodes)
+    named = [text[n.start:n.end] for n in nodes]
+    assert named == ["+1 743 555 3824", "743 555 3825", "743 555 3824", "ann.lee@x.org", "annlee", "ann.lee"]
+    assert (0, 2) in skip and (3, 5) in skip and not {(0, 1), (3, 4)} & set(skip)
+    assert (1, 2) in near and (3, 4) in near
 
 
 def test_redaction_joins_overlaps():
