@@ -5,6 +5,12 @@ written as Parquet and read again as the next one's ``docs``.  All but the
 last return the columns of ``documents``.  No stage can be said in SQL as a
 whole (language model, random field, tokenizer), so ``ORACLE_SQL`` is None;
 ``tests/llm`` holds the stages against brute-force versions.
+
+Defined cases, for every stage: rows without an id are documents like any
+other; rows that share an id are kept or dropped each by its own text; a null
+text counts as empty (language ID rejects it, and later stages keep a null
+text null); further columns, whatever their names, come through all stages
+but the last; an empty table gives an empty one.
 """
 
 from __future__ import annotations

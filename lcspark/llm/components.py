@@ -1,7 +1,11 @@
 """Connected components of an edge table by alternating large-star and
 small-star steps.  Each step is a minimum per node and a join; edges are
 written to the shared folder between rounds, so lineage stays short, and
-neither edges nor components are collected."""
+neither edges nor components are collected.
+
+Defined cases: an edge from a node to itself, or with a null end, says nothing
+(a node with no other edge is in no component); repeated edges and edges in
+both directions count once; an empty table gives an empty one."""
 
 from __future__ import annotations
 

@@ -64,8 +64,7 @@ class ChunkTokenizer:
         letters, marks = [], []
         for c in new:
             word = c.rstrip(_MARKS)
-            # letters alone are looked up in lower case; other than ASCII they are taken whole, unless all letters
-            if not word.isalpha() and not word.isascii():
+            if not word.isalpha():                    # anything but letters and marks is taken whole
                 word = c
             letters.append(word.lower() if word.isascii() and word.isalpha() else word)
             marks.append(c[len(word):])

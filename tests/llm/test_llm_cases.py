@@ -375,6 +375,43 @@ def test_pipeline_against_brute_force(spark, tmp_path, sf_small):
         assert out.columns == list(docs.columns)
 
 
+def test_pipeline_stages_as_a_whole(spark, tmp_path):
+    """Repeated and null ids, planted copies and mentions, further columns: each stage's rows, and the pieces of the last."""
+    import zlib
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    from lcspark.llm.common import staged
+    words = [f"{w}{i}" for i in range(12) for w in ("lorem", "ipsum", "dolor", "amet", "elit")]
+    long = " ".join(words)
+    rows = [(1, long, "la"), (2, " ".join([*words[:-1], "other"]), "la"), (2, "The quick brown fox jumps over the lazy dog.", None),
+            (None, "call me at +1 (743) 555-3824 or 743 555 3824, ann.lee@example.org", "en"), (None, "A short text without an id", "en"),
+            (3, "a SHORT text without an id", "en"), (4, None, "en"), (5, "❤️ 12", "en"), (6, long.upper(), "la"), (7, long, "la")]
+    docs = make_docs(spark, [(i, t, lang, "s", len(t or "")) for i, t, lang in rows])
+    at, texts = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = staged(stage(spark, at, str(tmp_path)), name)
+        assert at.columns == docs.columns
+        texts.append(sorted((r["doc_id"] or 0, r["text"]) for r in at.collect()))
+    kept = [(i or 0, t) for i, t, _ in rows if t and "❤️" not in t]
+    assert texts[0] == sorted(kept)
+    gone = {(0, "A short text without an id"), (1, long), (6, long.upper())}
+    assert texts[1] == sorted(set(kept) - gone)
+    near = (7, long)
+    assert texts[2] == sorted(set(kept) - gone - {near})
+    last = {r["text"]: r for r in at.collect()}
+    mention = next(t for t in last if t.startswith("call me"))
+    assert "555" not in mention and "example.org" not in mention and mention.startswith("call me at [PHONE] or")
+    assert all(r["n_chars"] == len(t) and r["lang"] and r["ids"] == "x" for t, r in last.items())
+    t = Tokenizer.from_str(tokenizer())
+    t.encode_special_tokens = True
+    want = sorted(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*t.encode(s, add_special_tokens=False).ids, 1])) for s in last)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+    assert sorted(r["ids_crc32"] for r in pieces) == want
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The entry module works where the subpackage and the pipeline are gone."""
     import shutil
