@@ -19,7 +19,7 @@ copies never meet.  In hub rounds each class is compared with one member
 (the hub) of each of its band groups by the short sketch, and with the
 likeliest of these on full sets; what verifies is joined into components.
 Further rounds look only at band groups that hold several components, with
-other hubs each time, while they settle at least a tenth of them.  What then
+other hubs each time, while they settle at least half of them.  What then
 remains is listed: within each band group the members of different components, once per
 pair (in the first band that they share), if the estimate from the
 whole registers isn't over 4.5 standard errors below the threshold.  No other
@@ -58,7 +58,7 @@ REGISTERS = ROWS * BANDS
 WHOLE_BITS = 11
 # Hub rounds go on while a round leaves no more than this share of the band
 # members open; they only save work, as the listing after them is complete.
-SETTLED = 0.9
+SETTLED = 0.5
 # The hubs that a class is verified with in a round.
 HUBS_VERIFIED = 3
 # Disagreeing 4-bit registers up to which a hub is likely, and a pair's
@@ -428,13 +428,15 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         links = found if links is None else links.union(found)
         labels = components(links)
         members, order = _mixed(members, labels), order + 1
+        # from here on only open classes, and their texts, are read
+        open_nodes = staged(members.select("node").distinct(), "open-nodes")
+        reps = staged(reps.join(open_nodes, "node", "left_semi"), "open-representatives")
+        needed = staged(needed.join(open_nodes, "node", "left_semi"), "open-texts")
         before, left = left, members.count()
         if left == 0 or left > SETTLED * before:
             break
-    open_nodes = members.select("node").distinct()
     whole = signed.select(F.col("row").alias("node"), "whole").join(open_nodes, "node", "left_semi")
-    facts = reps.join(open_nodes, "node", "left_semi")
-    found = _verified(_cross_candidates(members, facts, whole, percent, left), needed, shingle, percent)
+    found = _verified(_cross_candidates(members, reps, whole, percent, left), needed, shingle, percent)
     labels = staged(components(links.union(found)), "labels")
 
     linked = labels.join(classes.select("node", "first"), "node")
