@@ -17,6 +17,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -51,14 +52,37 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.parts = ChunkCache(self._encode_parts, cache_chunks)
         self.chunks = ChunkCache(self._encode_chunks, cache_chunks)
 
     def _encode_parts(self, new: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(made.ids, "<u4"), np.array([-1 if w is None else w for w in made.word_ids], np.int64)
-        blob, cuts = ids.tobytes(), (np.searchsorted(of, np.arange(len(new) + 1)) * 4).tolist()
-        return list(map(blob.__getitem__, map(slice, cuts[:-1], cuts[1:])))
+        """ASCII words are encoded as one text: each ends with its only id
+        that ends a word.  Other parts are encoded as a list of them."""
+        words = [p for p in new if p.isascii() and p.isalpha()] if self.ends is not None else []
+        ids, cuts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            words = []
+        blobs = dict(zip(words, self._cut(ids, cuts)))
+        rest = [p for p in new if p not in blobs]
+        if rest:
+            made = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            of = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
+            blobs.update(zip(rest, self._cut(np.array(made.ids, "<u4"), np.searchsorted(of, np.arange(len(rest)) + 1))))
+        return [blobs[p] for p in new]
+
+    @staticmethod
+    def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        blob, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [blob[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
     def _encode_chunks(self, new: list[str]) -> list[bytes]:
         letters, marks = [], []
@@ -101,7 +125,7 @@ def tokenize(df: DataFrame, definition: str, capacity: int = CAPACITY, end_token
     end, width = np.array([end_token], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, SLICE_ROWS):
+        for part in parts(batches, 2 * SLICE_ROWS):
             texts = [t or "" for t in part.column("text").to_pylist()]
             made: list[tuple] = []
             for key, found in zip(part.column("id").to_pylist(), sliced(texts, _tokenizer(shared).encode_texts)):
