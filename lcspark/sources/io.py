@@ -13,7 +13,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lcspark.schema import METADATA_SCHEMA, OBSERVATION_SCHEMA, RUN_METRICS_SCHEMA
 from lcspark.session import ensure_checkpoint_dir
@@ -79,11 +79,12 @@ def read_with_rejects(spark: SparkSession, path: str, schema, options: dict, rej
                                         "columnPruning": "false"})
               .csv(path).withColumn("_file", F.col("_metadata.file_path")))
     copy = scratch_dir(spark, "parsed")
-    parsed.withColumn("_good", F.col(corrupt).isNull()).write.partitionBy("_good").parquet(copy)
-    stored = spark.read.schema(StructType([*wide.fields, StructField("_file", StringType()), StructField("_good", BooleanType())])).parquet(copy)
-    (stored.where(~F.col("_good")).select(F.col("_file").alias("file"), F.col(corrupt).alias("record"))
+    # one table of good and malformed rows: a table split by them would be sorted, a whole task's rows at a time
+    parsed.write.parquet(copy)
+    stored = spark.read.schema(StructType([*wide.fields, StructField("_file", StringType())])).parquet(copy)
+    (stored.where(F.col(corrupt).isNotNull()).select(F.col("_file").alias("file"), F.col(corrupt).alias("record"))
      .write.mode("append").parquet(rejects))
-    return stored.where("_good").select(*[f.name for f in schema.fields])
+    return stored.where(F.col(corrupt).isNull()).select(*[f.name for f in schema.fields])
 
 
 def _read_text(spark: SparkSession, path: str, schema, options: dict, rejects: str | None, mode: str) -> DataFrame:
