@@ -76,19 +76,26 @@ def pivot_feature(obs: DataFrame, feature: str, width: int | None = None, tie=()
     return wide.select("object_id", *[F.col(f"{i}_{feature}").alias(f"{feature}{i}") for i in range(1, width + 1)])
 
 
+# Wide rows in one bucket of the stored pivots; Spark's own limit of buckets.
+BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 100_000
+
+
 def pivot_all_features(obs: DataFrame, width: int | None = None, tie=(), features=FEATURES,
                        path: str | None = None) -> dict:
     """A5: the five pivots of one ranked input, a table per feature.  The
     observations are shuffled once: the pivot's groups lie hashed by
     object_id, and are written as they lie, bucketed and sorted by
-    object_id.  Each feature's table is its own columns of that one stored
+    object_id, in so many buckets that each holds about ``BUCKET_BYTES`` of
+    wide rows (a task ranks, pivots and sorts one bucket).  Each feature's table is its own columns of that one stored
     table (below ``path``; default: a scratch folder), so joins of them (J8)
     read only what they need and shuffle nothing."""
     from lcspark.sources.io import bucketed, scratch_dir
     spark = obs.sparkSession
-    width = pivot_width(obs) if width is None else width
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = bucketed(_pivot(obs, width, tie, features), path or scratch_dir(spark, "pivots"), ["object_id"], buckets)
+    found = observation_counts(obs).agg(F.max("n_obs").alias("longest"), F.count(F.lit(1)).alias("objects")).first()
+    width = max(1, int(found["longest"] or 0)) if width is None else width
+    size = found["objects"] * width * len(features) * 8
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    wide = bucketed(_pivot(obs.repartition(buckets, "object_id"), width, tie, features), path or scratch_dir(spark, "pivots"), ["object_id"], buckets)
     return {f: wide.select("object_id", *[F.col(f"{i}_{f}").alias(f"{f}{i}") for i in range(1, width + 1)]) for f in features}
 
 
