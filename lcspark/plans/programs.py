@@ -47,11 +47,14 @@ def feature_frame(flat: DataFrame, length: int = SEQUENCE_LEN) -> DataFrame:
     """Padded arrays, forward / backward intervals after padding, and the
     assembled dense feature vector (meta, band, 8 channels)."""
     pad_f = lambda c: FA.pad_array(c, length, 0, "float")
-    df = flat.withColumns({"_fwd": F.transform(pad_f("fwd_int"), lambda x: x.cast("double")),
-                           "_bwd": F.transform(pad_f("bwd_int"), lambda x: x.cast("double"))})
+
+    def before_padding(c):
+        # one 0 of the padding, if there is any, and the kept values: all that isn't 0 in the padded differences
+        return FA.keep_last_elements(F.concat(F.array(F.lit(0.0)), F.col(c).cast("array<float>").cast("array<double>")), length)
+    df = flat.withColumns({"_fwd": before_padding("fwd_int"), "_bwd": before_padding("bwd_int")})
     parts = [F.col("meta"), FA.pad_array("band", length, 0, "int"), pad_f("mjd"), pad_f("flux"),
              pad_f("flux_err"), FA.pad_array("detected", length, 0, "int"),
-             FA.forward_diff("_fwd"), FA.backward_diff("_bwd"),
+             FA.pad_array(FA.forward_diff("_fwd"), length, 0, "double"), FA.pad_array(FA.backward_diff("_bwd"), length, 0, "double"),
              pad_f("source_wavelength"), pad_f("received_wavelength")]
     return df.select("object_id", F.col("target").alias("label"),
                      FA.to_vector(FA.concat_features(*parts)).alias("features"))
