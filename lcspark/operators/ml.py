@@ -11,7 +11,7 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -41,16 +41,14 @@ def standard_scale_groups(df: DataFrame, groups: dict, with_mean: bool = True, w
     slot reaches the driver); a constant slot becomes 0."""
     found = df.select(*[Summarizer.metrics("mean", "std").summary(F.col(c)).alias(c) for c in groups]).first()
 
-    def numbers(v) -> Column:
-        return F.from_json(F.lit(json.dumps(v.toArray().tolist())), "array<double>")     # folded into a literal
-
     def scaled(c: str) -> Column:
-        x = vector_to_array(c)
-        if with_mean:
-            x = F.zip_with(x, numbers(found[c]["mean"]), lambda v, m: v - m)
-        if with_std:
-            x = F.zip_with(x, numbers(found[c]["std"]), lambda v, s: F.when(s > 0, v / s).otherwise(0.0))
-        return array_to_vector(x)
+        pairs = [{"m": m, "s": s} for m, s in zip(found[c]["mean"].toArray().tolist(), found[c]["std"].toArray().tolist())]
+        numbers = F.from_json(F.lit(json.dumps(pairs)), "array<struct<m:double,s:double>>")      # folded into a literal
+
+        def value(x, n):
+            x = x - n["m"] if with_mean else x
+            return F.when(n["s"] > 0, x / n["s"]).otherwise(0.0) if with_std else x
+        return array_to_vector(F.zip_with(vector_to_array(c), numbers, value))
     return df.withColumns({o: scaled(c) for c, o in groups.items()})
 
 
@@ -83,6 +81,14 @@ def class_weight_column(df: DataFrame, shares: DataFrame, label: str = "label",
     return df.join(tab, df[label] == tab["_ci"], "left").drop("_ci")
 
 
+def compressed(df: DataFrame, features: str, size: int) -> DataFrame:
+    """``df`` with the vectors of ``features`` (``size`` slots) stored sparse
+    where that is smaller, as the assembler leaves them: a padded series is
+    mostly zeros, and each pass of a fit reads all of it."""
+    hinted = VectorSizeHint(inputCol="_dense", size=size, handleInvalid="optimistic").transform(df.withColumnRenamed(features, "_dense"))
+    return VectorAssembler(inputCols=["_dense"], outputCol=features).transform(hinted).select(*df.columns)
+
+
 def fit_classifier(train: DataFrame, features: str = "features", label: str = "label",
                    weight: str | None = "weight", max_iter: int = 20, reg: float = 0.0):
     """M4: distributed fit of a Pipeline with a multinomial logistic
