@@ -44,14 +44,18 @@ class ChunkCache:
         return found
 
 
+def picked(flat: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``flat`` between ``cuts``, numbers at[0], at[1], ... one
+    after another, and the place where each begins (and the end)."""
+    n = np.diff(cuts)[at]
+    places = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(cuts[at] - places[:-1], n) + np.arange(places[-1])], places
+
+
 def gathered(blobs: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of blobs number at[0], at[1], ... one after another, and the
-    place where each begins (and the end)."""
+    """``picked`` from the ids of blobs."""
     lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    first, n = np.cumsum(lengths) - lengths, lengths[at]
-    places = np.concatenate([[0], np.cumsum(n)])
-    flat = np.frombuffer(b"".join(blobs), np.int32)
-    return flat[np.repeat(first[at] - places[:-1], n) + np.arange(places[-1])], places
+    return picked(np.frombuffer(b"".join(blobs), np.int32), np.concatenate([[0], np.cumsum(lengths)]), at)
 
 
 # Rows of a slice, and its code points (a longer text is a slice by itself):

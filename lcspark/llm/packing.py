@@ -24,18 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lcspark.llm.chunks import SLICE_ROWS, ChunkCache, encode_texts, sliced
-from lcspark.llm.common import parts, ship_package, staged
+from lcspark.llm.chunks import ChunkCache, gathered, picked
+from lcspark.llm.common import ship_package, staged
 
 CAPACITY = 4096
 END_TOKEN = 1
 # Pieces of one length that are ranked in one group.
 CELL_ROWS = 50_000
 CACHE_CHUNKS = 500_000
+# Bytes of the texts whose chunks are told apart together (the more, the
+# fewer are looked up twice), and of those whose ids are held at a time.
+SLICE_BYTES, GATHERED_BYTES = 8_000_000, 1_000_000
 # Marks that end a word; the tokenizer takes a run of them by itself.
 _MARKS = ".,;:!?"
 
@@ -45,7 +49,9 @@ class ChunkTokenizer:
     line feed, so a text's ids are those of its chunks between them.  Nor
     does it join letters with the marks after them, and it lower-cases, so a
     chunk's ids are those of its letters, in lower case, and of its marks.
-    Chunks and their parts recur and are kept in caches of bounded size."""
+    Arrow splits a slice of texts and tells the distinct chunks and their
+    parts; only parts come up as Python strings, once a slice, and their ids
+    are kept in a cache of bounded size."""
 
     def __init__(self, definition: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,24 +65,27 @@ class ChunkTokenizer:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.parts = ChunkCache(self._encode_parts, cache_chunks)
-        self.chunks = ChunkCache(self._encode_chunks, cache_chunks)
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters, encoded as one text: each ends with its only id
+        that ends a word.  Nothing if one of them has several."""
+        if not words or self.ends is None:
+            return {}
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return dict(zip(words, self._cut(ids, cuts))) if len(cuts) == len(words) else {}
 
     def _encode_parts(self, new: list[str]) -> list[bytes]:
-        """ASCII words are encoded as one text: each ends with its only id
-        that ends a word.  Other parts are encoded as a list of them."""
-        words = [p for p in new if p.isascii() and p.isalpha()] if self.ends is not None else []
-        ids, cuts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            words = []
-        blobs = dict(zip(words, self._cut(ids, cuts)))
-        rest = [p for p in new if p not in blobs]
-        if rest:
-            made = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+        """Words of letters are encoded as a text, other parts as a list."""
+        blobs, others = {}, []
+        for plain in (True, False):                   # lower case may cut words that aren't ASCII
+            words = [p for p in new if p.isascii() is plain and p.isalpha()]
+            blobs.update(self._encode_words(words))
+        others = [p for p in new if p not in blobs]
+        if others:
+            made = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
             of = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
-            blobs.update(zip(rest, self._cut(np.array(made.ids, "<u4"), np.searchsorted(of, np.arange(len(rest)) + 1))))
+            blobs.update(zip(others, self._cut(np.array(made.ids, "<u4"), np.searchsorted(of, np.arange(len(others)) + 1))))
         return [blobs[p] for p in new]
 
     @staticmethod
@@ -84,21 +93,55 @@ class ChunkTokenizer:
         blob, cuts = ids.tobytes(), (4 * ends).tolist()
         return [blob[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
-    def _encode_chunks(self, new: list[str]) -> list[bytes]:
-        letters, marks = [], []
-        for c in new:
-            word = c.rstrip(_MARKS)
-            if not word.isalpha():                    # anything but letters and marks is taken whole
-                word = c
-            letters.append(word.lower() if word.isascii() and word.isalpha() else word)
-            marks.append(c[len(word):])
-        distinct = list(dict.fromkeys([*letters, *marks]))
-        ids = dict(zip(distinct, self.parts.ids(distinct)))
-        return [ids[a] + ids[b] if b else ids[a] for a, b in zip(letters, marks)]
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks one after another, and where each begins
+        (and the end).  Anything but letters and marks after them is one part."""
+        words = pc.ascii_rtrim(chunks, characters=_MARKS)
+        plain = pc.string_is_ascii(words)
+        letters = pc.and_(plain, pc.ascii_is_alpha(words)).to_numpy(zero_copy_only=False).copy()
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        letters[other] = [w.isalpha() for w in _strings(words.take(pa.array(other)))]
+        parts = pc.if_else(pa.array(letters), pc.if_else(plain, pc.ascii_lower(words), words), chunks).dictionary_encode()
+        marked = np.flatnonzero(letters & (pc.binary_length(chunks).to_numpy() > pc.binary_length(words).to_numpy()))
+        at = pa.array(marked)
+        ends = pa.array([c[len(w):] for c, w in zip(_strings(chunks.take(at)), _strings(words.take(at)))], pa.string()).dictionary_encode()
+        blobs = [*self.parts.ids(_strings(parts.dictionary)), *self.parts.ids(_strings(ends.dictionary)), b""]
+        order = np.full(2 * len(chunks), len(blobs) - 1)
+        order[0::2] = parts.indices.to_numpy()
+        order[2 * marked + 1] = ends.indices.to_numpy() + len(parts.dictionary)
+        flat, places = gathered(blobs, order)
+        return flat, places[::2]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, by slices of ``SLICE_BYTES``."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for some in _runs(sizes, SLICE_BYTES):
+            lists = pc.split_pattern(pc.replace_substring(texts[some.start:some.stop].cast(pa.large_string()), "\n", " "), " ")
+            cuts, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+            flat, places = self._encode_chunks(coded.dictionary)
+            at = coded.indices.to_numpy()
+            for few in _runs(sizes[some.start:some.stop], GATHERED_BYTES):
+                first, last = cuts[few.start], cuts[few.stop]
+                ids, where = picked(flat, places, at[first:last])
+                ends = where[cuts[few.start:few.stop + 1] - first].tolist()
+                yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:]))
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        return encode_texts([t.replace("\n", " ") for t in texts], self.chunks.ids)
+        return list(self.encode(pa.array(texts, pa.large_string())))
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[range]:
+    """Runs of texts of at most ``most`` bytes, one text at least."""
+    sums, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(sums):
+        last = max(first + 1, int(np.searchsorted(sums, sums[first] - sizes[first] + most, "right")))
+        yield range(first, last)
+        first = last
 
 
 _TOKENIZERS: dict = {}
@@ -125,10 +168,9 @@ def tokenize(df: DataFrame, definition: str, capacity: int = CAPACITY, end_token
     end, width = np.array([end_token], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, 2 * SLICE_ROWS):
-            texts = [t or "" for t in part.column("text").to_pylist()]
+        for part in batches:
             made: list[tuple] = []
-            for key, found in zip(part.column("id").to_pylist(), sliced(texts, _tokenizer(shared).encode_texts)):
+            for key, found in zip(part.column("id").to_pylist(), _tokenizer(shared).encode(pc.fill_null(part.column("text"), ""))):
                 ids = found.tobytes() + end
                 for at in range(0, len(ids), width):
                     cut = ids[at:at + width]
