@@ -89,16 +89,29 @@ def compressed(df: DataFrame, features: str, size: int) -> DataFrame:
     return VectorAssembler(inputCols=["_dense"], outputCol=features).transform(hinted).select(*df.columns)
 
 
+# Tasks a core of a step whose tasks are long: with few of even size, one
+# more than there are cores doubles the step's time.
+TASKS_A_CORE = 4
+
+
+def even_tasks(spark: SparkSession) -> int:
+    """Number of tasks for a long step: several a core, and no fewer than
+    the session's shuffles have."""
+    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fit_classifier(train: DataFrame, features: str = "features", label: str = "label",
                    weight: str | None = "weight", max_iter: int = 20, reg: float = 0.0):
     """M4: distributed fit of a Pipeline with a multinomial logistic
     regression (the reference's Keras-on-Spark estimator re-aimed to Spark
-    ML; class weights through ``weightCol``)."""
+    ML; class weights through ``weightCol``).  Each of its passes goes over
+    the same partitions, so the rows are dealt out evenly before the first."""
     lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
                             regParam=reg, family="multinomial")
     if weight:
         lr = lr.setWeightCol(weight)
-    return Pipeline(stages=[lr]).fit(train)
+    used = train.select(features, label, *([weight] if weight else []))
+    return Pipeline(stages=[lr]).fit(used.repartition(even_tasks(train.sparkSession), F.monotonically_increasing_id()))
 
 
 def fit_network(train: DataFrame, n_features: int, hidden=(64, 32), features: str = "features",

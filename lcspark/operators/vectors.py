@@ -55,7 +55,7 @@ def collect_series(obs: DataFrame, tie, max_len: int | None = None,
 
 
 def collect_last_series(obs: DataFrame, tie, length: int, neighbours: bool = False,
-                        hot_threshold=None) -> DataFrame:
+                        hot_threshold=None, tasks: int | None = None) -> DataFrame:
     """Like ``collect_series`` but bounded: one row per object with the
     latest ``length`` observations (time-sorted), the flux max / min and the
     first time over *all* observations, and with ``neighbours`` each kept
@@ -66,14 +66,19 @@ def collect_last_series(obs: DataFrame, tie, length: int, neighbours: bool = Fal
     row_number, a filter, then ``collect_list`` of at most ``length``
     structs.  A very long object therefore never sits in an aggregation
     buffer; the collected array is bounded by ``length``.  Hot objects (see
-    ``skew``) take an exact salted two-stage top-L instead."""
+    ``skew``) take an exact salted two-stage top-L instead.  ``tasks``:
+    number of tasks that the objects are dealt to, where what follows in
+    them is long (else Spark makes about as many as there are cores, and one
+    more takes as long as twice as many)."""
     from lcspark.operators import skew
     if hot_threshold is not False:
         normal, hot, counts = skew.split_hot(obs, hot_threshold)
         if hot is not None:
-            cold = collect_last_series(normal, tie, length, neighbours, False)
+            cold = collect_last_series(normal, tie, length, neighbours, False, tasks)
             heavy = skew.hot_last_series(hot, counts, tie, CHANNELS, length, neighbours, hot_threshold)
             return cold.unionByName(heavy.select(*cold.columns))
+    if tasks:
+        obs = obs.repartition(tasks, "object_id")
     w_obj = Window.partitionBy("object_id")
     w_desc = object_window(tie, desc=True)
     extra = []
@@ -168,13 +173,14 @@ FLAT_CHANNELS = ["mjd", "flux", "flux_err", "detected", "fwd_int", "bwd_int",
 
 
 def _calculated_arrays(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
-                       default_target: int = 0, max_len: int | None = None, last: int | None = None) -> DataFrame:
+                       default_target: int = 0, max_len: int | None = None, last: int | None = None,
+                       tasks: int | None = None) -> DataFrame:
     """Fourth-model / flat-table channels: mjd, detected and received
     wavelength zeroed; flux and flux_err divided by the range modifier;
     fwd_int = bwd_int = time since first / (1 + z); source wavelength.
     With ``last`` one bounded row per object with the latest observations;
     the first time and the flux range are still the whole object's."""
-    series = (collect_last_series(obs, tie, last).withColumn("chunk", F.lit(0)) if last
+    series = (collect_last_series(obs, tie, last, tasks=tasks).withColumn("chunk", F.lit(0)) if last
               else collect_series(obs, tie, max_len))
     df = _with_meta(series, meta).withColumns({
         "_hm": log2_pow(F.col("fmax") - F.col("fmin")),
@@ -216,11 +222,12 @@ def vectors_calculated(obs: DataFrame, meta: DataFrame, tie, max_len: int | None
 
 
 def vectors_flat(obs: DataFrame, meta: DataFrame, tie, train: bool = True,
-                 max_len: int | None = None, last: int | None = None) -> DataFrame:
+                 max_len: int | None = None, last: int | None = None, tasks: int | None = None) -> DataFrame:
     """V6 (flat-array table, train or test set): the same channels as V4
     as eight flat array columns.  The test set has class 0.  With ``last``
-    only the latest observations, one row per object (to be padded)."""
-    flat = _calculated_arrays(obs, meta, tie, train=train, max_len=max_len, last=last)
+    only the latest observations, one row per object (to be padded), in
+    ``tasks`` tasks if given."""
+    flat = _calculated_arrays(obs, meta, tie, train=train, max_len=max_len, last=last, tasks=tasks)
     return flat.select("object_id", "chunk", "target", "meta", "band", *FLAT_CHANNELS)
 
 

@@ -444,12 +444,13 @@ def _training_frame(spark, sf):
     eight channels of 256), stored once for the iterative fit; label = class
     index; weight = w_c / share_c; split by object."""
     from lcspark.plans.programs import feature_frame
-    df = M.compressed(feature_frame(V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P], last=SEQUENCE_LEN)),
-                      "features", 10 + 9 * SEQUENCE_LEN)
-    df = G.split(M.class_weight_column(df, A.class_shares(df, "label"), "label", "weight"), [0.8, 0.1, 0.1], 42)
+    flat = V.vectors_flat(obs(spark, sf), meta(spark, sf), TIE[P], last=SEQUENCE_LEN, tasks=M.even_tasks(spark))
     path = S.scratch_dir(spark, "features")
-    S.write_table(df, path)
-    return S.read_table(spark, path)
+    S.write_table(G.split(M.compressed(feature_frame(flat), "features", 10 + 9 * SEQUENCE_LEN), [0.8, 0.1, 0.1], 42), path)
+    df = S.read_table(spark, path)
+    # counted on the stored rows; 15 rows, so a pass over the frame doesn't count again
+    shares = A.class_shares(df, "label")
+    return M.class_weight_column(df, spark.createDataFrame(shares.collect(), shares.schema), "label", "weight")
 
 
 def _scored(spark, model, kind, train, rows):
