@@ -36,10 +36,12 @@ CAPACITY = 4096
 END_TOKEN = 1
 # Pieces of one length that are ranked in one group.
 CELL_ROWS = 50_000
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000
 # Bytes of the texts whose chunks are told apart together (the more, the
 # fewer are looked up twice), and of those whose ids are held at a time.
-SLICE_BYTES, GATHERED_BYTES = 8_000_000, 1_000_000
+SLICE_BYTES, GATHERED_BYTES = 4_000_000, 500_000
+# Parts that the tokenizer gets at a time: it holds about 1 KB for each.
+PARTS_ENCODED = 4000
 # Marks that end a word; the tokenizer takes a run of them by itself.
 _MARKS = ".,;:!?"
 
@@ -77,15 +79,17 @@ class ChunkTokenizer:
 
     def _encode_parts(self, new: list[str]) -> list[bytes]:
         """Words of letters are encoded as a text, other parts as a list."""
-        blobs, others = {}, []
+        blobs: dict[str, bytes] = {}
         for plain in (True, False):                   # lower case may cut words that aren't ASCII
             words = [p for p in new if p.isascii() is plain and p.isalpha()]
-            blobs.update(self._encode_words(words))
+            for at in range(0, len(words), PARTS_ENCODED):
+                blobs.update(self._encode_words(words[at:at + PARTS_ENCODED]))
         others = [p for p in new if p not in blobs]
-        if others:
-            made = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+        for at in range(0, len(others), PARTS_ENCODED):
+            some = others[at:at + PARTS_ENCODED]
+            made = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             of = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
-            blobs.update(zip(others, self._cut(np.array(made.ids, "<u4"), np.searchsorted(of, np.arange(len(others)) + 1))))
+            blobs.update(zip(some, self._cut(np.array(made.ids, "<u4"), np.searchsorted(of, np.arange(len(some)) + 1))))
         return [blobs[p] for p in new]
 
     @staticmethod
