@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import add_columns, ship_package
+from lcspark.llm.common import add_columns, freed, ship_package
 from lcspark.llm.textvec import Words, letter_words, slices
 
 UNDETERMINED = "und"
@@ -72,7 +72,7 @@ def _scripts(w: Words) -> np.ndarray:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, bucket, n) of a partition; buckets from BUCKETS on count words by script."""
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in freed(batches):
         for lang, group in batch.groupby("lang"):
             own = sums.setdefault(lang, np.zeros(BUCKETS + len(_STARTS)))
             texts = group["text"].tolist()

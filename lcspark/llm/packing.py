@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lcspark.llm.chunks import ChunkCache, gathered, picked
-from lcspark.llm.common import ship_package, staged
+from lcspark.llm.common import freed, ship_package, staged
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -172,7 +172,7 @@ def tokenize(df: DataFrame, definition: str, capacity: int = CAPACITY, end_token
     end, width = np.array([end_token], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in freed(batches):
             made: list[tuple] = []
             for key, found in zip(part.column("id").to_pylist(), _tokenizer(shared).encode(pc.fill_null(part.column("text"), ""))):
                 ids = found.tobytes() + end
@@ -295,7 +295,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for row in found:
         counts[row["length"]] = row["count"]
     plan = spark.sparkContext.broadcast(Plan(counts, capacity))
-    cells_of = spark.createDataFrame([(r["length"], -(-r["count"] // CELL_ROWS)) for r in found], "length bigint, cells bigint")
+    # an Arrow table: a list of rows would go through Python workers of another kind, kept beside the others
+    cells_of = spark.createDataFrame(pa.table({"length": pa.array([r["length"] for r in found], pa.int64()),
+                                               "cells": pa.array([-(-r["count"] // CELL_ROWS) for r in found], pa.int64())}))
     celled = pieces.join(F.broadcast(cells_of), "length").withColumn(
         "cell", F.pmod(F.xxhash64("id", "piece"), "cells")).drop("cells")
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcspark.llm.common import add_columns, fresh, ship_package
+from lcspark.llm.common import add_columns, freed, fresh, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -314,7 +314,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans stand for what they are, hidden; candidates that are linked with
     one are left out and say nothing to others; other candidates are O."""
     counts: dict[tuple, int] = {}
-    for batch in batches:
+    for batch in freed(batches):
         for text in batch.column("text").to_pylist():
             if not text or not _ANY.search(text):
                 continue
