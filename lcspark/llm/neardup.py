@@ -171,13 +171,18 @@ def chance_agreement() -> float:
 CHANCE = chance_agreement()
 
 
+# Lowest bits of a band's key: the band's number.
+BAND_BITS = 7
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """[texts, BANDS] int64."""
+    """[texts, BANDS] int64: a hash of the band's registers above its number."""
     cut = regs[:, :REGISTERS].reshape(-1, ROWS).astype(np.uint64)
     band = np.tile(np.arange(BANDS, dtype=np.uint64), len(regs))
     key = mix(band + np.uint64(1))
     for j in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + cut[:, j])
+    key = key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band
     return key.reshape(len(regs), BANDS).view(np.int64)
 
 
@@ -199,7 +204,7 @@ def sketches(regs: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key (16 bytes, of the text), n_shingles, set_key (16 bytes,
-    equal for equal sets), bands, sketch, whole (null for an empty set)."""
+    equal for equal sets), bands, sketch (null for an empty set)."""
     ship_package(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
 
@@ -211,14 +216,23 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
             empty = pa.array(np.array([not len(s) for s in sets], bool))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                      for x in (keys, sketches(regs, keys))]
-            lists.append(pa.array(whole_registers(sets), pa.list_(pa.int32())))
             lists = [pa.compute.if_else(empty, pa.scalar(None, x.type), x) for x in lists]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), *lists],
-                ["id", "text_key", "n_shingles", "set_key", "bands", "sketch", "whole"])
-    return rows.mapInArrow(run, "id bigint, text_key binary, n_shingles bigint, set_key binary, bands array<bigint>, "
-                                "sketch array<bigint>, whole array<int>")
+                ["id", "text_key", "n_shingles", "set_key", "bands", "sketch"])
+    return rows.mapInArrow(run, "id bigint, text_key binary, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
+
+
+def whole_of(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """node, whole (the whole registers) of rows of node and text.  They are
+    longer than all else of a signature and few classes need them, so they
+    are made of the texts when those are known."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], shingle)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(whole_registers(sets), pa.list_(pa.int32()))], ["node", "whole"])
+    return texts.select("node", "text").mapInArrow(run, "node bigint, whole array<int>")
 
 
 def text_key(text: Column) -> Column:
@@ -241,6 +255,16 @@ def _sizes_allow(percent: int) -> Column:
     return F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
 
 
+def band_members(reps: DataFrame) -> DataFrame:
+    """key, band, node and root (the node) of the classes that share a band
+    with another.  The bands are dealt out once: groups and members are read
+    from the same shuffle, which needs the same columns for both."""
+    banded = reps.select("node", F.explode("bands").alias("key")).repartition("key")
+    shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    return banded.join(shared.hint("merge"), "key").select("key", band.alias("band"), "node", F.col("node").alias("root"))
+
+
 def _side(reps: DataFrame, name: str) -> DataFrame:
     return reps.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
 
@@ -410,9 +434,7 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
             .join(classes.select("node"), "node", "left_semi"))
     reps = staged(reps, "representatives")
 
-    banded = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    members = staged(banded.join(shared, "key").select("key", "band", "node", F.col("node").alias("root")), "band-members")
+    members = staged(band_members(reps), "band-members")
 
     # texts of classes that share a band with another: all that rounds need
     wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", _known_id().alias("_id"), "text_key")
@@ -435,8 +457,7 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         before, left = left, members.count()
         if left == 0 or left > SETTLED * before:
             break
-    whole = signed.select(F.col("row").alias("node"), "whole").join(open_nodes, "node", "left_semi")
-    found = _verified(_cross_candidates(members, reps, whole, percent, left), needed, shingle, percent)
+    found = _verified(_cross_candidates(members, reps, whole_of(needed, shingle), percent, left), needed, shingle, percent)
     labels = staged(components(links.union(found)), "labels")
 
     linked = labels.join(classes.select("node", "first"), "node")
