@@ -8,7 +8,8 @@ next 10 bits of its least hash.  Two sets of registers are kept:
   full bucket in an order of their own; 73 bands of 7 registers make the
   candidate keys (a pair of similarity 0.8 shares none with probability
   4e-8), and 4 bits of each register a short sketch that ranks hubs.
-* 2,048 buckets for the estimate, only the full ones.  Registers that agree,
+* 2,048 buckets for the estimate, only the full ones, made of the texts of the
+  classes that the listing reads.  Registers that agree,
   less the agreement of different hashes that chance brings (the collision
   term), over buckets that either set fills estimate the similarity; its
   error follows from the share of the union's shingles that the buckets
