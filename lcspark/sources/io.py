@@ -159,6 +159,19 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
 
 
+def _claimed(spark: SparkSession, fs, claim) -> bool:
+    """Makes the file ``claim``; of callers at the same time one gets True,
+    the others False or an error.  Hadoop's create of a local file looks for
+    the file first and makes it afterwards, so there it is Java's own, which
+    is one step."""
+    if fs.getUri().getScheme() != "file":
+        fs.create(claim, False).close()
+        return True
+    claim = fs.makeQualified(claim)
+    fs.mkdirs(claim.getParent())
+    return spark._jvm.java.io.File(claim.toUri().getPath()).createNewFile()
+
+
 def create_if_absent(df: DataFrame, name: str, fmt: str = "parquet") -> bool:
     """CREATE TABLE IF NOT EXISTS ... AS: a second call leaves the table
     as it is.  Returns whether this call made it.
@@ -184,7 +197,8 @@ def create_if_absent(df: DataFrame, name: str, fmt: str = "parquet") -> bool:
     if fs.exists(target):
         return False
     try:
-        fs.create(claim, False).close()
+        if not _claimed(spark, fs, claim):
+            return False
     except Exception as e:                           # noqa: BLE001  any failure but an existing claim is raised
         if fs.exists(claim) or fs.exists(target):
             return False

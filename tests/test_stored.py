@@ -82,6 +82,23 @@ def test_one_of_two_callers_creates(spark):
     spark.sql("DROP TABLE ctas_test")
 
 
+def test_one_of_many_callers_gets_a_claim(spark):
+    path = S.scratch_dir(spark, "claims")
+    fs, at = S._file_system(spark, path)
+    for i in range(40):
+        got, ready = [], threading.Barrier(8)
+
+        def call(i=i, got=got, ready=ready):
+            ready.wait()
+            got.append(S._claimed(spark, fs, at(f"{path}/{i}.claim")))
+        calls = [threading.Thread(target=call) for _ in range(8)]
+        for c in calls:
+            c.start()
+        for c in calls:
+            c.join()
+        assert sorted(got) == [False] * 7 + [True]
+
+
 def test_rejected_rows_and_read_rows_are_all_rows(spark, tmp_path):
     lines = ["1,2.5,0,1.0,0.1,1", "1,x,0,1.0,0.1,1", "2,2.5,0", "", "3,2.5,0,1.0,0.1,1,9", "4,,,,,", "5,1e3,1,2,3,0"]
     path = tmp_path / "obs.csv"
